@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, line_dedup, quality
 
 
 def queries() -> dict:
-    return {"op4_bpe": bpe.op4_bpe}
+    return {"op4_bpe": bpe.op4_bpe, "op5_quality": quality.op5_quality, "op7_line_dedup": line_dedup.op7_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality": quality.OP5_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
