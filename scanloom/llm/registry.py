@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality
+from . import bpe, decontamination, language_id, line_dedup, quality
 
 
 def queries() -> dict:
-    return {"op4_bpe": bpe.op4_bpe, "op5_quality": quality.op5_quality, "op7_line_dedup": line_dedup.op7_line_dedup}
+    return {
+        "op3_language": language_id.op3_language,
+        "op4_bpe": bpe.op4_bpe,
+        "op5_quality": quality.op5_quality,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op9_decontamination": decontamination.op9_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
