@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, line_dedup, quality
+from . import bpe, decontamination, language_id, line_dedup, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_language": language_id.op3_language,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality": quality.op5_quality,
