@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, line_dedup, quality, toxicity
+from . import bpe, decontamination, language_id, line_dedup, near_dedup, quality, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_language": language_id.op3_language,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality": quality.op5_quality,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
     }
