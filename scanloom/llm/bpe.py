@@ -1,10 +1,10 @@
 """Byte-level BPE over a public rank file: global distinct-word shuffle.
 
-Pre-tokens are cut per document and numbered within a block of documents, so that what is
-shuffled is each block's distinct pre-tokens and, per document, the sequence of their numbers.
-Each distinct pre-token of the corpus is encoded once, its ids are joined back to the blocks that
-hold it, and each document is reassembled by position. Decoding joins the ids with the
-token-byte table of the rank file (fixed size).
+Pre-tokens are cut per document and numbered within a block of documents. What is shuffled is each
+block's distinct pre-tokens, dealt into buckets by their hash: a bucket holds a pre-token of all blocks, so
+that it is encoded once. The ids come back to the blocks, whose documents (as sequences of numbers) lie in a
+table bucketed by block and so don't move, and each document is reassembled by position. Decoding
+joins the ids with the token-byte table of the rank file (fixed size).
 
 Rows are independent: repeated ids or repeated rows give a row each. A null text counts as empty and
 gives no ids. Columns besides the id and the text are left out, so clashing names cannot arise.
@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bucketed, table
 
 #: Characters of text after which a task closes its block; it bounds a block's memory.
 BLOCK_CHARS = 32_000_000
-BLOCKS = "block bigint, is_word boolean, doc_id bigint, idx int, data binary"
+BLOCKS = "block bigint, bucket int, doc_id bigint, numbers binary, words binary"
+#: Distinct pre-tokens that a task remembers the ids of, at most.
+MOST_WORDS = 1_000_000
 
 
 class _Numbers(dict):
@@ -61,29 +63,45 @@ def pack(numbers: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def unpack(data: bytes, codec) -> list[int]:
+def unpack(data: bytes, codec) -> np.ndarray:
     planes = np.frombuffer(codec.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().tolist()
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[pa.RecordBatch]:
+def pack_bytes(parts: list[bytes]) -> bytes:
+    """Byte strings as their lengths and what they hold, compressed."""
+    import zstandard
+
+    lengths = np.fromiter(map(len, parts), np.uint32, len(parts))
+    return zstandard.ZstdCompressor(level=3).compress(len(parts).to_bytes(4, "little") + lengths.astype("<u4").tobytes() + b"".join(parts))
+
+
+def unpack_bytes(data: bytes, codec) -> list[bytes]:
+    raw = codec.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each document (bucket is null) and, once a block is full, one for each bucket of its pre-tokens."""
     import regex
+    import xxhash
 
     find = regex.compile(pattern).findall
     task, blocks, held, numbers = TaskContext.get().partitionId(), 0, 0, _Numbers()
 
-    def rows(block, is_word, ids, idx, data):
-        n = len(data)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block)), pa.array(np.full(n, is_word)), ids, idx, pa.array(data, pa.binary())],
-            ["block", "is_word", "doc_id", "idx", "data"],
-        )
-
     def words(block):
-        data = [w.encode() for w in numbers]
-        for at in range(0, len(data), 50_000):
-            part = data[at : at + 50_000]
-            yield rows(block, True, pa.nulls(len(part), pa.int64()), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part)
+        parts: dict[int, list[bytes]] = {}
+        for w in sorted(numbers):
+            key = w.encode()
+            parts.setdefault(xxhash.xxh3_64_intdigest(key) % buckets, []).append(key)
+        for bucket, keys in parts.items():
+            at = np.fromiter((numbers[k.decode()] for k in keys), np.uint32, len(keys))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([bucket], pa.int32()), pa.nulls(1, pa.int64()), pa.array([pack(at)], pa.binary()), pa.array([pack_bytes(keys)], pa.binary())],
+                ["block", "bucket", "doc_id", "numbers", "words"],
+            )
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
@@ -93,7 +111,11 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> I
                 found = find(text or "")
                 held += len(text or "")
                 data.append(pack(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))))
-            yield rows(block, False, part.column(0), pa.nulls(len(data), pa.int32()), data)
+            n = len(data)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), part.column(0), pa.array(data, pa.binary()), pa.nulls(n, pa.binary())],
+                ["block", "bucket", "doc_id", "numbers", "words"],
+            )
             if held >= block_chars:
                 yield from words(block)
                 blocks, held, numbers = blocks + 1, 0, _Numbers()
@@ -101,23 +123,37 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> I
 
 
 def _encode_words(batches: Iterator[pa.RecordBatch], raw: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
-    encode = _encoding(raw, pattern)._encode_single_piece
-    for batch in batches:
-        ids = [np.array(encode(w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["data", "ids"])
-
+    import zstandard
 
-def _reassemble(docs: pa.Table, words: pa.Table, raw: bytes) -> pa.Table:
+    encode, codec = _encoding(raw, pattern)._encode_single_piece, zstandard.ZstdDecompressor()
+    known: dict[bytes, bytes] = {}
+    for batch in batches:
+        for row in range(batch.num_rows):
+            part, out = batch.slice(row, 1), []
+            for w in unpack_bytes(part.column(2)[0].as_py(), codec):
+                ids = known.get(w)
+                if ids is None:
+                    if len(known) >= MOST_WORDS:
+                        known.clear()
+                    known[w] = ids = np.array(encode(w), "<u4").tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack_bytes(out)], pa.binary())], ["of_block", "bucket", "ids"])
+
+
+def _reassemble(docs: pa.Table, encoded: pa.Table, raw: bytes) -> pa.Table:
     import zstandard
 
-    of = _token_bytes(raw)
-    ids: list[bytes] = [b""] * words.num_rows
-    for at, x in zip(words.column("idx").to_pylist(), words.column("ids").to_pylist()):
-        ids[at] = x
-    texts = [b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
-    codec, out_ids, out_texts = zstandard.ZstdDecompressor(), [], []
-    for data in docs.column("data").to_pylist():
-        at = unpack(data, codec)
+    codec, of = zstandard.ZstdDecompressor(), _token_bytes(raw)
+    found = dict(zip(encoded.column("bucket").to_pylist(), encoded.column("ids").to_pylist()))
+    ids: dict[int, bytes] = {}
+    for bucket, numbers in zip(docs.column("bucket").to_pylist(), docs.column("numbers").to_pylist()):
+        if bucket is not None:
+            ids.update(zip(unpack(numbers, codec).tolist(), unpack_bytes(found[bucket], codec)))
+    texts = {k: b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) for k, x in ids.items()}
+    docs = docs.filter(docs.column("bucket").is_null())
+    out_ids, out_texts = [], []
+    for data in docs.column("numbers").to_pylist():
+        at = unpack(data, codec).tolist()
         out_ids.append(b"".join(map(ids.__getitem__, at)))
         out_texts.append(b"".join(map(texts.__getitem__, at)))
     return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out_ids, pa.large_binary()).cast(pa.binary()), "decoded": pa.array(out_texts, pa.large_binary()).cast(pa.binary())})
@@ -130,14 +166,14 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """
     with open(ranks_path, "rb") as f:
         raw = f.read()
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = written(texts.mapInArrow(lambda it: _cut(it, pattern, block_chars), BLOCKS), "bpe-blocks")
-    words = cut.where("is_word").select("block", "idx", "data")
-    encoded = words.select("data").distinct().mapInArrow(lambda it: _encode_words(it, raw, pattern), "data binary, ids binary")
-    back = words.join(encoded, "data").select(F.col("block").alias("of_block"), "idx", "ids")
+    cut = bucketed(texts.mapInArrow(lambda it: _cut(it, pattern, block_chars, buckets), BLOCKS), "bpe_blocks", buckets, "block")
+    words = cut.where("bucket is not null").select("block", "bucket", "words").repartition(buckets, "bucket")
+    encoded = words.mapInArrow(lambda it: _encode_words(it, raw, pattern), "of_block bigint, bucket int, ids binary")
     return (
-        cut.where("not is_word").select("block", "doc_id", "data").groupBy("block")
-        .cogroup(back.groupBy("of_block"))
+        cut.select("block", "bucket", "doc_id", "numbers").groupBy("block")
+        .cogroup(encoded.groupBy("of_block"))
         .applyInArrow(lambda d, w: _reassemble(d, w, raw), "doc_id bigint, ids binary, decoded binary")
     )
 

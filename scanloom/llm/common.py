@@ -36,6 +36,14 @@ def written(df: DataFrame, name: str, partitions: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """As written(), bucketed by key: grouping by it reads the files in place, without a shuffle."""
+    spark = df.sparkSession
+    made = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{made}").bucketBy(buckets, key).saveAsTable(made)
+    return spark.table(made)
+
+
 def free_name(taken: list[str], want: str) -> str:
     """want, or want with a suffix if a column has that name already (names compare without case)."""
     used = {x.lower() for x in taken}
