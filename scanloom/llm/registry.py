@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, language_id, line_dedup, near_dedup, quality, toxicity
+from . import bpe, chat, decontamination, language_id, licenses, line_dedup, near_dedup, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": sharding.op1_sharding,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_language": language_id.op3_language,
         "op4_bpe": bpe.op4_bpe,
         "op5_quality": quality.op5_quality,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_licenses": licenses.op8_licenses,
         "op9_decontamination": decontamination.op9_decontamination,
+        "op10_chat": chat.op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.OP5_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
+    return {
+        "op1_sharding": sharding.OP1_SQL,
+        "op5_quality": quality.OP5_SQL,
+        "op7_line_dedup": line_dedup.OP7_SQL,
+        "op8_licenses": licenses.OP8_SQL,
+        "op10_chat": chat.OP10_SQL,
+    }
