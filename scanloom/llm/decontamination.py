@@ -17,7 +17,7 @@ five words is a single shingle. Repeated items and documents give a row for each
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,18 +159,21 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return found
 
 
+def _holds(sent) -> Callable[[Column], Column]:
+    @F.arrow_udf("boolean")
+    def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes, index = WordHashes(), sent.value
+        for texts in batches:
+            yield pa.array([bool(index.search(hashes.of(x))) for x in texts.to_pylist()], pa.bool_())
+
+    return test
+
+
 def contaminated(items: DataFrame, text: Column, **options) -> Column:
     """True where the text holds an item; never null."""
     found = F.lit(False)
     for sent in parts(items, **options):
-
-        @F.arrow_udf("boolean")
-        def test(batches: Iterator[pa.Array], sent=sent) -> Iterator[pa.Array]:
-            hashes, index = WordHashes(), sent.value
-            for texts in batches:
-                yield pa.array([bool(index.search(hashes.of(x))) for x in texts.to_pylist()], pa.bool_())
-
-        found = found | test(text)
+        found = found | _holds(sent)(text)
     return found
 
 
