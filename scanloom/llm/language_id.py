@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,79 +28,152 @@ from .common import table, written
 WORDS = re.compile(r"[^\W\d_]+").findall
 START = "▁"
 #: Entries after which a task hands on its counts, or forgets the words that it has scored.
-MOST_WORDS = 300_000
+MOST_WORDS = 1_000_000
+#: Words scored together.
+BATCH_WORDS = 20_000
+#: Characters up to which a word's sums can't underflow; longer words take the scaled path.
+PLAIN_CHARS = 24
 #: Languages that one model may hold, at most: piece tables gathered by the driver are languages x vocabulary.
 MOST_LANGUAGES = 256
 
 
 def vocabulary(model_path: str) -> list[str]:
-    """Pieces of a sentencepiece file, without control and byte pieces."""
+    """Pieces of a sentencepiece file that lower-cased words can hold: letters, perhaps after a word start."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    return [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i))]
-
-
-class Lattice:
-    """Forward and backward sums over a word's segmentations. table: piece -> probabilities, one for each language; other: those of a character that isn't a piece."""
-
-    BIG = 1e100
-
-    def __init__(self, table: dict[str, tuple[float, ...]], other: tuple[float, ...]):
-        self.table, self.other, self.longest = table, other, max(map(len, table), default=1)
-
-    def arcs(self, s: str, end: int):
-        get = self.table.get
+    pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)))
+    return [p for p in pieces if p == START or (x := p.removeprefix(START)).isalpha() and x == x.lower()]
+
+
+class Lattices:
+    """Sums over the segmentations of many words at once, as arrays over words of one length.
+
+    Pieces are found by rolling hashes of all substrings: first a bit table, then a sorted array. A character that
+    isn't a piece stands for itself.
+    """
+
+    MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+    BITS = 22
+
+    def __init__(self, pieces: list[str]):
+        self.pieces, self.n = pieces, len(pieces)
+        self.at = {p: i for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces), default=1)
+        keys = np.zeros(self.n, np.uint64)
+        for size in {len(p) for p in pieces}:
+            own = [i for i, p in enumerate(pieces) if len(p) == size]
+            keys[own] = self._substrings(self._codes([pieces[i] for i in own], size), size)[-1][:, 0]
+        order = np.argsort(keys)
+        self.keys, self.order = keys[order], order.astype(np.int32)
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+
+    @staticmethod
+    def _codes(words: list[str], size: int) -> np.ndarray:
+        return np.array(words, f"<U{size}").view(np.uint32).reshape(len(words), size).astype(np.uint64)
+
+    def _substrings(self, codes: np.ndarray, longest: int) -> list[np.ndarray]:
+        """By length from 1 on, hashes of the substrings at each place."""
+        out, h = [], np.zeros_like(codes)
+        for k in range(1, min(longest, codes.shape[1]) + 1):
+            h = (h[:, : codes.shape[1] - k + 1] + codes[:, k - 1 :] + np.uint64(1)) * self.MIX
+            h = h ^ (h >> np.uint64(29))
+            out.append(h * self.STEP)
+        return out
+
+    def _arcs(self, words: list[str], size: int) -> list[np.ndarray]:
+        """By length, the piece at each place of each word (words x places): n if there is none, n + 1 for a lone character."""
+        out = []
+        for k, h in enumerate(self._substrings(self._codes(words, size), self.longest), 1):
+            found = np.full(h.shape, self.n if k > 1 else self.n + 1, np.int32)
+            where = np.nonzero(self.maybe[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
+            some = h[where]
+            i = np.minimum(np.searchsorted(self.keys, some), max(0, self.n - 1))
+            if self.n:
+                hit = self.keys[i] == some
+                found[where[0][hit], where[1][hit]] = self.order[i[hit]]
+            out.append(found)
+        return out
+
+    def _groups(self, words: list[str]):
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by.setdefault(len(w) + 1, []).append(i)
+        for size, own in by.items():
+            yield size, np.array(own), [START + words[i] for i in own]
+
+    def log_forward(self, words: list[str], table: np.ndarray) -> np.ndarray:
+        """words x languages. table: (n + 2) x languages, with 0 in row n."""
+        out = np.zeros((len(words), table.shape[1]))
+        for size, own, some in self._groups(words):
+            if size > PLAIN_CHARS:
+                out[own] = [self.scaled_forward(w, table) for w in some]
+                continue
+            arcs = self._arcs(some, size)
+            alpha = [np.ones((len(some), table.shape[1]))]
+            for end in range(1, size + 1):
+                a = 0.0
+                for k in range(1, min(end, len(arcs)) + 1):
+                    a = a + alpha[end - k] * table[arcs[k - 1][:, end - k]]
+                alpha.append(a)
+            out[own] = np.log(alpha[-1])
+        return out
+
+    def expected(self, words: list[str], counts: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in one language (row: n + 2 probabilities), each word as often as counted."""
+        uses = np.zeros(self.n + 2)
+        for size, own, some in self._groups(words):
+            if size > PLAIN_CHARS:
+                for w, c in zip(some, counts[own].tolist()):
+                    self.scaled_expected(w, c, row, uses)
+                continue
+            arcs = self._arcs(some, size)
+            alpha, beta = np.zeros((size + 1, len(some))), np.zeros((size + 1, len(some)))
+            alpha[0] = beta[size] = 1.0
+            for end in range(1, size + 1):
+                for k in range(1, min(end, len(arcs)) + 1):
+                    alpha[end] += alpha[end - k] * row[arcs[k - 1][:, end - k]]
+            weight = counts[own] / alpha[size]
+            for begin in range(size - 1, -1, -1):
+                for k in range(1, min(size - begin, len(arcs)) + 1):
+                    piece = arcs[k - 1][:, begin]
+                    share = row[piece] * beta[begin + k]
+                    beta[begin] += share
+                    uses += np.bincount(piece, share * alpha[begin] * weight, self.n + 2)
+        return uses
+
+    def _plain_arcs(self, s: str, end: int):
         for begin in range(max(0, end - self.longest), end):
-            if p := get(s[begin:end]):
-                yield begin, p
-            elif begin == end - 1:
-                yield begin, self.other
-
-    def log_forward(self, word: str) -> list[float]:
-        s = START + word
-        n = len(self.other)
-        alpha, scale = [[1.0] * n], [0.0] * n
-        for end in range(1, len(s) + 1):
-            a = [0.0] * n
-            for begin, p in self.arcs(s, end):
-                a = [x + y * z for x, y, z in zip(a, alpha[begin], p)]
-            alpha.append(a)
-            for i in range(n):
-                if a[i] < 1 / self.BIG:  # only the last positions are still read
-                    for b in alpha[-self.longest :]:
-                        b[i] *= self.BIG
-                    scale[i] -= math.log(self.BIG)
-        return [math.log(x) + y for x, y in zip(alpha[-1], scale)]
-
-    def expected(self, word: str) -> dict[str, float]:
-        """Expected uses of each piece, with one language in the table. Sums are scaled by position, so that long words don't underflow."""
-        s = START + word
-        alpha, norm = [1.0], [1.0]
+            piece = self.at.get(s[begin:end])
+            if piece is not None or begin == end - 1:
+                yield begin, self.n + 1 if piece is None else piece
+
+    def scaled_forward(self, s: str, table: np.ndarray) -> np.ndarray:
+        """One long word; the last positions are scaled up together before they get small."""
+        alpha, scale = [np.ones(table.shape[1])], np.zeros(table.shape[1])
         for end in range(1, len(s) + 1):
-            a, scale, at = 0.0, 1.0, end - 1
-            for begin, p in sorted(self.arcs(s, end), reverse=True, key=lambda x: x[0]):
-                while at > begin:
-                    scale *= norm[at]
-                    at -= 1
-                a += alpha[begin] * p[0] / scale
-            norm.append(a)
-            alpha.append(1.0)
-        # alpha[end] is 1 once divided by norm[end]; the same norms scale the backward sums
-        beta, found = [0.0] * len(s) + [1.0], {}
+            alpha.append(sum(alpha[begin] * table[piece] for begin, piece in self._plain_arcs(s, end)))
+            low = alpha[-1] < 1e-100
+            if low.any():
+                for i in range(max(0, end + 1 - self.longest), end + 1):
+                    alpha[i] = np.where(low, alpha[i] * 1e100, alpha[i])
+                scale -= low * math.log(1e100)
+        return np.log(alpha[-1]) + scale
+
+    def scaled_expected(self, s: str, count: float, row: np.ndarray, uses: np.ndarray) -> None:
+        """One long word, in logarithms."""
+        logs = np.log(np.where(row > 0, row, 1e-300))
+        alpha, arcs = [0.0], [list(self._plain_arcs(s, end)) for end in range(1, len(s) + 1)]
+        for own in arcs:
+            alpha.append(float(np.logaddexp.reduce([alpha[b] + logs[p] for b, p in own])))
+        beta = [-math.inf] * len(s) + [0.0]
         for end in range(len(s), 0, -1):
-            if not beta[end]:
-                continue
-            scale, at = norm[end], end - 1
-            for begin, p in sorted(self.arcs(s, end), reverse=True, key=lambda x: x[0]):
-                while at > begin:
-                    scale *= norm[at]
-                    at -= 1
-                share = beta[end] * p[0] / scale
-                beta[begin] += share
-                piece = s[begin:end]
-                found[piece] = found.get(piece, 0.0) + share
-        return found
+            for b, p in arcs[end - 1]:
+                beta[b] = float(np.logaddexp(beta[b], beta[end] + logs[p]))
+        for end in range(1, len(s) + 1):
+            for b, p in arcs[end - 1]:
+                uses[p] += count * math.exp(alpha[b] + logs[p] + beta[end] - alpha[-1])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,71 +205,75 @@ def learn(docs: DataFrame, pieces: list[str], lang_col: str = "lang", text_col:
     langs = sorted(x[0] for x in words.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    known = dict.fromkeys(pieces)
     sc = docs.sparkSession.sparkContext
-    by: dict[str, dict[str, float]] = {lang: {} for lang in langs}
-    for k in range(rounds):
-        sent = sc.broadcast((known, by if k else None))
+    lattices = Lattices(pieces)
+    v = len(pieces)
+    table = np.tile(np.append(np.full(v, 1 / (v + 1)), [0.0, 1 / (v + 1)])[:, None], (1, len(langs)))
+    for _ in range(rounds):
+        sent = sc.broadcast((lattices, langs, table))
 
         def expect(batches, sent=sent):
-            known, by = sent.value
-            uniform = 1 / (len(known) + 1)
-            lattices: dict[str, Lattice] = {}
-            found: dict[str, Counter] = {}
+            lattices, langs, table = sent.value
+            uses = np.zeros_like(table)
             for batch in batches:
-                for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    if lang not in lattices:
-                        total = sum(by[lang].values()) + alpha * (len(known) + 1) if by else 0
-                        lattices[lang] = Lattice({x: ((by[lang].get(x, 0.0) + alpha) / total if by else uniform,) for x in known}, (alpha / total if by else uniform,))
-                        found[lang] = Counter()
-                    c = found[lang]
-                    for piece, share in lattices[lang].expected(word).items():
-                        if piece in known:
-                            c[piece] += n * share
-            for lang, c in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.float64())], ["lang", "piece", "n"])
-
-        sums = words.mapInArrow(expect, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
-        by = {lang: {} for lang in langs}
+                own, words, n = (np.array(c.to_pylist(), object) for c in batch.columns)
+                for i, lang in enumerate(langs):
+                    mine = own == lang
+                    if mine.any():
+                        uses[:, i] += lattices.expected(words[mine].tolist(), n[mine].astype(float), table[:, i])
+            for i, lang in enumerate(langs):
+                some = np.flatnonzero(uses[:, i])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(uses[some, i])], ["lang", "piece", "n"])
+
+        sums = words.mapInArrow(expect, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+        table = np.zeros_like(table)
         for lang, piece, n in sums:
-            by[lang][piece] = n
-    totals = [sum(by[x].values()) + alpha * (len(known) + 1) for x in langs]
-    probabilities = {p: tuple((by[x].get(p, 0.0) + alpha) / t for x, t in zip(langs, totals)) for p in known}
-    return {"langs": langs, "pieces": probabilities, "other": tuple(alpha / t for t in totals)}
+            table[piece, langs.index(lang)] = n
+        table[v + 1] = 0  # lone characters get what smoothing leaves them
+        table = (table + alpha) / (table.sum(0) + alpha * (v + 1))
+        table[v] = 0
+    return {"langs": langs, "lattices": lattices, "table": table}
 
 
 class Scorer:
     """Posteriors over the languages; each distinct word is scored once."""
 
     def __init__(self, model: dict):
-        self.langs, self.lattice = model["langs"], Lattice(model["pieces"], model["other"])
+        self.langs, self.lattices, self.table = model["langs"], model["lattices"], model["table"]
+        self.forget()
+
+    def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)))
 
-    def row(self, word: str) -> int:
-        if (i := self.at.get(word)) is not None:
-            return i
-        self.at[word] = i = len(self.at)
-        if i >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.lattice.log_forward(word) if any(map(str.isalpha, word)) else np.nan
-        return i
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = WORDS((text or "").lower())
-        if not words or not self.langs:
-            return "und", 0.0
+    def know(self, words: list[str]) -> None:
+        for i in range(0, len(words), BATCH_WORDS):
+            some = words[i : i + BATCH_WORDS]
+            begin = len(self.at)
+            while begin + len(some) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[begin : begin + len(some)] = self.lattices.log_forward(some, self.table)
+            self.at.update(zip(some, range(begin, begin + len(some))))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [[w for w in WORDS((x or "").lower())] for x in texts]
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
         if len(self.at) > MOST_WORDS:
-            self.at.clear()
-        at = np.fromiter(map(self.row, words), np.int64, len(words))
-        found = self.rows[at]
-        found = found[~np.isnan(found[:, 0])]
-        if not len(found):
-            return "und", 0.0
-        total = found.sum(0)
-        share = np.exp(total - total.max())
-        best = int(share.argmax())
-        return self.langs[best], float(share[best] / share.sum())
+            self.forget()
+        # characters such as superscript digits count as word characters, but a word needs a letter
+        self.know([w for w in dict.fromkeys(chain.from_iterable(found)) if w not in self.at and any(map(str.isalpha, w))])
+        out = []
+        for words in found:
+            at = [i for w in words if (i := self.at.get(w)) is not None]
+            if not at:
+                out.append(("und", 0.0))
+                continue
+            total = self.rows[at].sum(0)
+            share = np.exp(total - total.max())
+            best = int(share.argmax())
+            out.append((self.langs[best], float(share[best] / share.sum())))
+        return out
 
 
 def identify(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
@@ -206,7 +284,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for texts in batches:
-            found = [scorer(x) for x in texts.to_pylist()]
+            found = [x for at in range(0, len(texts), 1000) for x in scorer(texts[at : at + 1000].to_pylist())]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
     return run(F.col(text_col).cast("string"))
