@@ -42,7 +42,8 @@ def severity_rank(severity: Col) -> Column:
 
 
 def severity_of_rank(rank: Col) -> Column:
-    return F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), _c(rank) + 1)
+    r = _c(rank)
+    return F.when(r == 0, "low").when(r == 1, "medium").when(r == 2, "high").when(r == 3, "critical")
 
 
 def filesystem_cvss(severity: Col) -> Column:
