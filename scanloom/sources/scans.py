@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,12 +16,15 @@ NMAP_HOST = (
     "script:array<struct<_id:string,_output:string>>>>>, "
     "os struct<osmatch:array<struct<_name:string,osclass:array<struct<cpe:array<string>>>>>>"
 )
-FILE = F.col("_metadata.file_path").alias("file")
+
+
+def _file() -> Column:
+    return F.col("_metadata.file_path").alias("file")
 
 
 def hosts(spark: SparkSession, path: str) -> DataFrame:
     """Hosts of service scans (XML) with their file; files that can't be parsed have _corrupt_record."""
-    return spark.read.format("xml").option("rowTag", "host").option("mode", "PERMISSIVE").schema(NMAP_HOST).load(path).select("*", FILE)
+    return spark.read.format("xml").option("rowTag", "host").option("mode", "PERMISSIVE").schema(NMAP_HOST).load(path).select("*", _file())
 
 
 def services(host_rows: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ PACKAGES = "Results array<struct<Vulnerabilities:array<struct<VulnerabilityID:st
 
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("multiLine", True).schema(PACKAGES).json(path).select(FILE, F.posexplode("Results").alias("i", "r"))
+    raw = spark.read.option("multiLine", True).schema(PACKAGES).json(path).select(_file(), F.posexplode("Results").alias("i", "r"))
     v = raw.select("file", "i", F.posexplode("r.Vulnerabilities").alias("j", "v"))
     w = W.partitionBy("file").orderBy("i", "j")
     or_ = lambda c, d: F.coalesce(f"v.{c}", F.lit(d))
@@ -75,7 +78,7 @@ WEB = "`template-id` string, host string, `matched-at` string, info struct<name:
 
 def web_hits(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a line; blank and malformed lines are skipped. References and ids may be a text or a list."""
-    raw = spark.read.option("mode", "DROPMALFORMED").schema(WEB).json(path).where("`template-id` is not null or host is not null").select("*", FILE)
+    raw = spark.read.option("mode", "DROPMALFORMED").schema(WEB).json(path).where("`template-id` is not null or host is not null").select("*", _file())
     texts = lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.try_variant_get(v, "$", "array<string>")).when(~F.is_variant_null(v), F.array(F.try_variant_get(v, "$", "string"))).otherwise(F.array().cast("array<string>"))
     or_none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     return raw.select(
@@ -88,7 +91,7 @@ def web_hits(spark: SparkSession, path: str) -> DataFrame:
 
 def key_values(spark: SparkSession, path: str) -> DataFrame:
     """Lines of host-audit reports: file, line_no, key, value; comments, blanks and lines without "=" are skipped."""
-    raw = spark.read.option("wholetext", True).text(path).select(FILE, F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    raw = spark.read.text(path, wholetext=True).select(_file(), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     kept = raw.where(F.contains("line", F.lit("=")) & ~F.startswith(F.trim("line"), F.lit("#")))
     return kept.select("file", "line_no", F.trim(F.split_part("line", F.lit("="), F.lit(1))).alias("key"), F.trim(F.regexp_replace("line", "^[^=]*=", "")).alias("value"))
 
@@ -109,7 +112,7 @@ def malware_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A path may hold ": "; the last one before the signature divides. Counters follow the summary line.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(FILE, F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    lines = spark.read.text(path, wholetext=True).select(_file(), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     hit = r"^(.*): (.*) FOUND\s*$"
     found = lines.where(F.col("line").rlike(hit)).select("file", F.col("line_no").alias("pos"), F.regexp_extract("line", hit, 1).alias("path"), F.regexp_extract("line", hit, 2).alias("signature"))
     at = F.min(F.when(F.contains("line", F.lit("SCAN SUMMARY")), F.col("line_no"))).over(W.partitionBy("file"))
@@ -132,12 +135,12 @@ WINDOWS_FACTS = (
 
 
 def windows_facts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).schema(WINDOWS_FACTS).json(path).select("*", FILE)
+    return spark.read.option("multiLine", True).schema(WINDOWS_FACTS).json(path).select("*", _file())
 
 
 def detections(spark: SparkSession, path: str) -> DataFrame:
     """Antivirus history: one detection or a list of them, or none."""
-    raw = spark.read.option("wholetext", True).text(path).select(FILE, F.try_parse_json("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(_file(), F.try_parse_json("value").alias("v"))
     d = raw.select("file", F.try_variant_get("v", "$.detections", "variant").alias("d"))
     row = "struct<file_path:string,signature:string,severity_id:int>"
     many = F.when(F.startswith(F.schema_of_variant("d"), F.lit("ARRAY")), F.try_variant_get("d", "$", f"array<{row}>")).otherwise(F.array_compact(F.array(F.try_variant_get("d", "$", row))))
@@ -173,15 +176,15 @@ def kev(spark: SparkSession, path: str) -> DataFrame:
 
 def epss(spark: SparkSession, path: str) -> DataFrame:
     """Scores with the model's date from the comment line, if there is one; rows with unreadable numbers are left out."""
-    raw = spark.read.option("comment", "#").option("header", True).schema("cve string, epss string, percentile string").csv(path).select("*", FILE)
+    raw = spark.read.option("comment", "#").option("header", True).schema("cve string, epss string, percentile string").csv(path).select("*", _file())
     rows = raw.select("file", F.col("cve").alias("cve_id"), F.col("epss").try_cast("double").alias("score"), F.col("percentile").try_cast("double").alias("percentile")).where("score is not null and percentile is not null")
-    dates = spark.read.text(path).where(F.startswith("value", F.lit("#"))).select(FILE, F.nullif(F.regexp_extract("value", r"score_date:([^,\s]+)", 1), F.lit("")).alias("model_date"))
+    dates = spark.read.text(path).where(F.startswith("value", F.lit("#"))).select(_file(), F.nullif(F.regexp_extract("value", r"score_date:([^,\s]+)", 1), F.lit("")).alias("model_date"))
     return rows.join(dates.groupBy("file").agg(F.max("model_date").alias("model_date")), "file", "left").drop("file")
 
 
 def contributions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Contributed files: (file, ordered_facts, meta as VARIANT), and the files that can't be used."""
-    raw = spark.read.option("wholetext", True).text(path).select(FILE, F.try_parse_json("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(_file(), F.try_parse_json("value").alias("v"))
     rows = raw.withColumn("ordered_facts", F.try_variant_get("v", "$.ordered_facts", "variant")).withColumn("meta", F.try_variant_get("v", "$._meta", "variant"))
     good = F.col("ordered_facts").isNotNull()
     return rows.where(good).select("file", "ordered_facts", "meta"), rows.where(~good).select("file")

@@ -74,7 +74,7 @@ def drift_stream(scans: DataFrame) -> DataFrame:
                 else:
                     verdict = "UNOBSERVED"
                 known["keys"][k] = [source, status, n, back]
-                out.append((key[0], scan.scan_id, k, verdict, n, back))
+                out.append((key[0], str(scan.scan_id), k, verdict, n, back))
         state.update((json.dumps(known),))
         yield pd.DataFrame(out, columns=["target", "scan_id", "finding_key", "verdict", "occurrences", "reappearance_count"])
 
