@@ -7,13 +7,16 @@ its next point would come after every slot's earliest. Two signatures agree in a
 probability Jaccard similarity of the texts. Slots are banded; texts with an equal band share a bucket.
 
 Links are pairs of one bucket with a weighted Jaccard similarity of at least 0.8, verified on the texts.
-A bucket's pairs are not all formed: its members are verified against its lowest member, and components of
-the links are taken. While a bucket still holds several components, members outside its largest one
-become leaders and are verified against all its members in other components, at most `leaders`
-for each bucket in a turn, until all of them have been. So any link of a bucket joins the classes of its
-ends, no bucket is capped, and a group of near copies costs a row for each member and band.
+First each bucket's members are verified against one leader, the member that shares most buckets with others (in a
+group of copies that is the text they were made from), and components of the links are taken. A bucket of one component
+needs nothing more. In the others, members outside the bucket's largest component are compared with its members in
+other components: a pair goes on to be verified if its signatures agree in enough of their slots, and in the first
+bucket that it shares only. So no bucket is capped, pairs within a component are never formed, and a group of
+near copies costs a row for each member and band.
 
-With 24 bands of 6 slots a pair of similarity 0.8 shares a bucket with probability 0.9993, of 0.9 with 1 - 1e-8.
+With 24 bands of 6 slots a pair of similarity 0.8 shares a bucket with probability 0.9993, of 0.9 with 1 - 1e-8. The
+agreement is read from 4 bits of each of 248 slots: the estimate of a pair of similarity 0.8 has a standard deviation of
+0.026 and is below 0.72 with probability 0.001, that of one of 0.85 with 1e-7.
 
 Null and empty texts are copies of each other, and texts without a word are copies if they are equal. Rows without an
 id get a class of null and link nothing. Repeated rows and ids each get a row.
@@ -36,8 +39,11 @@ from .shingles import WordHashes, mixed, shingle_hashes, words_of
 
 BANDS, ROWS = 24, 6
 SHINGLE, SIMILARITY = 5, 0.8
-#: Leaders that one bucket verifies in one turn; later turns take the others.
-LEADERS = 32
+#: Slots of a signature: those of the bands, ten bands to a 64-bit word (so that none is cut), and the rest of the words.
+SLOTS = 248
+WORDS, PLANES, BANDS_A_WORD = 4, 4, 10
+#: Slots that must agree, as a share, for a pair outside the leaders' ones to be verified.
+LEAST_AGREEMENT = 0.72
 
 
 def text_key(text: str | None) -> bytes:
@@ -65,9 +71,46 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     return owner.reshape(n, m)
 
 
+def _places() -> np.ndarray:
+    """The bit of each slot in the words of a plane."""
+    slots = np.arange(BANDS * ROWS)
+    own = slots // (ROWS * BANDS_A_WORD) * 64 + slots % (ROWS * BANDS_A_WORD)
+    last = (BANDS - 1) // BANDS_A_WORD
+    free = np.arange(last * 64 + (BANDS - last * BANDS_A_WORD) * ROWS, WORDS * 64)
+    return np.concatenate([own, free])[:SLOTS]
+
+
+def planes(signature: np.ndarray) -> np.ndarray:
+    """4 bits of each slot, as PLANES x WORDS 64-bit words."""
+    low = mixed(signature)
+    bits = np.zeros((len(signature), PLANES, WORDS * 64), np.uint8)
+    for i in range(PLANES):
+        bits[:, i, _places()] = (low >> np.uint64(i)) & np.uint64(1)
+    return np.packbits(bits, axis=2, bitorder="little").view("<i8").reshape(len(signature), -1)
+
+
+def agreement(a: str, b: str) -> tuple[list[str], str]:
+    """SQL for the words of slots that differ between two arrays of planes, and for the share of slots that agree beyond chance."""
+    words = ["(" + " | ".join(f"({a}[{p * WORDS + w}] ^ {b}[{p * WORDS + w}])" for p in range(PLANES)) + ")" for w in range(WORDS)]
+    equal = f"({SLOTS} - " + " - ".join(f"bit_count({w})" for w in words) + f") / {float(SLOTS)}"
+    return words, f"(({equal}) - {2.0**-PLANES}) / {1 - 2.0**-PLANES}"
+
+
+def first_shared(words: list[str], band: str) -> str:
+    """SQL: no band before this one is equal in all its slots."""
+    mark = sum(1 << ROWS * i for i in range(BANDS_A_WORD))
+    tests = []
+    for w, x in enumerate(words[: (BANDS - 1) // BANDS_A_WORD + 1]):
+        differs = "(" + " | ".join(f"shiftrightunsigned({x}, {i})" for i in range(ROWS)) + ")"
+        equal = f"(~{differs} & {mark}L)"
+        before = f"case when {band} >= {(w + 1) * BANDS_A_WORD} then {mark}L when {band} < {w * BANDS_A_WORD} then 0L else shiftleft(1L, cast({ROWS} * ({band} - {w * BANDS_A_WORD}) as int)) - 1 end"
+        tests.append(f"({equal} & {before}) = 0")
+    return " and ".join(tests)
+
+
 def banded(signature: np.ndarray, bands: int) -> np.ndarray:
     """A hash for each band of each signature."""
-    rows = signature.reshape(len(signature), bands, -1)
+    rows = signature[:, : bands * ROWS].reshape(len(signature), bands, ROWS)
     out = np.broadcast_to(np.arange(bands, dtype=np.uint64), rows.shape[:2]).copy()
     for i in range(rows.shape[2]):
         out = mixed(out + rows[:, :, i])
@@ -82,14 +125,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = part.column(1).to_pylist()
             all_shingles = [shingle_hashes(hashes.of(x), SHINGLE) for x in texts]
             full = [i for i, x in enumerate(all_shingles) if len(x)]
-            bands: list[list[int]] = [[] for _ in texts]
+            bands: list = [[] for _ in texts]
+            marks: list = [[] for _ in texts]
             if full:
-                found = banded(signatures([np.unique(all_shingles[i], return_counts=True) for i in full], BANDS * ROWS), BANDS)
-                for i, x in zip(full, found):
-                    bands[i] = x
+                found = signatures([np.unique(all_shingles[i], return_counts=True) for i in full], SLOTS)
+                for i, x, y in zip(full, banded(found, BANDS), planes(found)):
+                    bands[i], marks[i] = x, y
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([text_key(x) for x in texts], pa.binary()), pa.array([len(x) for x in all_shingles], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "size", "bands"],
+                [part.column(0), pa.array([text_key(x) for x in texts], pa.binary()), pa.array([len(x) for x in all_shingles], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "size", "bands", "planes"],
             )
 
 
@@ -131,40 +175,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.where(alike("a", "a_text", "b", "b_text")).select("a", "b")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the lowest id of its class) for every row."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(texts.where("doc_id is not null").mapInArrow(_signed, "doc_id bigint, text_key binary, size bigint, bands array<bigint>"), "signatures")
+    signed = written(texts.where("doc_id is not null").mapInArrow(_signed, "doc_id bigint, text_key binary, size bigint, bands array<bigint>, planes array<bigint>"), "signatures")
     kinds = signed.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.first("bands").alias("bands"))
-    banded_rows = kinds.select("text_key", "size", F.explode("bands").alias("bucket"))
-    shared = banded_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = written(banded_rows.join(shared, "bucket"), "bucket-members")
+    banded_rows = kinds.select("text_key", "size", F.posexplode("bands").alias("band", "bucket"))
+    shared = banded_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(banded_rows.join(written(shared, "shared-buckets"), "bucket"), "bucket-members")
     named = written(kinds.select("text_key", "first_id").join(members.select("text_key").distinct(), "text_key"), "candidates")
     # texts of candidates only; the shuffled side is built from them, so that texts are not sorted
     wanted = written(texts.join(named.withColumnRenamed("first_id", "doc_id").hint("shuffle_hash"), "doc_id").select("text_key", "text"), "candidate-texts")
 
     fits = F.least("size", "other_size") >= F.lit(least) * F.greatest("size", "other_size")
-    first = members.groupBy("bucket").agg(F.min(F.struct(F.col("text_key").alias("b"), F.col("size").alias("other_size"))).alias("x")).select("bucket", "x.*")
-    pairs = members.join(written(first, "leaders"), "bucket").where((F.col("text_key") != F.col("b")) & fits).select(F.col("text_key").alias("a"), "b")
+    met = members.groupBy("text_key").agg(F.sum(F.col("n") - 1).alias("met"))
+    ranked = members.join(met, "text_key").select("bucket", "text_key", "size", "met")
+    leader = F.max_by(F.struct(F.col("text_key").alias("b"), F.col("size").alias("other_size")), F.struct("met", "text_key"))
+    first = written(ranked.groupBy("bucket").agg(leader.alias("x")).select("bucket", "x.*"), "leaders")
+    pairs = members.join(first, "bucket").where((F.col("text_key") != F.col("b")) & fits).select(F.col("text_key").alias("a"), "b")
     links = written(_verified(written(pairs.distinct(), "pairs"), wanted, least), "links")
-    led = first.select("bucket", F.col("b").alias("text_key"))
     labels = components(links)
-    while True:
-        of = members.join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
-        sizes = of.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        open_buckets = written(sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1").select("bucket", F.col("most.component").alias("largest")), "open-buckets")
-        if open_buckets.isEmpty():
-            break
-        of = written(of.join(open_buckets, "bucket"), "open-members")
-        waiting = of.where("component <> largest").join(led, ["bucket", "text_key"], "left_anti")
-        row = F.struct(F.col("text_key").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("b_component"))
-        now = written(waiting.groupBy("bucket", F.pmod(F.xxhash64("text_key"), F.lit(leaders)).alias("turn")).agg(F.min(row).alias("x")).select("bucket", "x.*"), "leaders")
-        if now.isEmpty():
-            break
-        pairs = of.join(now, "bucket").where((F.col("component") != F.col("b_component")) & fits).select(F.least("text_key", "b").alias("a"), F.greatest("text_key", "b").alias("b"))
-        links = written(links.union(_verified(written(pairs.distinct(), "pairs"), wanted, least)), "links")
-        led = led.union(now.select("bucket", F.col("b").alias("text_key")))
-        labels = components(links)
+
+    of = members.join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
+    of = written(of.select("bucket", "band", "text_key", "size", "component"), "bucket-components")
+    sizes = of.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1").select("bucket", F.col("most.component").alias("largest"))
+    unresolved = of.join(written(several, "open-buckets"), "bucket")
+    marked = written(unresolved.join(signed.groupBy("text_key").agg(F.first("planes").alias("planes")), "text_key"), "open-members")
+    words, agree = agreement("planes", "other_planes")
+    other = marked.where("component <> largest").select("bucket", F.col("text_key").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other_component"), F.col("planes").alias("other_planes"))
+    # both outside the largest component: one of the two orders is enough
+    once = (F.col("component") == F.col("largest")) | (F.col("text_key") < F.col("b"))
+    apart = (F.col("component") != F.col("other_component")) & once & fits
+    near = marked.join(other, "bucket").where(apart & F.expr(f"{agree} >= {LEAST_AGREEMENT}") & F.expr(first_shared(words, "band")))
+    more = written(near.select(F.col("text_key").alias("a"), "b"), "pairs")
+    if not more.isEmpty():
+        labels = components(written(links.union(_verified(more, wanted, least)), "links"))
     whole = kinds.select("text_key", "first_id").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
     lowest = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
     by_key = written(whole.join(lowest, "component").select("text_key", "class_id"), "classes")
