@@ -234,10 +234,10 @@ def web_target(target: Col, ports: Col) -> Column:
 
 
 def is_local_target(target: Col) -> Column:
-    t = F.lower(F.trim(_c(target)))
+    t = _c(target)
     second = F.try_to_number(F.split_part(t, F.lit("."), F.lit(2)), F.lit("999"))
     return F.coalesce(
-        t.isin("localhost", "::1", "0.0.0.0") | F.startswith(t, F.lit("127.")) | F.startswith(t, F.lit("192.168.")) | F.startswith(t, F.lit("10."))
+        t.isin("localhost", "127.0.0.1", "::1") | F.startswith(t, F.lit("127.")) | F.startswith(t, F.lit("192.168.")) | F.startswith(t, F.lit("10."))
         | (F.startswith(t, F.lit("172.")) & second.between(16, 31)),
         F.lit(False),
     )
@@ -266,9 +266,9 @@ def platform_of(system: Col, verbose: Col) -> Column:
 def service_and_port(affected: Col) -> Column:
     """The service and port that a text such as "Port 22 — ssh" or "Operating system: X" names."""
     a = F.coalesce(_c(affected), F.lit(""))
-    port = F.nullif(F.regexp_extract(a, r"^Port (\d+) — (\S+)", 1), F.lit(""))
-    service = F.nullif(F.regexp_extract(a, r"^Port (\d+) — (\S+)", 2), F.lit(""))
-    system = F.when(F.startswith(a, F.lit("Operating system: ")), F.substring(a, F.lit(19), F.length(a)))
+    port = F.nullif(F.regexp_extract(a, r"(?U)^Port\s+(\d+)\s+—\s+(\S+)", 1), F.lit(""))
+    service = F.nullif(F.regexp_extract(a, r"(?U)^Port\s+(\d+)\s+—\s+(\S+)", 2), F.lit(""))
+    system = F.when(F.startswith(a, F.lit("Operating system:")), F.nullif(F.trim(F.substring(a, F.lit(18), F.length(a))), F.lit("")))
     return F.struct(F.coalesce(service, system).alias("service"), port.alias("port"))
 
 

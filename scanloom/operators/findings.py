@@ -48,7 +48,7 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 def host_os_rows(systems: DataFrame) -> DataFrame:
     """systems: target, scan_id, source_no, pos, cpe, os_name, highest_cvss, cve_ids, description, remediation_links. One row for each product string, the first source's."""
     one = first_wins(systems, [*KEYS, "cpe"], [F.col("source_no"), F.col("pos")])
-    return _rows(one, finding_key=F.concat(F.lit("os:"), key_part("os_name")), source=F.lit("host_os"), affected=F.concat(F.lit("Operating system: "), F.col("os_name")),
+    return _rows(one, finding_key=F.concat(F.lit("os:"), key_part("os_name", "this_device")), source=F.lit("host_os"), affected=F.concat(F.lit("Operating system: "), F.coalesce(F.nullif(F.col("os_name"), F.lit("")), F.lit("this device"))),
                  cvss=F.col("highest_cvss"), severity=severity_bucket("highest_cvss"), cve_ids=F.col("cve_ids"), description=F.col("description"), remediation_refs=F.col("remediation_links"))
 
 
@@ -64,8 +64,10 @@ def service_rows(services: DataFrame) -> DataFrame:
     merged = first_wins(with_port.withColumn("script_findings", scripts), [*KEYS, "port"], order)
     rows = merged.unionByName(services.where("port is null"))
     severity = F.when(default_credentials(), "critical").otherwise(severity_bucket("highest_cvss"))
-    key = F.concat(F.lit("net:"), F.coalesce(F.col("port").cast("string"), F.lit("unknown")), F.lit("/"), key_part("protocol"), F.lit(":"), key_part("service"))
-    affected = F.concat(F.lit("Port "), F.coalesce(F.col("port").cast("string"), F.lit("unknown")), F.lit(" — "), F.coalesce("service", F.lit("unknown")))
+    port = F.coalesce(F.col("port").cast("string"), F.lit("None"))
+    key = F.concat(F.lit("net:"), port, F.lit("/"), key_part("protocol", "tcp"), F.lit(":"), key_part("service"))
+    named = [F.nullif(F.col(c), F.lit("")) for c in ("product", "version") if c in rows.columns]
+    affected = F.trim(F.concat_ws(" ", F.concat(F.lit("Port "), port, F.lit(" — "), F.coalesce("service", F.lit(""))), *named))
     return _rows(rows, finding_key=key, source=F.col("source"), affected=affected, cpe=F.col("cpe"), version=F.col("version"), port=F.col("port"), service=F.col("service"),
                  cvss=F.col("highest_cvss"), severity=severity, cve_ids=F.col("cve_ids"), description=F.col("description"), remediation_refs=F.col("remediation_links"), script_findings=F.col("script_findings"))
 
@@ -73,41 +75,43 @@ def service_rows(services: DataFrame) -> DataFrame:
 def package_rows(packages: DataFrame) -> DataFrame:
     """packages: target, scan_id, pos, package, version, cve_id, severity (upper case), fixed_version, description. A row for each package and version.
 
-    Ids and fixed versions are collected in order without repeats; the highest score (the first of equals) gives severity and description, an empty description keeping the one before.
+    Ids and fixed versions are collected in order without repeats; each row that raises the score gives severity and description, an empty description keeping the one before.
     """
-    p = packages.withColumn("cvss", filesystem_cvss("severity"))
+    before = W.partitionBy(*KEYS, "package", "version").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    p = packages.withColumn("cvss", filesystem_cvss(F.upper("severity")))
+    p = p.withColumn("raises", F.coalesce(F.col("cvss") > F.max("cvss").over(before), F.lit(True)))
     ordered = lambda c: F.array_distinct(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("x"))))), lambda s: s["x"]))
     said = F.coalesce(F.col("description"), F.lit("")) != ""
     agg = p.groupBy(*KEYS, "package", "version").agg(
         F.min("pos").alias("pos"), F.max("cvss").alias("cvss"), ordered("cve_id").alias("cve_ids"), ordered("fixed_version").alias("remediation_refs"),
-        F.coalesce(F.max_by("description", F.when(said, F.struct("cvss", -F.col("pos")))), F.lit("")).alias("description"),
+        F.coalesce(F.max_by("description", F.when(F.col("raises") & said, F.col("pos"))), F.lit("")).alias("description"),
     )
-    return _rows(agg, finding_key=F.concat(F.lit("pkg:"), key_part("package")), source=F.lit("filesystem"), affected=F.concat(F.lit("Package: "), F.col("package"), F.lit(" "), F.col("version")),
+    return _rows(agg, finding_key=F.concat(F.lit("pkg:"), key_part("package")), source=F.lit("filesystem"), affected=F.trim(F.concat(F.lit("Package: "), F.col("package"), F.lit(" "), F.coalesce("version", F.lit("")))),
                  version=F.col("version"), cvss=F.col("cvss"), severity=severity_bucket("cvss"), cve_ids=F.col("cve_ids"), description=F.col("description"), remediation_refs=F.col("remediation_refs"))
 
 
 def audit_rows(tests: DataFrame) -> DataFrame:
     """tests: target, scan_id, pos, test_id, severity, description, solution. No merging: a key may stand twice."""
-    cvss = host_audit_cvss("severity")
+    cvss = host_audit_cvss(F.upper("severity"))
     refs = F.array_compact(F.array(F.nullif(F.col("solution"), F.lit(""))))
-    return _rows(tests, finding_key=F.concat(F.lit("audit:"), key_part("test_id")), source=F.lit("host_audit"), affected=F.concat(F.lit("System check: "), F.col("test_id")),
+    return _rows(tests, finding_key=F.concat(F.lit("audit:"), key_part("test_id")), source=F.lit("host_audit"), affected=F.concat(F.lit("Host setting: "), F.col("test_id")),
                  cvss=cvss, severity=severity_bucket(cvss), cve_ids=F.array(), description=F.col("description"), remediation_refs=refs)
 
 
 def malware_rows(hits: DataFrame) -> DataFrame:
     """hits: target, scan_id, pos, path, sha256, signature, severity, engine."""
-    cvss = malware_cvss("severity")
-    key = F.concat(F.lit("mal:"), F.coalesce(F.nullif(F.col("sha256"), F.lit("")), F.col("path")), F.lit(":"), F.col("signature"))
-    said = F.concat(F.coalesce(F.nullif(F.col("engine"), F.lit("")), F.lit("ClamAV")), F.lit(" detected "), F.col("signature"))
+    cvss = malware_cvss(F.upper("severity"))
+    key = F.concat(F.lit("mal:"), key_part(F.coalesce(F.nullif(F.col("sha256"), F.lit("")), F.col("path"))), F.lit(":"), key_part("signature"))
+    said = F.concat(F.coalesce("engine", F.lit("ClamAV")), F.lit(" signature match: "), F.coalesce("signature", F.lit("")))
     return _rows(hits, finding_key=key, source=F.lit("malware"), affected=F.concat(F.lit("File: "), F.col("path")), cvss=cvss, severity=severity_bucket(cvss), cve_ids=F.array(), description=said, remediation_refs=F.array())
 
 
 def web_rows(hits: DataFrame) -> DataFrame:
     """hits: target, scan_id, pos, template_id, name, host, matched_at, severity, cvss_score, cve_ids, description, references."""
-    cvss = web_cvss("cvss_score", "severity")
-    at = F.coalesce(F.nullif(F.col("matched_at"), F.lit("")), F.col("host"))
-    return _rows(hits, finding_key=F.concat(F.lit("web:"), F.col("template_id"), F.lit(":"), at), source=F.lit("web"), affected=F.concat(F.col("name"), F.lit(" on "), at),
-                 cvss=cvss, severity=severity_bucket(cvss), cve_ids=F.col("cve_ids"), description=F.col("description"), remediation_refs=F.slice("references", 1, 3))
+    cvss = web_cvss("cvss_score", F.upper("severity"))
+    at = F.coalesce(F.nullif(F.col("matched_at"), F.lit("")), F.col("host"), F.lit(""))
+    return _rows(hits, finding_key=F.concat(F.lit("web:"), key_part("template_id"), F.lit(":"), key_part(at, "")), source=F.lit("web"), affected=F.trim(F.concat(F.col("name"), F.lit(" on "), at)),
+                 cvss=cvss, severity=severity_bucket(cvss), cve_ids=F.col("cve_ids"), description=F.col("description"), remediation_refs=F.col("references"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -195,11 +195,11 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
 
 
 def rule_documents(rules: DataFrame, most: int = 2000) -> DataFrame:
-    """rule_id, text of rendered rules: the parts that are there, a fix cut at `most` characters. rules: rule_id, group_title, title, description, rationale, severity, refs, fix_a, fix_b."""
+    """rule_id, text of rendered rules: the parts that are there, a fix cut at `most` characters. rules: rule_id, title, description, rationale, severity, refs, fix_a, fix_b."""
     fix = F.coalesce(F.nullif(F.trim("fix_a"), F.lit("")), F.nullif(F.trim("fix_b"), F.lit("")))
-    cut = F.when(F.length(fix) > most, F.concat(F.substring(fix, 1, most), F.lit("...[truncated]"))).otherwise(fix)
+    cut = F.when(F.length(fix) > most, F.concat(F.substring(fix, 1, most), F.lit(" ...[truncated]"))).otherwise(fix)
     named = lambda label, c: F.concat(F.lit(f"{label}: "), c)
-    return rules.select("rule_id", F.concat_ws("\n\n", named("Rule", F.col("rule_id")), named("Group", F.col("group_title")), named("Title", F.col("title")), named("Description", F.col("description")), named("Rationale", F.col("rationale")), named("Severity", F.col("severity")), named("References", F.col("refs")), named("Fix", cut)).alias("text"))
+    return rules.select("rule_id", F.concat_ws("\n\n", named("Rule", F.col("rule_id")), named("Title", F.col("title")), named("Description", F.col("description")), named("Rationale", F.col("rationale")), named("Severity", F.col("severity")), named("References", F.col("refs")), cut).alias("text"))
 
 
 #: Folders that a malware scan leaves out; fixed values.

@@ -96,6 +96,7 @@ def test_findings_builder(spark):
     web = got["net:80/tcp:http1"]
     assert web["severity"] == "critical" and web["cvss"] == 5.0 and web["script_findings"][0]["id"] == "default-accounts-x"
     assert got["pkg:curl7"]["cve_ids"] == ["CVE-1", "CVE-2"] and got["pkg:curl7"]["cvss"] == 7.5 and got["pkg:curl7"]["remediation_refs"] == ["8", "9"]
+    assert got["pkg:curl7"]["description"] == "first" and web["affected"] == "Port 80 — http 1"
     assert sorted(r["ref"] for r in got.values()) == list(range(5))
     one = findings.one_per_key(table)
     assert one.where("finding_key = 'pkg:curl'").count() == 1 and one.where("finding_key = 'pkg:curl'").first()["cvss"] == 7.5
