@@ -53,13 +53,13 @@ def top_k_for_each(rows: DataFrame, queries: DataFrame, k: int = 8, id_col: str
 
     Queries go in blocks of a fixed size, so that what is broadcast has a bound; a row is scored against a block as it is read, and each task keeps k rows a query before any shuffle.
     """
-    vectors = queries.select("query_id", "query_vector").collect()
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
-    for at in range(0, len(vectors), QUERY_BLOCK):
-        part = _block(rows, vectors[at : at + QUERY_BLOCK], k, id_col)
+    for at in range(n):
+        # about QUERY_BLOCK vectors come to the driver at a time
+        vectors = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == at).select("query_id", "query_vector").collect()
+        part = _block(rows, vectors, k, id_col)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = _block(rows.limit(0), [], k, id_col)
     return out
 
 
