@@ -36,14 +36,14 @@ from .shingles import WordHashes, shingle_hashes, words_of
 MOST_LABELLED = 20_000
 MOST_TERMS = 4096
 MOST_EXAMPLES = 4096
-#: A term tells the classes apart if its chi-square is above this (p = 0.001).
-LEAST_CHI = 10.83
+#: A term tells the classes apart if its chi-square is above this (p about 6e-7, so that few of a million candidates pass by chance).
+LEAST_CHI = 25.0
 NEIGHBOURS = 15
 BLOCK = 64
 STARTS = (4, 5)
 LEVELS = (1, 2, 4, 8)
-#: Distinct words after which a task hands on its counts.
-MOST_WORDS = 300_000
+#: Distinct words after which a task hands on its counts, or forgets what it knows of words; distinct vectors whose neighbours it remembers.
+MOST_WORDS, MOST_VECTORS = 600_000, 100_000
 
 
 class Bases(dict):
@@ -60,7 +60,7 @@ class Bases(dict):
         return found
 
     def counts(self, text: str | None) -> Counter:
-        return Counter(chain.from_iterable(map(self.__getitem__, words_of(text))))
+        return Counter(chain.from_iterable(filter(None, map(self.__getitem__, words_of(text)))))
 
 
 def terms_of(counts: Counter) -> set[str]:
@@ -134,18 +134,28 @@ class Index:
         if not self.n or not len(terms):
             return []
         bounds = weights @ self.most[terms]
+        order = np.argsort(-bounds, kind="stable")
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-12:
+        at, step = 0, 2
+        while at < self.blocks:
+            low = best[-1][0] - 1e-9 if len(best) == k else 0.0
+            blocks = order[at : at + step]
+            blocks = blocks[bounds[blocks] > low]
+            if not len(blocks):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                a, b = self.starts[t * self.blocks + block], self.starts[t * self.blocks + block + 1]
-                if b > a:
-                    scores[self.owners[a:b] - block * BLOCK] += w * self.weights[a:b]
-            found = np.flatnonzero(scores > 0)
-            best += zip(np.round(scores[found], 12).tolist(), (found + block * BLOCK).tolist())
+            cells = (terms[:, None] * self.blocks + blocks).ravel()
+            first = self.starts[cells]
+            sizes = self.starts[cells + 1] - first
+            ends = np.cumsum(sizes)
+            postings = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
+            scores = np.bincount(self.owners[postings], self.weights[postings] * np.repeat(np.repeat(weights, len(blocks)), sizes), self.n)
+            found = np.flatnonzero(scores > max(low, 0.0))
+            if len(found) > k:
+                cut = np.partition(scores[found], -k)[-k]
+                found = found[scores[found] >= cut - 1e-9]
+            best += zip(np.round(scores[found], 12).tolist(), found.tolist())
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+            at, step = at + step, 2 * step
         return best
 
 
@@ -168,6 +178,7 @@ class Model:
             base, _, level = term.rpartition("*")
             self.levels.setdefault(base, []).append((int(level), at))
         self.bases: Bases | None = None
+        self.known: dict[tuple, list[tuple[float, int]]] = {}
         self.ids: list = []
         self.labels = np.zeros(0)
         self.index = Index([], len(terms))
@@ -176,23 +187,33 @@ class Model:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if self.bases is None:
             self.bases = Bases(set(self.levels))
-        found = sorted((at, 1 + math.log(c)) for x, c in self.bases.counts(text).items() for n, at in self.levels[x] if c >= n)
+        counts = self.bases.counts(text)
+        if not counts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        found = sorted((at, 1 + math.log(c)) for x, c in counts.items() for n, at in self.levels[x] if c >= n)
         at = np.array([x for x, _ in found], np.int64)
-        weights = np.array([w for _, w in found]) * self.idf[at] if found else np.zeros(0)
+        weights = np.array([w for _, w in found]) * self.idf[at]
         return at, weights / np.linalg.norm(weights) if len(at) else weights
 
-    def raw(self, text: str | None) -> tuple[float | None, list[tuple[float, int]]]:
-        near = self.index.nearest(*self.vector(text), self.k)
-        if not near:
-            return None, near
+    def near(self, terms: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
+        """The nearest examples; many texts have one of few vectors, so a task remembers them."""
+        key = (terms.tobytes(), weights.tobytes())
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= MOST_VECTORS:
+                self.known.clear()
+            self.known[key] = found = self.index.nearest(terms, weights, self.k)
+        return found
+
+    def voted(self, near: list[tuple[float, int]]) -> float:
         votes = [(self.stand_for[int(self.labels[i])] / (1 - min(1.0, c) + 0.05), self.labels[i]) for c, i in near]
-        return sum(v * y for v, y in votes) / sum(v for v, _ in votes), near
+        return sum(v * y for v, y in votes) / sum(v for v, _ in votes)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        raw, near = self.raw(text)
-        if raw is None or not len(self.steps[0]):
+        near = self.near(*self.vector(text))
+        if not near or not len(self.steps[0]):
             return self.none, near
-        return float(self.steps[1][max(0, np.searchsorted(self.steps[0], raw, side="right") - 1)]), near
+        return float(self.steps[1][max(0, np.searchsorted(self.steps[0], self.voted(near), side="right") - 1)]), near
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, most_terms: int = MOST_TERMS, most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, least_chi: float = LEAST_CHI) -> Model:
@@ -234,17 +255,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model.index = Index([(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in examples], len(terms))
     raws, none = [], [0.0, 0.0]
     for r in rest:
-        near = model.index.nearest(np.array(r["terms"], np.int64), np.array(r["weights"]), k)
+        near = model.near(np.array(r["terms"], np.int64), np.array(r["weights"], float))
         w = stand_for[int(r["label"])]
         if near:
-            votes = [(stand_for[int(model.labels[i])] / (1 - min(1.0, c) + 0.05), model.labels[i]) for c, i in near]
-            raws.append((sum(v * y for v, y in votes) / sum(v for v, _ in votes), r["label"], w))
+            raws.append((model.voted(near), r["label"], w))
         else:
             none[0] += w * r["label"]
             none[1] += w
     if raws:
         model.steps = isotonic(*(np.array(c, float) for c in zip(*raws)))
     model.none = none[0] / none[1] if none[1] else 0.0
+    model.known = {}
     return model
 
 
