@@ -200,17 +200,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     of = written(of.select("bucket", "band", "text_key", "size", "component"), "bucket-components")
     sizes = of.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1").select("bucket", F.col("most.component").alias("largest"))
+    several = several.join(first.select("bucket", F.col("b").alias("leader")), "bucket")
     unresolved = of.join(written(several, "open-buckets"), "bucket")
     marked = written(unresolved.join(signed.groupBy("text_key").agg(F.first("planes").alias("planes")), "text_key"), "open-members")
     words, agree = agreement("planes", "other_planes")
     other = marked.where("component <> largest").select("bucket", F.col("text_key").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other_component"), F.col("planes").alias("other_planes"))
     # both outside the largest component: one of the two orders is enough
     once = (F.col("component") == F.col("largest")) | (F.col("text_key") < F.col("b"))
-    apart = (F.col("component") != F.col("other_component")) & once & fits
+    # pairs with the leader have been verified
+    new = (F.col("text_key") != F.col("leader")) & (F.col("b") != F.col("leader"))
+    apart = (F.col("component") != F.col("other_component")) & once & new & fits
     near = marked.join(other, "bucket").where(apart & F.expr(f"{agree} >= {LEAST_AGREEMENT}") & F.expr(first_shared(words, "band")))
     more = written(near.select(F.col("text_key").alias("a"), "b"), "pairs")
     if not more.isEmpty():
-        labels = components(written(links.union(_verified(more, wanted, least)), "links"))
+        # components grow by links between them: those are few, whatever the number of links within
+        part = labels.select(F.col("node"), "component")
+        of_side = lambda x: part.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part"))
+        found = _verified(more, wanted, least).join(of_side("a"), "a", "left").join(of_side("b"), "b", "left")
+        between = written(found.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")).distinct(), "links")
+        joined = components(between)
+        moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        alone = joined.join(labels.select("node"), "node", "left_anti")
+        labels = written(moved.unionByName(alone), "labels")
     whole = kinds.select("text_key", "first_id").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
     lowest = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
     by_key = written(whole.join(lowest, "component").select("text_key", "class_id"), "classes")
