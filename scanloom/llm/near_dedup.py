@@ -89,23 +89,16 @@ def planes(signature: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=2, bitorder="little").view("<i8").reshape(len(signature), -1)
 
 
-def agreement(a: str, b: str) -> tuple[list[str], str]:
-    """SQL for the words of slots that differ between two arrays of planes, and for the share of slots that agree beyond chance."""
+def agreement(a: str, b: str) -> str:
+    """SQL for the share of slots that agree beyond chance, from two arrays of planes."""
     words = ["(" + " | ".join(f"({a}[{p * WORDS + w}] ^ {b}[{p * WORDS + w}])" for p in range(PLANES)) + ")" for w in range(WORDS)]
     equal = f"({SLOTS} - " + " - ".join(f"bit_count({w})" for w in words) + f") / {float(SLOTS)}"
-    return words, f"(({equal}) - {2.0**-PLANES}) / {1 - 2.0**-PLANES}"
+    return f"(({equal}) - {2.0**-PLANES}) / {1 - 2.0**-PLANES}"
 
 
-def first_shared(words: list[str], band: str) -> str:
-    """SQL: no band before this one is equal in all its slots."""
-    mark = sum(1 << ROWS * i for i in range(BANDS_A_WORD))
-    tests = []
-    for w, x in enumerate(words[: (BANDS - 1) // BANDS_A_WORD + 1]):
-        differs = "(" + " | ".join(f"shiftrightunsigned({x}, {i})" for i in range(ROWS)) + ")"
-        equal = f"(~{differs} & {mark}L)"
-        before = f"case when {band} >= {(w + 1) * BANDS_A_WORD} then {mark}L when {band} < {w * BANDS_A_WORD} then 0L else shiftleft(1L, cast({ROWS} * ({band} - {w * BANDS_A_WORD}) as int)) - 1 end"
-        tests.append(f"({equal} & {before}) = 0")
-    return " and ".join(tests)
+def first_shared(a: str, b: str, band: str) -> str:
+    """SQL: no band before this one has equal hashes in two arrays of them. The planes cannot tell: their 4 bits may agree by chance."""
+    return "not (" + " or ".join(f"({band} > {i} and {a}[{i}] = {b}[{i}])" for i in range(BANDS - 1)) + ")"
 
 
 def banded(signature: np.ndarray, bands: int) -> np.ndarray:
@@ -202,15 +195,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1").select("bucket", F.col("most.component").alias("largest"))
     several = several.join(first.select("bucket", F.col("b").alias("leader")), "bucket")
     unresolved = of.join(written(several, "open-buckets"), "bucket")
-    marked = written(unresolved.join(signed.groupBy("text_key").agg(F.first("planes").alias("planes")), "text_key"), "open-members")
-    words, agree = agreement("planes", "other_planes")
-    other = marked.where("component <> largest").select("bucket", F.col("text_key").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other_component"), F.col("planes").alias("other_planes"))
+    marked = written(unresolved.join(signed.groupBy("text_key").agg(F.first("planes").alias("planes"), F.first("bands").alias("bands")), "text_key"), "open-members")
+    agree = agreement("planes", "other_planes")
+    other = marked.where("component <> largest").select("bucket", F.col("text_key").alias("b"), F.col("size").alias("other_size"), F.col("component").alias("other_component"), F.col("planes").alias("other_planes"), F.col("bands").alias("other_bands"))
     # both outside the largest component: one of the two orders is enough
     once = (F.col("component") == F.col("largest")) | (F.col("text_key") < F.col("b"))
     # pairs with the leader have been verified
     new = (F.col("text_key") != F.col("leader")) & (F.col("b") != F.col("leader"))
     apart = (F.col("component") != F.col("other_component")) & once & new & fits
-    near = marked.join(other, "bucket").where(apart & F.expr(f"{agree} >= {LEAST_AGREEMENT}") & F.expr(first_shared(words, "band")))
+    near = marked.join(other, "bucket").where(apart & F.expr(f"{agree} >= {LEAST_AGREEMENT}") & F.expr(first_shared("bands", "other_bands", "band")))
     more = written(near.select(F.col("text_key").alias("a"), "b"), "pairs")
     if not more.isEmpty():
         # components grow by links between them: those are few, whatever the number of links within
