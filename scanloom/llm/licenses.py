@@ -2,14 +2,20 @@
 
 A unit is a whole document without its copyright lines, or one of its lines. A unit is normalised (case,
 punctuation, white space, equivalent spellings) and its digest is hash-joined with the digests of known
-licence texts and notices, whose number is fixed, so that they may be broadcast. Units that are shorter or longer than every
-known text are passed over before hashing, which loses nothing.
+licence texts and notices, whose number is fixed, so that they may be broadcast. Units whose length is no
+known text's are passed over before hashing, which loses nothing.
+
+Whole licences are those of license_texts, besides the MIT and ISC texts of KNOWN: as wrapped there or with a line for each
+paragraph, and without what follows the end of the terms. The query's SQL holds KNOWN only.
 
 Null and empty texts hold no unit. Repeated rows of an id add up. Rows without an id are reported under null. Other columns are left out.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +63,10 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
 
+#: Whole licences, a file each, named by licence and, after two underscores, by form.
+TEXTS = Path(__file__).parent / "license_texts"
+END = "END OF TERMS AND CONDITIONS"
+
 #: ASCII characters that are neither letters nor digits.
 MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 COPYRIGHT = r"(?i)^\s*(copyright\b|\(c\)|©|all rights reserved)"
@@ -74,16 +84,27 @@ def without_copyright(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(COPYRIGHT)), "\n")
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of TEXTS, in the forms that a document may have."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        for form in (text, text[: text.index(END) + len(END)], text[: text.index(END)]) if END in text else (text,):
+            flowing = "\n\n".join(" ".join(x.split()) for x in re.split(r"\n\s*\n", form))
+            out += [(path.stem.split("__")[0], x) for x in (form, flowing)]
+    return out
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
     """license_id, digest, chars."""
     rows = spark.createDataFrame(known, "license_id string, text string").withColumn("n", normalised(without_copyright(F.col("text"))))
     return rows.select("license_id", F.sha2("n", 256).alias("digest"), F.length("n").alias("chars")).distinct()
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license_id, n_lines (lines that are a known text), whole (the document is one). Documents without any are left out."""
-    digests = known_digests(docs.sparkSession, known)
-    low, high = digests.agg(F.min("chars"), F.max("chars")).first()
+def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, license_id, n_lines (lines that are a known text), whole (the document is one). Documents without any are left out. known: KNOWN and whole_texts() if None."""
+    digests = known_digests(docs.sparkSession, KNOWN + whole_texts() if known is None else known)
+    lengths = [r[0] for r in digests.select("chars").distinct().collect()]
     text = F.col("text")
     units = F.concat(
         F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))),
@@ -91,7 +112,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "d
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = rows.select("doc_id", F.explode(units).alias("u")).where(F.length("u.unit") >= 1)
-    rows = rows.select("doc_id", "u.whole", normalised(F.col("u.unit")).alias("n")).where(F.length("n").between(low, high))
+    rows = rows.select("doc_id", "u.whole", normalised(F.col("u.unit")).alias("n")).where(F.length("n").isin(lengths))
     # the known texts are a fixed list, far below any broadcast limit
     hits = rows.select("doc_id", "whole", F.sha2("n", 256).alias("digest")).join(F.broadcast(digests.select("license_id", "digest")), "digest")
     return hits.groupBy("doc_id", "license_id").agg(F.count_if(~F.col("whole")).alias("n_lines"), F.bool_or("whole").alias("whole"))

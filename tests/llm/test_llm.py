@@ -316,6 +316,20 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def test_whole_licenses(spark):
+    """Licences longer than any of KNOWN, as they stand, in upper case with a copyright line, and with a line for each paragraph."""
+    docs, want = [], {}
+    for i, path in enumerate(sorted(licenses.TEXTS.glob("*.txt"))):
+        text = path.read_text(encoding="utf-8")
+        flowing = "\n\n".join(" ".join(x.split()) for x in text.replace("\f", "").split("\n\n"))
+        for j, form in enumerate((text, "Copyright (c) 2020 Me\n\n" + text.upper(), flowing, text.partition("END OF TERMS AND CONDITIONS")[0], text[: len(text) // 2], text + "and more")):
+            docs.append((10 * i + j, form))
+            if j < 4:
+                want[(10 * i + j, path.stem.split("__")[0])] = (0, True)
+    got = {(r["doc_id"], r["license_id"]): (r["n_lines"], r["whole"]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == want and {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {k for _, k in want}
+
+
 # 1
 
 def test_store_keeps_rows_and_commits_once(spark, odd, tmp_path):
