@@ -11,7 +11,8 @@ Scoring. A text is a vector of (1 + log count) x inverse document frequency over
 examples are cut into blocks with each term's largest weight in it; blocks are read in the order of their upper
 bounds until the k-th best cosine is out of reach of the rest, so the k nearest are exact (ties: the lower
 example first). Their votes, weighted by 1 / (distance + 0.05) and by what the sample did to the class shares,
-give a raw score, which isotonic regression on the calibration rows turns into a share of toxic texts. Texts
+give a raw score, which isotonic regression on the calibration rows, weighted to the class shares of all labelled
+rows, turns into a share of toxic texts. Texts
 with no example in reach get the share among such calibration rows.
 
 Null and empty texts have no term and get that share as well. Rows are independent. If an id has several
@@ -91,8 +92,8 @@ def document_frequencies(rows: DataFrame, known: set[str] | None = None) -> Data
     return counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, dict[int, float]]:
-    """(label, id, text) of the sample, and by class how many labelled rows stand for each sampled one."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, dict[int, float], dict[int, int]]:
+    """(label, id, text) of the sample, and by class how many labelled rows stand for each sampled one and how many there are."""
     marks = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("label")).where("id is not null")
     marks = marks.withColumn("turn", F.xxhash64("id"))
     sizes = {int(r[0]): r[1] for r in marks.groupBy("label").count().collect()}
@@ -110,7 +111,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         return pa.array([int(x.min().astype(np.int64)) if len(x) else 0 for x in found], pa.int64())
 
     one = texts.withColumn("lowest", lowest("text")).groupBy("label", "lowest").agg(F.min_by(F.struct("id", "text"), "id").alias("x"))
-    return written(one.select("label", "x.id", "x.text"), "toxicity-sample"), {c: sizes.get(c, 0) / max(1, share[c]) for c in (0, 1)}
+    return written(one.select("label", "x.id", "x.text"), "toxicity-sample"), {c: sizes.get(c, 0) / max(1, share[c]) for c in (0, 1)}, sizes
 
 
 class Index:
@@ -218,7 +219,7 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, most_terms: int = MOST_TERMS, most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, least_chi: float = LEAST_CHI) -> Model:
     """labels: the rows to learn from (id_col, toxic). The driver holds the terms and the sample's vectors over them."""
-    sample, stand_for = labelled_sample(docs, labels, id_col, text_col, most_labelled)
+    sample, stand_for, labelled = labelled_sample(docs, labels, id_col, text_col, most_labelled)
     sizes = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     a, b, n = F.col("toxic"), F.col("other"), n0 + n1
@@ -253,10 +254,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     examples.sort(key=lambda r: (r["terms"], r["id"]))  # like examples share blocks, which tightens the bounds
     model.ids, model.labels = [r["id"] for r in examples], np.array([r["label"] for r in examples], float)
     model.index = Index([(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in examples], len(terms))
+    # the bounds and the merging of near copies leave other class shares among the rest than among the labelled rows
+    left = Counter(int(r["label"]) for r in rest)
+    weight = {c: labelled[c] / n for c, n in left.items()}
     raws, none = [], [0.0, 0.0]
     for r in rest:
         near = model.near(np.array(r["terms"], np.int64), np.array(r["weights"], float))
-        w = stand_for[int(r["label"])]
+        w = weight[int(r["label"])]
         if near:
             raws.append((model.voted(near), r["label"], w))
         else:

@@ -169,6 +169,17 @@ def test_toxicity_learns_and_handles_odd_texts(spark, odd, empty):
     assert {r[0] for r in odd.select(toxicity.scored(odd, none)["score"]).collect()} == {0.0}
 
 
+def test_toxicity_calibrates_to_the_labelled_shares(spark):
+    """Four fifths of the toxic rows become examples, but few of the others: the score still is the share among labelled rows."""
+    rng = random.Random(4)
+    kinds = [("vile", 1)] * 60 + [("vile", 0)] * 20 + [("calm", 1)] * 40 + [("calm", 0)] * 280
+    rng.shuffle(kinds)
+    df = spark.createDataFrame([(i, " ".join([word] + words(rng, 20, 1_000_000))) for i, (word, _) in enumerate(kinds)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, toxic) for i, (_, toxic) in enumerate(kinds)], "doc_id bigint, toxic int")
+    model = toxicity.learn(df, labels, most_examples=160)
+    assert abs(model.score("vile")[0] - 0.75) < 0.12 and abs(model.score("calm")[0] - 0.125) < 0.06
+
+
 # 6
 
 def by_hand(docs):
