@@ -1,134 +1,117 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Learning. At most `most_labelled` labelled rows are taken, half of them toxic if there are enough, in the
-order of a hash of the id: that sample is the only bounded part. Of near copies in it (equal in label and in the
-lowest shingle hash) one stays. A term is a word, or a word's start of four or five letters, that a text holds at
-least 1, 2, 4 or 8 times. The sample gives the terms (the `most_terms` that tell the classes apart best by
-chi-square) and the examples (at most `most_examples`, the others calibrate). Document frequencies for the
-weights come from all documents.
-
-Scoring. A text is a vector of (1 + log count) x inverse document frequency over the terms. Postings of the
-examples are cut into blocks with each term's largest weight in it; blocks are read in the order of their upper
-bounds until the k-th best cosine is out of reach of the rest, so the k nearest are exact (ties: the lower
-example first). Their votes, weighted by 1 / (distance + 0.05) and by what the sample did to the class shares,
-give a raw score, which isotonic regression on the calibration rows, weighted to the class shares of all labelled
-rows, turns into a share of toxic texts. Texts
-with no example in reach get the share among such calibration rows.
-
-Null and empty texts have no term and get that share as well. Rows are independent. If an id has several
-labels, toxic wins; labels of rows without an id or a label are left out. Without labelled rows every score is 0.
+Learning. At most `most_labelled` labelled rows are taken, half of them toxic if there are enough, in the order of a
+hash of the id; equal texts of a label (case aside) stand once. Of these rows every fifth calibrates, and of the
+others at most `most_examples`, half of each class, are examples. These two numbers are the only bounds. The terms are
+all words that an example holds. A term weighs in a text (1 + log count) x inverse document frequency x relevance:
+document frequencies are counted over all documents, and the relevance, between `floor` and 1, is how much of the difference of
+the term's shares in the two classes of the sampled rows (without the calibrating ones) lies beyond chance, by the
+sum of the shares. Plain TF-IDF (relevance 1) is what most_relevant=False gives; README has both accuracies.
+
+Scoring. Postings of the examples' unit vectors are cut into blocks with each term's largest weight in it. A text's
+upper bound for each block follows from those; the blocks of the highest bounds are scored first, and of the others
+those whose bound reaches the k-th best cosine so far, so the k nearest are exact (ties: the lower example first).
+Their votes, weighted by 1 / (distance + 0.05) and by the labelled rows that an example of its class stands for, give
+a raw score, which isotonic regression on the calibrating rows, weighted to the class shares of all labelled rows,
+turns into a share of toxic texts. If no row of
+a class calibrates, the vote is the score. Texts that share no term with any example get the share among such calibrating rows.
+
+Null and empty texts have no term and get that share as well. Whole texts are read, whatever their length. Rows are
+independent; only the id and the text are read, so other columns of any name do no harm. If an id has several labels,
+toxic wins; labels of rows without an id or a label are left out. Without labelled rows every score is 0.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .shingles import WordHashes, shingle_hashes, words_of
+from .shingles import words_of
 
 MOST_LABELLED = 20_000
-MOST_TERMS = 4096
-MOST_EXAMPLES = 4096
-#: A term tells the classes apart if its chi-square is above this (p about 6e-7, so that few of a million candidates pass by chance).
-LEAST_CHI = 25.0
+MOST_EXAMPLES = 2048
 NEIGHBOURS = 15
-BLOCK = 64
-STARTS = (4, 5)
-LEVELS = (1, 2, 4, 8)
-#: Distinct words after which a task hands on its counts, or forgets what it knows of words; distinct vectors whose neighbours it remembers.
-MOST_WORDS, MOST_VECTORS = 600_000, 100_000
+#: Examples of a block, and blocks that are scored before the others are held against the k-th best.
+BLOCK, FIRST_BLOCKS = 256, 1
+#: Least relevance of a term, what is added to the sum of its shares (rare terms tell little), and the standard deviations that count as chance.
+FLOOR, DAMPING, CHANCE = 0.02, 0.01, 1.0
 
 
-class Bases(dict):
-    """By word, what is counted for it: the word and its starts, or of those the known ones."""
-
-    def __init__(self, known: set[str] | None = None):
-        self.known = known
-
-    def __missing__(self, word):
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        found = (word, *(word[:n] + "-" for n in STARTS if len(word) > n))
-        self[word] = found = found if self.known is None else tuple(x for x in found if x in self.known)
-        return found
-
-    def counts(self, text: str | None) -> Counter:
-        return Counter(chain.from_iterable(filter(None, map(self.__getitem__, words_of(text)))))
-
-
-def terms_of(counts: Counter) -> set[str]:
-    return {f"{x}*{n}" for x, c in counts.items() for n in LEVELS if c >= n}
-
-
-def _flushed(batches: Iterator[pa.RecordBatch], known: set[str] | None) -> Iterator[pa.RecordBatch]:
+def _flushed(batches: Iterator[pa.RecordBatch], known: set[str]) -> Iterator[pa.RecordBatch]:
     """term, toxic rows, other rows: documents that hold the term. Column 0 is the label, column 1 the text."""
-    counts, bases = (Counter(), Counter()), Bases(None if known is None else {x.rpartition("*")[0] for x in known})
-
-    def out():
-        terms = list(counts[0].keys() | counts[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[w] for w in terms], pa.int64()) for c in counts[::-1])], ["term", "toxic", "other"])
-
+    counts = (Counter(), Counter())
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = terms_of(bases.counts(text))
-            counts[label].update(found if known is None else found & known)
-            if len(counts[0]) + len(counts[1]) > MOST_WORDS:
-                yield out()
-                counts = (Counter(), Counter())
-    yield out()
+            counts[label].update(known.intersection(words_of(text)))
+    terms = list(counts[0].keys() | counts[1].keys())
+    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[w] for w in terms], pa.int64()) for c in counts[::-1])], ["term", "toxic", "other"])
 
 
-def document_frequencies(rows: DataFrame, known: set[str] | None = None) -> DataFrame:
-    """term, toxic, other over rows (label int, text)."""
-    counts = rows.mapInArrow(lambda it: _flushed(it, known), "term string, toxic bigint, other bigint")
+def document_frequencies(rows: DataFrame, known) -> DataFrame:
+    """term, toxic, other over rows (label int, text), for the terms of a broadcast set; a task's counts are bounded by that set."""
+    counts = rows.mapInArrow(lambda it: _flushed(it, known.value), "term string, toxic bigint, other bigint")
     return counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> tuple[DataFrame, dict[int, float], dict[int, int]]:
-    """(label, id, text) of the sample, and by class how many labelled rows stand for each sampled one and how many there are."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, most_examples: int) -> tuple[DataFrame, dict[int, int]]:
+    """(label, id, text, role, turn) of the sample, role being example, calibrate or count; and by class the number of labelled documents."""
     marks = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("label")).where("id is not null")
-    marks = marks.withColumn("turn", F.xxhash64("id"))
+    marks = marks.withColumn("order", F.xxhash64("id"))
     sizes = {int(r[0]): r[1] for r in marks.groupBy("label").count().collect()}
     share = {1: min(sizes.get(1, 0), max(most // 2, most - sizes.get(0, 0)))}
     share[0] = min(sizes.get(0, 0), most - share[1])
-    picked = [marks.where(F.col("label") == c).orderBy("turn", "id").limit(share[c]) for c in (0, 1)]
-    # at most `most` rows of an id and a label, so that side may be broadcast
-    chosen = F.broadcast(picked[0].unionByName(picked[1]).select("id", "label"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").select("label", "id", "text")
-
-    @F.arrow_udf("bigint")
-    def lowest(texts: pa.Array) -> pa.Array:
-        hashes = WordHashes()
-        found = (shingle_hashes(hashes.of(x), 5) for x in texts.to_pylist())
-        return pa.array([int(x.min().astype(np.int64)) if len(x) else 0 for x in found], pa.int64())
-
-    one = texts.withColumn("lowest", lowest("text")).groupBy("label", "lowest").agg(F.min_by(F.struct("id", "text"), "id").alias("x"))
-    return written(one.select("label", "x.id", "x.text"), "toxicity-sample"), {c: sizes.get(c, 0) / max(1, share[c]) for c in (0, 1)}, sizes
+    picked = [marks.where(F.col("label") == c).orderBy("order", "id").limit(share[c]) for c in (0, 1)]
+    # a window over at most `most` ids and labels, which bounds the broadcast side too
+    chosen = picked[0].unionByName(picked[1]).withColumn("turn", F.row_number().over(W.partitionBy("label").orderBy("order", "id")))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen.select("id", "label", "turn")), "id")
+    one = texts.groupBy("label", F.sha2(F.lower("text"), 256).alias("key")).agg(F.min_by(F.struct("id", "text", "turn"), F.struct("turn", "id")).alias("x")).select("label", "x.*")
+    fifth = F.floor(F.col("turn") / 5)
+    role = F.when(F.col("turn") % 5 == 0, "calibrate").when(F.col("turn") - fifth <= most_examples // 2, "example").otherwise("count")
+    return written(one.withColumn("role", role), "toxicity-sample"), sizes
 
 
 class Index:
     """Block-max inverted index of the examples' unit vectors."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         terms = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
         weights = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         owners = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
         order = np.lexsort((owners, terms))
-        self.owners, self.weights = owners[order], weights[order]
+        self.owners, self.weights = owners[order].astype(np.int32), weights[order]
         cell = terms[order] * self.blocks + self.owners // BLOCK
-        self.starts = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).reshape(-1)
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weights)
-        self.most = self.most.reshape(n_terms, self.blocks) if self.blocks else np.zeros((n_terms, 0))
+        self.starts = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).astype(np.int32)
+        most = np.zeros(n_terms * self.blocks)
+        np.maximum.at(most, cell, self.weights)
+        # bounds are kept in 32 bits, a little too high rather than too low
+        self.most = np.nextafter(most.astype(np.float32), np.float32(np.inf), where=most > 0, out=np.zeros(len(most), np.float32)).reshape(n_terms, self.blocks)
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        cells = terms[:, None] * self.blocks + blocks
+        first = self.starts[cells]
+        sizes = self.starts[cells + 1] - first
+        full = sizes > 0
+        first, weights, sizes = first[full], np.broadcast_to(weights[:, None], sizes.shape)[full], sizes[full]
+        if not len(sizes):
+            return np.zeros(self.n)
+        ends = np.cumsum(sizes, dtype=np.int32)
+        postings = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1], dtype=np.int32)
+        return np.bincount(self.owners[postings], self.weights[postings] * np.repeat(weights, sizes), self.n)
+
+    @staticmethod
+    def _best(scores: np.ndarray, k: int) -> list[tuple[float, int]]:
+        found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
+        return sorted(zip(np.round(scores[found], 12).tolist(), found.tolist()), key=lambda x: (-x[0], x[1]))[:k]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(cosine, example), best first; only cosines above 0."""
@@ -136,147 +119,133 @@ class Index:
             return []
         bounds = weights @ self.most[terms]
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        at, step = 0, 2
-        while at < self.blocks:
-            low = best[-1][0] - 1e-9 if len(best) == k else 0.0
-            blocks = order[at : at + step]
-            blocks = blocks[bounds[blocks] > low]
-            if not len(blocks):
-                break
-            cells = (terms[:, None] * self.blocks + blocks).ravel()
-            first = self.starts[cells]
-            sizes = self.starts[cells + 1] - first
-            ends = np.cumsum(sizes)
-            postings = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
-            scores = np.bincount(self.owners[postings], self.weights[postings] * np.repeat(np.repeat(weights, len(blocks)), sizes), self.n)
-            found = np.flatnonzero(scores > max(low, 0.0))
-            if len(found) > k:
-                cut = np.partition(scores[found], -k)[-k]
-                found = found[scores[found] >= cut - 1e-9]
-            best += zip(np.round(scores[found], 12).tolist(), found.tolist())
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-            at, step = at + step, 2 * step
+        best = self._best(self._scores(terms, weights, order[:FIRST_BLOCKS]), k)
+        low = best[-1][0] - 1e-6 if len(best) == k else 0.0
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[bounds[rest] > low]
+        if len(rest):
+            best = sorted(best + self._best(self._scores(terms, weights, np.sort(rest)), k), key=lambda x: (-x[0], x[1]))[:k]
         return best
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: the non-decreasing steps (x, value) nearest to y."""
+    """Pool-adjacent-violators: points (x, value) of the non-decreasing steps nearest to y, both ends of each step, to be joined by lines."""
     steps: list[list[float]] = []
     for at in np.argsort(x, kind="stable"):
-        steps.append([x[at], y[at] * w[at], w[at]])
-        while len(steps) > 1 and (steps[-2][0] == steps[-1][0] or steps[-2][1] / steps[-2][2] >= steps[-1][1] / steps[-1][2]):
+        steps.append([x[at], x[at], y[at] * w[at], w[at]])
+        while len(steps) > 1 and (steps[-2][1] == steps[-1][0] or steps[-2][2] / steps[-2][3] >= steps[-1][2] / steps[-1][3]):
             top = steps.pop()
-            steps[-1] = [steps[-1][0], steps[-1][1] + top[1], steps[-1][2] + top[2]]
-    return np.array([s[0] for s in steps]), np.array([s[1] / s[2] for s in steps])
+            steps[-1] = [steps[-1][0], top[1], steps[-1][2] + top[2], steps[-1][3] + top[3]]
+    return np.array([e for s in steps for e in s[:2]]), np.array([s[2] / s[3] for s in steps for _ in (0, 1)])
+
+
+class Places(dict):
+    """Place by term; -1 for others, which it doesn't keep."""
+
+    def __missing__(self, term):
+        return -1
 
 
 class Model:
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, stand_for: dict[int, float], k: int = NEIGHBOURS):
-        self.terms, self.idf, self.stand_for, self.k = terms, idf, stand_for, k
-        self.levels: dict[str, list[tuple[int, int]]] = {}
-        for term, at in terms.items():
-            base, _, level = term.rpartition("*")
-            self.levels.setdefault(base, []).append((int(level), at))
-        self.bases: Bases | None = None
-        self.known: dict[tuple, list[tuple[float, int]]] = {}
-        self.ids: list = []
-        self.labels = np.zeros(0)
-        self.index = Index([], len(terms))
+    """terms: place by word; value: what one occurrence of each weighs; stand_for: labelled rows for each example, by class."""
+
+    def __init__(self, terms: dict[str, int], value: np.ndarray, examples: list[tuple[int, int, dict[str, int]]], labelled: dict[int, int], k: int = NEIGHBOURS):
+        self.terms, self.value, self.k = Places(terms), value, k
+        vectors = [self.vector_of(counts) for _, _, counts in examples]
+        # like examples share blocks, which tightens the bounds
+        order = sorted(range(len(examples)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:4]].tolist(), str(examples[i][1])))
+        self.labels, self.ids = np.array([examples[i][0] for i in order], float), [examples[i][1] for i in order]
+        self.index = Index([vectors[i] for i in order], len(terms))
+        held = Counter(label for label, _, _ in examples)
+        self.stand_for = {c: labelled.get(c, 0) / n for c, n in held.items()}
         self.steps, self.none = (np.zeros(0), np.zeros(0)), 0.0
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        if self.bases is None:
-            self.bases = Bases(set(self.levels))
-        counts = self.bases.counts(text)
-        if not counts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        found = sorted((at, 1 + math.log(c)) for x, c in counts.items() for n, at in self.levels[x] if c >= n)
-        at = np.array([x for x, _ in found], np.int64)
-        weights = np.array([w for _, w in found]) * self.idf[at]
-        return at, weights / np.linalg.norm(weights) if len(at) else weights
-
-    def near(self, terms: np.ndarray, weights: np.ndarray) -> list[tuple[float, int]]:
-        """The nearest examples; many texts have one of few vectors, so a task remembers them."""
-        key = (terms.tobytes(), weights.tobytes())
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) >= MOST_VECTORS:
-                self.known.clear()
-            self.known[key] = found = self.index.nearest(terms, weights, self.k)
-        return found
+    def vector_of(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        at, n = (np.fromiter(x, np.int64, len(counts)) for x in (map(self.terms.__getitem__, counts), counts.values()))
+        known = at >= 0
+        at, n = at[known], n[known]
+        weights = (1 + np.log(n)) * self.value[at]
+        norm = np.linalg.norm(weights)
+        return (at, weights / norm) if norm else (np.zeros(0, np.int64), np.zeros(0))
+
+    def near(self, text: str | None) -> list[tuple[float, int]]:
+        return self.index.nearest(*self.vector_of(Counter(words_of(text))), self.k)
 
     def voted(self, near: list[tuple[float, int]]) -> float:
         votes = [(self.stand_for[int(self.labels[i])] / (1 - min(1.0, c) + 0.05), self.labels[i]) for c, i in near]
-        return sum(v * y for v, y in votes) / sum(v for v, _ in votes)
+        return round(float(sum(v * y for v, y in votes) / sum(v for v, _ in votes)), 9)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.near(*self.vector(text))
+        near = self.near(text)
         if not near or not len(self.steps[0]):
             return self.none, near
-        return float(self.steps[1][max(0, np.searchsorted(self.steps[0], self.voted(near), side="right") - 1)]), near
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, most_terms: int = MOST_TERMS, most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, least_chi: float = LEAST_CHI) -> Model:
-    """labels: the rows to learn from (id_col, toxic). The driver holds the terms and the sample's vectors over them."""
-    sample, stand_for, labelled = labelled_sample(docs, labels, id_col, text_col, most_labelled)
-    sizes = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    a, b, n = F.col("toxic"), F.col("other"), n0 + n1
-    chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2.0) / F.nullif((a + b) * (n - a - b) * F.lit(float(n1) * n0), F.lit(0.0))
-    best = document_frequencies(sample.select("label", "text")).where(a + b >= 3).select("term", chi.alias("chi")).where(F.col("chi") > least_chi).orderBy(F.desc("chi"), "term").limit(most_terms)
-    terms = {w: i for i, w in enumerate(sorted(r[0] for r in best.collect()))}
-    known, texts = set(terms), docs.select(F.lit(0).alias("label"), F.col(text_col).cast("string").alias("text"))
-    frequency = np.zeros(len(terms))
-    for term, _, count in document_frequencies(texts, known).collect():
-        frequency[terms[term]] = count
-    total = docs.count()
-    model = Model(terms, np.log((1 + total) / (1 + frequency)) + 1, stand_for, k)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def vectors(batches):
+        return float(np.interp(self.voted(near), *self.steps)), near
+
+    def calibrate(self, rows: list[tuple[int, float | None]], labelled: dict[int, int]) -> None:
+        """rows: label and raw vote (None: no neighbour) of each calibrating row."""
+        held = Counter(label for label, _ in rows)
+        weight = {c: labelled[c] / n for c, n in held.items()}
+        raws = [(raw, label, weight[label]) for label, raw in rows if raw is not None]
+        none = [(label, weight[label]) for label, raw in rows if raw is None]
+        if sum(map(bool, labelled.values())) == 2 and len(held) < 2:
+            self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+        elif raws:
+            self.steps = isotonic(*(np.array(c, float) for c in zip(*raws)))
+        total = sum(labelled.values())
+        self.none = sum(y * w for y, w in none) / sum(w for _, w in none) if none else labelled.get(1, 0) / total if total else 0.0
+
+
+def relevance(toxic: np.ndarray, other: np.ndarray, rows: dict[int, int], floor: float = FLOOR, damping: float = DAMPING, chance: float = CHANCE) -> np.ndarray:
+    """How far a term's shares in the classes differ, from floor to 1; 1 where a class is empty, as nothing can be told then."""
+    if not rows.get(0) or not rows.get(1):
+        return np.ones(len(toxic))
+    a, b = toxic / rows[1], other / rows[0]
+    return np.maximum(floor, (abs(a - b) - chance * np.sqrt(a / rows[1] + b / rows[0])) / (a + b + damping))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, most_relevant: bool = True) -> Model:
+    """labels: the rows to learn from (id_col, toxic). The driver holds the examples' words with their counts, and a number for each calibrating row."""
+    sc = docs.sparkSession.sparkContext
+    sample, labelled = labelled_sample(docs, labels, id_col, text_col, most_labelled, most_examples)
+
+    def counted(batches):
+        for batch in batches:
+            found = [Counter(words_of(x)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int64()))], ["label", "id", "counts"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = sample.where("role = 'example'").select("label", "id", "text").mapInArrow(counted, f"label int, id {kind}, counts map<string,bigint>").toArrow()
+    examples = [(label, i, dict(counts)) for label, i, counts in zip(*(c.to_pylist() for c in rows.columns))]
+    examples.sort(key=lambda x: (x[0], str(x[1])))
+    terms = {w: i for i, w in enumerate(sorted({w for _, _, c in examples for w in c}))}
+    known = sc.broadcast(frozenset(terms))
+
+    def frequencies(of: DataFrame) -> np.ndarray:
+        out = np.zeros((2, len(terms)))
+        found = document_frequencies(of, known).toArrow()
+        at = np.array([terms[w] for w in found.column(0).to_pylist()], np.int64)
+        for i in (0, 1):
+            out[i, at] = found.column(1 + i).to_numpy()
+        return out
+
+    frequency = frequencies(docs.select(F.lit(0).alias("label"), F.col(text_col).cast("string").alias("text")))[1]
+    value = np.log((1 + docs.count()) / (1 + frequency)) + 1
+    if most_relevant:
+        told = sample.where("role <> 'calibrate'")
+        sizes = {int(r[0]): r[1] for r in told.groupBy("label").count().collect()}
+        value = value * relevance(*frequencies(told.select("label", "text")), sizes)
+    model = Model(terms, value, examples, labelled, k)
+    sent = sc.broadcast(model)
+
+    def votes(batches):
         m = sent.value
         for batch in batches:
-            found = [m.vector(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([v[0].tolist() for v in found], pa.list_(pa.int64())), pa.array([v[1].tolist() for v in found], pa.list_(pa.float64()))],
-                ["label", "id", "terms", "weights"],
-            )
-
-    schema = f"label int, id {sample.schema['id'].dataType.simpleString()}, terms array<bigint>, weights array<double>"
-    rows = sorted(sample.mapInArrow(vectors, schema).collect(), key=lambda r: (hash_order(r["id"]), r["id"], r["terms"]))
-    examples, rest, quota = [], [], {c: most_examples // 2 for c in (0, 1)}
-    for i, r in enumerate(rows):
-        # every fifth row calibrates, and so do those beyond the bound
-        take = i % 5 and r["terms"] and quota[int(r["label"])] > 0
-        quota[int(r["label"])] -= bool(take)
-        (examples if take else rest).append(r)
-    examples.sort(key=lambda r: (r["terms"], r["id"]))  # like examples share blocks, which tightens the bounds
-    model.ids, model.labels = [r["id"] for r in examples], np.array([r["label"] for r in examples], float)
-    model.index = Index([(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in examples], len(terms))
-    # the bounds and the merging of near copies leave other class shares among the rest than among the labelled rows
-    left = Counter(int(r["label"]) for r in rest)
-    weight = {c: labelled[c] / n for c, n in left.items()}
-    raws, none = [], [0.0, 0.0]
-    for r in rest:
-        near = model.near(np.array(r["terms"], np.int64), np.array(r["weights"], float))
-        w = weight[int(r["label"])]
-        if near:
-            raws.append((model.voted(near), r["label"], w))
-        else:
-            none[0] += w * r["label"]
-            none[1] += w
-    if raws:
-        model.steps = isotonic(*(np.array(c, float) for c in zip(*raws)))
-    model.none = none[0] / none[1] if none[1] else 0.0
-    model.known = {}
-    return model
-
+            found = [m.near(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.voted(x) if x else None for x in found], pa.float64())], ["label", "raw"])
 
-def hash_order(key) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(str(key))
+    held = sample.where("role = 'calibrate'").select("label", "text").repartition(max(1, sc.defaultParallelism))
+    model.calibrate([(int(r[0]), r[1]) for r in held.mapInArrow(votes, "label int, raw double").collect()], labelled)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
