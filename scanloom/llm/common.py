@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,3 +53,16 @@ def free_name(taken: list[str], want: str) -> str:
     while want.lower() in used:
         want += "_"
     return want
+
+
+def slices(batch: pa.RecordBatch, text_at: int = 1, most_rows: int = 1000, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in order, in parts of at most so many rows and, where it has more than one row, so many bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+    begin = held = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (held + n > most_bytes or i - begin >= most_rows):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(sizes):
+        yield batch.slice(begin)

@@ -2,8 +2,9 @@
 
 A line's key is the line without ASCII white space at its ends and with A-Z in lower case. Keys of at
 least min_chars code points that at least min_docs documents hold lose their lines everywhere but in
-the largest id that holds them. Only 128-bit key hashes are shuffled to find them; texts move once, to
-meet their lists of hashes to drop.
+the largest id that holds them. Lines are cut and hashed once, into a table of ids and 128-bit hashes; texts move
+once, to meet their lists of hashes to drop. A hash with more than 1 / (4 x shuffle partitions) of all lines is hot:
+there are fewer such hashes than 4 x partitions, so they are broadcast, and the join of the others has no large key.
 
 A null or empty text is one empty line. Rows that repeat an id count as one document. A row without an
 id is no document: it adds nothing to the counts and loses nothing. Other columns stay as they are.
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, slices, table, written
 
 #: The contract's white space; a fixed value.
 WHITE = " \t\n\x0b\x0c\r"
@@ -32,8 +33,7 @@ def line_hash(line: str, min_chars: int) -> bytes | None:
 
 def _hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        for part in slices(batch, most_rows=2000):
             found = [{h for line in (text or "").split("\n") if (h := line_hash(line, min_chars))} for text in part.column(1).to_pylist()]
             ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([h for x in found for h in x], pa.binary())], ["doc_id", "line_hash"])
@@ -42,12 +42,14 @@ def _hashes(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Re
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """A row per document that loses lines: doc_id, drops (the hashes of the lines that it loses)."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    lines = texts.mapInArrow(lambda it: _hashes(it, min_chars), "doc_id bigint, line_hash binary")
-    common = lines.groupBy("line_hash").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    return (
-        lines.join(common.select("line_hash", "keeper"), "line_hash").where("doc_id <> keeper")
-        .groupBy("doc_id").agg(F.collect_set("line_hash").alias("drops"))
-    )
+    lines = written(texts.mapInArrow(lambda it: _hashes(it, min_chars), "doc_id bigint, line_hash binary"), "line-hashes")
+    counted = lines.groupBy("line_hash").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    common = written(counted, "common-lines")
+    hot = F.col("n") * 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) > lines.count()
+    some = F.broadcast(common.where(hot).select("line_hash", "keeper"))
+    rest = lines.join(some.select("line_hash"), "line_hash", "left_anti").join(common.where(~hot).select("line_hash", "keeper"), "line_hash")
+    met = lines.join(some, "line_hash").unionByName(rest)
+    return met.where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("line_hash").alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
