@@ -6,8 +6,13 @@ probabilities are learned by expectation-maximisation: each distinct word of the
 counted over all of them, gives expected piece counts by a forward and a backward pass. A text's
 score is the product over its words; words are runs of letters, in lower case.
 
-Null texts and texts without a letter are `und` with score 0, and so is every text if nothing can be learned.
-Rows are independent; repeated rows count as often as they stand.
+Languages are learned and scored in blocks of LANGUAGES_A_BLOCK, so that no task and not the driver holds more than a
+block's piece table at a time, however many values `lang` has; a text's best language and the sum over all languages are put
+together from the blocks. Sums that get near the smallest number are done again in scaled form.
+
+Null texts and texts without a letter are `und` with score 0, and so is every text if nothing can be learned. Of
+languages with equal scores the first by name is taken. Whole texts are read, whatever their length.
+Rows are independent; repeated rows count as often as they stand; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 START = "▁"
@@ -31,10 +36,10 @@ START = "▁"
 MOST_WORDS = 1_000_000
 #: Words scored together.
 BATCH_WORDS = 20_000
-#: Characters up to which a word's sums can't underflow; longer words take the scaled path.
-PLAIN_CHARS = 24
-#: Languages that one model may hold, at most: piece tables gathered by the driver are languages x vocabulary.
-MOST_LANGUAGES = 256
+#: Characters up to which a word's sums are tried unscaled; longer words, and sums below LEAST_SUM, take the scaled path.
+PLAIN_CHARS, LEAST_SUM = 24, 1e-280
+#: Languages that are learned and scored together: a piece table is languages x vocabulary.
+LANGUAGES_A_BLOCK = 256
 
 
 def vocabulary(model_path: str) -> list[str]:
@@ -117,7 +122,11 @@ class Lattices:
                 for k in range(1, min(end, len(arcs)) + 1):
                     a = a + alpha[end - k] * table[arcs[k - 1][:, end - k]]
                 alpha.append(a)
-            out[own] = np.log(alpha[-1])
+            low = (alpha[-1] < LEAST_SUM).any(1)
+            with np.errstate(divide="ignore"):
+                out[own] = np.log(alpha[-1])
+            for i in np.flatnonzero(low).tolist():
+                out[own[i]] = self.scaled_forward(some[i], table)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -134,7 +143,10 @@ class Lattices:
             for end in range(1, size + 1):
                 for k in range(1, min(end, len(arcs)) + 1):
                     alpha[end] += alpha[end - k] * row[arcs[k - 1][:, end - k]]
-            weight = counts[own] / alpha[size]
+            low = alpha[size] < LEAST_SUM
+            for i in np.flatnonzero(low).tolist():
+                self.scaled_expected(some[i], float(counts[own[i]]), row, uses)
+            weight = np.where(low, 0.0, counts[own]) / np.where(low, 1.0, alpha[size])
             for begin in range(size - 1, -1, -1):
                 for k in range(1, min(size - begin, len(arcs)) + 1):
                     piece = arcs[k - 1][:, begin]
@@ -199,44 +211,46 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return rows.mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, pieces: list[str], lang_col: str = "lang", text_col: str = "text", rounds: int = 2, alpha: float = 0.1) -> dict:
-    """Languages and, by piece, their probabilities. What the driver gathers is at most languages x pieces."""
+def learn(docs: DataFrame, pieces: list[str], lang_col: str = "lang", text_col: str = "text", rounds: int = 2, alpha: float = 0.1, block: int = LANGUAGES_A_BLOCK) -> dict:
+    """Languages and, by block of languages, a broadcast model. The driver gathers one block's piece counts at a time: block x pieces numbers at most."""
     words = written(word_counts(docs, lang_col, text_col), "language-words")
-    langs = sorted(x[0] for x in words.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    sc = docs.sparkSession.sparkContext
-    lattices = Lattices(pieces)
-    v = len(pieces)
+    langs = sorted(x[0] for x in words.select("lang").distinct().collect())
+    sc, lattices = docs.sparkSession.sparkContext, Lattices(pieces)
+    blocks = [langs[i : i + block] for i in range(0, len(langs), block)]
+    own = (lambda some: words) if len(blocks) == 1 else (lambda some: words.where(F.col("lang").between(some[0], some[-1])))
+    return {"langs": langs, "blocks": [sc.broadcast({"langs": some, "lattices": lattices, "table": _table(own(some), some, lattices, rounds, alpha)}) for some in blocks]}
+
+
+def _table(words: DataFrame, langs: list[str], lattices: Lattices, rounds: int, alpha: float) -> np.ndarray:
+    """Piece probabilities of a block of languages, pieces x languages, after some rounds."""
+    v, at = lattices.n, {x: i for i, x in enumerate(langs)}
     table = np.tile(np.append(np.full(v, 1 / (v + 1)), [0.0, 1 / (v + 1)])[:, None], (1, len(langs)))
     for _ in range(rounds):
-        sent = sc.broadcast((lattices, langs, table))
+        sent = words.sparkSession.sparkContext.broadcast((lattices, at, table))
 
         def expect(batches, sent=sent):
-            lattices, langs, table = sent.value
-            uses = np.zeros_like(table)
+            lattices, at, table = sent.value
+            uses: dict[str, np.ndarray] = {}
             for batch in batches:
-                own, words, n = (np.array(c.to_pylist(), object) for c in batch.columns)
-                for i, lang in enumerate(langs):
+                own, some, n = (np.array(c.to_pylist(), object) for c in batch.columns)
+                for lang in dict.fromkeys(own.tolist()):
                     mine = own == lang
-                    if mine.any():
-                        uses[:, i] += lattices.expected(words[mine].tolist(), n[mine].astype(float), table[:, i])
-            for i, lang in enumerate(langs):
-                some = np.flatnonzero(uses[:, i])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(uses[some, i])], ["lang", "piece", "n"])
+                    found = lattices.expected(some[mine].tolist(), n[mine].astype(float), table[:, at[lang]])
+                    uses[lang] = uses[lang] + found if lang in uses else found
+            for lang, u in uses.items():
+                some = np.flatnonzero(u)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(u[some])], ["lang", "piece", "n"])
 
-        sums = words.mapInArrow(expect, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+        sums = words.mapInArrow(expect, "lang string, piece bigint, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         table = np.zeros_like(table)
-        for lang, piece, n in sums:
-            table[piece, langs.index(lang)] = n
-        table[v + 1] = 0  # lone characters get what smoothing leaves them
+        table[sums.column(1).to_numpy(), np.array([at[x] for x in sums.column(0).to_pylist()], np.int64)] = sums.column(2).to_numpy()
         table = (table + alpha) / (table.sum(0) + alpha * (v + 1))
         table[v] = 0
-    return {"langs": langs, "lattices": lattices, "table": table}
+    return table
 
 
 class Scorer:
-    """Posteriors over the languages; each distinct word is scored once."""
+    """The best of a block's languages, its log probability, and the log of the sum over the block; each distinct word is scored once."""
 
     def __init__(self, model: dict):
         self.langs, self.lattices, self.table = model["langs"], model["lattices"], model["table"]
@@ -255,10 +269,8 @@ class Scorer:
             self.rows[begin : begin + len(some)] = self.lattices.log_forward(some, self.table)
             self.at.update(zip(some, range(begin, begin + len(some))))
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found = [[w for w in WORDS((x or "").lower())] for x in texts]
-        if not self.langs:
-            return [("und", 0.0)] * len(texts)
+    def __call__(self, texts: list[str | None]) -> list[tuple[str | None, float, float]]:
+        found = [WORDS((x or "").lower()) for x in texts]
         if len(self.at) > MOST_WORDS:
             self.forget()
         # characters such as superscript digits count as word characters, but a word needs a letter
@@ -267,27 +279,40 @@ class Scorer:
         for words in found:
             at = [i for w in words if (i := self.at.get(w)) is not None]
             if not at:
-                out.append(("und", 0.0))
+                out.append((None, 0.0, 0.0))
                 continue
             total = self.rows[at].sum(0)
-            share = np.exp(total - total.max())
-            best = int(share.argmax())
-            out.append((self.langs[best], float(share[best] / share.sum())))
+            best = int(total.argmax())
+            out.append((self.langs[best], float(total[best]), float(total[best] + np.log(np.exp(total - total[best]).sum()))))
         return out
 
 
-def identify(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
-    """A struct column lang_pred, score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.arrow_udf("lang_pred string, score double")
+def _block_scores(sent) -> Callable[[Column], Column]:
+    @F.arrow_udf("lang string, best double, total double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for texts in batches:
-            found = [x for at in range(0, len(texts), 1000) for x in scorer(texts[at : at + 1000].to_pylist())]
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
+            found = [x for part in slices(pa.record_batch([texts], ["text"]), 0) for x in scorer(part.column(0).to_pylist())]
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))], ["lang", "best", "total"])
+
+    return run
 
-    return run(F.col(text_col).cast("string"))
+
+def identify(docs: DataFrame, model: dict, text_col: str = "text") -> Column:
+    """A struct column lang_pred, score (the posterior of lang_pred over all languages)."""
+    text = F.col(text_col).cast("string")
+    if not model["blocks"]:
+        return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+
+    def put_together(s: Column) -> Column:
+        """Of the blocks' scores: the first best one, and its share of the sum over all."""
+        best = F.array_max(F.transform(s, lambda x: x["best"]))
+        lang = F.get(F.transform(F.filter(s, lambda x: x["best"] == best), lambda x: x["lang"]), F.lit(0))
+        share = 1.0 / F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x["total"] - best))
+        return F.struct(F.coalesce(lang, F.lit("und")).alias("lang_pred"), F.when(lang.isNull(), 0.0).otherwise(share).alias("score"))
+
+    # a lambda variable stands for the scores, so that they are computed once
+    return F.transform(F.array(F.array(*[_block_scores(sent)(text) for sent in model["blocks"]])), put_together)[0]
 
 
 def fold(mod: int, id_col: str = "doc_id") -> Column:
