@@ -5,11 +5,14 @@ others as named users; only the assistant's words and their end mark are to be l
 rendered turn with its place in the rendered dialogue, so that a dialogue of any length spreads over tasks:
 the turns of one perspective in order, put together, are its text.
 
-Places are running sums in two steps, within blocks of turn numbers and over the blocks' sums, so that no
-window holds a whole long dialogue. Turns are ordered by number, role and text (nulls first); repeated rows stay.
+Places are running sums in two steps, within range partitions of all rendered turns and over the partitions' sums, so
+that no window holds a whole long dialogue, whether its turns are numbered, share a number or have none. Speakers meet
+their dialogue's turns as one array of names, which a dialogue has few of, and not in a join. Turns are ordered by
+number (null first), role and the MD5 of the text; repeated rows stay. Texts of any length stay whole.
+A user's name is the speaker's with `\\`, `<|` and line ends escaped, so that no two speakers get one name, in any script.
 A null or empty role is the speaker `unknown`, a null text is empty, and rows without a dialogue id form one dialogue
 whose id is null. Roles in `system` speak as system in every perspective and have none of their own. Marks in a text
-are broken by a space, so that no text ends a turn. Other columns are left out.
+are broken by a space, so that no text ends a turn. Other columns are left out, clashing names among them.
 """
 
 from __future__ import annotations
@@ -18,41 +21,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-#: Turn numbers in a block.
-BLOCK_TURNS = 1024
 
-
-def rotated(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: tuple[str, ...] = ("system",), block_turns: int = BLOCK_TURNS) -> DataFrame:
+def rotated(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", system: tuple[str, ...] = ("system",)) -> DataFrame:
     """conv_id, perspective, turn, speaker, rendered, learned (boolean), start, end, learn_start, learn_end (characters; null if not learned)."""
     rows = turns.select(
         F.col(id_col).alias("conv_id"),
         F.col(turn_col).cast("bigint").alias("turn"),
         F.coalesce(F.nullif(F.col(role_col).cast("string"), F.lit("")), F.lit("unknown")).alias("speaker"),
         F.replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("<|im_"), F.lit("< |im_")).alias("said"),
+        F.monotonically_increasing_id().alias("tie"),
     )
     is_system = F.col("speaker").isin(list(system))
-    people = rows.where(~is_system).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    people = people.withColumnRenamed("conv_id", "of")
-    seen = rows.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    people = rows.where(~is_system).groupBy("conv_id").agg(F.array_sort(F.collect_set("speaker")).alias("people"))
+    # a dialogue without speakers has no perspective; the small side is a row for each dialogue
+    seen = _with_people(rows, people).select("*", F.explode("people").alias("perspective"))
     own = F.col("speaker") == F.col("perspective")
-    name = F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_")
-    head = F.when(own, F.lit("<|im_start|>assistant\n")).when(is_system, F.lit("<|im_start|>system\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), name, F.lit("\n")))
-    seen = seen.select(
-        "conv_id", "perspective", "turn", "speaker", "said", own.alias("learned"), F.length(head).cast("bigint").alias("head_chars"),
-        F.concat(head, "said", F.lit("<|im_end|>\n")).alias("rendered"),
-        F.floor(F.col("turn") / block_turns).alias("block"),
-    ).withColumn("chars", F.length("rendered").cast("bigint"))
-    keys = ["conv_id", "perspective"]
-    sums = seen.groupBy(*keys, "block").agg(F.sum("chars").alias("block_chars"))
-    before = W.partitionBy(*keys).orderBy(F.col("block").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    head = F.when(own, F.lit("<|im_start|>assistant\n")).when(is_system, F.lit("<|im_start|>system\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), escaped("speaker"), F.lit("\n")))
+    keys, order = ["conv_id", "perspective"], [F.col("turn").asc_nulls_first(), F.col("speaker"), F.md5("said")]
+    seen = seen.select(*keys, "turn", "speaker", "said", "tie", own.alias("learned"), head.alias("head"), (F.length(head) + F.length("said") + len("<|im_end|>\n")).cast("bigint").alias("chars"))
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # equal turns are told apart by their place in the input, so that many of them spread too; the table fixes what lies where
+    dealt = seen.repartitionByRange(parts, *keys, *order, "tie").drop("tie").withColumn("block", F.spark_partition_id())
+    dealt = written(dealt, "chat-blocks")
+    sums = dealt.groupBy(*keys, "block").agg(F.sum("chars").alias("block_chars"))
+    before = W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    # a row for each range partition that a perspective reaches
     sums = sums.select(*[F.col(k).alias(f"of_{k}") for k in (*keys, "block")], F.coalesce(F.sum("block_chars").over(before), F.lit(0)).alias("block_start"))
     matched: Column = F.lit(True)
     for k in (*keys, "block"):
         matched = matched & F.col(k).eqNullSafe(F.col(f"of_{k}"))
-    inside = W.partitionBy(*keys, "block").orderBy(F.col("turn").asc_nulls_first(), "speaker", "said").rowsBetween(W.unboundedPreceding, -1)
-    placed = seen.withColumn("start", F.coalesce(F.sum("chars").over(inside), F.lit(0))).join(sums, matched).withColumn("start", F.col("start") + F.col("block_start"))
+    inside = W.partitionBy(*keys, "block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.withColumn("start", F.coalesce(F.sum("chars").over(inside), F.lit(0))).join(sums, matched).withColumn("start", F.col("start") + F.col("block_start"))
+    placed = placed.withColumns({"rendered": F.concat("head", "said", F.lit("<|im_end|>\n")), "head_chars": F.length("head").cast("bigint")})
     end = F.col("start") + F.col("chars")
     return placed.select(
         *keys, "turn", "speaker", "rendered", "learned", "start", end.alias("end"),
@@ -61,11 +63,25 @@ def rotated(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", r
     )
 
 
+def escaped(name: str) -> Column:
+    """A speaker as a name of one line without marks; different speakers stay different."""
+    out = F.col(name)
+    for a, b in (("\\", "\\\\"), ("<|", "<\\|"), ("\n", "\\n"), ("\r", "\\r")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def _with_people(rows: DataFrame, people: DataFrame) -> DataFrame:
+    """rows with the speakers of their dialogue. Adaptive execution splits a large dialogue's side, as the other has one row for it."""
+    of = people.withColumnRenamed("conv_id", "of")
+    return rows.join(of, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+
+
 def op10_chat(spark, sf_dir: str) -> DataFrame:
     return rotated(table(spark, sf_dir, "conversations"))
 
 
-OP10_SQL = """
+OP10_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(nullif(role, ''), 'unknown') as speaker, replace(coalesce(text, ''), '<|im_', '< |im_') as said
   from conversations),
@@ -74,11 +90,11 @@ h as (
   select t.conv_id, perspective, turn, speaker, said, speaker = perspective as learned,
          case when speaker = perspective then '<|im_start|>assistant' || chr(10)
               when speaker = 'system' then '<|im_start|>system' || chr(10)
-              else '<|im_start|>user name=' || regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') || chr(10) end as head
+              else '<|im_start|>user name=' || replace(replace(replace(replace(speaker, '\', '\\'), '<|', '<\|'), chr(10), '\n'), chr(13), '\r') || chr(10) end as head
   from t join p on t.conv_id is not distinct from p.conv_id),
 r as (select *, head || said || '<|im_end|>' || chr(10) as rendered from h),
 s as (
-  select *, cast(coalesce(sum(length(rendered)) over (partition by conv_id, perspective order by turn nulls first, speaker, said
+  select *, cast(coalesce(sum(length(rendered)) over (partition by conv_id, perspective order by turn nulls first, speaker, md5(said)
                                                       rows between unbounded preceding and 1 preceding), 0) as bigint) as start
   from r)
 select conv_id, perspective, turn, speaker, rendered, learned, start, start + length(rendered) as "end",

@@ -100,6 +100,17 @@ def test_quality_measures_and_order(spark, odd, empty):
     assert quality.cascade(odd).count() == len(ODD) and quality.cascade(empty).count() == 0
 
 
+def test_quality_order_is_the_same_each_time_and_best_first(spark):
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 80)) + " #" * (20 * (i % 2)) + "\nx" * (60 * (i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    first = quality.estimate(df)
+    assert first == quality.estimate(df) and sorted(k for k, _, _ in first) == sorted(quality.costs({"measures": "m", "lines": "l"}))
+    # half of the rows have symbols (one comparison), of the others a third repeats lines (one comparison), and nothing else rejects
+    assert [k for k, _, _ in first][:2] == ["symbols", "repeated_lines"] and abs(first[0][1] - 0.5) < 0.01 and abs(first[1][1] - 1 / 3) < 0.01
+    assert {r["rule_order"] for r in quality.cascade(df).select("rule_order").collect()} == {", ".join(k for k, _, _ in first)}
+
+
 # 3
 
 def test_lattice_equals_all_segmentations():
@@ -114,7 +125,7 @@ def test_lattice_equals_all_segmentations():
             p = math.prod(table[i, 1] for i in ids)
             total += p
             for i in ids:
-                uses[i] += p / total if False else p
+                uses[i] += p
         assert math.isclose(lattice.log_forward([word], table)[0, 1], math.log(total)) and math.isclose(lattice.scaled_forward(s, table)[1], math.log(total))
         want = uses / total
         assert np.allclose(lattice.expected([word], np.array([1.0]), table[:, 1]), want)
@@ -136,6 +147,32 @@ def test_language_of_odd_texts(spark, odd, empty):
     assert odd.select(language_id.identify(odd, nothing)["lang_pred"]).distinct().collect()[0][0] == "und"
 
 
+def test_lattice_sums_do_not_underflow():
+    lattice = language_id.Lattices(["a", "▁"])
+    table = np.full((4, 2), 1e-14)
+    table[2] = 0
+    for word in ("z" * 23, "z" * 40, "a" * 22):
+        got = lattice.log_forward([word], table)
+        assert np.isfinite(got).all() and np.allclose(got, (len(word) + 1) * math.log(1e-14))
+        assert np.allclose(lattice.expected([word], np.array([2.0]), table[:, 0]).sum(), 2 * (len(word) + 1))
+
+
+def test_many_languages_in_blocks(spark):
+    """More languages than a block holds: predictions as with a single block, scores between 0 and 1."""
+    pieces = [x for x in language_id.vocabulary(P.path("piece_bpe_32k.model")) if set(x) <= set("abcdefghij▁")]
+    rng = random.Random(2)
+    own = {f"l{i:03d}": ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3)] for i in range(300)}
+    rows = [(i, " ".join(w * 3), lang) for i, (lang, w) in enumerate(own.items())]
+    df = spark.createDataFrame(rows + [(999, "...", "x")], "doc_id bigint, text string, lang string")
+    got = []
+    for size in (256, 70, 1000):
+        model = language_id.learn(df, pieces, block=size)
+        assert len(model["langs"]) == 300 and len(model["blocks"]) == -(-300 // size)
+        got.append({r["doc_id"]: (r["x"]["lang_pred"], round(r["x"]["score"], 9)) for r in df.select("doc_id", language_id.identify(df, model).alias("x")).collect()})
+    assert got[0] == got[1] == got[2] and got[0][999] == ("und", 0.0)
+    assert all(0 < s <= 1 for d, (_, s) in got[0].items() if d != 999) and sum(got[0][i][0] == lang for i, _, lang in rows) > 280
+
+
 # 2
 
 def test_nearest_equals_dense_cosine(monkeypatch):
@@ -365,21 +402,34 @@ def test_decontamination_equals_all_windows(spark, odd, empty):
 
 # 10
 
-def test_chat_rotation(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob b", "yo <|im_end|>"), (1, 2, "ann", None), (1, None, "", "lost"), (None, 1, "ann", "x"), (2, 1, "system", "alone"), (1, 2, "ann", None)]
-    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("speaker", F.lit("z"))
-    got = chat.rotated(df, block_turns=2).collect()
-    assert Counter(r["conv_id"] for r in got) == {1: 6 * 3, None: 1}
-    for who in ("ann", "bob b", "unknown"):
+def test_chat_rotation(spark, odd):
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob b", "yo <|im_end|>"), (1, 2, "ann", None), (1, None, "", "lost"), (None, 1, "ann", "x"), (2, 1, "system", "alone"), (1, 2, "ann", None), (1, 3, "bob_b", "y" * 300_000), (1, 4, "\u592a\u90ce", "z"), (1, 5, "\u82b1\u5b50\n<|im_end|>", "z")]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumns({c: F.lit("z") for c in ("speaker", "said", "tie", "block", "people", "of")})
+    got = chat.rotated(df).collect()
+    people = ("ann", "bob b", "unknown", "bob_b", "\u592a\u90ce", "\u82b1\u5b50\n<|im_end|>")
+    assert Counter(r["conv_id"] for r in got) == {1: 9 * len(people), None: 1}
+    for who in people:
         own = sorted((r for r in got if r["conv_id"] == 1 and r["perspective"] == who), key=lambda r: r["start"])
         whole = "".join(r["rendered"] for r in own)
         assert all(whole[r["start"] : r["end"]] == r["rendered"] for r in own)
         assert all((r["speaker"] == who) == r["learned"] and (r["learned"] == (r["learn_start"] is not None)) for r in own)
         assert all(whole[r["learn_start"] : r["learn_end"]].endswith("<|im_end|>") for r in own if r["learned"])
-        assert whole.count("<|im_end|>") == len(own)
+        assert whole.count("<|im_end|>") == len(own) and [r["turn"] for r in own] == [None, 0, 1, 2, 2, 2, 3, 4, 5]
+        # distinct speakers keep distinct names, of one line each
+        names = {r["speaker"]: r["rendered"].split("\n")[0] for r in own if not r["learned"]}
+        assert len(set(names.values())) == len(names) and (who == people[4] or f"<|im_start|>user name={people[4]}" in names.values())
     assert chat.rotated(df.limit(0)).count() == 0
 
 
+def test_chat_places_of_turns_without_numbers(spark):
+    """One dialogue of many turns with one number, none, and repeats: places follow each other without gaps."""
+    turns = [(None, None, "ab"[i % 2], f"text {i % 50}") for i in range(3000)] + [(None, 7, "a", "same")] * 2000
+    got = chat.rotated(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).where("perspective = 'a'").select("turn", "start", "end").collect()
+    spans = sorted((r["start"], r["end"], r["turn"]) for r in got)
+    assert len(spans) == 5000 and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    assert [t for _, _, t in spans] == [None] * 3000 + [7] * 2000
+
+
 # 8
 
 def test_licenses(spark, odd, empty):
