@@ -4,9 +4,14 @@ A store is a folder with runs of Parquet files (shards), which never change, and
 table of the shards that are live in it (run, name, rows, bytes). Appending writes a run of small shards.
 Compaction takes the shards of a tier (sizes within a factor of `fan_in`), packs them in order of size
 into bins of `target_bytes`, and writes each bin as one file, without a shuffle. A version is
-committed by renaming its finished manifest to its number, which fails if that number exists: a writer
-that comes second commits nothing, and readers see a version whole or not at all. Old versions stay
-readable until `vacuum`.
+committed by renaming its finished manifest to its number, which fails if that number exists: readers see a version
+whole or not at all, and a writer that comes second adds its run to the version that it finds then, a few times at
+most. The store must have atomic exclusive renames of folders (HDFS and local disks do; plain object stores don't).
+Old versions stay readable until `vacuum`, which leaves alone whatever is younger than its grace period: a run that
+a writer has yet to commit is not lost.
+
+What the driver holds of a store are names of files, as Spark's own listing of any table does: a row for 128 MB once
+shards are merged. Packing shards into bins goes by groups of at most about GROUP_SHARDS of a tier.
 
 All columns are kept as they are, of any type and with nulls; repeated rows stay. An empty table gives a version with a
 shard of no rows or none.
@@ -14,8 +19,10 @@ shard of no rows or none.
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +34,10 @@ MANIFEST = "run string, name string, rows bigint, bytes bigint"
 SHARD_ROWS, TARGET_BYTES, FAN_IN, LEAST_BYTES = 4000, 128 << 20, 4, 1 << 20
 #: Bins that one job writes.
 BINS_A_JOB = 512
+#: Shards of a tier that are packed into bins together, about.
+GROUP_SHARDS = 50_000
+#: Seconds for which files outside of all versions stay, as a writer may yet commit them; turns that a losing writer takes.
+GRACE_S, ATTEMPTS = 86_400, 5
 
 
 class Store:
@@ -73,22 +84,33 @@ class Store:
         return [f"{self.root}/runs/{s['run']}/{s['name']}" for s in shards]
 
     def append(self, rows: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
-        base, run = (self.versions() or [0])[-1], f"a-{uuid.uuid4().hex}"
+        run = f"a-{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").option("maxRecordsPerFile", shard_rows).parquet(f"{self.root}/runs/{run}")
-        return self.commit(self.manifest(base or None).unionByName(self._listed(run, rows.schema)), base)
-
-    def compact(self, schema, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, least_bytes: int = LEAST_BYTES, bins_a_job: int = BINS_A_JOB) -> int | None:
-        """One round: merges every tier with at least fan_in shards below half the target. The new version, or None if no tier has."""
+        return self.add(self._listed(run, rows.schema))
+
+    def add(self, listed: DataFrame) -> int:
+        """Commits shards on top of the last version; after another writer's commit, on top of that."""
+        for turn in range(ATTEMPTS):
+            base = (self.versions() or [0])[-1]
+            try:
+                return self.commit(self.manifest(base or None).unionByName(listed), base)
+            except Py4JJavaError as lost:
+                if turn == ATTEMPTS - 1 or "FileAlreadyExists" not in str(lost.java_exception):
+                    raise
+
+    def compact(self, schema, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, least_bytes: int = LEAST_BYTES, bins_a_job: int = BINS_A_JOB, group_shards: int = GROUP_SHARDS) -> int | None:
+        """One round: merges every tier with at least fan_in shards below half the target. The new version, or None if no tier has. Another writer's commit meanwhile raises, and the merged files stay unused until vacuum."""
         known = self.versions()
         if not known:
             return None
         live = self.manifest(known[-1])
         tier = F.floor(F.log(F.greatest(F.col("bytes"), F.lit(least_bytes)) / least_bytes) / F.log(F.lit(float(fan_in))))
         small = live.where(F.col("bytes") < target_bytes / 2).withColumn("tier", tier)
-        full = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fan_in).select("tier")
-        order = W.partitionBy("tier").orderBy("bytes", "run", "name")
-        bins = small.join(full, "tier").withColumn("bin", F.floor((F.sum("bytes").over(order) - F.col("bytes")) / target_bytes))
-        groups = bins.groupBy("tier", "bin").agg(F.collect_list(F.struct("run", "name")).alias("shards")).where(F.size("shards") > 1).orderBy("tier", "bin").collect()
+        full = small.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= fan_in)
+        small = small.join(full, "tier").withColumn("part", F.pmod(F.xxhash64("run", "name"), F.ceil(F.col("n") / group_shards)))
+        order = W.partitionBy("tier", "part").orderBy("bytes", "run", "name")
+        bins = small.withColumn("bin", F.floor((F.sum("bytes").over(order) - F.col("bytes")) / target_bytes))
+        groups = bins.groupBy("tier", "part", "bin").agg(F.collect_list(F.struct("run", "name")).alias("shards")).where(F.size("shards") > 1).orderBy("tier", "part", "bin").collect()
         if not groups:
             return None
         made, gone = [], []
@@ -99,43 +121,63 @@ class Store:
                 one = self.spark.read.schema(schema).parquet(*self._files(g["shards"])).coalesce(1)
                 out = one if out is None else out.unionAll(one)
                 gone += [(s["run"], s["name"]) for s in g["shards"]]
-            out.write.option("compression", "zstd").parquet(f"{self.root}/runs/{run}")
+            self._write_each(out, f"{self.root}/runs/{run}")
             made.append(self._listed(run, schema))
         kept = live.join(self.spark.createDataFrame(gone, "run string, name string"), ["run", "name"], "left_anti").select("run", "name", "rows", "bytes")
         for x in made:
             kept = kept.unionByName(x)
         return self.commit(kept, known[-1])
 
+    def _write_each(self, bins: DataFrame, path: str) -> None:
+        """Writes a union of single partitions with a file for each; since 4.1 Spark would put them into one partition unless told otherwise."""
+        conf, name = self.spark.conf, "spark.sql.unionOutputPartitioning"
+        before = conf.get(name, "true")
+        conf.set(name, "false")
+        try:
+            bins.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(name, before)
+
     def read(self, schema, version: int | None = None) -> DataFrame:
         files = self._files(self.manifest(version).where("rows > 0").select("run", "name").collect())
         return self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes the versions but the last `keep`, and the shards that none of the others holds. Files deleted."""
+    def vacuum(self, keep: int = 1, grace_s: float = GRACE_S) -> int:
+        """Deletes the versions but the last `keep`, the shards that none of the others holds, and manifests of failed commits, all only if they are older than the grace period. Files deleted."""
+        old = time.time() * 1000 - grace_s * 1000
         known = self.versions()
-        for v in known[:-keep]:
-            self.fs.delete(self.path(f"{self.root}/manifest/v{v:08d}"), True)
-        live = {(r["run"], r["name"]) for v in known[-keep:] for r in self.manifest(v).select("run", "name").toLocalIterator()}
+        kept = set(known[-keep:])
+        for x in self.fs.listStatus(self.path(f"{self.root}/manifest")):
+            name = x.getPath().getName()
+            if x.getModificationTime() < old and not (name[:1] == "v" and int(name[1:]) in kept):
+                self.fs.delete(x.getPath(), True)
+        # what is still readable keeps its shards, young versions too
+        live = {(r["run"], r["name"]) for v in self.versions() for r in self.manifest(v).select("run", "name").toLocalIterator()}
         gone = 0
         for run in self.fs.listStatus(self.path(f"{self.root}/runs")):
             for x in self.fs.listStatus(run.getPath()):
                 name = x.getPath().getName()
-                if name.endswith(".parquet") and (run.getPath().getName(), name) not in live:
+                if name.endswith(".parquet") and x.getModificationTime() < old and (run.getPath().getName(), name) not in live:
                     gone += bool(self.fs.delete(x.getPath(), False))
         return gone
 
 
+#: Rows of a shard in the query: so few that even a thousand documents make a merge.
+QUERY_SHARD_ROWS = 250
+
+
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
-    """Documents through a store: appended, compacted until no tier is full, read back. A row for each document of the last version, with whether its shard is in the manifest with as many rows as its file."""
+    """Documents through a store: appended, compacted until no tier is full, read back. A row for each document of the last version, with whether its shard is in the manifest with as many rows as its file, and whether a merge wrote it."""
     docs = table(spark, sf_dir, "documents")
     store = Store(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(docs)
+    store.append(docs, QUERY_SHARD_ROWS)
     while store.compact(docs.schema) is not None:
         pass
     rows = store.read(docs.schema).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("_metadata.file_name").alias("name"))
     counted = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    sound = store.manifest().join(counted, "name").select("name", (F.col("rows") == F.col("n")).alias("shard_sound"))
-    return rows.join(sound, "name", "left").select("doc_id", "text_sha256", F.coalesce("shard_sound", F.lit(False)).alias("shard_sound"))
+    sound = store.manifest().join(counted, "name").select("name", (F.col("rows") == F.col("n")).alias("shard_sound"), F.startswith("run", F.lit("c-")).alias("shard_merged"))
+    return rows.join(sound, "name", "left").select("doc_id", "text_sha256", F.coalesce("shard_sound", F.lit(False)).alias("shard_sound"), F.coalesce("shard_merged", F.lit(False)).alias("shard_merged"))
 
 
-OP1_SQL = "select doc_id, sha256(text) as text_sha256, true as shard_sound from documents"
+#: Tables of a thousand documents or more make at least FAN_IN shards, so that all are merged.
+OP1_SQL = "select doc_id, sha256(text) as text_sha256, true as shard_sound, (select count(*) from documents) > 750 as shard_merged from documents"

@@ -469,7 +469,38 @@ def test_store_keeps_rows_and_commits_once(spark, odd, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in store.read(odd.schema, 2).collect()) == Counter((d, t) for d, t in ODD * 2)
     with pytest.raises(Exception):
         store.commit(store.manifest(), 3)  # version 4 exists
-    assert store.vacuum(keep=1) >= before and Counter((r["doc_id"], r["text"]) for r in store.read(odd.schema).collect()) == want
+    assert store.vacuum(keep=1) == 0 and len(store.versions()) == 4  # all is young
+    assert store.vacuum(keep=1, grace_s=0) >= before and store.versions() == [4]
+    assert Counter((r["doc_id"], r["text"]) for r in store.read(odd.schema).collect()) == want
+
+
+def test_store_loses_nothing_to_vacuum_or_other_writers(spark, odd, tmp_path):
+    """A run that is written and not yet committed survives a vacuum; a failed commit leaves no trace; a writer that loses commits on top of the winner."""
+    store, rows = sharding.Store(spark, f"file://{tmp_path}/v"), Counter(ODD)
+    store.append(odd)
+    odd.write.parquet(f"{store.root}/runs/late")
+    listed = store._listed("late", odd.schema)
+    assert store.vacuum() == 0
+    other = sharding.Store(spark, store.root)
+    base, first = store.versions()[-1], [True]
+    seen = store.versions
+    # the late writer looks up the last version, then another one commits
+    store.versions = lambda: seen() if not first or not first.pop() else (other.append(odd), [base])[1]
+    assert store.add(listed) == base + 2
+    store.versions = seen
+    assert Counter((r["doc_id"], r["text"]) for r in store.read(odd.schema).collect()) == Counter({k: 3 * n for k, n in rows.items()})
+    left = [x for x in (tmp_path / "v/manifest").iterdir() if x.name.startswith("_")]
+    assert len(left) == 1 and store.vacuum(grace_s=0) >= 0
+    assert not [x for x in (tmp_path / "v/manifest").iterdir() if x.name.startswith("_")]
+    assert store.read(odd.schema).count() == 3 * len(ODD)
+
+
+def test_shards_of_a_tier_are_packed_in_groups(spark, odd, tmp_path):
+    store = sharding.Store(spark, f"file://{tmp_path}/g")
+    store.append(odd.repartition(12), shard_rows=1)
+    n = store.manifest().where("rows > 0").count()
+    assert store.compact(odd.schema, group_shards=4) == 2 and 1 < store.manifest().where("rows > 0").count() < n
+    assert Counter((r["doc_id"], r["text"]) for r in store.read(odd.schema).collect()) == Counter(ODD)
 
 
 def test_empty_store(spark, empty, tmp_path):
