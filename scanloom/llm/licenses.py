@@ -2,13 +2,14 @@
 
 A unit is a whole document without its copyright lines, or one of its lines. A unit is normalised (case,
 punctuation, white space, equivalent spellings) and its digest is hash-joined with the digests of known
-licence texts and notices, whose number is fixed, so that they may be broadcast. Units whose length is no
-known text's are passed over before hashing, which loses nothing.
+licence texts and notices, whose number is fixed, so that they may be broadcast. Units that hold none of the
+ANCHORS, of which every known text holds one, are passed over unnormalised, and those whose normalised length is no
+known text's unhashed; neither loses anything.
 
 Whole licences are those of license_texts, besides the MIT and ISC texts of KNOWN: as wrapped there or with a line for each
 paragraph, and without what follows the end of the terms. The query's SQL holds KNOWN only.
 
-Null and empty texts hold no unit. Repeated rows of an id add up. Rows without an id are reported under null. Other columns are left out.
+Null and empty texts hold no unit. Long texts are scanned whole, line by line and as one unit. Repeated rows of an id add up. Rows without an id are reported under null. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -67,8 +68,10 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 TEXTS = Path(__file__).parent / "license_texts"
 END = "END OF TERMS AND CONDITIONS"
 
-#: ASCII characters that are neither letters nor digits.
-MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Characters that are neither letters nor digits, typographic quotes, dashes and blanks among them.
+MARKS = r"[^\p{L}\p{N}]+"
+#: Parts of words, untouched by SPELLINGS, that show a unit worth a closer look.
+ANCHORS = ("licen", "warrant", "permission", "redistribution")
 COPYRIGHT = r"(?i)^\s*(copyright\b|\(c\)|©|all rights reserved)"
 
 
@@ -96,21 +99,22 @@ def whole_texts() -> list[tuple[str, str]]:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """license_id, digest, chars."""
+    """license_id, digest, chars, shown (whether an anchor is in it)."""
     rows = spark.createDataFrame(known, "license_id string, text string").withColumn("n", normalised(without_copyright(F.col("text"))))
-    return rows.select("license_id", F.sha2("n", 256).alias("digest"), F.length("n").alias("chars")).distinct()
+    return rows.select("license_id", F.sha2("n", 256).alias("digest"), F.length("n").alias("chars"), F.col("n").rlike("|".join(ANCHORS)).alias("shown")).distinct()
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license_id, n_lines (lines that are a known text), whole (the document is one). Documents without any are left out. known: KNOWN and whole_texts() if None."""
     digests = known_digests(docs.sparkSession, KNOWN + whole_texts() if known is None else known)
     lengths = [r[0] for r in digests.select("chars").distinct().collect()]
-    text = F.col("text")
+    text, pattern = F.col("text"), "(?i)" + "|".join(ANCHORS)
+    shown = (lambda x: x.rlike(pattern)) if not digests.where(~F.col("shown")).limit(1).count() else (lambda x: F.lit(True))
     units = F.concat(
-        F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))),
+        F.transform(F.filter(F.split(text, "\n"), shown), lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole"))),
         F.array(F.struct(without_copyright(text).alias("unit"), F.lit(True).alias("whole"))),
     )
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").where(shown(text))
     rows = rows.select("doc_id", F.explode(units).alias("u")).where(F.length("u.unit") >= 1)
     rows = rows.select("doc_id", "u.whole", normalised(F.col("u.unit")).alias("n")).where(F.length("n").isin(lengths))
     # the known texts are a fixed list, far below any broadcast limit
