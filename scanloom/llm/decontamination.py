@@ -1,17 +1,20 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-Each document is read as windows of as many words as an item has. A window can only be similar to an
-item if enough of its five-word shingles are the item's, so windows without them are passed over (this
-loses nothing). A remaining window's 64-bit SimHash is looked up by its eight bytes: an item within the
-radius r differs in some byte by at most r // 8 bits, so the byte tables give every item within it. Items
-within the radius are then verified by the exact weighted Jaccard similarity of the shingles.
+Each document is read as windows of as many words as an item has. A window's 64-bit SimHash is looked up by its eight
+bytes: an item within the radius r differs in some byte by at most r // 8 bits, so the byte tables give every item
+within it. Items within the radius are then verified by the exact weighted Jaccard similarity of the shingles.
 
-Two texts with similarity 0.8 differ in 9.7 of 64 bits on average (standard deviation 2.9); the radius of 24
-lies five deviations above that.
+Windows are screened before they are fingerprinted: one that holds too few shingles of every item can have no similar item,
+so passing it over loses nothing (an exact bound, not a guess). The screen leaves a few windows in a million on
+texts without benchmark passages; without it, every window of every item length would be fingerprinted. At
+similarity 0.8 fingerprints differ in 9.7 of 64 bits on average (standard deviation 2.9), so the radius of 23
+lies 4.6 deviations above that; a random item shares some byte within 2 bits with probability 0.71, which is why the
+tables alone select little at such a similarity.
 
 Items come to the tasks in parts of at most part_words words, one part in each pass over the documents,
 so that what is broadcast has a bound. Texts or items without a word match nothing; an item shorter than
-five words is a single shingle. Repeated items and documents give a row for each pair of ids; rows without an id stay in (null).
+five words is a single shingle. Repeated items and documents give a row for each pair of ids; rows without an id stay in (null). Texts are read whole,
+a few at a time if they are long. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .shingles import WordHashes, shingle_hashes
 
 #: Words of items in one pass over the documents.
 PART_WORDS = 2_000_000
-RADIUS = 24
+RADIUS = 23
 BITS = 22
 
 
@@ -68,17 +71,22 @@ class Items:
         self.filter = np.zeros(1 << BITS, bool)
         self.filter[(self.known & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
         self.of = of
-        near = [[v for v in range(256) if (v ^ x).bit_count() <= radius // 8] for x in range(256)]
-        self.bytes = [defaultdict(list) for _ in range(8)]
-        for at, mark in enumerate(self.marks):
-            for b in range(8):
-                for v in near[mark >> 8 * b & 255]:
-                    self.bytes[b][v].append(at)
-
-    def within(self, mark: int) -> set[int]:
+        self.marks = np.array(self.marks, np.uint64)
+        # by byte and value: where the items with that byte begin, sorted by value
+        self.tables = []
+        for b in range(8):
+            own = (self.marks >> np.uint64(8 * b)).astype(np.int64) & 255
+            order = np.argsort(own, kind="stable").astype(np.int32)
+            self.tables.append((np.searchsorted(own[order], np.arange(257)).tolist(), order))
+        self.near = [[v for v in range(256) if (v ^ x).bit_count() <= radius // 8] for x in range(256)]
+
+    def within(self, mark: int) -> list[int]:
         """Items within the radius of a fingerprint, by the byte tables."""
-        found = {at for b in range(8) for at in self.bytes[b].get(mark >> 8 * b & 255, ())}
-        return {at for at in found if (self.marks[at] ^ mark).bit_count() <= self.radius}
+        some = [order[starts[v] : starts[v + 1]] for b, (starts, order) in enumerate(self.tables) for v in self.near[mark >> 8 * b & 255] if starts[v] < starts[v + 1]]
+        if not some:
+            return []
+        found = np.unique(np.concatenate(some))
+        return found[np.bitwise_count(self.marks[found] ^ np.uint64(mark)) <= self.radius].tolist()
 
     def exact(self, shingles: np.ndarray, at: int) -> float:
         own, other = self.counts[at], dict(zip(*(x.tolist() for x in np.unique(shingles, return_counts=True))))
@@ -144,7 +152,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         hashes, index = WordHashes(), sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for at, (similarity, start, n) in sorted(index.search(hashes.of(text)).items()):

@@ -367,7 +367,7 @@ def test_decontamination_equals_all_windows(spark, odd, empty):
     rng = random.Random(9)
     items = [(i, " ".join(words(rng, n, 2000))) for i, n in enumerate((20, 33, 50, 3, 20))] + [(9, None), (10, "..."), (11, None)]
     items.append((12, items[0][1].upper()))
-    docs = list(ODD[:3]) + [(None, items[0][1])]
+    docs = list(ODD) + [(None, items[0][1])]
     for i in range(40):
         w = words(rng, 150, 2000)
         part = items[i % 5][1].split()
@@ -376,6 +376,7 @@ def test_decontamination_equals_all_windows(spark, odd, empty):
         at = rng.randrange(150)
         docs.append((100 + i, " ".join(w[:at] + (part if i % 4 else []) + w[at:])))
     docs.append((999, items[1][1][: len(items[1][1]) // 2]))
+    docs.append((998, " ".join(words(rng, 3000, 2000)) + " " + items[2][1] + " " + " ".join(words(rng, 3000, 2000))))
     df, known = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     want, hashes = {}, shingles.WordHashes()
     for d, t in docs:
@@ -395,6 +396,11 @@ def test_decontamination_equals_all_windows(spark, odd, empty):
     for size in (2_000_000, 30):
         got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontamination.matches(df, known, part_words=size).collect()}
         assert got == want and len(want) >= 10
+    # the byte tables give what a look at every fingerprint gives
+    index = decontamination.Items(items)
+    for i in range(200):
+        mark = rng.getrandbits(64) if i % 2 else int(index.marks[i % len(index.marks)]) ^ sum(1 << b for b in rng.sample(range(64), i % 30))
+        assert index.within(mark) == [at for at, m in enumerate(index.marks.tolist()) if (m ^ mark).bit_count() <= decontamination.RADIUS]
     flags = {r["doc_id"]: r["x"] for r in df.select("doc_id", decontamination.contaminated(known, F.col("text")).alias("x")).collect()}
     assert all(flags[d] == any(k[0] == d for k in want) for d in flags)
     assert decontamination.matches(empty, known).count() == 0 and decontamination.matches(odd, known.limit(0)).count() == 0
@@ -438,6 +444,12 @@ def test_licenses(spark, odd, empty):
     got = {(r["doc_id"], r["license_id"]): (r["n_lines"], r["whole"]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert got == {(1, "MIT"): (0, True), (2, "MIT"): (2, True), (4, "CC-BY-NC-4.0"): (1, True)}
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
+    web = mit.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u201cAS\u00a0IS\u201d").replace(" ", "\u2009", 3)
+    more = spark.createDataFrame([(7, web), (8, "\u2014 Released under the MIT\u00a0License. \u2014\n" + "long line " * 50_000)], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["license_id"], r["n_lines"], r["whole"]) for r in licenses.scan(more).collect()} == {(7, "MIT", 0, True), (8, "MIT", 1, False)}
+    # a known text without any anchor is found as well
+    plain = licenses.scan(spark.createDataFrame([(1, "Do what\nyou, WANT."), (2, "x\nyou want")], "doc_id bigint, text string"), [("X", "Do what you want"), ("Y", "you want")])
+    assert {(r["doc_id"], r["license_id"], r["n_lines"], r["whole"]) for r in plain.collect()} == {(1, "X", 0, True), (1, "Y", 1, False), (2, "Y", 1, False)}
 
 
 def test_whole_licenses(spark):
