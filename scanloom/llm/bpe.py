@@ -1,13 +1,16 @@
 """Byte-level BPE over a public rank file: global distinct-word shuffle.
 
-Pre-tokens are cut per document and numbered within a block of documents. What is shuffled is each
-block's distinct pre-tokens, dealt into buckets by their hash: a bucket holds a pre-token of all blocks, so
-that it is encoded once. The ids come back to the blocks, whose documents (as sequences of numbers) lie in a
-table bucketed by block and so don't move, and each document is reassembled by position. Decoding
-joins the ids with the token-byte table of the rank file (fixed size).
+Pre-tokens are cut per document and numbered within a block, which is closed once it has block_chars characters (checked every
+8 MB of text). A document is the sequence of its pre-tokens' numbers, so places are positions in that sequence. What is
+shuffled is each block's distinct pre-tokens with their numbers, dealt into buckets by their hash: a bucket meets in one task, holds a
+pre-token of all blocks, and encodes it once. The ids are joined back to the blocks on (block, number); documents
+lie in a table bucketed by block and so don't move, and each is reassembled by position. Decoding joins the ids
+with the token-byte table of the rank file (fixed size). The pre-tokens of a block and bucket travel as one packed
+row: a row for each of them was estimated at over twice the shuffled bytes, beyond the disk that this may use.
+Working tables stay in the shared folder, one of them named bpe_blocks_<uuid> in the catalog.
 
 Rows are independent: repeated ids or repeated rows give a row each. A null text counts as empty and
-gives no ids. Columns besides the id and the text are left out, so clashing names cannot arise.
+gives no ids. A very long text is a block of its own, in one task, as its row is. Columns besides the id and the text are left out, so clashing names cannot arise.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, table
+from .common import bucketed, slices, table
 
 #: Characters of text after which a task closes its block; it bounds a block's memory.
 BLOCK_CHARS = 32_000_000
 BLOCKS = "block bigint, bucket int, doc_id bigint, numbers binary, words binary"
-#: Distinct pre-tokens that a task remembers the ids of, at most.
+#: Pre-tokens that a task remembers the ids of, at most; beyond that a pre-token may be encoded again, to the same ids.
 MOST_WORDS = 1_000_000
 
 
@@ -44,8 +47,12 @@ def rank_table(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x)}
 
 
+#: Takes a text as one pre-token.
+WHOLE = r"(?s:.+)"
+
+
 @lru_cache(maxsize=2)
-def _encoding(raw: bytes, pattern: str):
+def encoding(raw: bytes, pattern: str = WHOLE):
     import tiktoken
 
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=rank_table(raw), special_tokens={})
@@ -104,8 +111,7 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, buck
             )
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        for part in slices(batch, most_bytes=min(block_chars, 8 << 20)):
             block, data = (task << 24) + blocks, []
             for text in part.column(1).to_pylist():
                 found = find(text or "")
@@ -122,10 +128,10 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, buck
     yield from words((task << 24) + blocks)
 
 
-def _encode_words(batches: Iterator[pa.RecordBatch], raw: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
+def _encode_words(batches: Iterator[pa.RecordBatch], raw: bytes) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    encode, codec = _encoding(raw, pattern)._encode_single_piece, zstandard.ZstdDecompressor()
+    encode, codec = encoding(raw).encode_ordinary, zstandard.ZstdDecompressor()
     known: dict[bytes, bytes] = {}
     for batch in batches:
         for row in range(batch.num_rows):
@@ -135,7 +141,7 @@ def _encode_words(batches: Iterator[pa.RecordBatch], raw: bytes, pattern: str) -
                 if ids is None:
                     if len(known) >= MOST_WORDS:
                         known.clear()
-                    known[w] = ids = np.array(encode(w), "<u4").tobytes()
+                    known[w] = ids = np.array(encode(w.decode()), "<u4").tobytes()
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack_bytes(out)], pa.binary())], ["of_block", "bucket", "ids"])
 
@@ -170,7 +176,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = bucketed(texts.mapInArrow(lambda it: _cut(it, pattern, block_chars, buckets), BLOCKS), "bpe_blocks", buckets, "block")
     words = cut.where("bucket is not null").select("block", "bucket", "words").repartition(buckets, "bucket")
-    encoded = words.mapInArrow(lambda it: _encode_words(it, raw, pattern), "of_block bigint, bucket int, ids binary")
+    encoded = words.mapInArrow(lambda it: _encode_words(it, raw), "of_block bigint, bucket int, ids binary")
     return (
         cut.select("block", "bucket", "doc_id", "numbers").groupBy("block")
         .cogroup(encoded.groupBy("of_block"))

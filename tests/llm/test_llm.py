@@ -42,7 +42,7 @@ def words(rng, n, size=400):
 
 def test_bpe_equals_tiktoken_and_round_trips(spark, odd, empty):
     with open(RANKS, "rb") as f:
-        whole = bpe._encoding(f.read(), P.PATTERN)
+        whole = bpe.encoding(f.read(), P.PATTERN)
     got = bpe.encode_decode(odd, RANKS, P.PATTERN, block_chars=1000).collect()
     want = Counter((d, np.array(whole.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in ODD)
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got) == want
