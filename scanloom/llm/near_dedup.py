@@ -16,10 +16,13 @@ near copies costs a row for each member and band.
 
 With 24 bands of 6 slots a pair of similarity 0.8 shares a bucket with probability 0.9993, of 0.9 with 1 - 1e-8. The
 agreement is read from 4 bits of each of 248 slots: the estimate of a pair of similarity 0.8 has a standard deviation of
-0.026 and is below 0.72 with probability 0.001, that of one of 0.85 with 1e-7.
+0.026 and is below 0.72 with probability 0.001, that of one of 0.85 with 1e-7. least_agreement=None does without that
+estimate. A bucket of n texts that are all alike up to just below the threshold, but not linked, costs n * n such estimates
+(a few machine words each, in generated code; adaptive execution splits the bucket), and each near pair a verification.
 
 Null and empty texts are copies of each other, and texts without a word are copies if they are equal. Rows without an
-id get a class of null and link nothing. Repeated rows and ids each get a row.
+id get a class of null and link nothing. Repeated rows and ids each get a row. Texts are read whole, a few at a time if
+they are long; columns besides the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import slices, table, written
 from .components import components
 from .shingles import WordHashes, mixed, shingle_hashes, words_of
 
@@ -113,8 +116,7 @@ def banded(signature: np.ndarray, bands: int) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for part in slices(batch, most_rows=500, most_bytes=2 << 20):
             texts = part.column(1).to_pylist()
             all_shingles = [shingle_hashes(hashes.of(x), SHINGLE) for x in texts]
             full = [i for i, x in enumerate(all_shingles) if len(x)]
@@ -168,8 +170,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.where(alike("a", "a_text", "b", "b_text")).select("a", "b")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the lowest id of its class) for every row."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, least_agreement: float | None = LEAST_AGREEMENT) -> DataFrame:
+    """doc_id, class_id (the lowest id of its class) for every row. least_agreement None: every pair of different components in a bucket is verified."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = written(texts.where("doc_id is not null").mapInArrow(_signed, "doc_id bigint, text_key binary, size bigint, bands array<bigint>, planes array<bigint>"), "signatures")
     kinds = signed.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.first("bands").alias("bands"))
@@ -203,7 +205,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     # pairs with the leader have been verified
     new = (F.col("text_key") != F.col("leader")) & (F.col("b") != F.col("leader"))
     apart = (F.col("component") != F.col("other_component")) & once & new & fits
-    near = marked.join(other, "bucket").where(apart & F.expr(f"{agree} >= {LEAST_AGREEMENT}") & F.expr(first_shared("bands", "other_bands", "band")))
+    likely = F.lit(True) if least_agreement is None else F.expr(f"{agree} >= {least_agreement}")
+    near = marked.join(other, "bucket").where(apart & likely & F.expr(first_shared("bands", "other_bands", "band")))
     more = written(near.select(F.col("text_key").alias("a"), "b"), "pairs")
     if not more.isEmpty():
         # components grow by links between them: those are few, whatever the number of links within

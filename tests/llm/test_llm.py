@@ -321,6 +321,8 @@ def test_near_dedup_equals_brute_force_in_a_wide_group(spark):
     want = by_hand(docs)
     # pairs at the very threshold may share no bucket (probability below 0.002 each)
     assert sum(got[d] != want[d] for d in want) <= 1
+    every = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(docs, "doc_id bigint, text string"), least_agreement=None).collect()}
+    assert sum(every[d] != want[d] for d in want) <= 1
 
 
 def test_near_dedup_links_pairs_away_from_leaders(spark):
