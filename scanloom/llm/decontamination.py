@@ -5,8 +5,8 @@ bytes: an item within the radius r differs in some byte by at most r // 8 bits,
 within it. Items within the radius are then verified by the exact weighted Jaccard similarity of the shingles.
 
 Windows are screened before they are fingerprinted: one that holds too few shingles of every item can have no similar item,
-so passing it over loses nothing (an exact bound, not a guess). The screen leaves a few windows in a million on
-texts without benchmark passages; without it, every window of every item length would be fingerprinted. At
+so passing it over loses nothing (an exact bound, not a guess). At sf0.1 the screen leaves 2,816 of 154.5 million windows,
+nearly all of them in the 247 documents that hold items; without it, every window of every item length would be fingerprinted. At
 similarity 0.8 fingerprints differ in 9.7 of 64 bits on average (standard deviation 2.9), so the radius of 23
 lies 4.6 deviations above that; a random item shares some byte within 2 bits with probability 0.71, which is why the
 tables alone select little at such a similarity.
