@@ -249,11 +249,48 @@ def is_valid_target(target: Col, web: bool = False) -> Column:
 
 def ipv4_number(ip: Col) -> Column:
     parts = F.split(_c(ip), r"\.")
-    n = lambda i: F.expr("x").cast("bigint") if False else F.try_element_at(parts, F.lit(i)).try_cast("bigint")
+    n = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("bigint")
     fits = F.size(parts) == 4
     return F.when(fits & F.forall(parts, lambda x: x.rlike(r"^\d{1,3}$") & (x.try_cast("int") <= 255)), n(1) * 16777216 + n(2) * 65536 + n(3) * 256 + n(4))
 
 
+def _let(value: Column, body) -> Column:
+    """body with value computed once, as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def address_hex(ip: Col) -> Column:
+    """8 hexadecimal digits of an IPv4 address, 32 of an IPv6 one (also with :: and with an IPv4 tail); null for anything else."""
+    pair = lambda h: F.concat(F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4))
+    digits = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
+
+    def groups(sides: Column) -> Column:
+        """Eight groups, :: standing for as many zeros as are lacking."""
+        of = lambda i: F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+        both = F.struct(of(0).alias("left"), of(1).alias("right"), F.size(sides).alias("n"))
+        lacking = lambda x: 8 - F.size(x["left"]) - F.size(x["right"])
+        return _let(both, lambda x: F.when((x["n"] == 2) & (lacking(x) > 0), F.concat(x["left"], F.array_repeat(F.lit("0"), lacking(x)), x["right"])).when((x["n"] == 1) & (lacking(x) == 0), x["left"]))
+
+    def six(text: Column) -> Column:
+        whole = F.when(~text.rlike("(^|[^:]):$|^:[^:]|:::"), groups(F.split(text, "::")))
+        return _let(whole, lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")))
+
+    def any_form(text: Column) -> Column:
+        tail = ipv4_number(F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1))
+        plain = _let(tail, lambda n: F.when(n.isNull(), text).otherwise(F.concat(F.regexp_replace(text, r"\d+\.\d+\.\d+\.\d+$", ""), pair(digits(n)))))
+        return F.when(F.contains(text, F.lit(":")), _let(plain, six)).otherwise(digits(ipv4_number(text)))
+
+    return _let(F.lower(F.trim(_c(ip))), any_form)
+
+
+def address_prefix(digits: Col, bits: Col) -> Column:
+    """The first bits of address_hex, as text that is equal for equal prefixes of one length."""
+    d, n = _c(digits), _c(bits)
+    next_digit = F.conv(F.substring(d, F.floor(n / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
+    rest = F.when(n % 4 > 0, F.floor(next_digit / F.pow(F.lit(2), 4 - n % 4)).cast("int").cast("string")).otherwise("")
+    return F.concat(F.substring(d, F.lit(1), F.floor(n / 4).cast("int")), F.lit("/"), rest)
+
+
 def platform_of(system: Col, verbose: Col) -> Column:
     v = F.lower(_c(verbose))
     named = F.when(F.startswith(v, F.lit("windows")), "windows").when(F.startswith(v, F.lit("linux")), "linux").when(F.startswith(v, F.lit("darwin")), "darwin")

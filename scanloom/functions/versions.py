@@ -47,14 +47,22 @@ def version_key(version: Col) -> Column:
     return F.when(head == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(head, r"\."), lambda x: x.try_cast("bigint")))
 
 
-def version_in_range(target: Col, exact: Col, start: Col, end: Col) -> Column:
-    """Whether a version is the exact one (or goes on from it after . - p _), or else lies in the bounds.
+def parsed_version(version: Col) -> Column:
+    """What version_in_range reads of a version: its first word and its key."""
+    t = F.split_part(F.coalesce(_c(version), F.lit("")), F.lit(" "), F.lit(1))
+    return F.struct(t.alias("text"), version_key(t).alias("key"))
 
-    Without an end, a version more than one major number past the start is out. A bound that isn't a version matches nothing.
-    """
-    t = F.split_part(F.coalesce(_c(target), F.lit("")), F.lit(" "), F.lit(1))
+
+def parsed_range(exact: Col, start: Col, end: Col) -> Column:
+    """What version_in_range reads of a record."""
     x, lo, hi = (F.coalesce(_c(v), F.lit("")) for v in (exact, start, end))
-    tk, lk, hk = version_key(t), version_key(lo), version_key(hi)
+    return F.struct(x.alias("exact"), lo.alias("low"), hi.alias("high"), version_key(lo).alias("low_key"), version_key(hi).alias("high_key"))
+
+
+def in_parsed_range(version: Col, bounds: Col) -> Column:
+    """version_in_range over parsed sides: comparisons only, fit for the condition of a join."""
+    v, r = _c(version), _c(bounds)
+    t, tk, x, lo, hi, lk, hk = v["text"], v["key"], r["exact"], r["low"], r["high"], r["low_key"], r["high_key"]
     exactly = (t == x) | (F.startswith(t, x) & F.substring(t, F.length(x) + 1, F.lit(1)).isin(".", "-", "p", "_"))
     above = (lo == "") | ((F.size(lk) > 0) & (lk <= tk) & ((hi != "") | (F.get(tk, F.lit(0)) <= F.get(lk, F.lit(0)) + 1)))
     below = (hi == "") | ((F.size(hk) > 0) & (tk <= hk))
@@ -63,6 +71,14 @@ def version_in_range(target: Col, exact: Col, start: Col, end: Col) -> Column:
     return F.coalesce(~t.isin("", "*") & found, F.lit(False))
 
 
+def version_in_range(target: Col, exact: Col, start: Col, end: Col) -> Column:
+    """Whether a version is the exact one (or goes on from it after . - p _), or else lies in the bounds.
+
+    Without an end, a version more than one major number past the start is out. A bound that isn't a version matches nothing.
+    """
+    return in_parsed_range(parsed_version(target), parsed_range(exact, start, end))
+
+
 def plausible_version(version: Col) -> Column:
     return F.coalesce(_c(version).rlike(r"^[0-9]+(\.[0-9]+){0,4}[a-z0-9]*\z"), F.lit(False))
 

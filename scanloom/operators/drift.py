@@ -173,6 +173,12 @@ def header(drift: DataFrame, previous: DataFrame) -> DataFrame:
     return previous.join(c, "target", "left").na.fill(0, ["new", "worsened", "back", "resolved"]).select("target", "new", "worsened", "back", "resolved", line.alias("drift_header"))
 
 
+def resolved_list(drift: DataFrame, state: DataFrame) -> DataFrame:
+    """target, resolved: what each target's last scan has found gone, as the state knew it, in key order. Targets without any are left out."""
+    gone = drift.where("status = 'RESOLVED'").select("target", "finding_key").join(state.select("target", "finding_key", "source", "cvss", "severity", "first_seen", "last_seen"), ["target", "finding_key"])
+    return gone.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("finding_key", "source", "cvss", "severity", "first_seen", "last_seen"))).alias("resolved"))
+
+
 def as_drift_map(diff: DataFrame, open_state: DataFrame) -> DataFrame:
     """Open findings with the last diff's status where it is a live one, else PERSISTING."""
     d = diff.select("target", "finding_key", F.col("status").alias("_s"))

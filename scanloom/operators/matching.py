@@ -6,48 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scanloom.functions.scalars import ipv4_number, severity_bucket
-from scanloom.functions.versions import cpe_base, cpe_part, cpe_version, version_in_range
+from scanloom.functions.scalars import address_hex, address_prefix, severity_bucket
+from scanloom.functions.versions import cpe_base, cpe_part, cpe_version, in_parsed_range, parsed_range, parsed_version
 
-#: Records of exploit feeds that are joined by broadcast, at most; above that Spark shuffles both sides.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a side that is joined by broadcast, at most, by Spark's estimate of its plan; above that Spark shuffles both sides.
+BROADCAST_BYTES = 16 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, as it is otherwise."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if Spark's estimate of its size is at most `most` bytes, as it is otherwise. Nothing is run for it."""
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else df
 
 
 def match_versions(services: DataFrame, records: DataFrame, allow_non_app: bool = False) -> DataFrame:
     """A row for each service (with cpe) and vulnerability record in whose version range it lies.
 
-    The product base is the join key and the range the residual; both are Columns, so they stay in codegen, and
-    hot products are split by adaptive execution. A vulnerability that matches by two ranges stands twice.
+    The product base is the join key and the range the residual. Versions are parsed once a row on each side before the
+    join, so that a pair costs comparisons only; hot products are split by adaptive execution. A vulnerability that matches by two ranges stands twice.
     """
     s = services.where((cpe_part("cpe") == "a") | F.lit(allow_non_app)).withColumn("cpe_base", cpe_base("cpe")).where("cpe_base is not null")
-    hit = version_in_range(cpe_version("cpe"), "vulnerable_version", "version_start_including", "version_end_including")
-    return s.join(records, "cpe_base").where(hit)
+    s = s.withColumn("_version", parsed_version(cpe_version("cpe")))
+    r = records.withColumn("_range", parsed_range("vulnerable_version", "version_start_including", "version_end_including"))
+    return s.join(r, "cpe_base").where(in_parsed_range("_version", "_range")).drop("_version", "_range")
 
 
 def useful(matches: DataFrame) -> DataFrame:
     return matches.where((F.col("cvss_score") > 0) & (F.col("severity") != "UNKNOWN"))
 
 
-def top_cves(order: list[Column], row: Column, k: int = 5) -> Column:
-    """The first k rows in an order, as an aggregate. Sorted pairs, not whole groups, are what a reader keeps."""
-    keyed = F.struct(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("o"), row.alias("r"))
-    return F.transform(F.slice(F.sort_array(F.collect_list(keyed)), 1, k), lambda x: x["r"])
-
-
 def condensed(services: DataFrame, matches: DataFrame, keys: list[str], k: int = 5, links: int = 4, links_a_cve: int = 2, keep_unmatched: bool = True) -> DataFrame:
-    """Per service: highest score, critical and high counts, its k worst records and up to `links` distinct links in the order of the records."""
+    """Per service: highest score, critical and high counts, its k worst records and up to `links` distinct links in the order of the records.
+
+    Records are ranked first, so that a task keeps k of a service before the shuffle and no more than k are collected.
+    """
     row = F.struct("cve_id", "cvss_score", "severity", F.slice(F.coalesce("patch_links", F.array().cast("array<string>")), 1, links_a_cve).alias("patch_links"))
-    agg = matches.groupBy(*keys).agg(
-        F.max("cvss_score").alias("highest_cvss"),
-        F.count_if(F.col("severity") == "CRITICAL").alias("critical_count"),
-        F.count_if(F.col("severity") == "HIGH").alias("high_count"),
-        top_cves([-F.col("cvss_score"), F.col("cve_id")], row, k).alias("cves"),
-    )
+    counts = matches.groupBy(*keys).agg(F.max("cvss_score").alias("highest_cvss"), F.count_if(F.col("severity") == "CRITICAL").alias("critical_count"), F.count_if(F.col("severity") == "HIGH").alias("high_count"))
+    worst = matches.select(*keys, "cvss_score", "cve_id", row.alias("_row")).withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("cvss_score"), "cve_id", F.col("_row.patch_links")))).where(F.col("_n") <= k)
+    top = worst.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_row"))), lambda x: x["_row"]).alias("cves"))
+    agg = counts.join(top, keys)
     out = services.join(agg, keys, "left" if keep_unmatched else "inner")
     flat = F.flatten(F.transform(F.coalesce("cves", F.array().cast(agg.schema["cves"].dataType)), lambda c: c["patch_links"]))
     return out.withColumns({
@@ -108,17 +104,20 @@ def changed_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return listing.join(old, "path", "left").withColumn("state", state).drop("_old")
 
 
-def in_networks(hosts: DataFrame, networks: DataFrame, most: int = 10_000) -> DataFrame:
-    """hosts (ip) with in_scope: whether some network (cidr, IPv4) holds the address.
+def in_networks(hosts: DataFrame, networks: DataFrame) -> DataFrame:
+    """hosts (ip) with in_scope: whether some network (cidr, IPv4 or IPv6; host bits may be set) holds the address.
 
-    A few networks are broadcast as ranges; more are matched by the networks' own prefix lengths, an equi-join for each length.
+    Addresses meet networks by equal prefixes, of the lengths that occur in the networks only (162 at most, so those are broadcast).
     """
-    cidr = networks.select(ipv4_number(F.split_part("cidr", F.lit("/"), F.lit(1))).alias("n"), F.coalesce(F.nullif(F.split_part("cidr", F.lit("/"), F.lit(2)), F.lit("")), F.lit("32")).cast("int").alias("bits"))
-    cidr = cidr.where("n is not null").select("bits", F.expr("n div shiftleft(1L, 32 - bits)").alias("prefix")).distinct()
-    rows = hosts.withColumn("_n", ipv4_number("ip"))
-    lengths = F.array(*[F.struct(F.lit(b).alias("bits"), F.expr(f"_n div shiftleft(1L, {32 - b})").alias("prefix")) for b in range(33)])
-    held = rows.select("ip", F.explode(lengths).alias("p")).select("ip", "p.*").join(small(cidr, most), ["bits", "prefix"], "left_semi").select("ip").distinct()
-    return rows.drop("_n").join(held.withColumn("in_scope", F.lit(True)), "ip", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
+    whole = F.split(F.trim("cidr"), "/")
+    nets = networks.select(address_hex(F.get(whole, F.lit(0))).alias("digits"), F.get(whole, F.lit(1)).try_cast("int").alias("given"), (F.size(whole) == 2).alias("said"))
+    nets = nets.where("digits is not null and (given is not null or not said) and coalesce(given, 0) between 0 and length(digits) * 4")
+    nets = nets.select(F.length("digits").alias("width"), F.coalesce("given", F.length("digits") * 4).alias("bits"), "digits")
+    nets = nets.select("width", "bits", address_prefix("digits", "bits").alias("prefix")).distinct()
+    rows = hosts.withColumn("_digits", address_hex("ip"))
+    seen = rows.select("ip", "_digits", F.length("_digits").alias("width")).distinct().join(F.broadcast(nets.select("width", "bits").distinct()), "width")
+    held = seen.select("ip", "width", "bits", address_prefix("_digits", "bits").alias("prefix")).join(nets, ["width", "bits", "prefix"], "left_semi").select("ip").distinct()
+    return rows.drop("_digits").join(held.withColumn("in_scope", F.lit(True)), "ip", "left").withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
 
 
 def nearest_ancestor(paths: DataFrame, groups: DataFrame, root: str) -> DataFrame:
@@ -137,6 +136,12 @@ def first_profile(products: DataFrame, profiles: DataFrame, tiers: list[str]) ->
     return found, products.join(found, "product", "left_anti")
 
 
+def with_markers(reported: DataFrame, findings: DataFrame, keys: list[str], marks: list[str]) -> DataFrame:
+    """Report rows with the columns `marks` of the finding of equal `affected`; of several the last by ref. Unknown ones get nulls."""
+    last = findings.groupBy(*keys, "affected").agg(F.max_by(F.struct(*marks), "ref").alias("_m"))
+    return reported.join(last, [*keys, "affected"], "left").select(*reported.columns, *[F.col(f"_m.{c}").alias(c) for c in marks])
+
+
 def severity_mismatches(reported: DataFrame, findings: DataFrame, keys: list[str]) -> DataFrame:
     """Reported rows whose `affected` is unknown or whose severity differs."""
     known = findings.groupBy(*keys, "affected").agg(F.max_by("severity", "ref").alias("_known"))

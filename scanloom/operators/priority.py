@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from scanloom.functions.scalars import mapped, severity_of_rank, severity_rank
 
+from .drift import as_drift_map
+from .findings import default_credentials
+from .state import open_table
+
 #: Weights, term values and thresholds; fixed values.
 WEIGHTS = {"S": 0.30, "E": 0.25, "X": 0.20, "D": 0.15, "A": 0.05, "F": 0.05}
 EXPOSURE = {"network": 1.0, "iot_defaults": 1.0, "web": 1.0, "malware": 1.0, "host_os": 0.6, "host_audit": 0.5, "filesystem": 0.4}
@@ -56,6 +60,14 @@ def correlation_bonus(keys: list[str], on: Column) -> Column:
     return F.when(on.isNotNull() & (n >= 2), F.least(F.lit(BONUS_CAP), BONUS_EACH * (n - 1))).otherwise(0.0)
 
 
+def with_default_creds(findings: DataFrame) -> DataFrame:
+    """findings with default_creds: as given, else by the scripts' output, else null."""
+    if "default_creds" in findings.columns:
+        return findings
+    return findings.withColumn("default_creds", default_credentials() if "script_findings" in findings.columns else F.lit(None).cast("boolean"))
+
+
+#: The texts of the escalations are fixed values too.
 def escalations() -> Column:
     has = lambda c: F.coalesce(F.col(c), F.lit(False))
     return F.array_compact(F.array(
@@ -68,7 +80,8 @@ def escalations() -> Column:
 
 def scored(findings: DataFrame, keys: list[str], on: Column | None = None) -> DataFrame:
     """findings with terms, correlation_bonus, score, escalations, band, priority_explanation. Columns that are missing count as null."""
-    kinds = {"kev": "boolean", "epss_percentile": "double", "drift_status": "string", "age_days": "bigint", "remediation_refs": "array<string>", "default_creds": "boolean", "reappearance_count": "bigint", "affected": "string"}
+    kinds = {"kev": "boolean", "epss_percentile": "double", "drift_status": "string", "age_days": "bigint", "remediation_refs": "array<string>", "reappearance_count": "bigint", "affected": "string"}
+    findings = with_default_creds(findings)
     rows = findings.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in findings.columns})
     t = terms()
     rows = rows.withColumn("terms", F.struct(*[x.alias(k) for k, x in t.items()])).withColumn("correlation_bonus", correlation_bonus(keys, asset() if on is None else on))
@@ -96,7 +109,8 @@ def split_by_band(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def overall_risk(findings: DataFrame, keys: list[str]) -> DataFrame:
     """The worst severity of a set of findings, or critical: malware of high or more, default credentials, a reachable known or likely exploit, or three findings of high or more."""
-    findings = findings.withColumns({c: F.lit(None).cast(t) for c, t in (("default_creds", "boolean"), ("kev", "boolean"), ("epss_percentile", "double")) if c not in findings.columns})
+    findings = with_default_creds(findings)
+    findings = findings.withColumns({c: F.lit(None).cast(t) for c, t in (("kev", "boolean"), ("epss_percentile", "double")) if c not in findings.columns})
     rank = severity_rank("severity")
     rising = (
         ((F.col("source") == "malware") & (rank >= 2)) | F.coalesce("default_creds", F.lit(False))
@@ -104,3 +118,13 @@ def overall_risk(findings: DataFrame, keys: list[str]) -> DataFrame:
     )
     agg = findings.groupBy(*keys).agg(F.max(rank).alias("worst"), F.count_if(rank >= 2).alias("high"), F.bool_or(rising).alias("rising"))
     return agg.select(*keys, F.when(F.col("rising") | (F.col("high") >= 3), "critical").otherwise(severity_of_rank("worst")).alias("overall_risk"))
+
+
+def open_ranked(state: DataFrame, diff: DataFrame, intel: DataFrame) -> DataFrame:
+    """Open findings of each target without a new scan, ranked: the open table, the last diff's verdicts where they are live ones, and exploit intel.
+
+    state: the state table; diff: target, finding_key, status; intel: target, finding_key, kev, epss_percentile.
+    """
+    marked = as_drift_map(diff, open_table(state))
+    rows = marked.join(intel.select("target", "finding_key", "kev", "epss_percentile"), ["target", "finding_key"], "left")
+    return ranked(scored(rows, ["target"]), ["target"])

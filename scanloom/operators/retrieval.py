@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from scanloom.functions.scalars import checksum, chunks_checksum, cosine
 from scanloom.functions.text import page_chunks, page_text, page_text_native, rule_chunks
 
 from .matching import small
+from .state import replaced_chunks, source_changes
 
 #: Query vectors that are scored together; a larger set goes in blocks of queries.
 QUERY_BLOCK = 512
@@ -32,6 +34,44 @@ def rule_sources(documents: DataFrame, groups: DataFrame, allowed: DataFrame) ->
     return rows.groupBy("group_dir").agg(F.count_distinct("rule_id").alias("rules"), ordered.alias("chunks")).withColumn("checksum", chunks_checksum("chunks"))
 
 
+def ingested(stored: DataFrame, chunk_rows: DataFrame, sources: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Sources with what changed, and the chunks after the ingest: unchanged sources are skipped, changed ones' chunks replaced.
+
+    stored: corpus, title, platform, source_id, checksum. sources: the same with text, from page_sources or rule_sources. chunk_rows: source_id and `keep`, chunk_no, chunk, section_ref.
+    """
+    changes = source_changes(stored, sources)
+    fresh = chunks(changes.where("change <> 'same'"), ["source_id", *keep])
+    return changes, replaced_chunks(chunk_rows, changes, fresh)
+
+
+def selection_manifest(found: DataFrame, none: DataFrame, contributors: DataFrame) -> DataFrame:
+    """One JSON line of what a rule ingest selected: products with the tier used, products without a profile, and how many rules each (product, tier) selects.
+
+    found: product, tier; none: product; contributors: rule_id, contributors. Products are a list that a person keeps, so it is short.
+    """
+    used = found.agg(F.array_sort(F.collect_list(F.struct("product", "tier"))).alias("used"))
+    skipped = none.agg(F.array_sort(F.collect_list("product")).alias("skipped"))
+    counts = contributors.select(F.explode("contributors").alias("c")).groupBy("c.product", "c.tier").agg(F.count(F.lit(1)).alias("rules"))
+    counts = counts.agg(F.array_sort(F.collect_list(F.struct("product", "tier", "rules"))).alias("contributors"))
+    return used.join(skipped, F.lit(True)).join(counts, F.lit(True)).select(F.to_json(F.struct("used", "skipped", "contributors")).alias("value"))
+
+
+def ignored_groups(choices: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups that choices name and that aren't known, with how often. choices: group_id; groups: group_id."""
+    return choices.join(groups.select("group_id").distinct(), "group_id", "left_anti").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def blob_of_floats(vector: Column) -> Column:
+    """An array of floats as little-endian 32-bit binary; the inverse of floats_of_blob. Null stays null."""
+    @F.pandas_udf("binary")
+    def encode(x: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return x.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return encode(vector)
+
+
 def candidates(chunk_rows: DataFrame, hint: Column | None = None, platform: str | None = None) -> DataFrame:
     """Chunks that may be retrieved: with a vector, of the hint if there is one, and of the platform or of none."""
     rows = chunk_rows.where("embedding is not null")
@@ -115,8 +155,6 @@ def embedded(chunk_rows: DataFrame, vectors: DataFrame, model: str) -> tuple[Dat
 
 def floats_of_blob(blob: Column) -> Column:
     """Little-endian 32-bit floats of a binary as an array."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(x: pd.Series) -> pd.Series:
         import numpy as np

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import with_running_sum
+
 NO_IDS = F.array
 
 
@@ -26,8 +28,8 @@ def scan_rows(current: DataFrame, state: DataFrame, scan: DataFrame) -> DataFram
     return seen.unionByName(unseen, allowMissingColumns=True).join(scan, "target")
 
 
-def next_state(state: DataFrame, current: DataFrame, resolved: DataFrame, now: Column) -> DataFrame:
-    """The state after a scan. resolved: target, finding_key of RESOLVED verdicts.
+def next_state(state: DataFrame, current: DataFrame, resolved: DataFrame, now: Column | DataFrame) -> DataFrame:
+    """The state after a scan. resolved: target, finding_key of RESOLVED verdicts. now: one time, or a table target, at.
 
     Present: new, or seen again (one occurrence more, one return more if it was resolved, open unless it says otherwise). Absent: only RESOLVED changes the status.
     """
@@ -35,6 +37,8 @@ def next_state(state: DataFrame, current: DataFrame, resolved: DataFrame, now: C
     cur = current.select(*keys, F.struct("source", "cvss", "severity", "version", "cve_ids").alias("cur"))
     old = state.select(*keys, F.struct(*[c for c in state.columns if c not in keys]).alias("old"))
     rows = cur.join(old, keys, "full_outer").join(resolved.select(*keys, F.lit(True).alias("gone")), keys, "left")
+    if isinstance(now, DataFrame):
+        rows, now = rows.join(now.select("target", F.col("at").alias("_at")), "target", "left"), F.col("_at")
     here, o, back = F.col("cur").isNotNull(), F.col("old"), F.coalesce(F.col("old.status") == "resolved", F.lit(False))
     closes = ~here & F.coalesce("gone", F.lit(False)) & (o["status"] != "resolved")
     pick = lambda c: F.when(here, F.col(f"cur.{c}")).otherwise(o[c])
@@ -67,17 +71,25 @@ def open_table(state: DataFrame) -> DataFrame:
     return state.where("status = 'open' and not coalesce(solved, false)").withColumn("ref", F.row_number().over(w) - 1)
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The newest row of each key (nulls are equal); keys that are gone from the new rows stay. The last of a key in `order` wins within new."""
-    rows = old.withColumn("_batch", F.lit(0)).withColumn("_order", F.lit(None).cast("string")).unionByName(new.withColumn("_batch", F.lit(1)).withColumn("_order", F.col(order).cast("string")), allowMissingColumns=True)
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str, stable: list[str] | None = None) -> DataFrame:
+    """The newest row of each key (nulls are equal); keys that are gone from the new rows stay. The last of a key in `order`, by that column's own type, wins within new.
+
+    Columns in `stable` keep the old row's value where there is an old row, such as an id given at the first insert.
+    """
+    kind = new.schema[order].dataType
+    rows = old.withColumn("_batch", F.lit(0)).withColumn("_order", F.lit(None).cast(kind)).unionByName(new.withColumn("_batch", F.lit(1)).withColumn("_order", F.col(order)).select(*new.columns, "_batch", "_order"), allowMissingColumns=True)
     cols = [c for c in old.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct("_batch", "_order")).alias("_x"))
-    return last.select(*keys, "_x.*")
+    stable = stable or []
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct("_batch", "_order")).alias("_x"), *[F.max(F.when(F.col("_batch") == 0, F.struct(F.col(c).alias("v")))).alias(f"_s_{c}") for c in stable])
+    return last.select(*keys, *[F.coalesce(F.col(f"_s_{c}.v"), F.col(f"_x.{c}")).alias(c) if c in stable else F.col(f"_x.{c}").alias(c) for c in cols])
 
 
-def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Delete and insert by a null-safe key: all rows of a new key replace all old ones, repeats going."""
-    fresh = new.dropDuplicates(keys)
+def replaced(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Delete and insert by a null-safe key: the last row of a new key in `order` replaces all old ones. Without an order any of repeated new rows stays."""
+    if order is None:
+        fresh = new.dropDuplicates(keys)
+    else:
+        fresh = new.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in new.columns if c not in keys]), order).alias("_x")).select(*keys, "_x.*").select(*old.columns)
     same = None
     marks = fresh.select(*[F.col(k).alias(f"_{k}") for k in keys])
     for k in keys:
@@ -133,17 +145,13 @@ def batched(rows: DataFrame, done: DataFrame, order: str, size: int, first: int)
 
 def numbered_in_order(rows: DataFrame, order: str, name: str) -> DataFrame:
     """Numbers from 0 by a column: the rows below each range (counted by range) and the place within it."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("x")).first()["x"] or [] if parts > 1 else []
-    cuts = sorted({c for c in cuts if c is not None})
-    piece = F.lit(0)
-    for i, c in enumerate(cuts):
-        piece = F.when(F.col(order) > F.lit(c), i + 1).otherwise(piece)
-    cut = rows.withColumn("_part", piece)
-    below = cut.groupBy("_part").count().withColumn("_below", F.coalesce(F.sum("count").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_below")
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
-    return cut.withColumn("_in", inside).join(F.broadcast(below), "_part").withColumn(name, (F.col("_in") + F.col("_below")).cast("bigint")).drop("_part", "_in", "_below")
+    summed = with_running_sum(rows.withColumn("_one", F.lit(1)), [], [order], "_one", "_before")
+    return summed.withColumn(name, F.col("_before").cast("bigint")).drop("_one", "_before", "_before_total")
+
+
+def batch_files(rows: DataFrame, path: str) -> None:
+    """rows with batch_no as JSON lines, a folder for each batch; batches that are there stay."""
+    rows.write.partitionBy("batch_no").mode("append").json(path)
 
 
 class Versioned:
@@ -161,28 +169,41 @@ class Versioned:
         names = (x.getPath().getName() for x in self.fs.listStatus(self.path(self.root)))
         return max([0, *(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())])
 
-    def read(self) -> DataFrame:
-        v = self.version()
+    def read(self, version: int | None = None) -> DataFrame:
+        v = self.version() if version is None else version
         return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{v}") if v else self.spark.createDataFrame([], self.schema)
 
-    def write(self, rows: DataFrame) -> int:
-        """Publishes rows, which may be computed from the version before, as the next one."""
+    def tag(self) -> str | None:
+        """What the newest version was published for."""
+        v = self.version()
+        names = [x.getPath().getName() for x in self.fs.listStatus(self.path(f"{self.root}/v{v}"))] if v else []
+        return next((n[5:] for n in names if n.startswith("_tag_")), None)
+
+    def write(self, rows: DataFrame, tag: str | None = None) -> int:
+        """Publishes rows, which may be computed from the version before, as the next one, under a tag such as a batch's. The rename fails if another job has published that version."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         v, made = self.version() + 1, f"{self.root}/_{uuid.uuid4().hex}"
         rows.write.parquet(made)
-        if self.fs.exists(self.path(f"{self.root}/v{v}")) or not self.fs.rename(self.path(made), self.path(f"{self.root}/v{v}")):
-            raise RuntimeError(f"version {v} has been written by another job")
+        if tag is not None:
+            self.fs.create(self.path(f"{made}/_tag_{tag}")).close()
+        source = self.path(made)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri() if source.toUri().getScheme() else self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(source, self.path(f"{self.root}/v{v}"), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
         return v
 
 
-def append_scans(rows: DataFrame, path: str, date: Column) -> None:
-    """Appends observations by date; scans that are there already are not appended again."""
+def append_scans(rows: DataFrame, path: str, date: Column, batch: str | None = None) -> None:
+    """Appends observations by date; scans that another batch has brought are not appended again.
+
+    A named batch has a folder of its own, which its repetition writes over, so that a replay leaves each row once. There is one writer at a time.
+    """
     spark = rows.sparkSession
-    new = rows.withColumn("scan_date", date)
+    new, own = rows.withColumn("scan_date", date), batch or uuid.uuid4().hex
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-        known = spark.read.parquet(path).select("target", "scan_id").distinct()
+        known = spark.read.parquet(path).where(F.col("batch_id").cast("string") != own).select("target", "scan_id").distinct()
         new = new.join(known, ["target", "scan_id"], "left_anti")
-    new.write.partitionBy("scan_date").mode("append").parquet(path)
+    new.write.partitionBy("scan_date").mode("overwrite").parquet(f"{path}/batch_id={own}")
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanloom.functions.text import leaks, parsed_report
-from scanloom.functions.versions import bumped, plausible_version
+from scanloom.functions.versions import bumped, humanized, plausible_version
+
+from .shared import with_running_sum
+from .state import batched
 
 
 def merged(store: DataFrame, incoming: DataFrame, content: str = "ordered_facts") -> tuple[DataFrame, DataFrame]:
@@ -34,23 +37,27 @@ def input_shape(tiers: Column) -> Column:
 
 
 def tier_histogram(tiers: Column) -> Column:
-    return F.struct(*[F.size(F.filter(tiers, lambda t, s=s: t == s)).alias(s) for s in ("critical", "high", "medium", "low")])
+    # a lambda with two parameters would get the place as the second
+    of = lambda s: F.size(F.filter(tiers, lambda t: t == s))
+    return F.struct(*[of(s).alias(s) for s in ("critical", "high", "medium", "low")])
 
 
 def stratified_split(rows: DataFrame, stratum: list[str], content: str, fraction: float = 0.1, order: Column | None = None, seed: int = 0) -> DataFrame:
     """rows with split: whole content units of each stratum, in a seeded order, go to eval until it has max(1, round half even(n * fraction)) rows.
 
-    Equal content stays together within a stratum. Rows are first summed by unit, so that a window orders units and not rows.
+    Equal content stays together within a stratum. Rows are first summed by unit; running counts go by ranges of units, so that no task holds a stratum.
+    Null contents are one unit, null strata a stratum.
     """
-    unit = F.sha2(F.col(content), 256)
+    unit = F.coalesce(F.sha2(F.col(content), 256), F.lit(""))
     keyed = rows.withColumn("_unit", unit)
     units = keyed.groupBy(*stratum, "_unit").agg(F.count(F.lit(1)).alias("_rows"), (F.min(order) if order is not None else F.min(F.xxhash64(F.lit(seed), F.col("_unit")))).alias("_order"))
-    w = W.partitionBy(*stratum).orderBy("_order", "_unit")
-    before = F.coalesce(F.sum("_rows").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_rows").over(W.partitionBy(*stratum))
-    target = F.greatest(F.lit(1), F.bround(total * fraction, 0).cast("bigint"))
-    sides = units.withColumn("split", F.when(before < target, "eval").otherwise("train")).select(*stratum, "_unit", "split")
-    return keyed.join(sides, [*stratum, "_unit"]).drop("_unit")
+    summed = with_running_sum(units, stratum, ["_order", "_unit"], "_rows", "_before")
+    target = F.greatest(F.lit(1), F.bround(F.col("_before_total") * fraction, 0).cast("bigint"))
+    sides = summed.select(*[F.col(c).alias(f"_of_{c}") for c in (*stratum, "_unit")], F.when(F.col("_before") < target, "eval").otherwise("train").alias("split"))
+    same = F.col("_unit") == F.col("_of__unit")
+    for c in stratum:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return keyed.join(sides, same).select(*rows.columns, "split")
 
 
 def split_report(rows: DataFrame, group: list[str]) -> DataFrame:
@@ -86,7 +93,7 @@ def scored_outputs(outputs: DataFrame, reported: DataFrame, mismatched: DataFram
 def score_totals(scored: DataFrame) -> DataFrame:
     """The pass rate and each failure's first cause: parsing, then text, then severities."""
     p, t, s = F.col("parsed"), F.col("text_ok"), F.col("severities_ok")
-    return scored.agg(F.count(F.lit(1)).alias("total"), F.avg(F.col("passed").cast("int")).alias("pass_rate"), F.count_if(~p).alias("parse_failures"), F.count_if(p & ~t).alias("text_failures"), F.count_if(p & t & ~s).alias("severity_failures"))
+    return scored.agg(F.count(F.lit(1)).alias("total"), F.avg(F.col("passed").cast("int")).alias("pass_rate"), *([F.avg("latency").alias("mean_latency")] if "latency" in scored.columns else []), F.count_if(~p).alias("parse_failures"), F.count_if(p & ~t).alias("text_failures"), F.count_if(p & t & ~s).alias("severity_failures"))
 
 
 def seeded_top(rows: DataFrame, keys: list[str], value: Column, n: int, order: Column | None = None, seed: int = 0) -> DataFrame:
@@ -113,3 +120,34 @@ def chat_records(rows: DataFrame, system: str, user: str = "ordered_facts", answ
     """One JSON line for each validated row: system, user and assistant messages."""
     m = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return rows.where("status = 'validated'").select(F.to_json(F.struct(F.array(m("system", F.lit(system)), m("user", F.col(user)), m("assistant", F.col(answer))).alias("messages"))).alias("value"))
+
+
+def rows_by_prefix(records: DataFrame, prefixes: list[str], n: int, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """At most n scored records for each product prefix in seeded order, with the prefix; a record stands under each prefix that it begins with."""
+    held = F.array_compact(F.array(*[F.when(F.startswith("cpe_base", F.lit(p)), F.lit(p)) for p in prefixes]))
+    rows = records.where("cvss_score > 0").withColumn("prefix", F.explode(held))
+    return seeded_top(rows, ["prefix"], F.concat_ws("|", "cpe_base", "cve_id"), n, order, seed)
+
+
+def batch_prep(rows: DataFrame, done: DataFrame, size: int, first: int, skeleton: DataFrame | None = None, without_source: str = "synthetic") -> DataFrame:
+    """Pending rows that no earlier batch holds, numbered by id into batches from `first` on, with the row's skeleton (id, skeleton) if given."""
+    todo = rows.where((F.col("status") == "pending") & (F.col("source") != without_source))
+    out = batched(todo, done, "id", size, first)
+    return out if skeleton is None else out.join(skeleton, "id", "left")
+
+
+def collection_record(runs: DataFrame) -> DataFrame:
+    """What is kept of a collected run: content hash, shape, counts by severity, and for each source its status, or its number of records.
+
+    runs: ordered_facts, tiers (array of severities), results (map of source to struct<status,records>).
+    """
+    told = F.transform_values("results", lambda k, v: F.when(v.isNull(), "missing").when(v["records"].isNotNull(), v["records"].cast("string")).otherwise(F.coalesce(v["status"], F.lit("ok"))))
+    return runs.select("*", F.sha2("ordered_facts", 256).alias("content_hash"), input_shape(F.col("tiers")).alias("shape"), tier_histogram(F.col("tiers")).alias("histogram"), told.alias("sources"))
+
+
+def vocabulary_pools(records: DataFrame, n: int = 5, order: Column | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Service and package pools: readable names with versions and the version after each, for products that serve a port (records with service) and for the others (with package)."""
+    named = product_versions(records, n, order, seed).withColumn("name", humanized("cpe_base"))
+    kinds = records.groupBy("cpe_base").agg(F.max("service").alias("service"), F.max("package").alias("package"))
+    rows = named.join(kinds, "cpe_base")
+    return rows.where("service is not null").drop("package"), rows.where("package is not null").drop("service")

@@ -126,9 +126,6 @@ def finding_state_rebuild(t):
 
 
 _NOW = "timestamp '2000-01-01 00:00:00'"
-_STATE_PARTS = f"""
-past as (select * from scans where rn > 1),
-"""
 
 
 def _state_before_last(t) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -279,7 +276,7 @@ r as (select *, case when escalated or score >= 70 then 'FIX NOW' when score >=
 
 
 def _ranked(t) -> DataFrame:
-    rows = priority.scored(_table(t).withColumn("score", F.lit(None)).drop("score"), ["target", "scan_id"], on=F.col("source"))
+    rows = priority.scored(_table(t), ["target", "scan_id"], on=F.col("source"))
     return priority.ranked(rows.withColumn("score", F.round("score", 6)), ["target", "scan_id"])
 
 
@@ -444,11 +441,6 @@ def retrieve_batch(t):
     return retrieval.top_k_for_each(e, queries_, 8, "vec_id").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query()
-def page_chunks(t):
-    return retrieval.chunks(retrieval.page_sources(t("pages")), ["page_id"]).select("page_id", "section_ref", "chunk")
-
-
 _SPLIT = """with u as (select d.lang, sha256(text) as unit, count(*) as n, min(doc_id) as o from documents d where text is not null group by 1, 2),
 w as (select *, coalesce(sum(n) over (partition by lang order by o, unit rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over (partition by lang) as total from u),
 s as (select lang, unit, case when before < greatest(1, cast(round_even(total * 0.1, 0) as bigint)) then 'eval' else 'train' end as split from w),
@@ -489,22 +481,11 @@ def seeded_sample(t):
     return training.seeded_top(t("part").select("p_brand", "p_size").distinct(), ["p_brand"], F.col("p_size"), 3, order=F.col("p_size"))
 
 
-@query()
-def chat_export(t):
-    rows = t("documents").join(t("labels"), "doc_id").select(F.when(F.col("quality") == 1, "validated").otherwise("rejected").alias("status"), F.col("text").alias("ordered_facts"), F.col("lang").alias("label"))
-    return training.chat_records(rows, "Name the language.")
-
-
 @query("""select doc_id, regexp_matches(text, '(?i)CVE-\\d{4}-\\d+|cpe:2\\.3:') as leak, regexp_matches(text, '(?i)licensed under') as mentions from documents where text is not null""")
 def leak_check(t):
     return t("documents").where("text is not null").select("doc_id", text.leaks("text").alias("leak"), F.col("text").rlike("(?i)licensed under").alias("mentions"))
 
 
-@query()
-def rule_chunks(t):
-    return t("documents").where("text is not null").select("doc_id", F.posexplode(text.rule_chunks(F.regexp_replace("text", "\n", "\n\n"))).alias("chunk_no", "chunk"))
-
-
 # functions over a column of each row
 
 @query("""select s_suppkey, 'cpe:2.3:a:tpch:brand_' || (s_suppkey % 25 + 1) as base, ((s_suppkey % 60) // 10) || '.' || (s_suppkey % 10) as version,
@@ -549,3 +530,4 @@ def report_documents(t):
     return remediation.reports(issues, good, remediation.section_summaries(rows, sections, priority.overall_risk(rows, ["target", "scan_id", "section"])))
 
 
+from . import catalog_rules as _more  # noqa: E402, F401  (registers its queries)

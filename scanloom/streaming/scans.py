@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scanloom.operators.drift import SOURCE_OWNERS
+from scanloom.operators.drift import SOURCE_OWNERS, ran_ok
 from scanloom.operators.fleet import windowed_risk
 from scanloom.operators.matching import changed_files
-from scanloom.operators.state import Versioned
+from scanloom.operators.shared import written
+from scanloom.operators.state import Versioned, append_scans, next_state, scan_rows
 
 
 def windowed_risk_stream(rows: DataFrame, time: str, value: str, keys: list[str], late: str = "1 day", length: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -29,18 +32,87 @@ def each_batch(rows: DataFrame, checkpoint: str, work: Callable[[DataFrame, int]
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def file_change_feed(listing: DataFrame, manifest: Versioned, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """New and changed files of each batch go to the sink; the manifest takes over the listing."""
+def batch_tag(checkpoint: str, epoch: int) -> str:
+    """A name for a batch of the query with this checkpoint; the same for its repetition."""
+    return f"{zlib.crc32(checkpoint.encode()):08x}-{epoch}"
+
+
+def file_change_feed(listing: DataFrame, manifest: Versioned, checkpoint: str, sink: Callable[[DataFrame, int], None], full: Callable[[int], bool] = lambda epoch: False) -> StreamingQuery:
+    """New and changed files of each batch go to the sink; the manifest takes over the listing. full: whether a batch is a full pass, where all its files go.
+
+    The manifest's versions are tagged with their batch, so that a batch whose manifest was published is not done again. One that broke off before goes to the
+    sink again with the same number and the same rows: a sink that writes by that number gets each file once. Of several states of a path in a batch the one with the latest time is taken.
+    """
 
     def work(batch: DataFrame, epoch: int) -> None:
+        tag = batch_tag(checkpoint, epoch)
+        if manifest.tag() == tag:
+            return
+        last = batch.groupBy("path").agg(F.max_by(F.struct("mtime", "size", "inode"), F.struct("mtime", "size", "inode")).alias("x")).select("path", "x.*")
         known = manifest.read()
-        sink(changed_files(batch, known).where("state <> 'same'"), epoch)
-        kept = known.join(batch.select("path"), "path", "left_anti").unionByName(batch.select("path", "mtime", "size", "inode").dropDuplicates(["path"]))
-        manifest.write(kept)
+        changed = changed_files(last, known)
+        sink(changed if full(epoch) else changed.where("state <> 'same'"), epoch)
+        manifest.write(known.join(last.select("path"), "path", "left_anti").unionByName(last), tag)
 
     return each_batch(listing, checkpoint, work)
 
 
+def full_pass_due(last_full: Column, now: Column, days: int = 30) -> Column:
+    """Whether a full pass is due: never done, or days ago."""
+    return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(last_full) >= days * 86400, F.lit(True))
+
+
+STATE = (
+    "target string, finding_key string, source string, cvss double, severity string, version string, cve_ids array<string>, first_seen timestamp, last_seen timestamp, "
+    "status string, occurrences bigint, resolved_at timestamp, reappearance_count bigint, solved boolean, solved_at timestamp"
+)
+
+
+def fold_scans(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state after the scans of a batch, and their observations (seen and unseen rows).
+
+    batch: target, scan_id, started_at, scan_status (map), finding_key, source, cvss, severity, version, cve_ids; a scan without findings has a row whose finding_key
+    is null. A target's scans are taken in time order, one a turn, so that there are as many turns as the busiest target has scans in the batch.
+    """
+    rows = written(batch, "landed")
+    order = W.partitionBy("target").orderBy("started_at", "scan_id")
+    scans = rows.select("target", "scan_id", "started_at", "scan_status").dropDuplicates(["target", "scan_id"]).withColumn("turn", F.row_number().over(order))
+    scans, out = written(scans, "landed-scans"), []
+    for turn in range(1, (scans.agg(F.max("turn")).first()[0] or 0) + 1):
+        scan = scans.where(F.col("turn") == turn).drop("turn")
+        cur = rows.where("finding_key is not null").join(scan.select("target", "scan_id"), ["target", "scan_id"]).select("target", "finding_key", "source", "cvss", "severity", "version", "cve_ids").dropDuplicates(["target", "finding_key"])
+        absent = state.where("status <> 'resolved'").join(scan.select("target", "scan_status"), "target").join(cur.select("target", "finding_key"), ["target", "finding_key"], "left_anti")
+        out.append(written(scan_rows(cur, state, scan.drop("scan_status")), "observations"))
+        state = written(next_state(state, cur, absent.where(ran_ok(F.col("source"), F.col("scan_status"))), scan.select("target", F.col("started_at").alias("at"))), "state")
+    seen = out[0] if out else rows.limit(0).select("target", "scan_id", "started_at", "finding_key", "source", F.lit(True).alias("seen"), "cvss", "severity", "version", "cve_ids")
+    for x in out[1:]:
+        seen = seen.unionByName(x)
+    return state, seen
+
+
+def ingest_scans(scans: DataFrame, state: Versioned, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Landed scans into observations at path and the state table, exactly once.
+
+    The state's versions are tagged with their batch: a batch that was published is not done again, and one that broke off writes its observations over those of the broken
+    attempt. Scans that an earlier batch brought are left out.
+    """
+
+    def work(batch: DataFrame, epoch: int) -> None:
+        tag = batch_tag(checkpoint, epoch)
+        if state.tag() == tag:
+            return
+        old = state.read()
+        folder = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(folder):
+            known = batch.sparkSession.read.parquet(path).where(F.col("batch_id").cast("string") != tag).select("target", "scan_id").distinct()
+            batch = batch.join(known, ["target", "scan_id"], "left_anti")
+        new, seen = fold_scans(old, batch)
+        append_scans(seen, path, F.to_date("started_at"), tag)
+        state.write(new.select(*old.columns), tag)
+
+    return each_batch(scans, checkpoint, work, once)
+
+
 DRIFT_OUT = "target string, scan_id string, finding_key string, verdict string, occurrences bigint, reappearance_count bigint"
 DRIFT_STATE = "state string"
 
@@ -49,7 +121,7 @@ def drift_stream(scans: DataFrame) -> DataFrame:
     """The state machine of findings by target over a stream of whole scans.
 
     scans: target, scan_id, started_at, status (map), findings (array of finding_key, source). Scans of a target are taken in time order within a
-    batch; one that starts before the last scan taken is late and is passed over. A target's state is its known keys, in one row.
+    batch; one that starts before the last scan taken is late: it changes nothing and comes out as one row with the verdict LATE. A target's state is its known keys, in one row.
     """
     import json
 
@@ -60,6 +132,7 @@ def drift_stream(scans: DataFrame) -> DataFrame:
         for scan in rows.itertuples():
             at = scan.started_at.isoformat()
             if at < known["at"]:
+                out.append((key[0], str(scan.scan_id), None, "LATE", None, None))
                 continue
             known["at"] = at
             ok = {w for w, s in dict(scan.status or {}).items() if s == "ok"}

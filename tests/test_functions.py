@@ -111,3 +111,19 @@ def test_cosine_and_sql(spark):
     assert col(spark, rows, "a array<double>, b array<double>", F.round(s.cosine("a", "b"), 4)) == [1.0, 0.0, 0.6]
     s.register(spark)
     assert spark.sql("select severity_bucket(9.1D) a, key_part(' A b ') b, version_key('1.10-x') c, cpe_base('cpe:2.3:a:v:p:1') d").first() == ("critical", "a_b", [1, 10], "cpe:2.3:a:v:p")
+
+
+def test_page_text(spark):
+    pages = [
+        ("<p>a</p><script>if (a < b) { '<p>' }</script><b>b</b> <!-- <p>no</p> --><br/>c", "\na\nb\n\nc"),
+        ("<form>x<svg>y</svg>z</form>shown<form><p>hidden</p>", "shown\n\n"),
+        ("&lt;b&gt; &amp; &copy;<p title='a>b'>&nbsp;</p>", "<b> & \u00a9\n\n"),
+        ("<STYLE>p{}</STYLE><DIV>one<nav>two</nav></DIV></form>three", "\nonetwo\nthree"), ("plain", "plain"), ("", ""), (None, None), ("<script>never closed <p>", ""), ("1 < 2 and <", "1 < 2 and <"),
+    ]
+    got = spark.createDataFrame([(h,) for h, _ in pages], "html string").select("html", tx.page_text("html").alias("t")).collect()
+    assert {r["html"]: r["t"] for r in got} == dict(pages)
+
+
+def test_named_chunks(spark):
+    row = spark.range(1).select(tx.numbered_chunks(F.lit("r"), F.array(F.lit("a"), F.lit("b"))).alias("x")).first()["x"]
+    assert [tuple(c) for c in row] == [("r", "a"), ("r#2", "Rule: r (continued)\n\nb")]

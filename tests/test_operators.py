@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from scanloom.operators import drift, findings, fleet, matching, priority, remediation, retrieval, state, training
+from scanloom.operators import drift, findings, fleet, hosts, matching, priority, remediation, retrieval, shared, state, training
 
 D = [dt.datetime(2024, 1, i) for i in range(1, 10)]
 OBS = "target string, scan_id bigint, finding_key string, source string, cvss double, cve_ids array<string>"
@@ -67,6 +67,28 @@ def test_networks(spark):
     assert {(r.ip, r.in_scope) for r in matching.in_networks(hosts, nets).collect()} == {("10.0.0.5", True), ("10.0.1.5", False), (None, False), ("192.168.1.1", True)}
 
 
+def test_networks_of_both_kinds(spark):
+    import ipaddress
+
+    nets = ["10.0.0.5/24", "2001:db8::/33", "fe80::1/128", "::ffff:0:0/96", "172.16.0.0/12", "bad", "10.0.0.0/40", "2001:db8:ffff::/47"]
+    ips = ["10.0.0.77", "10.0.1.1", "172.31.255.255", "172.32.0.0", "2001:db8:7fff::1", "2001:db8:8000::", "2001:DB8:FFFE:1::", "fe80::1", "fe80::2", "::ffff:1.2.3.4", "::1", "::", "1::2::3", "12345::", ":1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "256.1.1.1", "", None]
+    known = []
+    for n in nets:
+        try:
+            known.append(ipaddress.ip_network(n, strict=False))
+        except ValueError:
+            pass
+
+    def held(ip):
+        try:
+            return any(ipaddress.ip_address(ip) in n for n in known)
+        except ValueError:
+            return False
+
+    got = matching.in_networks(spark.createDataFrame([(x,) for x in ips], "ip string"), spark.createDataFrame([(x,) for x in nets], "cidr string")).collect()
+    assert {r["ip"]: r["in_scope"] for r in got} == {x: held(x) if x else False for x in ips}
+
+
 def test_catalog_joins(spark):
     tests = spark.createDataFrame([("T-1", "-", "keep"), ("T-2", "own", "")], "test_id string, description string, solution string")
     cat = spark.createDataFrame([("T-1", "Cat", "said", "solve")], "test_id string, category string, description string, solution string")
@@ -114,6 +136,46 @@ def test_priority(spark):
     assert priority.overall_risk(f, ["target"]).first()["overall_risk"] == "critical"
 
 
+def test_default_credentials_of_built_findings(spark):
+    """Scripts in the findings table escalate a finding and raise the overall risk, without a column of their own."""
+    ddl = "target string, scan_id string, source string, source_no int, pos bigint, port int, protocol string, service string, cpe string, version string, highest_cvss double, cve_ids array<string>, description string, remediation_links array<string>, script_findings array<struct<id:string,output:string>>"
+    rows_ = [("t", "s", "network", 0, 0, 80, "tcp", "http", None, None, 1.0, [], "", [], [("http-default-accounts", "admin")]), ("u", "s", "network", 0, 0, 80, "tcp", "http", None, None, 1.0, [], "", [], [("http-default-accounts", " ")])]
+    table = findings.build(findings.service_rows(spark.createDataFrame(rows_, ddl)))
+    out = {r["target"]: r for r in priority.scored(table, ["target", "scan_id"]).collect()}
+    assert out["t"]["escalations"] == ["factory-default credentials exposed"] and out["t"]["band"] == "FIX NOW" and out["u"]["escalations"] == []
+    assert rows(priority.overall_risk(table, ["target"]), "target", "overall_risk") == [("t", "critical"), ("u", "low")]
+
+
+def test_open_ranking_without_a_scan(spark):
+    st = spark.createDataFrame([("t", "net:80/tcp:http", "network", 5.0, "medium", "open", False), ("t", "net:81/tcp:http", "network", 9.0, "critical", "open", False), ("t", "x", "network", 9.0, "critical", "resolved", False), ("t", "y", "network", 9.0, "critical", "open", True)], "target string, finding_key string, source string, cvss double, severity string, status string, solved boolean")
+    diff = spark.createDataFrame([("t", "net:80/tcp:http", "RESOLVED"), ("t", "net:81/tcp:http", "WORSENED")], "target string, finding_key string, status string")
+    intel = spark.createDataFrame([("t", "net:81/tcp:http", True, 0.5)], "target string, finding_key string, kev boolean, epss_percentile double")
+    got = priority.open_ranked(st, diff, intel)
+    assert rows(got, "rank", "finding_key", "drift_status") == [(1, "net:81/tcp:http", "WORSENED"), (2, "net:80/tcp:http", "PERSISTING")]
+
+
+def test_hosts_from_findings_to_reports(spark):
+    """Two hosts in one job: one with a finding that is new and one that is gone, one on its first scan without any finding."""
+    ddl = findings.SCHEMA + ", ref int"
+    none = dict.fromkeys(x.strip().split(" ")[0] for x in findings.SCHEMA.replace("struct<id:string,output:string>", "s").split(","))
+    row = none | {"target": "a", "scan_id": "2", "finding_key": "net:22/tcp:ssh", "source": "network", "affected": "Port 22 — ssh", "cvss": 9.5, "severity": "critical", "cve_ids": ["CVE-1"], "description": "a crash", "remediation_refs": [], "ref": 0}
+    table = spark.createDataFrame([row], ddl)
+    st = spark.createDataFrame([("a", "gone", "network", 5.0, "medium", [], D[0], D[0], "open", 1, 0, False)], "target string, finding_key string, source string, cvss double, severity string, cve_ids array<string>, first_seen timestamp, last_seen timestamp, status string, occurrences bigint, reappearance_count bigint, solved boolean")
+    scans = spark.createDataFrame([("a", "2", OK, D[0]), ("b", "9", OK, None)], "target string, scan_id string, status map<string,string>, previous_at timestamp")
+    past = spark.createDataFrame([], "target string, finding_key string, started_at timestamp, scan_id string, seen boolean, cvss double, severity string, cve_ids array<string>")
+    kev = spark.createDataFrame([("CVE-1",)], "cve_id string")
+    epss = spark.createDataFrame([("CVE-1", 0.5, 0.9)], "cve_id string, score double, percentile double")
+    ranked, verdicts = hosts.ranked_hosts(table, scans, st, past, kev, epss, F.lit(D[1]))
+    cat = spark.createDataFrame([("crash", "Update {service}.", [("Stop {service}", None)], "authored")], remediation.CATALOG)
+    got = {r["target"]: json.loads(r["report"]) for r in hosts.host_reports(ranked, verdicts, scans, st, cat, F.lit("linux")).collect()}
+    assert got["a"]["drift_header"] == "Since your last scan on Jan 1: 1 new, 1 resolved." and [x["finding_key"] for x in got["a"]["resolved"]] == ["gone"]
+    issue = got["a"]["fix_now"]["findings"][0]
+    assert issue["drift_status"] == "NEW" and issue["how_to_fix"] == "1. Stop ssh" and got["a"]["fix_now"]["overall_risk"] == "critical"
+    assert got["b"]["drift_header"] == "" and got["b"]["resolved"] == [] and got["b"]["fix_now"]["overall_risk"] == "low"
+    raw = spark.createDataFrame([("a", None, None, None), ("b", "error", "timeout", None), ("c", None, None, "{")], "target string, status string, error string, _corrupt_record string")
+    assert rows(hosts.failed_hosts(raw), "target", "status", "error") == [("a", "ok", None), ("b", "error", "timeout"), ("c", "error", "unreadable: {")]
+
+
 FLEET = [("a", "ok", {"network": "ok", "host_audit": "not_assessed"}, "high"), ("b", "error", None, None), ("c", "ok", {"network": "ok"}, None)]
 
 
@@ -136,9 +198,11 @@ def test_fix_facts_and_report(spark):
     assert got[0]["steps"] == ["Stop ssh\n    $ systemctl restart ssh"] and got[0]["references"] == ["http://x", "http://y"] and got[0]["fix_summary"] == "Update ssh."
     assert got[1]["category"] == "network_client" and got[1]["fix_summary"] == "Update curl to version 8.0 or later." and got[2] is None
     issues, good = remediation.report_rows(out)
-    assert rows(good, "good_news") == [("Package: curl 7 looks fine — no significant issues found.",)]
+    assert rows(good, "good_news") == [("Package: curl 7: nothing of note was found.",)]
     fixes = dict(rows(issues, "ref", "how_to_fix"))
-    assert fixes[0].startswith("1. Stop ssh") and fixes[2] == remediation.GENERIC_FIX
+    assert fixes[0].startswith("1. Stop ssh") and fixes[2] == remediation.WORDING["generic_fix"]
+    own, _ = remediation.report_rows(out, remediation.WORDING | {"title": "Look at {affected}", "why": "w"})
+    assert dict(rows(own, "ref", "title"))[0] == "Look at Port 22 — ssh"
 
 
 @pytest.mark.parametrize("elevated,hint", [(True, "could not be determined"), (False, "could not be determined — re-run the audit as Administrator")])
@@ -157,16 +221,39 @@ def test_upserts(spark, tmp_path):
     old = spark.createDataFrame([("a", 1), ("b", 2), (None, 0)], "k string, v int")
     new = spark.createDataFrame([("a", 5, 1), ("a", 6, 2), (None, 9, 1)], "k string, v int, at int")
     assert {tuple(r) for r in state.upserted(old, new, ["k"], "at").collect()} == {("a", 6), ("b", 2), (None, 9)}
+    ten = spark.createDataFrame([("a", 5, 9), ("a", 6, 10)], "k string, v int, at int")
+    assert {tuple(r) for r in state.upserted(old, ten, ["k"], "at").collect()} == {("a", 6), ("b", 2), (None, 0)}
+    assert {tuple(r) for r in state.replaced(old, ten, ["k"], "at").collect()} == {("a", 6), ("b", 2), (None, 0)}
+    assert {tuple(r) for r in state.upserted(old, ten.withColumn("v", F.lit(9)), ["k"], "at", stable=["v"]).collect()} == {("a", 1), ("b", 2), (None, 0)}
     assert {tuple(r) for r in state.replaced(old, spark.createDataFrame([(None, 7)], "k string, v int"), ["k"]).collect()} == {("a", 1), ("b", 2), (None, 7)}
     store = state.Versioned(spark, str(tmp_path / "m"), "k string, v int")
     assert store.read().count() == 0 and store.write(old) == 1
-    assert store.write(store.read().where("k = 'a'")) == 2 and store.read().count() == 1
+    assert store.write(store.read().where("k = 'a'"), tag="b-7") == 2 and store.read().count() == 1 and store.tag() == "b-7"
+    other = state.Versioned(spark, str(tmp_path / "m"), "k string, v int")
+    other.version = lambda: 1  # looked before the other one published
+    with pytest.raises(Exception):
+        other.write(old)
+    assert store.read().count() == 1 and store.version() == 2
     scans = spark.createDataFrame([("t", 1, D[0]), ("t", 2, D[1])], "target string, scan_id bigint, started_at timestamp")
     for _ in range(2):
         state.append_scans(scans, str(tmp_path / "obs"), F.to_date("started_at"))
     assert spark.read.parquet(str(tmp_path / "obs")).count() == 2
 
 
+def test_running_sums(spark):
+    """Groups of one key and of a null key, equal orders, and repeats."""
+    data = [(g, o, v) for g in ("a", None) for o in (1, 1, 2, 3, 3, 3) for v in (1, 2)]
+    got = shared.with_running_sum(spark.createDataFrame(data * 5, "g string, o int, v int"), ["g"], ["o"], "v", "s").collect()
+    for g in ("a", None):
+        own = sorted((r["o"], r["s"], r["v"]) for r in got if r["g"] == g)
+        assert len(own) == 60 and {r["s_total"] for r in got if r["g"] == g} == {90}
+        at = 0
+        for _, s, v in sorted(own, key=lambda x: x[1]):
+            assert s == at
+            at += v
+        assert [o for o, _, _ in sorted(own, key=lambda x: x[1])] == sorted(o for o, _, _ in own)
+
+
 def test_numbers_in_order(spark):
     ids = spark.range(0, 1000, 3).withColumnRenamed("id", "k").repartition(7)
     assert rows(state.numbered_in_order(ids, "k", "n"), "k", "n") == [(3 * i, i) for i in range(334)]
@@ -182,6 +269,25 @@ def test_retrieval(spark):
     assert record.first()["failed"] == 1 and out.where("chunk_id = 3").first()["embedding"] == [1.0, 2.0]
 
 
+def test_ingest_skips_unchanged_pages(spark):
+    page = lambda n, x: (n, "c", f"t{n}", None, f"<p>{x * 50}</p><script>no</script>")
+    ddl = "source_id bigint, corpus string, title string, platform string, html string"
+    first = retrieval.page_sources(spark.createDataFrame([page(1, "a"), page(2, "b")], ddl))
+    stored = first.select("corpus", "title", "platform", "source_id", "checksum")
+    kept = retrieval.chunks(first, ["source_id"])
+    again = retrieval.page_sources(spark.createDataFrame([page(1, "a"), page(2, "c"), page(3, "d")], ddl))
+    changes, after = retrieval.ingested(stored, kept, again, [])
+    assert rows(changes, "source_id", "change") == [(1, "same"), (2, "changed"), (3, "new")]
+    assert rows(after, "source_id", "chunk") == [(1, "a" * 50), (2, "c" * 50), (3, "d" * 50)]
+    found, none = spark.createDataFrame([("p", "standard"), ("q", "basic")], "product string, tier string"), spark.createDataFrame([("z",)], "product string")
+    chosen = retrieval.profile_contributors(spark.createDataFrame([("r1", "p", "standard"), ("r1", "q", "basic"), ("r2", "p", "standard")], "rule_id string, product string, tier string"))
+    got = json.loads(retrieval.selection_manifest(found, none, chosen).first()["value"])
+    assert got == {"used": [{"product": "p", "tier": "standard"}, {"product": "q", "tier": "basic"}], "skipped": ["z"], "contributors": [{"product": "p", "tier": "standard", "rules": 2}, {"product": "q", "tier": "basic", "rules": 1}]}
+    assert rows(retrieval.ignored_groups(spark.createDataFrame([("a",), ("b",), ("b",)], "group_id string"), spark.createDataFrame([("a",)], "group_id string")), "group_id", "n") == [("b", 2)]
+    vectors = spark.createDataFrame([([1.0, -2.5],), (None,)], "v array<float>")
+    assert [r[0] for r in vectors.select(retrieval.floats_of_blob(retrieval.blob_of_floats(F.col("v")))).collect()] == [[1.0, -2.5], None]
+
+
 def test_export_gate(spark):
     entries = spark.createDataFrame([(1, "FIREWALL-PROFILE"), (2, "crash"), (3, "rce"), (4, "nowhere"), (5, "UAC")], "entry_id int, finding_class string")
     reviews = spark.createDataFrame([(1, 1, "approved"), (2, 2, "approved"), (3, 3, "approved"), (4, 3, "rejected"), (5, 4, "approved"), (6, 5, "approved")], "review_id int, entry_id int, decision string")

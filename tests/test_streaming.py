@@ -48,3 +48,40 @@ def test_change_feed_and_dedup(spark, tmp_path):
     q = st.cve_dedup_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "cves")), "at").writeStream.format("memory").queryName("cves").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("cves").agg(F.count("*")).first()[0] == 1
+
+
+def test_ingest_is_exactly_once(spark, tmp_path):
+    """Landed scans end in the state that windows over their history give; a repeated batch, after a crash before its commit, changes nothing."""
+    ddl = "target string, scan_id bigint, started_at timestamp, scan_status map<string,string>, finding_key string, source string, cvss double, severity string, version string, cve_ids array<string>"
+    seen = {"a": [0, 1, 4], "b": [1, 5], "c": [0, 2, 3]}
+    for i in range(6):
+        at = [("t", i + 1, D[i], {"network": "error" if i == 2 else "ok"}, k, "network", 5.0, "medium", "1", ["x"]) for k, own in seen.items() if i in own]
+        spark.createDataFrame(at or [("t", i + 1, D[i], {"network": "ok"}, None, None, None, None, None, None)], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table = Versioned(spark, str(tmp_path / "state"), st.STATE)
+    path, cp = str(tmp_path / "obs"), str(tmp_path / "cp")
+    stream = lambda: st.ingest_scans(spark.readStream.schema(ddl).option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in")), table, path, cp)
+    stream().awaitTermination()
+    first = {tuple(r) for r in table.read().select("finding_key", "status", "occurrences", "reappearance_count").collect()}
+    n = spark.read.parquet(path).count()
+    # the last batch's commit is lost
+    last = max((tmp_path / "cp/commits").glob("[0-9]*"), key=lambda x: int(x.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink()
+    stream().awaitTermination()
+    assert {tuple(r) for r in table.read().select("finding_key", "status", "occurrences", "reappearance_count").collect()} == first
+    assert spark.read.parquet(path).count() == n
+    scans = spark.createDataFrame([("t", i + 1, D[i], {"network": "error" if i == 2 else "ok"}) for i in range(6)], "target string, scan_id bigint, started_at timestamp, status map<string,string>")
+    obs = spark.createDataFrame([("t", i + 1, k, "network", 5.0) for k, own in seen.items() for i in own], "target string, scan_id bigint, finding_key string, source string, cvss double")
+    want = drift.state_from_history(drift.history(scans, obs))
+    assert first == {tuple(r) for r in want.select("finding_key", "status", "occurrences", "reappearance_count").collect()}
+
+
+def test_late_scans_are_told(spark, tmp_path):
+    ddl = "target string, scan_id bigint, started_at timestamp, status map<string,string>, findings array<struct<finding_key:string,source:string>>"
+    for i, at in enumerate((D[3], D[1])):
+        spark.createDataFrame([("t", i + 1, at, {"network": "ok"}, [("k", "network")])], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = st.drift_stream(rows).writeStream.outputMode("append").format("memory").queryName("late").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["verdict"] for r in spark.table("late").collect()) in (["LATE", "NEW"], ["NEW", "PRESENT"])
+    assert spark.range(1).select(st.full_pass_due(F.lit(D[0]), F.lit(D[8]), 8), st.full_pass_due(F.lit(D[0]), F.lit(D[8]), 9), st.full_pass_due(F.lit(None).cast("timestamp"), F.lit(D[8]))).first() == (True, False, True)
