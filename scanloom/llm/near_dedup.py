@@ -127,8 +127,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, x, y in zip(full, banded(found, BANDS), planes(found)):
                     bands[i], marks[i] = x, y
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([text_key(x) for x in texts], pa.binary()), pa.array([len(x) for x in all_shingles], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "size", "bands", "planes"],
+                [part.column(0), part.column(2), pa.array([text_key(x) for x in texts], pa.binary()), pa.array([len(x) for x in all_shingles], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "mark", "text_key", "size", "bands", "planes"],
             )
 
 
@@ -171,9 +171,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, least_agreement: float | None = LEAST_AGREEMENT) -> DataFrame:
-    """doc_id, class_id (the lowest id of its class) for every row. least_agreement None: every pair of different components in a bucket is verified."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(texts.where("doc_id is not null").mapInArrow(_signed, "doc_id bigint, text_key binary, size bigint, bands array<bigint>, planes array<bigint>"), "signatures")
+    """doc_id, class_id (the lowest id of its class), mark (xxhash64 of the text, which tells rows of one id apart) for every row. least_agreement None: every pair of different components in a bucket is verified."""
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    signed = written(texts.where("doc_id is not null").mapInArrow(_signed, "doc_id bigint, mark bigint, text_key binary, size bigint, bands array<bigint>, planes array<bigint>"), "signatures")
     kinds = signed.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.min("size").alias("size"), F.first("bands").alias("bands"))
     banded_rows = kinds.select("text_key", "size", F.posexplode("bands").alias("band", "bucket"))
     shared = banded_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -221,10 +221,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     whole = kinds.select("text_key", "first_id").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
     lowest = whole.groupBy("component").agg(F.min("first_id").alias("class_id"))
     by_key = written(whole.join(lowest, "component").select("text_key", "class_id"), "classes")
-    return signed.select("doc_id", "text_key").join(by_key, "text_key").select("doc_id", "class_id").unionByName(
-        texts.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"))
+    return signed.select("doc_id", "mark", "text_key").join(by_key, "text_key").select("doc_id", "class_id", "mark").unionByName(
+        texts.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("class_id"), "mark")
     )
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
