@@ -1,12 +1,11 @@
 """The corpus pipeline: documents without toxic ones, without lines that repeat across documents, without near copies, without benchmark passages, as token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of the
-next. Rows without an id pass every stage; documents that repeat an id stand or fall together in the near-copy stage.
+next. Rows without an id pass every stage; of rows that repeat an id, each stands or falls by its own text.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +30,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the lowest id of each class stays."""
-    gone = near_dedup.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    gone = near_dedup.classes(docs).where("doc_id <> class_id").select("doc_id", F.col("mark").alias("_mark")).distinct()
+    marked = docs.withColumn("_mark", F.xxhash64("text"))
+    return marked.join(gone.hint("shuffle_hash"), ["doc_id", "_mark"], "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +42,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
+    import public_tokenizers
+
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
