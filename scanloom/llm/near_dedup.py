@@ -17,7 +17,7 @@ near copies costs a row for each member and band.
 With 24 bands of 6 slots a pair of similarity 0.8 shares a bucket with probability 0.9993, of 0.9 with 1 - 1e-8. The
 agreement is read from 4 bits of each of 248 slots: the estimate of a pair of similarity 0.8 has a standard deviation of
 0.026 and is below 0.72 with probability 0.001, that of one of 0.85 with 1e-7. least_agreement=None does without that
-estimate. A bucket of n texts that are all alike up to just below the threshold, but not linked, costs n * n such estimates
+estimate. An upper bound from bit maps of the shingles, which no pair of the threshold fails, spares most others the verification. A bucket of n texts that are all alike up to just below the threshold, but not linked, costs n * n such estimates
 (a few machine words each, in generated code; adaptive execution splits the bucket), and each near pair a verification.
 
 Null and empty texts are copies of each other, and texts without a word are copies if they are equal. Rows without an
@@ -45,6 +45,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Slots of a signature: those of the bands, ten bands to a 64-bit word (so that none is cut), and the rest of the words.
 SLOTS = 248
 WORDS, PLANES, BANDS_A_WORD = 4, 4, 10
+#: 64-bit words of the bit map of a text's shingles, which stand after the planes.
+MAP_WORDS = 32
 #: Slots that must agree, as a share, for a pair outside the leaders' ones to be verified.
 LEAST_AGREEMENT = 0.72
 
@@ -99,6 +101,24 @@ def agreement(a: str, b: str) -> str:
     return f"(({equal}) - {2.0**-PLANES}) / {1 - 2.0**-PLANES}"
 
 
+def bit_map(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each shingle hash."""
+    bits = np.zeros(MAP_WORDS * 64, np.uint8)
+    bits[(mixed(shingles) % np.uint64(MAP_WORDS * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def may_reach(least: float, a: str, b: str, size: str, other_size: str) -> str:
+    """SQL that is true for every pair of similarity `least` or more.
+
+    A bit that one map has and the other hasn't stands for a shingle that only one text holds, so that the sum of all differences of counts is at
+    least the number of such bits, x. As the similarity is (s - d) / (s + d) for a sum of sizes s and of differences d, it is at most (s - x) / (s + x).
+    """
+    at = PLANES * WORDS
+    x = "(" + " + ".join(f"bit_count({a}[{at + i}] ^ {b}[{at + i}])" for i in range(MAP_WORDS)) + ")"
+    return f"({size} + {other_size} - {x}) >= {least} * ({size} + {other_size} + {x})"
+
+
 def first_shared(a: str, b: str, band: str) -> str:
     """SQL: no band before this one has equal hashes in two arrays of them. The planes cannot tell: their 4 bits may agree by chance."""
     return "not (" + " or ".join(f"({band} > {i} and {a}[{i}] = {b}[{i}])" for i in range(BANDS - 1)) + ")"
@@ -125,7 +145,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if full:
                 found = signatures([np.unique(all_shingles[i], return_counts=True) for i in full], SLOTS)
                 for i, x, y in zip(full, banded(found, BANDS), planes(found)):
-                    bands[i], marks[i] = x, y
+                    bands[i], marks[i] = x, np.concatenate([y, bit_map(all_shingles[i])])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(2), pa.array([text_key(x) for x in texts], pa.binary()), pa.array([len(x) for x in all_shingles], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
                 ["doc_id", "mark", "text_key", "size", "bands", "planes"],
@@ -206,7 +226,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     new = (F.col("text_key") != F.col("leader")) & (F.col("b") != F.col("leader"))
     apart = (F.col("component") != F.col("other_component")) & once & new & fits
     likely = F.lit(True) if least_agreement is None else F.expr(f"{agree} >= {least_agreement}")
-    near = marked.join(other, "bucket").where(apart & likely & F.expr(first_shared("bands", "other_bands", "band")))
+    near = marked.join(other, "bucket").where(apart & likely & F.expr(may_reach(least, "planes", "other_planes", "size", "other_size")) & F.expr(first_shared("bands", "other_bands", "band")))
     more = written(near.select(F.col("text_key").alias("a"), "b"), "pairs")
     if not more.isEmpty():
         # components grow by links between them: those are few, whatever the number of links within

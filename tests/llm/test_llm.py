@@ -357,6 +357,22 @@ def test_signatures_estimate_similarity():
     assert (s[0] == s[2]).all() and abs((s[0] == s[1]).mean() - 360 / 440) < 0.06 and (s[3] == a[0]).all()
 
 
+def test_bit_maps_bound_the_similarity(spark):
+    """No pair fails the bound at its own similarity; dissimilar pairs do at 0.8."""
+    rng = random.Random(6)
+    rows, sims = [], []
+    for i in range(200):
+        a = words(rng, rng.randrange(5, 300), 50 if i % 5 == 0 else 5000)
+        b = [w if rng.random() > i % 10 / 40 else f"x{rng.random()}" for w in a] + a[: rng.randrange(3)]
+        x, y = (shingles.shingle_hashes(shingles.WordHashes().of(" ".join(t)), 5) for t in (a, b))
+        sims.append(near_dedup.similarity(Counter(x.tolist()), Counter(y.tolist())))
+        rows.append((i, [0] * 16 + near_dedup.bit_map(x).tolist(), [0] * 16 + near_dedup.bit_map(y).tolist(), len(x), len(y), sims[-1] * (1 - 1e-12)))
+    df = spark.createDataFrame(rows, "i int, a array<bigint>, b array<bigint>, m bigint, n bigint, sim double")
+    assert df.where(near_dedup.may_reach("sim", "a", "b", "m", "n")).count() == 200
+    far = {i for i, s in enumerate(sims) if s < 0.6}
+    assert len(far & {r["i"] for r in df.where(near_dedup.may_reach(0.8, "a", "b", "m", "n")).collect()}) < len(far) / 10 and len(far) > 50
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a int, b int")).collect()}
