@@ -33,10 +33,6 @@ def seen(t: Tables) -> DataFrame:
     return agg.withColumn("source", F.when(F.col("finding_key") % 2 == 0, "network").otherwise("filesystem"))
 
 
-def finding_cves(t: Tables) -> DataFrame:
-    return seen(t).select("target", "scan_id", "finding_key", F.explode("cve_ids").alias("cve_id"))
-
-
 def kev(t: Tables) -> DataFrame:
     return t("part").where("p_partkey % 40 = 0").select(F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")).alias("cve_id"))
 

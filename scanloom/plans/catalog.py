@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import scalars, text, versions
 from scanloom.operators import drift, findings, fleet, matching, priority, remediation, retrieval, state, training
+from scanloom.operators.shared import written
 
 from . import adapters as A
 
@@ -128,11 +129,11 @@ def finding_state_rebuild(t):
 _NOW = "timestamp '2000-01-01 00:00:00'"
 
 
-def _state_before_last(t) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The state before each target's last scan, the findings of that scan, and its status."""
+def _state_before_last(t, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The state before each target's last scan, the findings of that scan, and its status. Observations enter many times, so they are joined once and written."""
     ranked = drift.recent_scans(A.scans(t), None)
     past, last = ranked.where("rn > 1").drop("rn"), ranked.where("rn = 1").drop("rn")
-    obs = A.seen(t).withColumn("severity", scalars.severity_bucket("cvss"))
+    obs = (written(A.seen(t), "seen") if seen is None else seen).withColumn("severity", scalars.severity_bucket("cvss"))
     old = obs.join(past.select("target", "scan_id"), ["target", "scan_id"], "left_semi")
     snap = old.groupBy("target", "finding_key").agg(F.max_by(F.struct("source", "cvss", "severity", "cve_ids"), F.struct("started_at", "scan_id")).alias("x")).select("target", "finding_key", "x.*")
     st = snap.join(drift.state_from_history(drift.history(past, old)), ["target", "finding_key"]).withColumn("solved", F.col("finding_key") == 3)
@@ -176,8 +177,9 @@ from v"""
 
 @query(_DRIFT)
 def drift_verdicts(t):
-    st, cur, last = _state_before_last(t)
-    past = A.seen(t).withColumn("severity", scalars.severity_bucket("cvss")).join(last.select("target", "scan_id"), ["target", "scan_id"], "left_anti").withColumn("seen", F.lit(True))
+    seen = written(A.seen(t), "seen")
+    st, cur, last = _state_before_last(t, seen)
+    past = seen.withColumn("severity", scalars.severity_bucket("cvss")).join(last.select("target", "scan_id"), ["target", "scan_id"], "left_anti").withColumn("seen", F.lit(True))
     return drift.compute_drift(cur, st, last.select("target", "status"), past, F.expr(_NOW)).withColumn("new_cve_ids", F.array_join("new_cve_ids", ","))
 
 
@@ -253,13 +255,19 @@ intel as (
 
 @query(f"with {A.SEEN}, {A.FEEDS}, {_INTEL} select target, scan_id, finding_key, kev, cast(epss as double) as epss, cast(epss_percentile as double) as epss_percentile from intel")
 def exploit_intel(t):
-    return matching.exploit_intel(A.finding_cves(t), A.kev(t), A.epss(t), ["target", "scan_id", "finding_key"]).withColumns({c: F.col(c).cast("double") for c in ("epss", "epss_percentile")})
+    return _intel(t, A.seen(t))
+
+
+def _intel(t, seen: DataFrame) -> DataFrame:
+    cves = seen.select("target", "scan_id", "finding_key", F.explode("cve_ids").alias("cve_id"))
+    return matching.exploit_intel(cves, A.kev(t), A.epss(t), ["target", "scan_id", "finding_key"]).withColumns({c: F.col(c).cast("double") for c in ("epss", "epss_percentile")})
 
 
 def _table(t) -> DataFrame:
     """The findings of all scans with intel and severity; two findings of a source share an asset."""
-    rows = A.seen(t).withColumn("severity", scalars.severity_bucket("cvss")).withColumn("ref", F.col("finding_key"))
-    return rows.join(exploit_intel(t), ["target", "scan_id", "finding_key"])
+    seen = written(A.seen(t), "seen")
+    rows = seen.withColumn("severity", scalars.severity_bucket("cvss")).withColumn("ref", F.col("finding_key"))
+    return rows.join(_intel(t, seen), ["target", "scan_id", "finding_key"])
 
 
 _SCORE = f"""
