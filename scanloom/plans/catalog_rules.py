@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanloom.functions import scalars, text, versions
 from scanloom.operators import drift, findings, fleet, hosts, matching, priority, remediation, retrieval, state, training
 
 from . import adapters as A
-from .catalog import _DIFF, _DRIFT, _diff, _state_before_last, query
+from .catalog import _DIFF, _DRIFT, _SCORE, _diff, _report_findings, _state_before_last, query
 
 CHOICE = lambda key, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
 SQL_CHOICE = lambda key, *values: f"([{', '.join('null' if v is None else repr(v) for v in values)}])[{key} % {len(values)} + 1]"
@@ -483,6 +484,37 @@ def chat_lines(t):
     return training.chat_records(rows, "Name it.")
 
 
+# what reports say, row by row
+
+@query(_SCORE + """select target, scan_id, case when band = 'FIX NOW' then 'fix_now' else 'still_open' end as section, (rank - 1) // 2 as chunk, rank, severity <> 'low' as issue,
+  'Port ' || finding_key || case when severity = 'low' then ' — http: nothing of note was found.' else ' — http: needs attention' end as said,
+  case when severity <> 'low' then '1. Install the current version of what is affected.' || chr(10) || '2. Where there is none, switch it off or limit who can reach it.' end as how_to_fix from r""")
+def report_lines(t):
+    issues, good = remediation.report_rows(_report_findings(t))
+    keys = ["target", "scan_id", "section", "rank"]
+    a = issues.select(*keys, F.lit(True).alias("issue"), F.col("title").alias("said"), "how_to_fix")
+    b = good.select(*keys, F.lit(False).alias("issue"), F.col("good_news").alias("said"), F.lit(None).cast("string").alias("how_to_fix"))
+    return a.unionByName(b).withColumn("chunk", remediation.chunk_no(F.col("rank"), 2).cast("bigint")).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(_SCORE + """, x as (select target, scan_id, count(*) filter (severity <> 'low') as issues, count(*) filter (severity = 'low') as good, string_agg(cast(finding_key as varchar), ',' order by rank) filter (severity <> 'low') as refs from r group by 1, 2)
+select target, scan_id, issues, good, coalesce(refs, '') as refs from x""")
+def label_skeletons(t):
+    """Skeletons to be filled by a person: as many blank issues and good news as a scan has, in rank order."""
+    out = remediation.label_skeletons(_report_findings(t), ["target", "scan_id"])
+    v = F.from_json("skeleton", "findings array<struct<ref:bigint,title:string,how_to_fix:string>>, good_news array<string>")
+    blank = F.forall(v["findings"], lambda f: (f["title"] == "") & (f["how_to_fix"] == ""))
+    return out.where(blank).select("target", "scan_id", F.size(v["findings"]).cast("bigint").alias("issues"), F.size(v["good_news"]).cast("bigint").alias("good"), F.array_join(F.transform(v["findings"], lambda f: f["ref"].cast("string")), ",").alias("refs"))
+
+
+@query(_DIFF.replace("list_sort(list_distinct(list('CVE-' || l_partkey)))", "cast([] as varchar[])") + """select target, finding_key, row_number() over (partition by target order by status, coalesce(cvss, 0) desc, finding_key) as place from (select target, finding_key, status, case when here then cvss end as cvss from v where status <> 'PERSISTING')""")
+def diff_places(t):
+    """The order in which a diff is told: diff_order holds for the whole table, so places within a target follow from it."""
+    told = drift.diff_order(_diff(t, with_cves=False))
+    w = W.partitionBy("target").orderBy("at")
+    return told.withColumn("at", F.monotonically_increasing_id()).select("target", "finding_key", F.row_number().over(w).cast("bigint").alias("place"))
+
+
 # the whole job of hosts
 
 @query()

@@ -329,3 +329,35 @@ def test_training_rows(spark):
     assert (t["total"], t["pass_rate"], t["parse_failures"], t["text_failures"], t["severity_failures"]) == (4, 0.25, 1, 1, 1)
     chat = training.chat_records(spark.createDataFrame([("validated", "u", "l"), ("pending", "u", "l")], "status string, ordered_facts string, label string"), "sys").collect()
     assert len(chat) == 1 and [m["role"] for m in json.loads(chat[0]["value"])["messages"]] == ["system", "user", "assistant"]
+
+
+def test_batch_files_and_json_lines(spark, tmp_path):
+    batches = spark.createDataFrame([(1, 3), (2, 3), (3, 4)], "id int, batch_no int")
+    state.batch_files(batches.where("batch_no = 3"), str(tmp_path / "b"))
+    state.batch_files(batches.where("batch_no = 4"), str(tmp_path / "b"))
+    assert rows(spark.read.json(str(tmp_path / "b")), "batch_no", "id") == [(3, 1), (3, 2), (4, 3)]
+    state.write_json_lines(batches, str(tmp_path / "l"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "l")).collect()) == ['{"id":1,"batch_no":3}', '{"id":2,"batch_no":3}', '{"id":3,"batch_no":4}']
+
+
+def test_observations_keep_their_scans_time(spark):
+    scans = spark.createDataFrame([("t", 1, D[0])], "target string, scan_id bigint, started_at timestamp")
+    obs = spark.createDataFrame([("t", 1, "a"), ("t", 1, "b"), ("t", 2, "a")], "target string, scan_id bigint, finding_key string")
+    assert rows(drift.observations_of(scans, obs), "finding_key", "started_at") == [("a", D[0]), ("b", D[0])]
+    assert rows(drift.observations_of(scans, obs, "b"), "finding_key") == [("b",)]
+
+
+def test_views_for_readers_and_sources_of_hits(spark):
+    table = spark.createDataFrame([("t", "s", 0, "k", "NEW", 3, D[0], 1, "x")], "target string, scan_id string, ref int, finding_key string, drift_status string, age_days int, first_seen timestamp, reappearance_count int, affected string")
+    assert findings.reader_view(table).columns == ["target", "scan_id", "affected"]
+    hits = spark.createDataFrame([(1, "s1", 0.5), (2, "zz", 0.4)], "chunk_id int, source_id string, score double")
+    assert rows(retrieval.with_sources(hits, spark.createDataFrame([("s1", "u")], "source_id string, url string")), "chunk_id", "url") == [(1, "u")]
+    chunks = spark.createDataFrame([(1, [1.0]), (2, None)], "chunk_id int, embedding array<double>")
+    assert retrieval.pending(chunks).count() == 1 and retrieval.pending(chunks, force=True).count() == 2
+    picks = spark.createDataFrame([("p", "r1", False), ("p", "r1", False), ("p", "r2", False), ("p", "r2", True)], "product string, rule_id string, excluded boolean")
+    assert rows(retrieval.selected_rules(picks), "product", "rule_id") == [("p", "r1")]
+    todo = spark.createDataFrame([(2, "pending", "real"), (1, "pending", "real"), (3, "pending", "synth"), (4, "done", "real")], "id int, status string, source string")
+    assert [r["id"] for r in training.pending_rows(todo, "synth", 1).collect()] == [1]
+    changed = spark.createDataFrame([(1, "same"), (2, "changed")], "source_id int, change string")
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "source_id int, chunk string")
+    assert rows(state.replaced_chunks(old, changed, old.where("source_id = 2").withColumn("chunk", F.lit("c"))), "source_id", "chunk") == [(1, "a"), (2, "c")]

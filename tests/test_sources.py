@@ -85,3 +85,24 @@ def test_contributions_and_paths(spark, tmp_path):
     assert good.count() == 1 and bad.count() == 2
     paths = spark.createDataFrame([("/proc/1",), ("/home/x/.git/config",), ("/home/x/venv/lib",), ("/home/x/run.sh",), ("/process/a",)], "path string")
     assert rows(src.scanned_paths(paths), "path") == [("/home/x/run.sh",), ("/process/a",)]
+
+
+def test_windows_facts_and_json_lines(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    put(tmp_path / "w", "a.json", json.dumps({"hostname": "h", "smb1": True, "rdp_deny": 0, "unknown": 1}))
+    assert rows(src.windows_facts(spark, str(tmp_path / "w")), "hostname", "smb1", "rdp_deny", "uac") == [("h", True, 0, None)]
+    (tmp_path / "j").mkdir()
+    put(tmp_path / "j", "a.jsonl", '{"a": 1}\n{broken\n{"a": 2}\n')
+    assert rows(src.json_lines(spark, str(tmp_path / "j"), "a int"), "a") == [(1,), (2,)]
+    try:
+        src.json_lines(spark, str(tmp_path / "j"), "a int", strict=True).collect()
+        raise AssertionError("a broken line passed")
+    except Exception as e:
+        assert "MALFORMED" in str(e).upper()
+
+
+def test_rule_documents(spark):
+    ddl = "rule_id string, title string, description string, rationale string, severity string, refs string, fix_a string, fix_b string"
+    df = spark.createDataFrame([("r", "T", None, "why", "high", None, " ", "x" * 30), ("s", None, None, None, None, None, "short", "other")], ddl)
+    got = dict(rows(src.rule_documents(df, 20), "rule_id", "text"))
+    assert got["r"] == "Rule: r\n\nTitle: T\n\nRationale: why\n\nSeverity: high\n\n" + "x" * 20 + " ...[truncated]" and got["s"] == "Rule: s\n\nshort"
