@@ -34,13 +34,16 @@ def host_results(hosts: DataFrame, tracks: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("source") == "filesystem", "not_assessed").otherwise(F.coalesce("_s", F.lit("not_assessed")))).drop("_s")
 
 
-def summary(hosts: DataFrame, keys: list[str]) -> DataFrame:
-    """Per fleet: hosts, assessed, errored, the worst risk (unknown if none was assessed) and hosts by risk. hosts: keys, ip, status, overall_risk; an unknown risk counts as low."""
+def summary(hosts: DataFrame, keys: list[str], with_hosts: bool = True) -> DataFrame:
+    """Per fleet: hosts, assessed, errored, the worst risk (unknown if none was assessed) and hosts by risk: their lists, or without them their numbers, as a very large fleet's list is one row.
+
+    hosts: keys, ip, status, overall_risk; an unknown risk counts as low.
+    """
     ok, rank = F.col("status") == "ok", severity_rank("overall_risk")
     at = lambda n: F.array_sort(F.collect_list(F.when(ok & (rank == n), F.col("ip"))))
     agg = hosts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_hosts"), F.count_if(ok).alias("assessed"), F.count_if(F.col("status") == "error").alias("errored"),
-        F.max(F.when(ok, rank)).alias("_w"), *[at(n).alias(f"{s}_hosts") for n, s in enumerate(("low", "medium", "high", "critical"))],
+        F.max(F.when(ok, rank)).alias("_w"), *[at(n).alias(f"{s}_hosts") if with_hosts else F.count_if(ok & (rank == n)).alias(s) for n, s in enumerate(("low", "medium", "high", "critical"))],
     )
     return agg.withColumn("worst_risk", F.coalesce(severity_of_rank("_w"), F.lit("unknown"))).drop("_w")
 

@@ -376,7 +376,7 @@ select fleet, count(*) as total_hosts, count(*) filter (status = 'ok') as assess
 def fleet_summary(t):
     worst = A.seen(t).groupBy("target").agg(F.max("cvss").alias("worst"))
     h = t("customer").join(worst, F.col("c_custkey") == F.col("target"), "left").select(F.col("c_nationkey").alias("fleet"), F.col("c_custkey").alias("ip"), F.when(F.col("c_custkey") % 13 == 0, "error").otherwise("ok").alias("status"), scalars.severity_bucket(F.coalesce("worst", F.lit(0.0))).alias("overall_risk"))
-    return fleet.summary(h, ["fleet"]).select("fleet", "total_hosts", "assessed", "errored", "worst_risk", F.size("critical_hosts").cast("bigint").alias("critical"), F.size("low_hosts").cast("bigint").alias("low"))
+    return fleet.summary(h, ["fleet"], with_hosts=False).select("fleet", "total_hosts", "assessed", "errored", "worst_risk", "critical", "low")
 
 
 @query(f"""with {A.SEEN} select c_nationkey as fleet, target, count(*) as findings, max(cvss) as worst_cvss, grouping_id(c_nationkey, target) as level from seen join customer on target = c_custkey group by rollup (c_nationkey, target)""")
@@ -449,15 +449,15 @@ def retrieve_batch(t):
     return retrieval.top_k_for_each(e, queries_, 8, "vec_id").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-_SPLIT = """with u as (select d.lang, sha256(text) as unit, count(*) as n, min(doc_id) as o from documents d where text is not null group by 1, 2),
+_SPLIT = """with u as (select d.lang, coalesce(sha256(text), '') as unit, count(*) as n, min(doc_id) as o from documents d group by 1, 2),
 w as (select *, coalesce(sum(n) over (partition by lang order by o, unit rows between unbounded preceding and 1 preceding), 0) as before, sum(n) over (partition by lang) as total from u),
 s as (select lang, unit, case when before < greatest(1, cast(round_even(total * 0.1, 0) as bigint)) then 'eval' else 'train' end as split from w),
-r as (select doc_id, d.lang, split from documents d join s on d.lang = s.lang and sha256(d.text) = s.unit)
+r as (select doc_id, d.lang, split from documents d join s on d.lang is not distinct from s.lang and coalesce(sha256(d.text), '') = s.unit)
 """
 
 
 def _split(t) -> DataFrame:
-    return training.stratified_split(t("documents").where("text is not null and lang is not null"), ["lang"], "text", 0.1, order=F.col("doc_id"))
+    return training.stratified_split(t("documents"), ["lang"], "text", 0.1, order=F.col("doc_id"))
 
 
 @query(_SPLIT + "select doc_id, lang, split from r")
@@ -489,9 +489,13 @@ def seeded_sample(t):
     return training.seeded_top(t("part").select("p_brand", "p_size").distinct(), ["p_brand"], F.col("p_size"), 3, order=F.col("p_size"))
 
 
-@query("""select doc_id, regexp_matches(text, '(?i)CVE-\\d{4}-\\d+|cpe:2\\.3:') as leak, regexp_matches(text, '(?i)licensed under') as mentions from documents where text is not null""")
+@query("""with t as (select doc_id, text || case when doc_id % 3 = 0 then ' see cve-2024-' || doc_id when doc_id % 7 = 0 then ' CPE:2.3:a' else '' end as text from documents)
+select doc_id, coalesce(regexp_matches(text, '(?i)CVE-\\d{4}-\\d+|cpe:2\\.3:'), false) as leak, regexp_matches(text, '(?i)licensed under') as mentions from t""")
 def leak_check(t):
-    return t("documents").where("text is not null").select("doc_id", text.leaks("text").alias("leak"), F.col("text").rlike("(?i)licensed under").alias("mentions"))
+    """A third of the texts is given an id and a seventh a product name, as none holds one itself."""
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" see cve-2024-"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 7 == 0, " CPE:2.3:a").otherwise("")
+    rows = t("documents").select("doc_id", F.concat("text", more).alias("text"))
+    return rows.select("doc_id", text.leaks("text").alias("leak"), F.col("text").rlike("(?i)licensed under").alias("mentions"))
 
 
 # functions over a column of each row
@@ -503,9 +507,9 @@ def product_names(t):
     return s.select("s_suppkey", versions.cpe_base("cpe").alias("base"), versions.cpe_version("cpe").alias("version"), scalars.key_part(F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("\t Key  "), F.col("s_suppkey").cast("string"), F.lit("\n")))).alias("part"), versions.bumped(versions.cpe_version("cpe")).alias("next_version"))
 
 
-@query("""select doc_id, case when length(text) > 400 then regexp_replace(text[1:400], ' [^ ]*$', '') else text end as short, sha256(text) as checksum from documents where text is not null""")
+@query("""select doc_id, case when length(text) > 400 then regexp_replace(text[1:400], ' [^ ]*$', '') else text end as short, sha256(text) as checksum from documents""")
 def truncated_texts(t):
-    return t("documents").where("text is not null").select("doc_id", scalars.clean_truncate("text").alias("short"), scalars.checksum("text").alias("checksum"))
+    return t("documents").select("doc_id", scalars.clean_truncate("text").alias("short"), scalars.checksum("text").alias("checksum"))
 
 
 @query("""select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n, max(value) as highest from events group by 1, 2""")
