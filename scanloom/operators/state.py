@@ -198,7 +198,7 @@ def append_scans(rows: DataFrame, path: str, date: Column, batch: str | None = N
     A named batch has a folder of its own, which its repetition writes over, so that a replay leaves each row once. There is one writer at a time.
     """
     spark = rows.sparkSession
-    new, own = rows.withColumn("scan_date", date), batch or uuid.uuid4().hex
+    new, own = rows.withColumn("scan_date", date), batch or f"u{uuid.uuid4().hex}"
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
         known = spark.read.parquet(path).where(F.col("batch_id").cast("string") != own).select("target", "scan_id").distinct()

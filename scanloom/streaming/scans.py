@@ -34,7 +34,7 @@ def each_batch(rows: DataFrame, checkpoint: str, work: Callable[[DataFrame, int]
 
 def batch_tag(checkpoint: str, epoch: int) -> str:
     """A name for a batch of the query with this checkpoint; the same for its repetition."""
-    return f"{zlib.crc32(checkpoint.encode()):08x}-{epoch}"
+    return f"b{zlib.crc32(checkpoint.encode()):08x}-{epoch}"
 
 
 def file_change_feed(listing: DataFrame, manifest: Versioned, checkpoint: str, sink: Callable[[DataFrame, int], None], full: Callable[[int], bool] = lambda epoch: False) -> StreamingQuery:
