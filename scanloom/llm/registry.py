@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, language_id, licenses, line_dedup, near_dedup, quality, sharding, toxicity
+from . import bpe, chat, decontamination, language_id, licenses, line_dedup, near_dedup, quality, repair, sharding, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_chat": chat.op10_chat,
+        "op11_repair": repair.op11_repair,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op8_licenses": licenses.OP8_SQL,
         "op10_chat": chat.OP10_SQL,
+        "op11_repair": repair.OP11_SQL,
     }
