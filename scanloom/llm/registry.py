@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, language_id, licenses, line_dedup, near_dedup, prefix_trie, quality, repair, sharding, toxicity
+from . import bpe, chat, decontamination, language_id, licenses, line_dedup, lm, near_dedup, prefix_trie, quality, repair, sharding, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_chat": chat.op10_chat,
         "op11_repair": repair.op11_repair,
+        "op12_lm": lm.op12_lm,
         "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_licenses": licenses.OP8_SQL,
         "op10_chat": chat.OP10_SQL,
         "op11_repair": repair.OP11_SQL,
+        "op12_lm": lm.OP12_SQL,
         "op13_prefix_trie": prefix_trie.OP13_SQL,
     }
