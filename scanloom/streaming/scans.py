@@ -5,17 +5,16 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from scanloom.operators.drift import SOURCE_OWNERS, ran_ok
 from scanloom.operators.fleet import windowed_risk
 from scanloom.operators.matching import changed_files
 from scanloom.operators.shared import written
-from scanloom.operators.state import Versioned, append_scans, next_state, scan_rows
+from scanloom.operators.state import Versioned, append_scans
 
 
 def windowed_risk_stream(rows: DataFrame, time: str, value: str, keys: list[str], late: str = "1 day", length: str = "1 day", slide: str | None = None) -> DataFrame:
@@ -69,32 +68,57 @@ STATE = (
 
 
 def fold_scans(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The state after the scans of a batch, and their observations (seen and unseen rows).
+    """The state after the scans of a batch, and their observations (seen and unseen rows), in one pass for all targets and scans.
 
     batch: target, scan_id, started_at, scan_status (map), finding_key, source, cvss, severity, version, cve_ids; a scan without findings has a row whose finding_key
-    is null. A target's scans are taken in time order, one a turn, so that there are as many turns as the busiest target has scans in the batch.
+    is null. A target's scans are taken in time order: windows by (target, key) carry the stored row and what was decided before through all of them, so that the number
+    of jobs depends neither on the scans nor on the targets. Keys meet the scans from their first sight on, which are the observations to write. Of repeated
+    rows of a finding in a scan the greatest counts.
     """
-    rows = written(batch, "landed")
-    order = W.partitionBy("target").orderBy("started_at", "scan_id")
-    scans = rows.select("target", "scan_id", "started_at", "scan_status").dropDuplicates(["target", "scan_id"]).withColumn("turn", F.row_number().over(order))
-    scans, out = written(scans, "landed-scans"), []
-    for turn in range(1, (scans.agg(F.max("turn")).first()[0] or 0) + 1):
-        scan = scans.where(F.col("turn") == turn).drop("turn")
-        cur = rows.where("finding_key is not null").join(scan.select("target", "scan_id"), ["target", "scan_id"]).select("target", "finding_key", "source", "cvss", "severity", "version", "cve_ids").dropDuplicates(["target", "finding_key"])
-        absent = state.where("status <> 'resolved'").join(scan.select("target", "scan_status"), "target").join(cur.select("target", "finding_key"), ["target", "finding_key"], "left_anti")
-        out.append(written(scan_rows(cur, state, scan.drop("scan_status")), "observations"))
-        state = written(next_state(state, cur, absent.where(ran_ok(F.col("source"), F.col("scan_status"))), scan.select("target", F.col("started_at").alias("at"))), "state")
-    seen = out[0] if out else rows.limit(0).select("target", "scan_id", "started_at", "finding_key", "source", F.lit(True).alias("seen"), "cvss", "severity", "version", "cve_ids")
-    for x in out[1:]:
-        seen = seen.unionByName(x)
-    return state, seen
+    keys, values = ["target", "finding_key"], ["source", "cvss", "severity", "version", "cve_ids"]
+    landed = written(batch, "landed")
+    scans = landed.select("target", "scan_id", "started_at", "scan_status").dropDuplicates(["target", "scan_id"])
+    scans = scans.withColumn("turn", F.row_number().over(W.partitionBy("target").orderBy("started_at", "scan_id")))
+    found = landed.where("finding_key is not null").groupBy("target", "scan_id", "finding_key").agg(F.max(F.struct(*values)).alias("cur"))
+    old = state.join(scans.select("target").distinct(), "target", "left_semi").select(*keys, F.struct(*[c for c in state.columns if c not in keys]).alias("old"))
+    first = found.join(scans.select("target", "scan_id", "turn"), ["target", "scan_id"]).groupBy(*keys).agg(F.min("turn").alias("since"))
+    known = old.join(first, keys, "full_outer").withColumn("since", F.when(F.col("old").isNotNull(), 1).otherwise(F.col("since")))
+    grid = known.join(scans, "target").where("turn >= since").join(found, ["target", "scan_id", "finding_key"], "left")
+    so_far = W.partitionBy(*keys).orderBy("turn")
+    until, before = so_far.rowsBetween(W.unboundedPreceding, 0), so_far.rowsBetween(W.unboundedPreceding, -1)
+    grid = grid.withColumn("last", F.coalesce(F.last("cur", ignorenulls=True).over(until), F.struct(*[F.col(f"old.{c}").alias(c) for c in values])))
+    grid = grid.withColumn("decided", F.when(F.col("cur").isNotNull(), "open").when(ran_ok(F.col("last.source"), F.col("scan_status")), "resolved"))
+    grid = grid.withColumn("was", F.coalesce(F.last("decided", ignorenulls=True).over(before), F.col("old.status")))
+    rows = written(grid.drop("scan_status", "since"), "folded")
+
+    here = F.col("cur").isNotNull()
+    seen = rows.select(
+        "target", "scan_id", "started_at", "finding_key", F.col("last.source").alias("source"), here.alias("seen"), *[F.col(f"cur.{c}").alias(c) for c in ("cvss", "severity", "version")],
+        F.when(here, F.array_sort(F.coalesce("cur.cve_ids", F.array().cast("array<string>")))).alias("cve_ids"),
+    )
+    closed = (F.col("decided") == "resolved") & (F.coalesce("was", F.lit("")) != "resolved")
+    sums = rows.groupBy(*keys).agg(
+        F.any_value("old").alias("o"), F.max_by("last", "turn").alias("x"), F.max_by(F.coalesce("decided", "was"), "turn").alias("status"), F.count_if(here).alias("n"),
+        F.count_if(here & (F.col("was") == "resolved")).alias("again"), F.min(F.when(here, F.col("started_at"))).alias("first"), F.max(F.when(here, F.col("started_at"))).alias("latest"),
+        F.max(F.when(closed, F.col("started_at"))).alias("closed_at"),
+    )
+    o = F.col("o")
+    new = sums.select(
+        *keys, *[F.col(f"x.{c}").alias(c) for c in values], F.coalesce(o["first_seen"], "first").alias("first_seen"), F.coalesce("latest", o["last_seen"]).alias("last_seen"), "status",
+        (F.coalesce(o["occurrences"], F.lit(0)) + F.col("n")).cast("bigint").alias("occurrences"),
+        F.when(F.col("status") == "resolved", F.coalesce("closed_at", o["resolved_at"])).when(F.col("n") == 0, o["resolved_at"]).alias("resolved_at"),
+        (F.coalesce(o["reappearance_count"], F.lit(0)) + F.col("again")).cast("bigint").alias("reappearance_count"),
+        F.coalesce(o["solved"], F.lit(False)).alias("solved"), o["solved_at"].alias("solved_at"),
+    )
+    untouched = state.join(scans.select("target").distinct(), "target", "left_anti")
+    return untouched.unionByName(new.select(*state.columns)), seen
 
 
 def ingest_scans(scans: DataFrame, state: Versioned, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Landed scans into observations at path and the state table, exactly once.
 
     The state's versions are tagged with their batch: a batch that was published is not done again, and one that broke off writes its observations over those of the broken
-    attempt. Scans that an earlier batch brought are left out.
+    attempt. Scans that an earlier batch brought are left out; only the dates of the batch's scans are read of the log for that.
     """
 
     def work(batch: DataFrame, epoch: int) -> None:
@@ -104,7 +128,9 @@ def ingest_scans(scans: DataFrame, state: Versioned, path: str, checkpoint: str,
         old = state.read()
         folder = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
         if folder.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(folder):
-            known = batch.sparkSession.read.parquet(path).where(F.col("batch_id").cast("string") != tag).select("target", "scan_id").distinct()
+            date = F.to_date("started_at")
+            since, until = batch.agg(F.min(date), F.max(date)).first()
+            known = batch.sparkSession.read.parquet(path).where((F.col("batch_id").cast("string") != tag) & F.col("scan_date").between(F.lit(since), F.lit(until))).select("target", "scan_id").distinct()
             batch = batch.join(known, ["target", "scan_id"], "left_anti")
         new, seen = fold_scans(old, batch)
         append_scans(seen, path, F.to_date("started_at"), tag)
@@ -114,44 +140,98 @@ def ingest_scans(scans: DataFrame, state: Versioned, path: str, checkpoint: str,
 
 
 DRIFT_OUT = "target string, scan_id string, finding_key string, verdict string, occurrences bigint, reappearance_count bigint"
-DRIFT_STATE = "state string"
+#: Conf that a query with drift_stream needs: state by key in RocksDB, changes only in its checkpoints.
+DRIFT_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-def drift_stream(scans: DataFrame) -> DataFrame:
-    """The state machine of findings by target over a stream of whole scans.
+class DriftMachine(StatefulProcessor):
+    """What each scan of a target says of each of its keys, from a typed row of state a key and one of the last scan.
 
-    scans: target, scan_id, started_at, status (map), findings (array of finding_key, source). Scans of a target are taken in time order within a
-    batch; one that starts before the last scan taken is late: it changes nothing and comes out as one row with the verdict LATE. A target's state is its known keys, in one row.
+    Only the rows of keys whose state changes are written. With forget_ms, a key that no scan has changed for so long leaves the state by TTL (its next sight is NEW);
+    with silent_ms, a target without a scan for so long gives one row with the verdict SILENT by a timer, which the next scan sets anew.
     """
-    import json
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known = json.loads(state.get[0]) if state.exists else {"at": "", "keys": {}}
-        rows = pd.concat(list(parts)).sort_values(["started_at", "scan_id"], kind="stable")
-        out = []
-        for scan in rows.itertuples():
-            at = scan.started_at.isoformat()
-            if at < known["at"]:
-                out.append((key[0], str(scan.scan_id), None, "LATE", None, None))
+
+    def __init__(self, silent_ms: int | None = None, forget_ms: int | None = None):
+        self.silent_ms, self.forget_ms = silent_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.keys = handle.getMapState("keys", "finding_key string", "source string, status string, occurrences bigint, reappearance_count bigint", self.forget_ms)
+        self.scan = handle.getValueState("scan", "at bigint, scan_id string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        last = tuple(self.scan.get()) if self.scan.exists() else None
+        taken = last
+        known = {k[0]: tuple(v) for k, v in self.keys.iterator()}
+        changed = set()
+        for scan in sorted(rows, key=lambda x: (x["at"], x["scan_id"])):
+            at = (scan["at"], str(scan["scan_id"]))
+            if at == taken:
+                continue
+            if taken is not None and at[0] < taken[0]:
+                yield _verdict(key[0], at[1], None, "LATE")
                 continue
-            known["at"] = at
-            ok = {w for w, s in dict(scan.status or {}).items() if s == "ok"}
-            seen = {f["finding_key"]: f["source"] for f in (scan.findings if scan.findings is not None else [])}
-            for k in sorted(known["keys"].keys() | seen.keys()):
-                source, status, n, back = known["keys"].get(k, [seen.get(k), None, 0, 0])
+            taken = at
+            ok = set(scan["ok"] or [])
+            seen = dict(zip(scan["finding_keys"] or [], scan["sources"] or []))
+            for k in sorted(known.keys() | seen.keys()):
+                source, status, n, back = known.get(k, (None, None, 0, 0))
                 if k in seen:
                     verdict = "NEW" if status is None else "REAPPEARED" if status == "resolved" else "PRESENT"
-                    source, status, n, back = seen[k], "open", n + 1, back + (status == "resolved")
+                    new = (seen[k], "open", n + 1, back + (status == "resolved"))
                 elif ok & set(SOURCE_OWNERS.get(source, [])):
-                    verdict, status = "RESOLVED", "resolved"
+                    verdict, new = "RESOLVED", (source, "resolved", n, back)
                 else:
-                    verdict = "UNOBSERVED"
-                known["keys"][k] = [source, status, n, back]
-                out.append((key[0], str(scan.scan_id), k, verdict, n, back))
-        state.update((json.dumps(known),))
-        yield pd.DataFrame(out, columns=["target", "scan_id", "finding_key", "verdict", "occurrences", "reappearance_count"])
+                    verdict, new = "UNOBSERVED", (source, status, n, back)
+                if new != known.get(k):
+                    known[k] = new
+                    changed.add(k)
+                yield _verdict(key[0], at[1], k, verdict, new[2], new[3])
+        for k in changed:
+            self.keys.updateValue((k,), known[k])
+        if taken != last:
+            self.scan.update(taken)
+            if self.silent_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        yield _verdict(key[0], self.scan.get()[1], None, "SILENT")
+
+    def close(self) -> None:
+        pass
+
+
+def _verdict(target: str, scan_id: str, finding_key: str | None, verdict: str, occurrences: int | None = None, back: int | None = None) -> Row:
+    return Row(target=target, scan_id=scan_id, finding_key=finding_key, verdict=verdict, occurrences=occurrences, reappearance_count=back)
+
+
+def drift_stream(scans: DataFrame, silent_ms: int | None = None, forget_ms: int | None = None) -> DataFrame:
+    """The state machine of findings by target over a stream of whole scans; the session needs DRIFT_CONF.
+
+    scans: target, scan_id, started_at, status (map), findings (array of finding_key, source). Scans of a target are taken in order of time and id within a
+    batch. One before the last scan taken is late: it changes nothing and comes out as one row with the verdict LATE (see split_late). The last scan once more is passed over.
+    With silent_ms or forget_ms the clock drives the query: it goes on until it is stopped, whatever its trigger.
+    """
+    ok = F.map_keys(F.map_filter("status", lambda _, x: x == "ok"))
+    rows = scans.select("target", "scan_id", F.unix_micros("started_at").alias("at"), ok.alias("ok"), F.col("findings.finding_key").alias("finding_keys"), F.col("findings.source").alias("sources"))
+    return rows.groupBy("target").transformWithState(DriftMachine(silent_ms, forget_ms), DRIFT_OUT, "Append", "ProcessingTime" if silent_ms is not None or forget_ms is not None else "None")
+
+
+def split_late(verdicts: DataFrame, path: str, late_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """The verdicts of drift_stream into Parquet at path and the late scans at late_path, a folder for each batch, which its repetition writes over."""
+
+    def work(batch: DataFrame, epoch: int) -> None:
+        held = batch.persist()
+        for rows, to in ((held.where("verdict <> 'LATE'"), path), (held.where("verdict = 'LATE'").select("target", "scan_id"), late_path)):
+            rows.write.mode("overwrite").parquet(f"{to}/batch_id={batch_tag(checkpoint, epoch)}")
+        held.unpersist()
 
-    return scans.groupBy("target").applyInPandasWithState(step, DRIFT_OUT, DRIFT_STATE, "append", "NoTimeout")
+    return each_batch(verdicts, checkpoint, work, once)
 
 
 def landed(spark, path: str, schema: str, files_a_batch: int = 1000) -> DataFrame:
