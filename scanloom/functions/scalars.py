@@ -126,6 +126,18 @@ def checksum(text: Col) -> Column:
     return F.sha2(_c(text).cast("string"), 256)
 
 
+def canonical_json(text: Col) -> Column:
+    """A JSON text in one form, without blanks and with the keys of all objects in order; null if it is none or repeats a key.
+
+    A VARIANT keeps an object's fields by key, numbers by value (1.50 is 1.5) and texts without escapes, so that writing it out is the form.
+    """
+    return F.to_json(F.try_parse_json(_c(text)))
+
+
+def canonical_checksum(text: Col) -> Column:
+    return F.sha2(canonical_json(text), 256)
+
+
 def chunks_checksum(chunks: Col) -> Column:
     return F.sha2(F.array_join(_c(chunks), "\n---\n"), 256)
 

@@ -138,27 +138,65 @@ PLACEHOLDERS = ["service", "package", "fixed_version", "port", "path"]
 PLACEHOLDER = r"\{([a-zA-Z_][a-zA-Z0-9_]*)\}"
 
 
-def command_error(template: Col, shell: Col) -> Column:
-    """Null for a single plain call of an allowed command, else what is wrong with it. shell: bash or powershell."""
-    t = _c(template)
+def shell_words(command: Col) -> Column:
+    """words, open (what is left open at the end: quote, escape or null), bare (what stands outside of all quotes and escapes) and live (bare, and what stands in double quotes).
+
+    A fold over the characters: single quotes keep all, double quotes let \\ escape " and itself, outside of quotes \\ escapes any character; quoted and plain pieces side by side are one word.
+    """
+    none = F.array().cast("array<string>")
+
+    def step(a: Column, c: Column) -> Column:
+        m, blank = a["m"], c.isin(" ", "\t", "\r", "\n")
+        plain, single, double, inner = m.isin("n", "w"), m == "s", m == "d", m == "f"
+        to = (
+            F.when(plain, F.when(blank, "n").when(c == "'", "s").when(c == '"', "d").when(c == "\\", "e").otherwise("w"))
+            .when(single, F.when(c == "'", "w").otherwise("s")).when(double, F.when(c == '"', "w").when(c == "\\", "f").otherwise("d")).when(inner, "d").otherwise("w")
+        )
+        mark = (plain & c.isin("'", '"', "\\")) | (single & (c == "'")) | (double & c.isin('"', "\\"))
+        added = F.when(mark | (plain & blank), "").when(inner & ~c.isin('"', "\\"), F.concat(F.lit("\\"), c)).otherwise(c)
+        ends = (m == "w") & blank
+        return F.struct(
+            to.alias("m"), F.when(ends, "").otherwise(F.concat(a["word"], added)).alias("word"), F.when(ends, F.array_append(a["words"], a["word"])).otherwise(a["words"]).alias("words"),
+            F.concat(a["bare"], F.when(plain & ~mark, c).otherwise("")).alias("bare"), F.concat(a["live"], F.when((plain | double) & ~mark, c).otherwise("")).alias("live"),
+        )
+
+    begin = F.struct(F.lit("n").alias("m"), F.lit("").alias("word"), none.alias("words"), F.lit("").alias("bare"), F.lit("").alias("live"))
+    left = lambda a: F.when(a["m"].isin("s", "d"), "quote").when(a["m"].isin("e", "f"), "escape")
+    end = lambda a: F.struct(F.when(a["m"] == "n", a["words"]).otherwise(F.array_append(a["words"], a["word"])).alias("words"), left(a).alias("open"), a["bare"].alias("bare"), a["live"].alias("live"))
+    return F.aggregate(F.regexp_extract_all(F.coalesce(_c(command), F.lit("")), F.lit("(?s)(.)"), 1), begin, step, end)
+
+
+def command_error(template: Col, shell: Col, in_quotes: bool = True) -> Column:
+    """Null for a single plain call of an allowed command, else what is wrong with it. shell: bash or powershell.
+
+    in_quotes: whether chaining counts in quotes too, where a shell would take it as text.
+    """
+    t = F.coalesce(_c(template), F.lit(""))
     bare = F.regexp_replace(t, PLACEHOLDER, "PLACEHOLDERVAL")
     unknown = F.array_except(F.regexp_extract_all(t, F.lit(PLACEHOLDER), 1), F.array(*map(F.lit, PLACEHOLDERS)))
-    words = F.filter(F.split(F.translate(bare, "'\"", ""), r"\s+"), lambda w: w != "")
-    first = F.when((_c(shell) == "bash") & (F.get(words, F.lit(0)) == "sudo"), F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0)))
-    allowed = F.when(_c(shell) == "bash", first.isin(SHELL_COMMANDS)).otherwise(F.lower(first).isin(POWERSHELL_COMMANDS))
+    bash, parts = _c(shell) == "bash", shell_words(bare)
+    words = F.when(bash, parts["words"]).otherwise(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
+    first = F.when(bash & (F.get(words, F.lit(0)) == "sudo"), F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0)))
+    allowed = F.when(bash, first.isin(SHELL_COMMANDS)).otherwise(F.lower(first).isin(POWERSHELL_COMMANDS))
+    chained = bare.rlike(r"[;|`<>]|&&|\$\(")
+    if not in_quotes:
+        chained = F.when(bash, parts["bare"].rlike("[;|<>]|&&") | parts["live"].rlike(r"`|\$\(")).otherwise(chained)
+    odd = lambda q: F.length(F.regexp_replace(bare, f"[^{q}]", "")) % 2 == 1
+    left = F.when(bash, parts["open"]).when(odd("'") | odd('"'), "quote")
     return (
-        F.when(F.size(unknown) > 0, F.concat(F.lit("unknown placeholder "), F.get(unknown, F.lit(0))))
-        .when(bare.rlike(r"[;|`<>]|&&|\$\("), "chaining, redirection or substitution")
+        F.when(~_c(shell).isin("bash", "powershell") | _c(shell).isNull(), "unknown shell")
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown placeholder "), F.get(unknown, F.lit(0))))
+        .when(chained, "chaining, redirection or substitution")
         .when(F.contains(t, F.lit("\n")), "more than one line")
-        .when((F.length(F.regexp_replace(bare, "[^']", "")) % 2 == 1) | (F.length(F.regexp_replace(bare, '[^"]', "")) % 2 == 1), "open quote")
+        .when(left.isNotNull(), F.concat(F.lit("open "), left))
         .when(first.isNull(), "empty command")
         .when(~allowed, F.concat(F.lit("not allowed: "), first))
     )
 
 
-def command_check(template: Col, shell: Col, now: Column) -> Column:
+def command_check(template: Col, shell: Col, now: Column, in_quotes: bool = True) -> Column:
     """The row that is kept of a check: ok, validator, error, checked_at."""
-    error = command_error(template, shell)
+    error = command_error(template, shell, in_quotes)
     return F.struct(error.isNull().alias("ok"), F.concat(_c(shell), F.lit("-words")).alias("validator"), error.alias("error"), now.alias("checked_at"))
 
 

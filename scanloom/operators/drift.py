@@ -152,6 +152,58 @@ def history(scans: DataFrame, observations: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", verdict).select("target", "finding_key", "scan_id", "started_at", "seen", "cvss", "verdict", "state")
 
 
+def change_intervals(scans: DataFrame, observations: DataFrame) -> DataFrame:
+    """What history() says, as a row for each change: how long a key was seen with one score, absent and still open, or resolved.
+
+    target, finding_key, state, seen, cvss, source, verdict (of the first scan), valid_from, from_scan, valid_to, to_scan: the scan from which on, and the first one of which it is
+    no longer so (null: until now). Absences are not laid out scan by scan: each scan knows the next one that ran for each source, so that a gap between two sights is one or two rows,
+    and rows grow with sights and changes and not with keys x scans. unfolded() gives the history back.
+    """
+    later = W.partitionBy("target").orderBy(F.desc("started_at"), F.desc("scan_id"))
+    at = F.struct("pos", "started_at", "scan_id")
+    line = scans.withColumn("pos", F.row_number().over(W.partitionBy("target").orderBy("started_at", "scan_id")))
+    ran = {name: F.last(F.when(ran_ok(F.lit(name), F.col("status")), at), ignorenulls=True).over(later.rowsBetween(W.unboundedPreceding, -1)) for name in SOURCE_OWNERS}
+    line = line.select("target", "scan_id", at.alias("at"), F.lag(at).over(later).alias("after"), F.struct(*[c.alias(name) for name, c in ran.items()]).alias("ran"))
+    rows = observations.select("target", "scan_id", "finding_key", "source", "cvss").join(line, ["target", "scan_id"])
+    key = W.partitionBy("target", "finding_key").orderBy("at.pos")
+    next_run = F.coalesce(*[F.when(F.col("source") == name, F.col(f"ran.{name}")) for name in SOURCE_OWNERS])
+    rows = rows.select("target", "finding_key", "source", "cvss", "at", "after", F.lead("at").over(key).alias("next"), next_run.alias("run"))
+    gap = F.col("after").isNotNull() & (F.col("next").isNull() | (F.col("next.pos") > F.col("after.pos")))
+    closed = F.when(gap & (F.col("next").isNull() | (F.col("run.pos") < F.col("next.pos"))), F.col("run"))
+    rows = rows.withColumns({"gap": gap, "closed": closed}).drop("run")
+    old = lambda c: F.lag(c).over(key)
+    begins = old("at").isNull() | old("gap") | ~old("cvss").eqNullSafe(F.col("cvss")) | ~old("source").eqNullSafe(F.col("source"))
+    verdict = F.when(old("at").isNull(), "NEW").when(old("closed").isNotNull(), "REAPPEARED").otherwise("PRESENT")
+    rows = rows.withColumns({"run": F.sum(F.coalesce(begins, F.lit(True)).cast("int")).over(key), "verdict": verdict})
+    runs = rows.groupBy("target", "finding_key", "run").agg(
+        F.min("at").alias("first"), F.min_by("verdict", "at.pos").alias("verdict"), F.any_value("source").alias("source"), F.any_value("cvss").alias("cvss"),
+        F.max_by(F.struct("after", "next", "gap", "closed"), "at.pos").alias("x"),
+    )
+    x = F.col("x")
+    part = lambda state, seen, verdict, begin, end: F.struct(F.lit(state).alias("state"), F.lit(seen).alias("seen"), verdict.alias("verdict"), begin.alias("begin"), end.alias("end"))
+    none = F.lit(None)
+    open_until = F.coalesce(x["closed"], x["next"])
+    parts = F.array(
+        part("open", True, F.col("verdict"), F.col("first"), x["after"]),
+        F.when(x["gap"] & (x["closed"].isNull() | (x["closed"]["pos"] > x["after"]["pos"])), part("open", False, F.lit("UNOBSERVED"), x["after"], open_until)).otherwise(none),
+        F.when(x["closed"].isNotNull(), part("resolved", False, F.lit("RESOLVED"), x["closed"], x["next"])).otherwise(none),
+    )
+    out = runs.select("target", "finding_key", "source", "cvss", F.explode(F.array_compact(parts)).alias("p"))
+    return out.select(
+        "target", "finding_key", "p.state", "p.seen", F.when(F.col("p.seen"), F.col("cvss")).alias("cvss"), "source", "p.verdict",
+        F.col("p.begin.started_at").alias("valid_from"), F.col("p.begin.scan_id").alias("from_scan"), F.col("p.end.started_at").alias("valid_to"), F.col("p.end.scan_id").alias("to_scan"),
+    )
+
+
+def unfolded(intervals: DataFrame, scans: DataFrame) -> DataFrame:
+    """The rows of history() for intervals and their scans."""
+    begin, end, at = F.struct("valid_from", "from_scan"), F.struct("valid_to", "to_scan"), F.struct("started_at", "scan_id")
+    rows = intervals.join(scans, "target").where((at >= begin) & (F.col("to_scan").isNull() | (at < end)))
+    later = F.when(F.col("seen"), "PRESENT").when((F.col("state") == "resolved") & ran_ok(F.col("source"), F.col("status")), "RESOLVED").otherwise("UNOBSERVED")
+    verdict = F.when(F.col("scan_id") == F.col("from_scan"), F.col("verdict")).otherwise(later)
+    return rows.select("target", "finding_key", "scan_id", "started_at", "seen", "cvss", verdict.alias("verdict"), "state")
+
+
 def state_from_history(hist: DataFrame) -> DataFrame:
     """The state table that folding the scans one by one would leave."""
     return hist.groupBy("target", "finding_key").agg(

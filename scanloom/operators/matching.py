@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanloom.functions.scalars import address_hex, address_prefix, severity_bucket
-from scanloom.functions.versions import cpe_base, cpe_part, cpe_version, in_parsed_range, parsed_range, parsed_version
+from scanloom.functions.versions import cpe_base, cpe_part, cpe_version, in_parsed_range, parsed_range, parsed_version, version_key
 
 #: Bytes of a side that is joined by broadcast, at most, by Spark's estimate of its plan; above that Spark shuffles both sides.
 BROADCAST_BYTES = 16 << 20
@@ -30,6 +30,32 @@ def match_versions(services: DataFrame, records: DataFrame, allow_non_app: bool
     return s.join(r, "cpe_base").where(in_parsed_range("_version", "_range")).drop("_version", "_range")
 
 
+def block_candidates(services: DataFrame, records: DataFrame, depth: int = 2, allow_non_app: bool = False) -> DataFrame:
+    """Pairs of services and records of a product whose versions can meet: an interval join by blocks of the first `depth` numbers.
+
+    A record is laid to those blocks of its product in which there is a service at all and that its range touches, and meets services there only. So a product with many services and
+    many records compares about the pairs that match and those in the blocks at a range's ends, where match_versions compares all; and its pairs are dealt out by block.
+    """
+    block = lambda key: F.slice(key, 1, depth)
+    s = services.where((cpe_part("cpe") == "a") | F.lit(allow_non_app)).withColumn("cpe_base", cpe_base("cpe")).where("cpe_base is not null")
+    s = s.withColumn("_version", parsed_version(cpe_version("cpe"))).withColumn("_block", block(F.col("_version.key")))
+    r = records.withColumn("_range", parsed_range("vulnerable_version", "version_start_including", "version_end_including")).withColumn("_exact", block(version_key("vulnerable_version")))
+    b, x = F.col("_block"), F.col("_range")
+    low, high = block(x["low_key"]), block(x["high_key"])
+    above = (x["low"] == "") | ((low <= b) & ((x["high"] != "") | (F.get(b, F.lit(0)) <= F.get(low, F.lit(0)) + 1)))
+    below = (x["high"] == "") | (b <= high)
+    # what an exact version goes on to has at least its numbers
+    touches = F.when((x["exact"] != "") & (x["exact"] != "*"), F.slice(b, F.lit(1), F.size("_exact")) == F.col("_exact")).otherwise(above & below)
+    blocks = s.select("cpe_base", "_block").distinct()
+    placed = r.join(blocks, "cpe_base").where(F.coalesce(touches, F.lit(False))).drop("_exact")
+    return s.join(placed, ["cpe_base", "_block"])
+
+
+def match_versions_by_block(services: DataFrame, records: DataFrame, depth: int = 2, allow_non_app: bool = False) -> DataFrame:
+    """As match_versions, for products with many services and many records."""
+    return block_candidates(services, records, depth, allow_non_app).where(in_parsed_range("_version", "_range")).drop("_version", "_range", "_block")
+
+
 def useful(matches: DataFrame) -> DataFrame:
     return matches.where((F.col("cvss_score") > 0) & (F.col("severity") != "UNKNOWN"))
 

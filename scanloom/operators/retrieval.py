@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from scanloom.functions.text import page_chunks, page_text, page_text_native, ru
 from .matching import small
 from .state import replaced_chunks, source_changes
 
-#: Query vectors that are scored together; a larger set goes in blocks of queries.
-QUERY_BLOCK = 512
+#: Query vectors that are scored together, and bytes of them that are broadcast or that meet a part of the rows, at most.
+QUERY_BLOCK, QUERY_BYTES = 512, 32 << 20
 
 
 def page_sources(pages: DataFrame, native: bool = False) -> DataFrame:
@@ -65,8 +67,6 @@ def blob_of_floats(vector: Column) -> Column:
     """An array of floats as little-endian 32-bit binary; the inverse of floats_of_blob. Null stays null."""
     @F.pandas_udf("binary")
     def encode(x: pd.Series) -> pd.Series:
-        import numpy as np
-
         return x.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
     return encode(vector)
@@ -88,51 +88,87 @@ def top_k(rows: DataFrame, vector: list[float], k: int = 8, id_col: str = "chunk
     return scored.orderBy(F.desc("score"), id_col).limit(k).withColumn("score", F.round("score", 4))
 
 
-def top_k_for_each(rows: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "chunk_id") -> DataFrame:
-    """The k rows nearest to each of a set of query vectors (query_id, query_vector).
+def top_k_for_each(rows: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "chunk_id", most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The k rows nearest to each of a set of query vectors (query_id, query_vector), in one scan of the rows for any number of queries.
 
-    Queries go in blocks of a fixed size, so that what is broadcast has a bound; a row is scored against a block as it is read, and each task keeps k rows a query before any shuffle.
+    Vectors of at most most_bytes together are broadcast. More queries are dealt into groups of that size and the rows, as they are scanned, into parts; each part meets each
+    group in a task of its own. A task keeps k rows a query, which are ranked after a shuffle of k rows for each task and query. Rows are taken in blocks
+    around pivots: by the distance of a block's rows from their centroid no row of it can come nearer to a query than a bound, and blocks below a query's k-th score are passed over.
+    Scores are cosines (0 for a vector without length, shorter vectors end in zeros); equal ones, to 12 digits, go by id. Rows without a vector are left out.
     """
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for at in range(n):
-        # about QUERY_BLOCK vectors come to the driver at a time
-        vectors = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == at).select("query_id", "query_vector").collect()
-        part = _block(rows, vectors, k, id_col)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _block(rows: DataFrame, vectors: list, k: int, id_col: str) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
-
-    ids = [r["query_id"] for r in vectors]
-    sent = rows.sparkSession.sparkContext.broadcast((ids, [np.array(r["query_vector"] or [], float) for r in vectors]))
-
-    def best(batches):
-        ids, qs = sent.value
-        held: dict = {i: [] for i in range(len(ids))}
-        for batch in batches:
-            keys, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lengths = {len(v) for v in found if v is not None}
-            for size in lengths:
-                at = [i for i, v in enumerate(found) if v is not None and len(v) == size]
-                m = np.array([found[i] for i in at], float)
-                norms = np.sqrt((m * m).sum(1))
-                for qi, q in enumerate(qs):
-                    n = min(size, len(q))
-                    norm = norms * np.sqrt((q * q).sum())
-                    score = np.divide(m[:, :n] @ q[:n], norm, out=np.zeros(len(m)), where=norm > 0)
-                    top = np.argpartition(-score, k - 1)[:k] if len(score) > 2 * k else range(len(score))
-                    cut = min((score[j] for j in top), default=0)
-                    held[qi] = sorted(held[qi] + [(-score[j], keys[at[j]]) for j in np.flatnonzero(score >= cut)])[:k]
-        flat = [(ids[qi], key, -s) for qi, x in held.items() for s, key in x]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([float(r[2]) for r in flat], pa.float64())], ["query_id", id_col, "score"])
-
-    scored = rows.select(F.col(id_col).cast("bigint"), "embedding").mapInArrow(best, f"query_id bigint, {id_col} bigint, score double")
+    said = queries.agg(F.count(F.lit(1)), F.max(F.size("query_vector"))).first()
+    groups = max(1, -(-said[0] * max(1, said[1] or 1) * 8 // most_bytes))
+    spark, out = rows.sparkSession, f"query_id bigint, {id_col} bigint, score double"
+    held = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("query_vector").cast("array<double>").alias("q"))
+    if groups == 1:
+        sent = spark.sparkContext.broadcast([tuple(x) for x in asked.collect()])  # at most most_bytes of vectors
+        found = held.mapInArrow(lambda it: _nearest(it, sent.value, k), out)
+    else:
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // most_bytes)
+        left = held.withColumns({"part": F.pmod(F.xxhash64("id"), F.lit(parts)), "grp": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
+        right = asked.withColumns({"grp": F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"), "part": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))})
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            asked = list(zip(b["query_id"].to_pylist(), b["q"].to_pylist()))
+            return pa.Table.from_batches(list(_nearest(a.select(["id", "v"]).to_batches(), asked, k)), _HITS)
+
+        found = left.groupBy("part", "grp").cogroup(right.groupBy("part", "grp")).applyInArrow(meet, out.replace(id_col, "id"))
+        found = found.toDF("query_id", id_col, "score")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 4))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 4))
+
+
+_HITS = pa.schema({"query_id": pa.int64(), "id": pa.int64(), "score": pa.float64()})
+
+
+def _units(vectors: list, size: int) -> np.ndarray:
+    """Vectors of length 1 in rows, ended by zeros; those without length stay zero."""
+    out = np.zeros((len(vectors), size))
+    for x, v in zip(out, vectors):
+        x[: len(v or ())] = v or ()
+    norms = np.sqrt((out * out).sum(1))[:, None]
+    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
+
+
+def _blocks(batches, most: int = 8192, pivots: int = 8):
+    """ids and vectors of neighbouring rows: chunks of a task's rows, cut by the nearest of their first rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            ids, vectors = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
+            x = _units(vectors, max(map(len, vectors), default=0))
+            near = np.argmax(x @ x[:pivots].T, axis=1) if len(x) > pivots else np.zeros(len(x), int)
+            for p in np.unique(near):
+                yield ids[near == p], x[near == p]
+
+
+def _nearest(batches, asked: list, k: int):
+    """The k nearest rows of a task to each query."""
+    size = max((len(q or ()) for _, q in asked), default=0)
+    qids, qs = np.array([i for i, _ in asked], np.int64), _units([q for _, q in asked], size)
+    least = np.full(len(qids), -np.inf)
+    best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # places of queries, ids, scores
+    for ids, x in _blocks(batches):
+        n = min(x.shape[1], size)
+        x = x[:, :n]
+        middle = x.mean(0)
+        reach = np.sqrt(((x - middle) ** 2).sum(1)).max()
+        lo = np.flatnonzero(qs[:, :n] @ middle + reach + 1e-9 >= least)
+        for at in range(0, len(lo), QUERY_BLOCK):
+            q = lo[at : at + QUERY_BLOCK]
+            scores = np.round(x @ qs[q, :n].T, 12) + 0.0
+            cut = np.maximum(least[q], np.partition(scores, -k, axis=0)[-k]) if len(x) >= k else least[q]
+            row, col = np.nonzero(scores >= cut)
+            best = [np.concatenate(y) for y in zip(best, (q[col], ids[row], scores[row, col]))]
+        order = np.lexsort((best[1], -best[2], best[0]))
+        of = best[0][order]
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, int)
+        place = np.arange(len(of)) - np.repeat(starts, np.diff([*starts, len(of)]))
+        best = [y[order][place < k] for y in best]
+        full = np.flatnonzero(place[place < k] == k - 1)
+        least[best[0][full]] = best[2][full]
+    yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]]), pa.array(best[1].astype(np.int64)), pa.array(best[2])], schema=_HITS)
 
 
 def with_sources(hits: DataFrame, sources: DataFrame) -> DataFrame:
@@ -157,8 +193,6 @@ def floats_of_blob(blob: Column) -> Column:
     """Little-endian 32-bit floats of a binary as an array."""
     @F.pandas_udf("array<float>")
     def decode(x: pd.Series) -> pd.Series:
-        import numpy as np
-
         return x.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
     return decode(blob)

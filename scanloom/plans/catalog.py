@@ -126,6 +126,22 @@ def finding_state_rebuild(t):
     return drift.state_from_history(drift.history(A.scans(t), A.seen(t)))
 
 
+@query(_HISTORY + """, marked as (
+  select *, case when lag(seen) over w is distinct from seen or lag(state) over w is distinct from state or lag(cvss) over w is distinct from cvss then 1 else 0 end as b
+  from hist window w as (partition by target, finding_key order by started_at, scan_id)),
+numbered as (select *, sum(b) over (partition by target, finding_key order by started_at, scan_id rows between unbounded preceding and current row) as run from marked),
+spans as (select target, finding_key, run, any_value(state) as state, any_value(seen) as seen, any_value(cvss) as cvss, arg_min(verdict, row(started_at, scan_id)) as verdict, min(row(started_at, scan_id)) as f from numbered group by 1, 2, 3)
+select target, finding_key, state, seen, cvss, verdict, f[1] as valid_from, f[2] as from_scan, lead(f[1]) over w as valid_to, lead(f[2]) over w as to_scan
+from spans window w as (partition by target, finding_key order by run)""")
+def drift_intervals(t):
+    return drift.change_intervals(A.scans(t), A.seen(t)).drop("source")
+
+
+@query(_HISTORY + "select * from hist")
+def drift_unfolded(t):
+    return drift.unfolded(drift.change_intervals(A.scans(t), A.seen(t)), A.scans(t))
+
+
 _NOW = "timestamp '2000-01-01 00:00:00'"
 
 
@@ -234,6 +250,11 @@ def cve_match(t):
     return matching.match_versions(A.suppliers(t), A.vulnerabilities(t)).select("s_suppkey", "cve_id", "cvss_score")
 
 
+@query(f"with {_VULN} select s_suppkey, cve_id, cvss_score from svc join vuln on svc.base = vuln.base and ver >= lo and ver <= hi")
+def cve_match_by_block(t):
+    return matching.match_versions_by_block(A.suppliers(t), A.vulnerabilities(t)).select("s_suppkey", "cve_id", "cvss_score")
+
+
 @query(f"""with {_VULN}, m as (select s_suppkey, cve_id, cvss_score, p_partkey, case when cvss_score >= 90 then 'CRITICAL' when cvss_score >= 70 then 'HIGH' else 'MEDIUM' end as severity
   from svc join vuln on svc.base = vuln.base and ver >= lo and ver <= hi where cvss_score > 0),
 a as (select s_suppkey, max(cvss_score) as h, count(*) filter (severity = 'CRITICAL') as c, count(*) filter (severity = 'HIGH') as g,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import scalars, text, versions
 from scanloom.operators import drift, findings, fleet, hosts, matching, priority, remediation, retrieval, state, training
+from scanloom.streaming import loads
 
 from . import adapters as A
 from .catalog import _DIFF, _DRIFT, _SCORE, _diff, _report_findings, _state_before_last, query
@@ -253,14 +254,93 @@ def version_cases(t):
     return t("part").select(k, CHOICE(k, "exact", "one major up", "no end, too far", "below", "no bound").alias("kind"), hit.alias("hit"))
 
 
-_GOOD = "case p_partkey % 6 when 0 then null when 1 then 'unknown placeholder who' when 2 then 'chaining, redirection or substitution' when 3 then 'open quote' when 4 then 'not allowed: curl' end"
-
-
-@query(f"""select p_partkey, {_GOOD} as error, {_GOOD} is null as ok, case when p_partkey % 6 = 5 then 'powershell-words' else 'bash-words' end as validator from part""")
+_VERBS = ["sudo apt-get install", "apt", "rm -rf", "systemctl restart", "", "sudo", '"ufw" allow', "syst'em'ctl stop", "apt\\-get -y", "curl", "  brew   upgrade "]
+_ARGUMENTS = [" {package}", " {who}", " 'a;b'", ' "$(x)"', ' "open', " it's", " end\\", " x|y", ' "say \\"hi\\" \\z"', " a && b", "", " {service} --port={port}", " two\nlines"]
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+#: The characters of a command folded to words, to what stands outside of quotes and to what a double quote leaves alive.
+_FOLD = r"""list_reduce(string_split(bare, ''), lambda a, c: {
+  'm': case when a.m in ('n', 'w') then case when c in (' ', chr(9), chr(10), chr(13)) then 'n' when c = '''' then 's' when c = '"' then 'd' when c = '\' then 'e' else 'w' end
+            when a.m = 's' then case when c = '''' then 'w' else 's' end when a.m = 'd' then case when c = '"' then 'w' when c = '\' then 'f' else 'd' end when a.m = 'f' then 'd' else 'w' end,
+  'word': case when a.m = 'w' and c in (' ', chr(9), chr(10), chr(13)) then ''
+               else a.word || case when a.m in ('n', 'w') and c in (' ', chr(9), chr(10), chr(13), '''', '"', '\') or a.m = 's' and c = '''' or a.m = 'd' and c in ('"', '\') then ''
+                                   when a.m = 'f' and c not in ('"', '\') then '\' || c else c end end,
+  'words': case when a.m = 'w' and c in (' ', chr(9), chr(10), chr(13)) then list_append(a.words, a.word) else a.words end,
+  'outside': a.outside || case when a.m in ('n', 'w') and c not in ('''', '"', '\') then c else '' end,
+  'live': a.live || case when a.m in ('n', 'w') and c not in ('''', '"', '\') or a.m = 'd' and c not in ('"', '\') then c else '' end},
+  {'m': 'n', 'word': '', 'words': cast([] as varchar[]), 'outside': '', 'live': ''})"""
+
+_COMMANDS = rf"""
+with t as (select p_partkey, case when p_partkey % 7 = 0 then 'powershell' when p_partkey % 31 = 0 then 'zsh' else 'bash' end as shell,
+                  case when p_partkey % 7 = 0 then ['Set-ItemProperty', 'iex', 'WINGET', ''][p_partkey % 4 + 1] else {_sql_list(_VERBS)}[p_partkey % 11 + 1] end
+                  || {_sql_list(_ARGUMENTS)}[p_size % 13 + 1] || ' ' || split_part(p_name, ' ', 1) as command from part),
+b as (select *, regexp_replace(command, '\{{[a-zA-Z_][a-zA-Z0-9_]*\}}', 'PLACEHOLDERVAL', 'g') as bare,
+             list_filter(regexp_extract_all(command, '\{{([a-zA-Z_][a-zA-Z0-9_]*)\}}', 1), lambda x: x not in ('service', 'package', 'fixed_version', 'port', 'path')) as unknown from t),
+f as (select *, {_FOLD} as z from b),
+w as (select *, case when shell <> 'bash' then list_filter(regexp_split_to_array(bare, '\s+'), lambda x: x <> '') when z.m = 'n' then z.words else list_append(z.words, z.word) end as words,
+             case when shell = 'bash' then case when z.m in ('s', 'd') then 'quote' when z.m in ('e', 'f') then 'escape' end
+                  when length(regexp_replace(bare, '[^'']', '', 'g')) % 2 = 1 or length(regexp_replace(bare, '[^"]', '', 'g')) % 2 = 1 then 'quote' end as left_open,
+             regexp_matches(bare, '[;|`<>]|&&|\$\(') as chained,
+             regexp_matches(z.outside, '[;|<>]|&&') or regexp_matches(z.live, '`|\$\(') as loose from f),
+g as (select *, case when shell = 'bash' and words[1] = 'sudo' then words[2] else words[1] end as first from w),
+e as (select p_partkey, shell, unnest([chained, case when shell = 'bash' then loose else chained end]) as hit, unnest([true, false]) as in_quotes, unknown, left_open, first, command from g)
+select p_partkey, in_quotes, case
+  when shell = 'zsh' then 'unknown shell' when len(unknown) > 0 then 'unknown placeholder ' || unknown[1] when hit then 'chaining, redirection or substitution'
+  when contains(command, chr(10)) then 'more than one line' when left_open is not null then 'open ' || left_open when first is null then 'empty command'
+  when shell = 'bash' and first not in {tuple(text.SHELL_COMMANDS)} or shell = 'powershell' and lower(first) not in {tuple(text.POWERSHELL_COMMANDS)} then 'not allowed: ' || first end as error,
+  shell || '-words' as validator from e"""
+
+
+@query(f"select *, error is null as ok from ({_COMMANDS})")
 def command_checks(t):
-    k = "p_partkey"
-    c = text.command_check(CHOICE(k, "sudo apt-get install {package}", "ufw deny {who}", "apt update; reboot", "systemctl stop 'x", "curl http://x", "Set-ItemProperty -Path {path}"), F.when(F.col(k) % 6 == 5, "powershell").otherwise("bash"), F.expr("timestamp '2024-01-01 00:00:00'"))
-    return t("part").select(k, c.alias("c")).select(k, "c.error", "c.ok", "c.validator")
+    """Commands of 44 and 143 forms with a word of the part's name: verbs and arguments with quotes, escapes, placeholders and chaining."""
+    k = F.col("p_partkey")
+    shell = F.when(k % 7 == 0, "powershell").when(k % 31 == 0, "zsh").otherwise("bash")
+    verb = F.when(k % 7 == 0, CHOICE("p_partkey", "Set-ItemProperty", "iex", "WINGET", "")).otherwise(CHOICE("p_partkey", *_VERBS))
+    command = F.concat(verb, CHOICE("p_size", *_ARGUMENTS), F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    rows = t("part").select("p_partkey", shell.alias("shell"), command.alias("command"))
+    checks = [F.struct(F.lit(q).alias("in_quotes"), text.command_check("command", "shell", F.expr("timestamp '2024-01-01 00:00:00'"), q).alias("c")) for q in (True, False)]
+    return rows.select("p_partkey", F.explode(F.array(*checks)).alias("x")).select("p_partkey", "x.in_quotes", "x.c.error", "x.c.ok", "x.c.validator")
+
+
+@query(r"""select o_orderkey, sha256('{"A":[1,{"x":null,"y":true}],"a":' || o_orderkey || ',"b":"' || replace(o_orderstatus, 'F', 'F/\"é\"') || '","n":{"lo":' || o_custkey || ',"up":1.5}}') as digest from orders""")
+def canonical_checksums(t):
+    """Objects with keys in different orders, blanks, escapes and numbers written in different ways."""
+    k, cust = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    status = F.replace("o_orderstatus", F.lit("F"), F.when(k % 2 == 0, r'F\/\"é\"').otherwise(r'F/\"é\"'))
+    nested = F.when(k % 3 == 0, F.concat(F.lit('"n" : {"up": 1.50, "lo": '), cust, F.lit("}"))).otherwise(F.concat(F.lit('"n":{"lo":'), cust, F.lit(',"up":1.5}')))
+    members = F.array(F.concat(F.lit('"b":"'), status, F.lit('"')), F.lit('"A" :\n[1, {"y":true,"x" : null}]'), F.concat(F.lit('"a": '), k.cast("string")), nested)
+    turned = F.when(k % 4 < 2, F.reverse(members)).otherwise(members)
+    return t("orders").select("o_orderkey", scalars.canonical_checksum(F.concat(F.lit("{ "), F.array_join(turned, " , "), F.lit("}"))).alias("digest"))
+
+
+@query("""with p as (select 'src' || (o_custkey % 60) as source, o_orderkey, 1 + o_orderkey % 3 as size from orders),
+i as (select *, coalesce(sum(size) over (partition by source order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as start_index, sum(size) over (partition by source) as total from p),
+l as (select * from i where o_orderkey % 97 <> 0),
+s as (select source, case when right(source, 1) = '7' then timestamp '2024-01-05 00:00:00' when right(source, 1) = '9' then timestamp '2024-02-01 00:00:00' end as synced from (select distinct source from i)),
+f as (select l.*, start_index = coalesce(sum(size) over (partition by source order by start_index rows between unbounded preceding and 1 preceding), 0) as fits from l),
+g as (select *, bool_and(fits) over (partition by source order by start_index rows between unbounded preceding and current row) as run from f),
+n as (select s.source, synced, coalesce(sum(size) filter (run), 0) as n, max(total) filter (run) as total from s left join g using (source) group by 1, 2),
+w as (select *, coalesce(n >= total, false) as done, synced is null or synced >= timestamp '2024-01-31 20:00:00' as odd from n)
+select source, case when done then case when synced is not null and odd then timestamp '2024-02-01 00:00:00' else timestamp '2024-01-31 20:00:00' end else synced end as synced_until,
+       case when not done then synced is null end as "full", case when not done and synced is not null then case when odd then timestamp '2024-01-31 00:00:00' else synced end end as since,
+       case when not done then case when synced is not null and odd then timestamp '2024-02-01 00:00:00' else timestamp '2024-01-31 20:00:00' end end as until,
+       case when not done then cast(n as bigint) end as next_index from w""")
+def load_progress(t):
+    """Pages of many sources, some of which have not landed: how far each load has come."""
+    now = F.expr("timestamp '2024-02-01 00:00:00'")
+    order = W.partitionBy("source").orderBy("o_orderkey")
+    rows = t("orders").select(F.concat(F.lit("src"), (F.col("o_custkey") % 60).cast("string")).alias("source"), "o_orderkey", (1 + F.col("o_orderkey") % 3).alias("size"))
+    pages = rows.withColumns({"start_index": F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("size").over(W.partitionBy("source"))})
+    synced = F.when(F.right("source", F.lit(1)) == "7", F.expr("timestamp '2024-01-05 00:00:00'")).when(F.right("source", F.lit(1)) == "9", now)
+    none = F.lit(None)
+    before = rows.select("source").distinct().select("source", synced.alias("synced_until"), none.cast("boolean").alias("full"), none.cast("timestamp").alias("since"), none.cast("timestamp").alias("until"), none.cast("bigint").alias("next_index"))
+    ledger = loads.begun(before, before, now)
+    return loads.advanced(ledger, loads.following(pages.where("o_orderkey % 97 <> 0").drop("o_orderkey"), ledger))
 
 
 @query("""with r as (select p_partkey, unnest(case p_partkey % 4 when 0 then ['DEFENDER-RTP/HIGH', 'RDP-ENABLED/MEDIUM', 'RDP-NLA/HIGH', 'GUEST-ENABLED/MEDIUM'] when 1 then ['SMB1-ENABLED/MEDIUM', 'BITLOCKER-OFF/MEDIUM'] when 2 then ['UAC-DISABLED/HIGH', 'WU-STALE/MEDIUM', 'PS-EXECPOLICY/MEDIUM'] else [] end) as x from part)

@@ -76,13 +76,27 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
 WEB = "`template-id` string, host string, `matched-at` string, info struct<name:string,severity:string,description:string,reference:variant,classification:struct<`cve-id`:variant,`cvss-score`:variant>>"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, pos (from 0), line: places within each file, the same however the files are split.
+
+    Lines are counted for each piece of a file that a task reads; a line's place is the sum of the pieces before and its place in its own. There is a row for each piece.
+    """
+    lines = spark.read.text(path).select(_file(), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    pieces = lines.groupBy("file", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select(F.col("file").alias("of"), F.col("piece").alias("of_piece"), before.alias("before"), "first")
+    met = lines.join(pieces, (F.col("file") == F.col("of")) & (F.col("piece") == F.col("of_piece")))
+    return met.select("file", (F.col("before") + F.col("id") - F.col("first")).alias("pos"), "line")
+
+
 def web_hits(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a line; blank and malformed lines are skipped. References and ids may be a text or a list."""
-    raw = spark.read.option("mode", "DROPMALFORMED").schema(WEB).json(path).where("`template-id` is not null or host is not null").select("*", _file())
+    """One JSON object a line, with its place in the file; blank and malformed lines are skipped. References and ids may be a text or a list."""
+    parsed = numbered_lines(spark, path).withColumn("x", F.from_json("line", WEB + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    raw = parsed.where("x._corrupt is null").select("file", "pos", "x.*").where("`template-id` is not null or host is not null")
     texts = lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.try_variant_get(v, "$", "array<string>")).when(~F.is_variant_null(v), F.array(F.try_variant_get(v, "$", "string"))).otherwise(F.array().cast("array<string>"))
     or_none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
     return raw.select(
-        "file", F.monotonically_increasing_id().alias("pos"), F.col("template-id").alias("template_id"), F.coalesce("info.name", F.col("template-id")).alias("name"), "host",
+        "file", "pos", F.col("template-id").alias("template_id"), F.coalesce("info.name", F.col("template-id")).alias("name"), "host",
         F.col("matched-at").alias("matched_at"), F.upper(F.coalesce("info.severity", F.lit("unknown"))).alias("severity"), F.coalesce("info.description", F.lit("")).alias("description"),
         F.slice(or_none(texts(F.col("info.reference"))), 1, 3).alias("references"), or_none(texts(F.col("info.classification.cve-id"))).alias("cve_ids"),
         F.try_variant_get("info.classification.cvss-score", "$", "string").try_cast("double").alias("cvss_score"),

@@ -56,6 +56,37 @@ def file_change_feed(listing: DataFrame, manifest: Versioned, checkpoint: str, s
     return each_batch(listing, checkpoint, work)
 
 
+FEED = "listed_at timestamp, last_full timestamp, full boolean, timed_out boolean"
+
+
+def timed_change_feed(listing: DataFrame, manifest: Versioned, feed: Versioned, checkpoint: str, sink: Callable[[DataFrame, int, bool], bool], days: int = 30, once: bool = True) -> StreamingQuery:
+    """As file_change_feed, with passes driven by time: listing has listed_at too, when the pass began, and feed (FEED) keeps what the last pass was.
+
+    A pass is full, with all files, if no full one has ended or the last is `days` old; else its new and changed files go to the sink, which is told and says whether it timed out. A timeout of
+    a full pass leaves it due; one of another pass leaves the manifest, so that its files are changed once more. A pass is over once the feed's version is published under the batch's
+    name; one that broke off before goes to the sink again with the same number and kind, as the manifest's version that it may have published is passed over then.
+    """
+
+    def work(batch: DataFrame, epoch: int) -> None:
+        tag = batch_tag(checkpoint, epoch)
+        now = None if feed.tag() == tag else batch.agg(F.max("listed_at")).first()[0]
+        if now is None:
+            return
+        before = feed.read().first()
+        last_full = before["last_full"] if before else None
+        full = batch.sparkSession.range(1).select(full_pass_due(F.lit(last_full).cast("timestamp"), F.lit(now), days)).first()[0]
+        stat = F.struct("mtime", "size", "inode")
+        last = batch.groupBy("path").agg(F.max_by(stat, stat).alias("x")).select("path", "x.*")
+        known = manifest.read(manifest.version() - 1) if manifest.tag() == tag else manifest.read()
+        changed = changed_files(last, known)
+        timed_out = bool(sink(changed if full else changed.where("state <> 'same'"), epoch, full))
+        if manifest.tag() != tag and (full or not timed_out):
+            manifest.write(known.join(last.select("path"), "path", "left_anti").unionByName(last), tag)
+        feed.write(batch.sparkSession.createDataFrame([(now, now if full and not timed_out else last_full, full, timed_out)], FEED), tag)
+
+    return each_batch(listing, checkpoint, work, once)
+
+
 def full_pass_due(last_full: Column, now: Column, days: int = 30) -> Column:
     """Whether a full pass is due: never done, or days ago."""
     return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(last_full) >= days * 86400, F.lit(True))

@@ -127,3 +127,33 @@ def test_page_text(spark):
 def test_named_chunks(spark):
     row = spark.range(1).select(tx.numbered_chunks(F.lit("r"), F.array(F.lit("a"), F.lit("b"))).alias("x")).first()["x"]
     assert [tuple(c) for c in row] == [("r", "a"), ("r#2", "Rule: r (continued)\n\nb")]
+
+
+def test_words_are_those_of_a_shell(spark):
+    import random
+    import shlex
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab '\"\\\t;$`") for _ in range(rng.randrange(12))) for _ in range(400)] + ["a''b \"\" '' c", "", None]
+    got = col(spark, [(t,) for t in texts], "t string", tx.shell_words("t"))
+    for t, r in zip(texts, got):
+        try:
+            want = (None, shlex.split(t or ""))
+        except ValueError as e:
+            want = ("escape" if "escaped" in str(e) else "quote", r["words"])
+        assert (r["open"], r["words"]) == want, t
+
+
+def test_chaining_in_quotes(spark):
+    rows = [("apt install 'a;b'", True, False), ('apt install "a;b"', True, False), ('apt install "`x`"', True, True), ("apt install '$(x)'", True, False), ("apt x; y", True, True), ("apt x\\;y", True, False), ("apt '{port}'", False, False)]
+    for strict in (True, False):
+        got = col(spark, [(r[0],) for r in rows], "t string", tx.command_error("t", F.lit("bash"), strict))
+        assert [x is not None for x in got] == [r[1] if strict else r[2] for r in rows]
+    assert col(spark, [("apt x", "zsh"), ("apt x", None)], "t string, s string", tx.command_error("t", "s")) == ["unknown shell"] * 2
+
+
+def test_canonical_json(spark):
+    same = ['{"b": [1, 2.50, null, true], "a": {"y": "\\u00e9\\n", "x": {}}}', '{"a":{"x":{},"y":"é\\n"},"b":[1,2.5,null,true]}']
+    other = ['{"b": [2.5, 1, null, true], "a": {"y": "é\\n", "x": {}}}', '{"a": 1, "a": 2}', "{broken", None]
+    got = col(spark, [(t,) for t in same + other], "t string", s.canonical_json("t"))
+    assert got[0] == got[1] == '{"a":{"x":{},"y":"é\\n"},"b":[1,2.5,null,true]}' and got[2] not in (None, got[0]) and got[3:] == [None] * 3

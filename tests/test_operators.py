@@ -361,3 +361,63 @@ def test_views_for_readers_and_sources_of_hits(spark):
     changed = spark.createDataFrame([(1, "same"), (2, "changed")], "source_id int, change string")
     old = spark.createDataFrame([(1, "a"), (2, "b")], "source_id int, chunk string")
     assert rows(state.replaced_chunks(old, changed, old.where("source_id = 2").withColumn("chunk", F.lit("c"))), "source_id", "chunk") == [(1, "a"), (2, "c")]
+
+
+def test_change_intervals_unfold_to_history(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(7)
+    at = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=i)
+    scan_rows = [(t, i, at(i // 2), {"network": rng.choice(["ok", "error"]), "filesystem": rng.choice(["ok", "ok", "error"])}) for t in "ab" for i in range(14)]
+    seen = [(t, i, k, rng.choice(["network", "filesystem"]) if k == "z" else ("network", "filesystem", "odd")[ord(k) % 3], float(rng.choice([5, 5, 7]))) for t in "ab" for i in range(14) for k in "uvwxyz" if rng.random() < 0.4]
+    seen += [("a", 0, "once", "network", None), ("a", 3, "always", "network", 1.0)] + [("a", i, "always", "network", 1.0) for i in range(4, 14)]
+    scans = spark.createDataFrame(scan_rows, "target string, scan_id bigint, started_at timestamp, status map<string,string>")
+    obs = spark.createDataFrame(seen, "target string, scan_id bigint, finding_key string, source string, cvss double")
+    intervals = drift.change_intervals(scans, obs)
+    names = ("target", "finding_key", "scan_id", "started_at", "seen", "cvss", "verdict", "state")
+    assert sorted(map(str, rows(drift.unfolded(intervals, scans), *names))) == sorted(map(str, rows(drift.history(scans, obs), *names)))
+    got = [r for r in intervals.where("finding_key = 'always'").collect()]
+    assert [(r["state"], r["from_scan"], r["to_scan"], r["verdict"]) for r in got] == [("open", 3, None, "NEW")]
+    # no two neighbouring intervals say the same
+    key = lambda r: (r["target"], r["finding_key"], r["valid_from"], r["from_scan"])
+    every = sorted(intervals.collect(), key=key)
+    for a, b in zip(every, every[1:]):
+        if (a["target"], a["finding_key"]) == (b["target"], b["finding_key"]):
+            assert (a["valid_to"], a["to_scan"]) == (b["valid_from"], b["from_scan"])
+            assert (a["state"], a["seen"], a["cvss"], a["source"]) != (b["state"], b["seen"], b["cvss"], b["source"])
+        else:
+            assert a["to_scan"] is None
+
+
+def test_hot_products_meet_by_blocks(spark):
+    services = spark.createDataFrame([(i, f"cpe:2.3:a:v:p:{i // 30}.{i % 30}.{i % 4}") for i in range(600)] + [(900, "cpe:2.3:a:v:p:*"), (901, "cpe:2.3:a:v:p:beta-1"), (902, "cpe:2.3:o:v:p:1.0")], "id bigint, cpe string")
+    ranges = [("*", f"{i % 20}.{i}", f"{i % 20}.{i + 2}.1") for i in range(28)] * 12 + [("*", "3.4", None), ("*", None, "1.2"), ("2.5", None, None), ("2", None, None), ("beta", None, None), ("*", "odd", "2.0"), ("", None, None)]
+    records = spark.createDataFrame([("cpe:2.3:a:v:p", *r, f"CVE-{i}") for i, r in enumerate(ranges)], "cpe_base string, vulnerable_version string, version_start_including string, version_end_including string, cve_id string")
+    whole, cut = matching.match_versions(services, records), matching.match_versions_by_block(services, records)
+    assert whole.columns == cut.columns and rows(whole, "id", "cve_id") == rows(cut, "id", "cve_id") and whole.count() > 900
+    before, after = services.where("id < 902").count() * records.count(), matching.block_candidates(services, records).count()
+    assert after < whole.count() * 1.5 and after * 20 < before, (before, after, whole.count())
+
+
+def test_any_number_of_queries_in_one_scan(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(6, 8))
+    vectors = [(i, (centres[i % 6] + rng.normal(size=8) * 0.05).tolist()) for i in range(900)] + [(2000 + i, v) for i, v in enumerate([[0.0] * 8, None, [1.0, 2.0]])] + [(3000 + i, [1.0] * 8) for i in range(12)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").repartition(3).write.parquet(str(tmp_path / "v"))
+    data = spark.read.parquet(str(tmp_path / "v"))
+    asked = [(i, rng.normal(size=8).tolist()) for i in range(5000)] + [(9000, [0.0] * 8), (9001, None), (9002, [1.0] * 8), (9003, [1.0])]
+    queries = spark.createDataFrame(asked, "query_id bigint, query_vector array<double>")
+    x = np.array([[*(v or []), *[0.0] * (8 - len(v or []))] for _, v in vectors if v is not None])
+    ids = np.array([i for i, v in vectors if v is not None])
+    q = np.array([[*(v or []), *[0.0] * (8 - len(v or []))] for _, v in asked])
+    norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))
+    score = np.round(np.divide(q @ x.T, norm, out=np.zeros((len(q), len(x))), where=norm > 0), 12) + 0.0
+    want = {(asked[i][0], rank + 1): int(ids[j]) for i in range(len(asked)) for rank, j in enumerate(np.lexsort((ids, -score[i]))[:3])}
+    for most in (retrieval.QUERY_BYTES, 5000 * 8 * 8 // 3):
+        out = retrieval.top_k_for_each(data, queries, 3, "vec_id", most)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1, plan
+        assert {(r["query_id"], r["rank"]): r["vec_id"] for r in out.collect()} == want
