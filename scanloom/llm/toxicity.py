@@ -1,20 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
 Learning. At most `most_labelled` labelled rows are taken, half of them toxic if there are enough, in the order of a
-hash of the id; equal texts of a label (case aside) stand once. Of these rows every fifth calibrates, and of the
-others at most `most_examples`, half of each class, are examples. These two numbers are the only bounds. The terms are
+hash of the id; equal texts of a label (case aside) stand once. Of these rows at most `most_examples`, half of each
+class, are examples, and all calibrate. These two numbers are the only bounds. The terms are
 all words that an example holds. A term weighs in a text (1 + log count) x inverse document frequency x relevance:
 document frequencies are counted over all documents, and the relevance, between `floor` and 1, is how much of the difference of
-the term's shares in the two classes of the sampled rows (without the calibrating ones) lies beyond chance, by the
-sum of the shares. Plain TF-IDF (relevance 1) is what most_relevant=False gives; README has both accuracies.
+the term's shares in the two classes of the sampled rows lies beyond chance, by the sum of the shares. Plain TF-IDF (relevance 1) is what most_relevant=False gives; README has both accuracies.
 
 Scoring. Postings of the examples' unit vectors are cut into blocks with each term's largest weight in it. A text's
 upper bound for each block follows from those; the blocks of the highest bounds are scored first, and of the others
-those whose bound reaches the k-th best cosine so far, so the k nearest are exact (ties: the lower example first).
+those whose bound reaches the k-th best cosine so far, so the k nearest are exact (cosines are equal to 9 digits; ties: the
+example that is lower by label and id as text first).
 Their votes, weighted by 1 / (distance + 0.05) and by the labelled rows that an example of its class stands for, give
-a raw score, which isotonic regression on the calibrating rows, weighted to the class shares of all labelled rows,
-turns into a share of toxic texts. If no row of
-a class calibrates, the vote is the score. Texts that share no term with any example get the share among such calibrating rows.
+a raw score. Isotonic regression turns it into a share of toxic texts: its points are the raw scores of all sampled rows, those of examples without
+their own posting, weighted to the class shares of all labelled rows. The raw score itself stands beside it as PRIOR rows of the
+smaller class would, so that scores rise with the vote however few rows are labelled. If a class has no row,
+the vote is the score. Texts that share no term with any example get the share among such calibrating rows.
 
 Null and empty texts have no term and get that share as well. Whole texts are read, whatever their length. Rows are
 independent; only the id and the text are read, so other columns of any name do no harm. If an id has several labels,
@@ -38,6 +39,8 @@ from .shingles import words_of
 MOST_LABELLED = 20_000
 MOST_EXAMPLES = 2048
 NEIGHBOURS = 15
+#: Rows of the smaller class that the raw score counts for beside the regression.
+PRIOR = 15
 #: Examples of a block, and blocks that are scored before the others are held against the k-th best.
 BLOCK, FIRST_BLOCKS = 256, 1
 #: Least relevance of a term, what is added to the sum of its shares (rare terms tell little), and the standard deviations that count as chance.
@@ -61,7 +64,7 @@ def document_frequencies(rows: DataFrame, known) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int, most_examples: int) -> tuple[DataFrame, dict[int, int]]:
-    """(label, id, text, role, turn) of the sample, role being example, calibrate or count; and by class the number of labelled documents."""
+    """(label, id, text, role, turn) of the sample, role being example or count; and by class the number of labelled documents."""
     marks = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("label")).where("id is not null")
     marks = marks.withColumn("order", F.xxhash64("id"))
     sizes = {int(r[0]): r[1] for r in marks.groupBy("label").count().collect()}
@@ -72,15 +75,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     chosen = picked[0].unionByName(picked[1]).withColumn("turn", F.row_number().over(W.partitionBy("label").orderBy("order", "id")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen.select("id", "label", "turn")), "id")
     one = texts.groupBy("label", F.sha2(F.lower("text"), 256).alias("key")).agg(F.min_by(F.struct("id", "text", "turn"), F.struct("turn", "id")).alias("x")).select("label", "x.*")
-    fifth = F.floor(F.col("turn") / 5)
-    role = F.when(F.col("turn") % 5 == 0, "calibrate").when(F.col("turn") - fifth <= most_examples // 2, "example").otherwise("count")
+    role = F.when(F.col("turn") <= most_examples // 2, "example").otherwise("count")
     return written(one.withColumn("role", role), "toxicity-sample"), sizes
 
 
 class Index:
     """Block-max inverted index of the examples' unit vectors."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, rank: np.ndarray | None = None):
+        self.rank = np.arange(len(vectors)) if rank is None else rank
         self.n, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         terms = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
         weights = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
@@ -106,12 +109,14 @@ class Index:
         postings = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1], dtype=np.int32)
         return np.bincount(self.owners[postings], self.weights[postings] * np.repeat(weights, sizes), self.n)
 
-    @staticmethod
-    def _best(scores: np.ndarray, k: int) -> list[tuple[float, int]]:
+    def _first(self, found: list[tuple[float, int]], k: int) -> list[tuple[float, int]]:
+        return sorted(found, key=lambda x: (-x[0], self.rank[x[1]]))[:k]
+
+    def _best(self, scores: np.ndarray, k: int) -> list[tuple[float, int]]:
         found = np.flatnonzero(scores > 0)
         if len(found) > k:
-            found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
-        return sorted(zip(np.round(scores[found], 12).tolist(), found.tolist()), key=lambda x: (-x[0], x[1]))[:k]
+            found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-8]
+        return self._first(list(zip(np.round(scores[found], 9).tolist(), found.tolist())), k)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(cosine, example), best first; only cosines above 0."""
@@ -124,7 +129,7 @@ class Index:
         rest = order[FIRST_BLOCKS:]
         rest = rest[bounds[rest] > low]
         if len(rest):
-            best = sorted(best + self._best(self._scores(terms, weights, np.sort(rest)), k), key=lambda x: (-x[0], x[1]))[:k]
+            best = self._first(best + self._best(self._scores(terms, weights, np.sort(rest)), k), k)
         return best
 
 
@@ -155,10 +160,12 @@ class Model:
         # like examples share blocks, which tightens the bounds
         order = sorted(range(len(examples)), key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:4]].tolist(), str(examples[i][1])))
         self.labels, self.ids = np.array([examples[i][0] for i in order], float), [examples[i][1] for i in order]
-        self.index = Index([vectors[i] for i in order], len(terms))
+        rank = np.argsort(sorted(range(len(order)), key=lambda at: (examples[order[at]][0], str(examples[order[at]][1]))))
+        self.index = Index([vectors[i] for i in order], len(terms), rank)
+        self.place = {i: at for at, i in enumerate(self.ids)}
         held = Counter(label for label, _, _ in examples)
         self.stand_for = {c: labelled.get(c, 0) / n for c, n in held.items()}
-        self.steps, self.none = (np.zeros(0), np.zeros(0)), 0.0
+        self.steps, self.none, self.prior = (np.zeros(0), np.zeros(0)), 0.0, 1.0
 
     def vector_of(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         at, n = (np.fromiter(x, np.int64, len(counts)) for x in (map(self.terms.__getitem__, counts), counts.values()))
@@ -168,8 +175,11 @@ class Model:
         norm = np.linalg.norm(weights)
         return (at, weights / norm) if norm else (np.zeros(0, np.int64), np.zeros(0))
 
-    def near(self, text: str | None) -> list[tuple[float, int]]:
-        return self.index.nearest(*self.vector_of(Counter(words_of(text))), self.k)
+    def near(self, text: str | None, without: object = None) -> list[tuple[float, int]]:
+        """The k nearest examples; without: an example's id, which is left out."""
+        own = self.place.get(without)
+        found = self.index.nearest(*self.vector_of(Counter(words_of(text))), self.k + (own is not None))
+        return [x for x in found if x[1] != own][: self.k]
 
     def voted(self, near: list[tuple[float, int]]) -> float:
         votes = [(self.stand_for[int(self.labels[i])] / (1 - min(1.0, c) + 0.05), self.labels[i]) for c, i in near]
@@ -179,7 +189,8 @@ class Model:
         near = self.near(text)
         if not near or not len(self.steps[0]):
             return self.none, near
-        return float(np.interp(self.voted(near), *self.steps)), near
+        raw = self.voted(near)
+        return float((1 - self.prior) * np.interp(raw, *self.steps) + self.prior * raw), near
 
     def calibrate(self, rows: list[tuple[int, float | None]], labelled: dict[int, int]) -> None:
         """rows: label and raw vote (None: no neighbour) of each calibrating row."""
@@ -187,10 +198,10 @@ class Model:
         weight = {c: labelled[c] / n for c, n in held.items()}
         raws = [(raw, label, weight[label]) for label, raw in rows if raw is not None]
         none = [(label, weight[label]) for label, raw in rows if raw is None]
-        if sum(map(bool, labelled.values())) == 2 and len(held) < 2:
-            self.steps = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        elif raws:
+        if raws:
             self.steps = isotonic(*(np.array(c, float) for c in zip(*raws)))
+        few = min((held.get(c, 0) for c in (0, 1)), default=0)
+        self.prior = PRIOR / (PRIOR + few)
         total = sum(labelled.values())
         self.none = sum(y * w for y, w in none) / sum(w for _, w in none) if none else labelled.get(1, 0) / total if total else 0.0
 
@@ -231,19 +242,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     frequency = frequencies(docs.select(F.lit(0).alias("label"), F.col(text_col).cast("string").alias("text")))[1]
     value = np.log((1 + docs.count()) / (1 + frequency)) + 1
     if most_relevant:
-        told = sample.where("role <> 'calibrate'")
-        sizes = {int(r[0]): r[1] for r in told.groupBy("label").count().collect()}
-        value = value * relevance(*frequencies(told.select("label", "text")), sizes)
+        sizes = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}
+        value = value * relevance(*frequencies(sample.select("label", "text")), sizes)
     model = Model(terms, value, examples, labelled, k)
     sent = sc.broadcast(model)
 
     def votes(batches):
         m = sent.value
         for batch in batches:
-            found = [m.near(x) for x in batch.column(1).to_pylist()]
+            found = [m.near(x, own) for x, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.voted(x) if x else None for x in found], pa.float64())], ["label", "raw"])
 
-    held = sample.where("role = 'calibrate'").select("label", "text").repartition(max(1, sc.defaultParallelism))
+    own = F.when(F.col("role") == "example", F.col("id"))
+    held = sample.select("label", "text", own.alias("own")).repartition(max(1, sc.defaultParallelism))
     model.calibrate([(int(r[0]), r[1]) for r in held.mapInArrow(votes, "label int, raw double").collect()], labelled)
     return model
 
