@@ -10,8 +10,8 @@ that no window holds a whole long dialogue, whether its turns are numbered, shar
 their dialogue's turns as one array of names, which a dialogue has few of, and not in a join. Turns are ordered by
 number (null first), role and the MD5 of the text; repeated rows stay. Texts of any length stay whole.
 A user's name is the speaker's with `\\`, `<|` and line ends escaped, so that no two speakers get one name, in any script.
-A null or empty role is the speaker `unknown`, a null text is empty, and rows without a dialogue id form one dialogue
-whose id is null. Roles in `system` speak as system in every perspective and have none of their own. Marks in a text
+A null or empty role is the speaker `unknown`, a null text is empty, and each row without a dialogue id is a dialogue of its own
+whose id is null, so that unrelated rows never meet. A dialogue gives a row for each of its turns and speakers, which is what rotation is. Roles in `system` speak as system in every perspective and have none of their own. Marks in a text
 are broken by a space, so that no text ends a turn. Other columns are left out, clashing names among them.
 """
 
@@ -34,6 +34,8 @@ def rotated(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", r
         F.monotonically_increasing_id().alias("tie"),
     )
     is_system = F.col("speaker").isin(list(system))
+    alone = rows.where(F.col("conv_id").isNull() & ~is_system)
+    rows = rows.where("conv_id is not null")
     people = rows.where(~is_system).groupBy("conv_id").agg(F.array_sort(F.collect_set("speaker")).alias("people"))
     # a dialogue without speakers has no perspective; the small side is a row for each dialogue
     seen = _with_people(rows, people).select("*", F.explode("people").alias("perspective"))
@@ -55,6 +57,12 @@ def rotated(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", r
     inside = W.partitionBy(*keys, "block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("chars").over(inside), F.lit(0))).join(sums, matched).withColumn("start", F.col("start") + F.col("block_start"))
     placed = placed.withColumns({"rendered": F.concat("head", "said", F.lit("<|im_end|>\n")), "head_chars": F.length("head").cast("bigint")})
+    mine = F.concat(F.lit("<|im_start|>assistant\n"), F.col("said"), F.lit("<|im_end|>\n"))
+    alone = alone.select(
+        "conv_id", F.col("speaker").alias("perspective"), "turn", "speaker", F.lit(True).alias("learned"), F.lit(0).cast("bigint").alias("start"), mine.alias("rendered"),
+        F.length(mine).cast("bigint").alias("chars"), F.lit(len("<|im_start|>assistant\n")).cast("bigint").alias("head_chars"),
+    )
+    placed = placed.select(alone.columns).unionByName(alone)
     end = F.col("start") + F.col("chars")
     return placed.select(
         *keys, "turn", "speaker", "rendered", "learned", "start", end.alias("end"),
@@ -74,7 +82,7 @@ def escaped(name: str) -> Column:
 def _with_people(rows: DataFrame, people: DataFrame) -> DataFrame:
     """rows with the speakers of their dialogue. Adaptive execution splits a large dialogue's side, as the other has one row for it."""
     of = people.withColumnRenamed("conv_id", "of")
-    return rows.join(of, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    return rows.join(of, F.col("conv_id") == F.col("of")).drop("of")
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
@@ -83,18 +91,19 @@ def op10_chat(spark, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 with t as (
-  select conv_id, turn, coalesce(nullif(role, ''), 'unknown') as speaker, replace(coalesce(text, ''), '<|im_', '< |im_') as said
+  select conv_id, case when conv_id is null then row_number() over () end as own, turn, coalesce(nullif(role, ''), 'unknown') as speaker,
+         replace(coalesce(text, ''), '<|im_', '< |im_') as said
   from conversations),
-p as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
+p as (select distinct conv_id, own, speaker as perspective from t where speaker <> 'system'),
 h as (
-  select t.conv_id, perspective, turn, speaker, said, speaker = perspective as learned,
+  select t.conv_id, t.own, perspective, turn, speaker, said, speaker = perspective as learned,
          case when speaker = perspective then '<|im_start|>assistant' || chr(10)
               when speaker = 'system' then '<|im_start|>system' || chr(10)
               else '<|im_start|>user name=' || replace(replace(replace(replace(speaker, '\', '\\'), '<|', '<\|'), chr(10), '\n'), chr(13), '\r') || chr(10) end as head
-  from t join p on t.conv_id is not distinct from p.conv_id),
+  from t join p on t.conv_id is not distinct from p.conv_id and t.own is not distinct from p.own),
 r as (select *, head || said || '<|im_end|>' || chr(10) as rendered from h),
 s as (
-  select *, cast(coalesce(sum(length(rendered)) over (partition by conv_id, perspective order by turn nulls first, speaker, md5(said)
+  select *, cast(coalesce(sum(length(rendered)) over (partition by conv_id, own, perspective order by turn nulls first, speaker, md5(said)
                                                       rows between unbounded preceding and 1 preceding), 0) as bigint) as start
   from r)
 select conv_id, perspective, turn, speaker, rendered, learned, start, start + length(rendered) as "end",

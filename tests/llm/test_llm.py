@@ -6,6 +6,7 @@ import os
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -467,13 +468,27 @@ def test_chat_rotation(spark, odd):
 
 def test_chat_places_of_turns_without_numbers(spark):
     """One dialogue of many turns with one number, none, and repeats: places follow each other without gaps."""
-    turns = [(None, None, "ab"[i % 2], f"text {i % 50}") for i in range(3000)] + [(None, 7, "a", "same")] * 2000
+    turns = [(5, None, "ab"[i % 2], f"text {i % 50}") for i in range(3000)] + [(5, 7, "a", "same")] * 2000
     got = chat.rotated(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).where("perspective = 'a'").select("turn", "start", "end").collect()
     spans = sorted((r["start"], r["end"], r["turn"]) for r in got)
     assert len(spans) == 5000 and spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert [t for _, _, t in spans] == [None] * 3000 + [7] * 2000
 
 
+def test_chat_rows_without_a_dialogue_never_meet(spark, tmp_path):
+    """4,000 rows without an id, of 500 speakers, give a row each; the SQL says the same."""
+    turns = [(None, i % 3, f"s{i % 500}" if i % 100 else "system", f"text {i}") for i in range(4000)] + [(1, 0, "ann", "hi"), (1, 1, "bob", None)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = chat.op10_chat(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = con.sql(chat.OP10_SQL)
+    at = [want.columns.index(c) for c in got.columns]
+    found = Counter(tuple(r) for r in got.collect())
+    assert found == Counter(tuple(r[i] for i in at) for r in want.fetchall()) and sum(found.values()) == 3960 + 4
+    assert all(r[3] == r[1] and r[5] and r[6] == 0 for r in found if r[0] is None)
+
+
 # 8
 
 def test_licenses(spark, odd, empty):
