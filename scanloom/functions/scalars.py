@@ -126,12 +126,19 @@ def checksum(text: Col) -> Column:
     return F.sha2(_c(text).cast("string"), 256)
 
 
+def whole_json(text: Col) -> Column:
+    """A text that is JSON and nothing more as a VARIANT, else null. The parser alone would pass over what follows a value, which neither a list nor an object around it lets stand."""
+    t = _c(text)
+    listed, held = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), t, F.lit("}")))
+    return F.when(held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def canonical_json(text: Col) -> Column:
     """A JSON text in one form, without blanks and with the keys of all objects in order; null if it is none or repeats a key.
 
     A VARIANT keeps an object's fields by key, numbers by value (1.50 is 1.5) and texts without escapes, so that writing it out is the form.
     """
-    return F.to_json(F.try_parse_json(_c(text)))
+    return F.to_json(whole_json(text))
 
 
 def canonical_checksum(text: Col) -> Column:

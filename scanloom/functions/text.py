@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .scalars import Col, _c
+from .scalars import Col, _c, whole_json
 
 
 def normalized(text: Col) -> Column:
@@ -107,12 +107,12 @@ def page_text_native(html: Col) -> Column:
 
 
 def parsed_report(raw: Col) -> Column:
-    """The JSON object in a model's answer as a VARIANT; null if there is none."""
+    """The JSON object in a model's answer as a VARIANT; null if there is none or text follows it."""
     r = _c(raw)
     fenced = F.regexp_extract(r, r"(?s)```(?:json)?\s*\n(.*?)\n\s*```", 1)
     body = F.when(fenced != "", fenced).otherwise(r)
     at = F.locate("{", body)
-    return F.when(at > 0, F.try_parse_json(F.substring(body, at, F.length(body))))
+    return F.when(at > 0, whole_json(F.substring(body, at, F.length(body))))
 
 
 def how_to_fix_text(value: Column) -> Column:

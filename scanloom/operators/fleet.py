@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.functions.scalars import host_class, severity_of_rank, severity_rank, spark_bar
+from scanloom.functions.scalars import host_class, severity_of_rank, severity_rank, spark_bar, web_target
 
 from .matching import in_networks
 
@@ -81,3 +81,10 @@ def windowed_risk(rows: DataFrame, time: str, value: str, keys: list[str], lengt
     w = F.window(time, length, slide) if slide else F.window(time, length)
     agg = rows.groupBy(w, *keys).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("highest"))
     return agg.select(F.col("window.start").alias("window_start"), *keys, "n", "highest")
+
+
+def web_targets(ports: DataFrame, host: str) -> DataFrame:
+    """target, address: what to scan of each target, by all the ports seen of it, whatever their state. ports: target, port and the host's column."""
+    seen = ports.groupBy("target").agg(F.any_value(host).alias("_host"), F.bool_or(F.col("port") == 443).alias("_tls"), F.bool_or(F.col("port") == 80).alias("_plain"))
+    known = F.array_compact(F.array(F.when(F.col("_tls"), 443), F.when(F.col("_plain"), 80)))
+    return seen.select("target", web_target("_host", known).alias("address"))

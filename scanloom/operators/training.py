@@ -96,9 +96,14 @@ def score_totals(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("total"), F.avg(F.col("passed").cast("int")).alias("pass_rate"), *([F.avg("latency").alias("mean_latency")] if "latency" in scored.columns else []), F.count_if(~p).alias("parse_failures"), F.count_if(p & ~t).alias("text_failures"), F.count_if(p & t & ~s).alias("severity_failures"))
 
 
+def seeded(value: Column, seed: int) -> Column:
+    """An order without meaning that a seed repeats, in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), value.cast("string")))
+
+
 def seeded_top(rows: DataFrame, keys: list[str], value: Column, n: int, order: Column | None = None, seed: int = 0) -> DataFrame:
     """n rows of each key in a seeded hash order (or the one given): a sample that repeats."""
-    w = W.partitionBy(*keys).orderBy(order if order is not None else F.xxhash64(F.lit(seed), value), value)
+    w = W.partitionBy(*keys).orderBy(order if order is not None else seeded(value, seed), value)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
@@ -113,7 +118,7 @@ def product_versions(records: DataFrame, n: int = 5, order: Column | None = None
 def one_service_a_port(rows: DataFrame, without_ports: list[int], n: int, seed: int = 0) -> DataFrame:
     """One row in seeded order for each port that isn't left out, n ports at most."""
     one = seeded_top(rows.where(~F.col("port").isin(without_ports)), ["port"], F.col("service"), 1, seed=seed)
-    return one.orderBy(F.xxhash64(F.lit(seed), "port"), "port").limit(n)
+    return one.orderBy(seeded(F.col("port"), seed), "port").limit(n)
 
 
 def chat_records(rows: DataFrame, system: str, user: str = "ordered_facts", answer: str = "label") -> DataFrame:

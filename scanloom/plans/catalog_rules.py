@@ -225,35 +225,6 @@ def failed_hosts(t):
 
 # scalar rules
 
-@query(f"""with p as (select *, {SQL_CHOICE("p_size", *_LEVEL)} as level from part)
-select p_partkey, case level when 'CRITICAL' then 9.5 when 'HIGH' then 7.5 when 'MEDIUM' then 5.0 else 3.0 end::double as filesystem, case level when 'HIGH' then 7.5 when 'MEDIUM' then 5.0 else 3.0 end::double as host_audit,
-  case level when 'HIGH' then 9.0 when 'MEDIUM' then 6.0 else 3.0 end::double as malware, case p_size % 6 when 5 then 'HIGH' when 4 then 'HIGH' when 2 then 'MEDIUM' when 1 then 'LOW' else 'MEDIUM' end as detection, greatest(0, 100 - 15 * (p_size % 8) - 5 * (p_size % 5)) as hardening,
-  case when p_size % 7 = 0 then 'https://t' when p_size % 7 = 1 then 'http://t' else 't' end as web_target, case p_size % 4 when 0 then 'freebsd' when 1 then 'windows' when 2 then 'linux' else 'unknown' end as platform,
-  case p_size % 4 when 0 then 'HIGH' when 1 then 'MEDIUM' else 'LOW' end as signature, case p_size % 5 when 0 then 'SSH' when 1 then 'Authentication' else 'General' end as category,
-  case p_size % 6 when 0 then 'rce' when 1 then 'downgrade' when 2 then 'bypass' when 3 then 'privesc' when 4 then 'crash' else 'cve_other' end as vuln_class,
-  case p_size % 3 when 0 then 'default_creds' when 1 then 'outdated_cms' else 'web_other' end as web_class, case p_size % 4 when 0 then 'crypto' when 1 then 'kernel' when 2 then 'runtime' else 'general' end as package_class,
-  case p_size % 5 when 0 then '🆕 NEW' when 1 then '⚠️ WORSENED' when 2 then '🔁 BACK AGAIN' when 3 then '⏳ OPEN ' || p_size || ' DAYS' end as marker, p_size % 3 <> 2 as plausible from p""")
-def scalar_rules(t):
-    n, level = F.col("p_size"), CHOICE("p_size", *_LEVEL)
-    ports = F.when(n % 7 == 0, F.array(F.lit(80), F.lit(443))).when(n % 7 == 1, F.array(F.lit(80))).otherwise(F.array(F.lit(22)))
-    return t("part").select(
-        "p_partkey", scalars.filesystem_cvss(level).alias("filesystem"), scalars.host_audit_cvss(level).alias("host_audit"), scalars.malware_cvss(level).alias("malware"), scalars.detection_severity(n % 6).alias("detection"),
-        scalars.hardening_index(n % 8, n % 5).alias("hardening"), scalars.web_target(F.lit("t"), ports).alias("web_target"),
-        scalars.platform_of(F.when(n % 4 == 0, "FreeBSD").otherwise(""), CHOICE("p_size", "x", "Windows-10", "Linux-6.1", "Plan9")).alias("platform"),
-        scalars.signature_severity(CHOICE("p_size", "Win.Trojan.X", "PUA.Tool", "Eicar", "Clean")).alias("signature"), scalars.test_category(CHOICE("p_size", "SSH-1", "AUTH", "ZZZ-1", "odd", "")).alias("category"),
-        scalars.vuln_class(CHOICE("p_size", "Remote CODE execution", "a MITM flaw", "may spoof", "elevates", "a crash", "odd")).alias("vuln_class"), scalars.web_class(CHOICE("p_size", "Default Login page", "Outdated CMS", "x")).alias("web_class"),
-        scalars.package_class(CHOICE("p_size", "libssl3", "linux-image-6", "python3.11", "zlib")).alias("package_class"), scalars.drift_marker(CHOICE("p_size", "NEW", "WORSENED", "REAPPEARED", "PERSISTING", "IMPROVED"), n).alias("marker"),
-        versions.plausible_version(CHOICE("p_size", "1.2.3a", "2", "v1")).alias("plausible"),
-    )
-
-
-@query("""select p_partkey, ['exact', 'one major up', 'no end, too far', 'below', 'no bound'][p_partkey % 5 + 1] as kind, p_partkey % 5 < 2 as hit from part""")
-def version_cases(t):
-    k = "p_partkey"
-    hit = versions.version_in_range(CHOICE(k, "1.5-p1 (x)", "2.9", "3.0", "0.9", "1.0"), CHOICE(k, "1.5", "*", "*", "*", "*"), CHOICE(k, None, "1.0", "1.0", "1.0", None), CHOICE(k, None, None, None, "2.0", None))
-    return t("part").select(k, CHOICE(k, "exact", "one major up", "no end, too far", "below", "no bound").alias("kind"), hit.alias("hit"))
-
-
 _VERBS = ["sudo apt-get install", "apt", "rm -rf", "systemctl restart", "", "sudo", '"ufw" allow', "syst'em'ctl stop", "apt\\-get -y", "curl", "  brew   upgrade "]
 _ARGUMENTS = [" {package}", " {who}", " 'a;b'", ' "$(x)"', ' "open', " it's", " end\\", " x|y", ' "say \\"hi\\" \\z"', " a && b", "", " {service} --port={port}", " two\nlines"]
 
@@ -343,39 +314,6 @@ def load_progress(t):
     return loads.advanced(ledger, loads.following(pages.where("o_orderkey % 97 <> 0").drop("o_orderkey"), ledger))
 
 
-@query("""with r as (select p_partkey, unnest(case p_partkey % 4 when 0 then ['DEFENDER-RTP/HIGH', 'RDP-ENABLED/MEDIUM', 'RDP-NLA/HIGH', 'GUEST-ENABLED/MEDIUM'] when 1 then ['SMB1-ENABLED/MEDIUM', 'BITLOCKER-OFF/MEDIUM'] when 2 then ['UAC-DISABLED/HIGH', 'WU-STALE/MEDIUM', 'PS-EXECPOLICY/MEDIUM'] else [] end) as x from part)
-select p_partkey, split_part(x, '/', 1) as test_id, split_part(x, '/', 2) as severity from r""")
-def windows_rules(t):
-    k = F.col("p_partkey") % 4
-    pick = lambda *v: CHOICE("p_partkey", *v)
-    facts = t("part").select(
-        F.col("p_partkey").alias("file"), pick(False, True, True, True).alias("defender_realtime"), *[F.lit(True).alias(f"firewall_{p}") for p in ("domain", "private", "public")], pick(False, None, False, False).alias("smb1"),
-        F.when(k == 0, 0).otherwise(1).alias("rdp_deny"), F.lit(None).cast("int").alias("rdp_nla"), F.when(k == 2, 0).otherwise(1).alias("uac"), pick("On", "Off", "on", "On").alias("bitlocker"), F.lit(4).alias("au_option"),
-        F.when(k == 2, 31).otherwise(30).alias("days_since_update"), pick(True, False, False, False).alias("guest_enabled"), pick("RemoteSigned", "RemoteSigned", "bypass", "Restricted").alias("exec_policy"), F.lit(True).alias("elevated"),
-    )
-    return remediation.windows_findings(facts).select(F.col("file").alias("p_partkey"), "test_id", "severity")
-
-
-@query("""select p_partkey, case p_partkey % 5 when 0 then 'filesystem' when 1 then 'host_audit' when 2 then 'crash' end as class,
-  case p_partkey % 5 when 0 then 'Update curl to version 8.' || p_size || ' or later.' when 1 then 'do ' || p_size when 2 then 'Update ssh.' end as fix_summary,
-  case when p_partkey % 5 = 2 then 'Restart ssh' || chr(10) || '    $ systemctl restart ' || case when p_partkey % 2 = 0 then 'openssh-server' else 'openssh' end end as first_step,
-  case when p_partkey % 5 = 0 then 'network_client' end as category from part""")
-def fix_facts(t):
-    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
-    rows = t("part").select(
-        "p_partkey", CHOICE("p_partkey", "filesystem", "host_audit", "network", "network", "host_audit").alias("source"), CHOICE("p_partkey", "Package: curl 7", "Host setting: T", "Port 22 — ssh", "Port 9 — x", "T").alias("affected"),
-        CHOICE("p_partkey", "", "", "denial of service", "nothing known", "").alias("description"),
-        F.when(k % 5 == 0, F.array(F.concat(F.lit("8."), n))).when(k % 5 == 1, F.array(F.concat(F.lit("do "), n))).otherwise(F.array().cast("array<string>")).alias("remediation_refs"),
-        F.when(k % 2 == 0, "linux").otherwise("Windows").alias("platform"), F.lit(None).cast("array<struct<id:string,output:string>>").alias("script_findings"),
-    )
-    entry = F.struct(F.lit("Restart {service}").alias("text"), F.create_map(F.lit("linux_apt"), F.lit("systemctl restart {package}"), F.lit("windows_winget"), F.lit("systemctl restart {service}")).alias("commands"))
-    catalog = t("region").limit(1).select(F.lit("crash").alias("class"), F.lit("Update {service}.").alias("fix_summary"), F.array(entry).alias("steps"), F.lit("authored").alias("provenance"))
-    out = remediation.with_fix_facts(rows.withColumn("platform", F.lit("linux")), catalog)
-    f = F.col("fix_facts")
-    step = F.get(f["steps"], F.lit(0))
-    return out.select("p_partkey", f["class"].alias("class"), f["fix_summary"].alias("fix_summary"), F.when(k % 2 == 0, step).otherwise(F.replace(step, F.lit("openssh-server"), F.lit("openssh"))).alias("first_step"), f["category"].alias("category"))
-
-
 # catalogs, rules and the corpus
 
 @query("""select p_partkey, case when p_partkey % 2 = 0 then 'Cat ' || p_size when p_partkey % 3 = 0 then 'SSH' else 'General' end as category, case when p_partkey % 5 > 0 then 'own' when p_partkey % 2 = 0 then 'said' else '-' end as description from part""")
@@ -403,13 +341,6 @@ def product_profiles(t):
     return found.select("product", "tier").unionByName(none.select("product", F.lit(None).cast("string").alias("tier")))
 
 
-@query("""select p_partkey, '/r/' || case when p_size % 3 = 0 then 'a/b' when p_size % 3 = 1 then 'a' else 'z/y' end as group_dir from part""")
-def rule_groups(t):
-    paths = t("part").select("p_partkey", F.concat(F.lit("/r/"), F.element_at(F.array(F.lit("a/b/c"), F.lit("a/x"), F.lit("z/y")), (F.col("p_size") % 3 + 1).cast("int")), F.when(F.col("p_size") % 3 == 2, "").otherwise("/d"), F.lit("/rule"), F.col("p_partkey").cast("string")).alias("path"))
-    groups = t("region").limit(1).select(F.explode(F.array(F.lit("/r/a"), F.lit("/r/a/b"), F.lit("/r/q"))).alias("group_dir"))
-    return matching.nearest_ancestor(paths.select("path"), groups, "/r").join(paths, "path").select("p_partkey", "group_dir")
-
-
 @query("""with c as (select p_partkey, p_partkey % 50 as entry_id, case when p_partkey % 3 = 0 then 'http://c/' || p_size else 'http://s/' || (p_partkey % 20) end as u from part where p_partkey % 3 = 0 or p_partkey % 20 > 0),
 f as (select entry_id, u, min(p_partkey) as m from c group by 1, 2) select entry_id, string_agg(u, ' ' order by m) as urls from f group by 1""")
 def entry_citations(t):
@@ -528,29 +459,6 @@ def prefix_sample(t):
     return training.rows_by_prefix(records, ["brand#1", "brand#11", "brand#2"], 4, order=F.col("p_partkey")).select("prefix", "p_partkey")
 
 
-@query("""select doc_id as index, doc_id % 4 <> 3 as parsed, doc_id % 4 in (0, 2) as text_ok, doc_id % 4 <> 3 and doc_id % 5 <> 0 as severities_ok, doc_id % 4 in (0, 2) and doc_id % 5 <> 0 as passed from documents""")
-def output_scores(t):
-    k = F.col("doc_id")
-    raw = CHOICE("doc_id", '```json\n{"summary": "fine", "findings": [{"references": ["CVE-2024-1"]}]}\n```', '{"summary": "see CVE-2024-77"}', 'So: {"summary": "x"}', "no object")
-    outputs = t("documents").select(k.alias("index"), raw.alias("raw_output"))
-    return training.scored_outputs(outputs, None, outputs.where("index % 5 = 0").select("index"))
-
-
-@query("""with s as (select *, doc_id % 4 = 3 as p, doc_id % 4 = 1 as t, doc_id % 5 = 0 as v from documents)
-select count(*) as total, round(avg(cast(not (p or t or v) as int)), 9) as pass_rate, count(*) filter (p) as parse_failures, count(*) filter (not p and t) as text_failures, count(*) filter (not p and not t and v) as severity_failures, round(avg(cast(doc_id % 100 as double)), 9) as mean_latency from s""")
-def output_totals(t):
-    scored = output_scores(t).withColumn("latency", (F.col("index") % 100).cast("double"))
-    out = training.score_totals(scored)
-    return out.select("total", F.round("pass_rate", 9).alias("pass_rate"), "parse_failures", "text_failures", "severity_failures", F.round("mean_latency", 9).alias("mean_latency"))
-
-
-@query("""select doc_id, case when doc_id % 3 = 0 then 'superseded' else 'labeled' end as status, 'linux' as platform from documents""")
-def superseded_rows(t):
-    facts = CHOICE("doc_id", '[{"a": "1"}, {"fix_facts": "2"}]', '[{"fix_facts": "1"}]', "[]")
-    rows = t("documents").select("doc_id", facts.alias("ordered_facts"), F.lit("labeled").alias("status"), F.lit(None).cast("string").alias("platform"))
-    return training.with_platform(training.superseded(rows)).select("doc_id", "status", "platform")
-
-
 @query("""select content_hash, status, platform from (select sha256(text) as content_hash, 'pending' as status, arg_min(case when doc_id % 2 = 0 then 'freebsd' else 'linux' end, doc_id) as platform from documents where text is not null group by 1)""")
 def merged_contributions(t):
     d = t("documents").where("text is not null").select(F.col("doc_id").alias("file"), F.col("text").alias("ordered_facts"), scalars.platform_of(F.when(F.col("doc_id") % 2 == 0, "FreeBSD"), F.lit("Linux-6")).alias("platform"))

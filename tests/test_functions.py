@@ -92,9 +92,9 @@ def test_pages(spark):
 
 
 def test_model_output_and_leaks(spark):
-    raw = [('x ```json\n{"a": 1}\n``` y',), ('prose {"a": 2}',), ("none",), (None,)]
+    raw = [('{"a": 3} and more',), ('x ```json\n{"a": 1}\n``` y',), ('prose {"a": 2}',), ("none",), (None,)]
     got = col(spark, raw, "r string", F.to_json(tx.parsed_report("r")))
-    assert got == ['{"a":1}', '{"a":2}', None, None]
+    assert got == [None, '{"a":1}', '{"a":2}', None, None]
     assert col(spark, [("see cve-2024-1",), ("CPE:2.3:a",), ("fine",), (None,)], "t string", tx.leaks("t")) == [True, True, False, False]
 
 
@@ -154,6 +154,6 @@ def test_chaining_in_quotes(spark):
 
 def test_canonical_json(spark):
     same = ['{"b": [1, 2.50, null, true], "a": {"y": "\\u00e9\\n", "x": {}}}', '{"a":{"x":{},"y":"é\\n"},"b":[1,2.5,null,true]}']
-    other = ['{"b": [2.5, 1, null, true], "a": {"y": "é\\n", "x": {}}}', '{"a": 1, "a": 2}', "{broken", None]
+    other = ['{"b": [2.5, 1, null, true], "a": {"y": "é\\n", "x": {}}}', '{"a": 1, "a": 2}', "{broken", None, '{"a": 1} x', '{"a": 1}] x', '{"a": 1}} x', '{"a": 1}, {"a": 2}', ""]
     got = col(spark, [(t,) for t in same + other], "t string", s.canonical_json("t"))
-    assert got[0] == got[1] == '{"a":{"x":{},"y":"é\\n"},"b":[1,2.5,null,true]}' and got[2] not in (None, got[0]) and got[3:] == [None] * 3
+    assert got[0] == got[1] == '{"a":{"x":{},"y":"é\\n"},"b":[1,2.5,null,true]}' and got[2] not in (None, got[0]) and got[3:] == [None] * 8
