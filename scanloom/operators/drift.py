@@ -227,8 +227,9 @@ def header(drift: DataFrame, previous: DataFrame) -> DataFrame:
 
 def resolved_list(drift: DataFrame, state: DataFrame) -> DataFrame:
     """target, resolved: what each target's last scan has found gone, as the state knew it, in key order. Targets without any are left out."""
-    gone = drift.where("status = 'RESOLVED'").select("target", "finding_key").join(state.select("target", "finding_key", "source", "cvss", "severity", "first_seen", "last_seen"), ["target", "finding_key"])
-    return gone.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("finding_key", "source", "cvss", "severity", "first_seen", "last_seen"))).alias("resolved"))
+    columns = ["source", *(["affected"] if "affected" in state.columns else []), "cvss", "severity", "first_seen", "last_seen"]
+    gone = drift.where("status = 'RESOLVED'").select("target", "finding_key").join(state.select("target", "finding_key", *columns), ["target", "finding_key"])
+    return gone.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("finding_key", *columns))).alias("resolved"))
 
 
 def as_drift_map(diff: DataFrame, open_state: DataFrame) -> DataFrame:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import drift, findings, matching, priority, remediation
+from . import drift, findings, matching, priority, remediation, shared, state
 
 
-def ranked_hosts(table: DataFrame, scans: DataFrame, state: DataFrame, observations: DataFrame, kev: DataFrame, epss: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def ranked_hosts(table: DataFrame, scans: DataFrame, known: DataFrame, observations: DataFrame, kev: DataFrame, epss: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Findings of each target's scan with drift, intel, score, band and rank; and the verdicts, those of findings that are gone included.
 
-    table: findings.build. scans: target, scan_id, status (map), one scan a target. state: the state table. observations: earlier ones (target,
-    finding_key, started_at, scan_id, seen, cvss, severity, cve_ids). Hosts without a finding have no row; hosts whose scan failed have no scan.
+    table: findings.build. scans: target, scan_id, status (map), one scan a target. known: the state table. observations: earlier ones (target,
+    finding_key, started_at, scan_id, seen, cvss, severity, cve_ids). now may be the scan's column started_at. Hosts without a finding have no row; hosts whose scan failed have no scan.
     """
     one = findings.one_per_key(table)
-    verdicts = drift.compute_drift(one, state, scans.select("target", "status"), observations, now)
+    verdicts = drift.compute_drift(one, known, scans.select("target", "status", *[c for c in scans.columns if c == "started_at"]), observations, now)
     cves = one.select("target", "finding_key", F.explode("cve_ids").alias("cve_id"))
     intel = matching.exploit_intel(cves, kev, epss, ["target", "finding_key"])
     marks = verdicts.select("target", "finding_key", F.col("status").alias("drift_status"), "age_days", "reappearance_count", "first_seen")
@@ -23,7 +23,7 @@ def ranked_hosts(table: DataFrame, scans: DataFrame, state: DataFrame, observati
     return priority.ranked(priority.scored(rows, ["target", "scan_id"]), ["target", "scan_id"]), verdicts
 
 
-def host_reports(ranked: DataFrame, verdicts: DataFrame, scans: DataFrame, state: DataFrame, catalog: DataFrame, platform: Column, wording: dict[str, str] = remediation.WORDING) -> DataFrame:
+def host_reports(ranked: DataFrame, verdicts: DataFrame, scans: DataFrame, known: DataFrame, catalog: DataFrame, platform: Column, wording: dict[str, str] = remediation.WORDING) -> DataFrame:
     """target, scan_id, report: a document of four parts for every scan, also for one that found nothing. scans: target, scan_id, previous_at (null on a first scan)."""
     facts = remediation.with_fix_facts(ranked.withColumn("platform", platform), catalog)
     facts = facts.withColumn("section", F.when(F.col("band") == "FIX NOW", "fix_now").otherwise("still_open"))
@@ -32,7 +32,58 @@ def host_reports(ranked: DataFrame, verdicts: DataFrame, scans: DataFrame, state
     summaries = remediation.section_summaries(facts, sections, priority.overall_risk(facts, keys), wording)
     documents = remediation.reports(*remediation.report_rows(facts, wording), summaries)
     headers = drift.header(verdicts, scans.where("previous_at is not null").select("target", "previous_at"))
-    return remediation.whole_reports(documents, headers, drift.resolved_list(verdicts, state))
+    return remediation.whole_reports(documents, headers, drift.resolved_list(verdicts, known), wording)
+
+
+#: The stored state of a host's findings, with the text that a report names one by.
+STATE = (
+    "target string, finding_key string, source string, affected string, cvss double, severity string, version string, cve_ids array<string>, first_seen timestamp, last_seen timestamp, "
+    "status string, occurrences bigint, resolved_at timestamp, reappearance_count bigint, solved boolean, solved_at timestamp"
+)
+SCAN_LOG = "target string, scan_id string, started_at timestamp"
+#: What builds the rows of each kind of source.
+BUILDERS = {"systems": findings.host_os_rows, "services": findings.service_rows, "packages": findings.package_rows, "audit": findings.audit_rows, "malware": findings.malware_rows, "web": findings.web_rows}
+
+
+def process_hosts(sources: dict[str, DataFrame], scans: DataFrame, stored: state.Versioned, folder: str, kev: DataFrame, epss: DataFrame, catalog: DataFrame, platform: Column, batch: str, wording: dict[str, str] = remediation.WORDING) -> DataFrame:
+    """One scan of each of many hosts, from the scanners' rows to stored state and reports (target, scan_id, report), all hosts in one job.
+
+    sources: rows by kind (see BUILDERS). scans: target, scan_id, started_at, status (map); hosts that failed are left out of it (failed_hosts), and rows without a scan are too.
+    stored: a table of STATE. In folder are the log of scans, the observations and the reports, each by batch. The batch is published last, under its name: until
+    then its folders are written over by a repetition, and after it a repetition gives the reports that were written. Hosts without a finding have a report as well.
+    """
+    spark = scans.sparkSession
+    at = lambda name: f"{folder}/{name}/batch_id={batch}"
+    if stored.tag() == batch:
+        return spark.read.parquet(at("reports"))
+    scans = shared.written(scans.select("target", F.col("scan_id").cast("string").alias("scan_id"), "started_at", "status"), "host-scans")
+    table = findings.build(*[BUILDERS[kind](rows.withColumn("scan_id", F.col("scan_id").cast("string"))) for kind, rows in sources.items()])
+    table = shared.written(table.join(scans.select("target", "scan_id"), ["target", "scan_id"], "left_semi"), "host-findings")
+    old = stored.read()
+    log, seen = _earlier(spark, f"{folder}/scans", batch, SCAN_LOG), _earlier(spark, f"{folder}/observations", batch, OBSERVED)
+    previous = log.groupBy("target").agg(F.max("started_at").alias("previous_at"))
+    here = scans.join(previous, "target", "left")
+    ranked, verdicts = ranked_hosts(table, scans, old, seen.where("seen"), kev, epss, F.col("started_at"))
+    verdicts = shared.written(verdicts, "host-verdicts")
+    host_reports(ranked, verdicts, here, old, catalog, platform, wording).write.mode("overwrite").parquet(at("reports"))
+    now = findings.one_per_key(table)
+    state.scan_rows(now, old, scans.drop("status")).select([x.split()[0] for x in OBSERVED.split(", ")]).write.mode("overwrite").parquet(at("observations"))
+    scans.drop("status").write.mode("overwrite").parquet(at("scans"))
+    new = state.next_state(old, now, verdicts.where("status = 'RESOLVED'"), scans.select("target", F.col("started_at").alias("at")))
+    named = now.select("target", "finding_key", "affected").unionByName(old.join(now, ["target", "finding_key"], "left_anti").select("target", "finding_key", "affected"))
+    stored.write(new.join(named, ["target", "finding_key"], "left").select(old.columns), batch)
+    return spark.read.parquet(at("reports"))
+
+
+OBSERVED = "target string, scan_id string, finding_key string, source string, seen boolean, cvss double, severity string, version string, cve_ids array<string>, started_at timestamp"
+
+
+def _earlier(spark, path: str, batch: str, schema: str) -> DataFrame:
+    """What other batches have written to a folder of batches."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch_id string").parquet(path).where(F.col("batch_id") != batch).drop("batch_id")
 
 
 def failed_hosts(raw: DataFrame, corrupt: str = "_corrupt_record") -> DataFrame:

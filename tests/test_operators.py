@@ -168,10 +168,10 @@ def test_hosts_from_findings_to_reports(spark):
     ranked, verdicts = hosts.ranked_hosts(table, scans, st, past, kev, epss, F.lit(D[1]))
     cat = spark.createDataFrame([("crash", "Update {service}.", [("Stop {service}", None)], "authored")], remediation.CATALOG)
     got = {r["target"]: json.loads(r["report"]) for r in hosts.host_reports(ranked, verdicts, scans, st, cat, F.lit("linux")).collect()}
-    assert got["a"]["drift_header"] == "Since your last scan on Jan 1: 1 new, 1 resolved." and [x["finding_key"] for x in got["a"]["resolved"]] == ["gone"]
+    assert got["a"]["drift_header"] == "Since your last scan on Jan 1: 1 new, 1 resolved." and [x["finding_key"] for x in got["a"]["resolved"]["findings"]] == ["gone"] and got["a"]["resolved"]["good_news"] == ["gone: no longer found."]
     issue = got["a"]["fix_now"]["findings"][0]
-    assert issue["drift_status"] == "NEW" and issue["how_to_fix"] == "1. Stop ssh" and got["a"]["fix_now"]["overall_risk"] == "critical"
-    assert got["b"]["drift_header"] == "" and got["b"]["resolved"] == [] and got["b"]["fix_now"]["overall_risk"] == "low"
+    assert issue["drift_status"] == "NEW" and issue["drift_marker"] == "\U0001f195 NEW" and issue["how_to_fix"] == "1. Stop ssh" and got["a"]["fix_now"]["overall_risk"] == "critical"
+    assert got["b"]["drift_header"] == "" and got["b"]["resolved"] == {"count": 0, "good_news": [], "findings": []} and got["b"]["fix_now"]["overall_risk"] == "low"
     raw = spark.createDataFrame([("a", None, None, None), ("b", "error", "timeout", None), ("c", None, None, "{")], "target string, status string, error string, _corrupt_record string")
     assert rows(hosts.failed_hosts(raw), "target", "status", "error") == [("a", "ok", None), ("b", "error", "timeout"), ("c", "error", "unreadable: {")]
 
@@ -421,3 +421,42 @@ def test_any_number_of_queries_in_one_scan(spark, tmp_path):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") == 1, plan
         assert {(r["query_id"], r["rank"]): r["vec_id"] for r in out.collect()} == want
+
+
+def test_hosts_from_raw_rows_to_stored_state_and_reports(spark, tmp_path):
+    """Two nights of three hosts: rows of four scanners become findings, verdicts, state and reports; a host that failed and a repeated night change nothing."""
+    from scanloom.operators.state import Versioned
+
+    stored, folder = Versioned(spark, str(tmp_path / "state"), hosts.STATE), str(tmp_path / "hosts")
+    kev, epss = spark.createDataFrame([("CVE-1",)], "cve_id string"), spark.createDataFrame([("CVE-1", 0.5, 0.9)], "cve_id string, score double, percentile double")
+    cat = spark.createDataFrame([("crash", "Update {service}.", [("Stop {service}", {"linux_apt": "systemctl stop {service}"})], "authored")], remediation.CATALOG)
+    service = "target string, scan_id string, source string, source_no int, pos int, port int, protocol string, service string, cpe string, version string, highest_cvss double, cve_ids array<string>, description string, remediation_links array<string>, script_findings array<struct<id:string,output:string>>"
+    package = "target string, scan_id string, pos int, package string, version string, cve_id string, severity string, fixed_version string, description string"
+    audit = "target string, scan_id string, pos int, test_id string, severity string, description string, solution string"
+    malware = "target string, scan_id string, pos int, path string, sha256 string, signature string, severity string, engine string"
+    ssh = lambda t, n, score=9.5: (t, n, "network", 0, 0, 22, "tcp", "ssh", None, "1", score, ["CVE-1"], "a crash", [], [])
+    ok = {"network": "ok", "filesystem": "ok", "host_audit": "ok", "malware": "ok"}
+
+    def night(n, at, services, packages, tests, hits, status):
+        sources = {"services": spark.createDataFrame(services, service), "packages": spark.createDataFrame(packages, package), "audit": spark.createDataFrame(tests, audit), "malware": spark.createDataFrame(hits, malware)}
+        scans = spark.createDataFrame([(t, n, at, s) for t, s in status.items()], "target string, scan_id string, started_at timestamp, status map<string,string>")
+        out = hosts.process_hosts(sources, scans, stored, folder, kev, epss, cat, F.lit("linux"), f"night-{n}")
+        return {r["target"]: json.loads(r["report"]) for r in out.collect()}
+
+    curl, test, worm = ("a", "1", 0, "curl", "7", "CVE-2", "HIGH", "8.0", "old"), ("b", "1", 0, "SSH-1", "MEDIUM", "weak", "do it"), ("a", "1", 0, "/x", None, "Win.Worm", "HIGH", None)
+    first = night("1", D[0], [ssh("a", "1"), ssh("broken", "1")], [curl, curl], [test], [worm], {"a": ok, "b": ok, "c": ok})
+    assert set(first) == {"a", "b", "c"} and first["a"]["drift_header"] == "" and first["c"]["fix_now"]["overall_risk"] == "low" 
+    assert {x["source"] for part in ("fix_now", "still_open") for x in first["a"][part]["findings"]} == {"network", "filesystem", "malware"}
+    known = {(r["target"], r["finding_key"]): r for r in stored.read().collect()}
+    assert len(known) == 4 and all(r["status"] == "open" and r["occurrences"] == 1 and r["first_seen"] == D[0] for r in known.values()) and known["a", "pkg:curl"]["affected"] == "Package: curl 7"
+    second = night("2", D[3], [ssh("a", "2")], [], [("b", "2", 0, "SSH-1", "HIGH", "weak", "do it")], [], {"a": {**ok, "malware": "error"}, "b": ok})
+    assert second["a"]["drift_header"] == "Since your last scan on Jan 1: 1 resolved." and second["a"]["resolved"]["good_news"] == ["Package: curl 7: no longer found."]
+    open_ssh = [x for part in ("fix_now", "still_open") for x in second["a"][part]["findings"]]
+    assert [(x["drift_status"], x["drift_marker"], x["how_to_fix"]) for x in open_ssh] == [("PERSISTING", "\u23f3 OPEN 3 DAYS", "1. Stop ssh\n    $ systemctl stop ssh")]
+    assert [x["drift_marker"] for part in ("fix_now", "still_open") for x in second["b"][part]["findings"]] == ["\u26a0\ufe0f WORSENED"]
+    after = {(r["target"], r["finding_key"]): (r["status"], r["occurrences"]) for r in stored.read().collect()}
+    assert after["a", "pkg:curl"] == ("resolved", 1) and after["a", "net:22/tcp:ssh"] == ("open", 2) and [v for k, v in after.items() if k[1].startswith("mal:")] == [("open", 1)]
+    seen = spark.read.parquet(f"{folder}/observations").groupBy("scan_id", "seen").count().collect()
+    assert {(str(r["scan_id"]), r["seen"]): r["count"] for r in seen} == {("1", True): 4, ("2", True): 2, ("2", False): 2}
+    version = stored.version()
+    assert night("2", D[3], [], [], [], [], {"a": ok}) == second and stored.version() == version
