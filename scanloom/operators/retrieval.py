@@ -46,6 +46,19 @@ def ingested(stored: DataFrame, chunk_rows: DataFrame, sources: DataFrame, keep:
     return changes, replaced_chunks(chunk_rows, changes, fresh)
 
 
+def ingested_rules(stored: DataFrame, chunk_rows: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rule sources with what changed (change), and the chunks after the ingest: groups with an equal checksum are skipped, changed ones' chunks replaced, new ones added.
+
+    stored: group_dir, checksum. sources: rule_sources. chunk_rows: source_id (the group), chunk, section_ref. Groups that no longer come keep their chunks.
+    """
+    old = stored.select("group_dir", F.col("checksum").alias("_old"))
+    change = F.when(F.col("_old").isNull(), "new").when(F.col("_old") == F.col("checksum"), "same").otherwise("changed")
+    changes = sources.join(old, "group_dir", "left").withColumn("change", change).drop("_old")
+    fresh = changes.where("change <> 'same'").select(F.col("group_dir").alias("source_id"), F.posexplode("chunks").alias("_n", "chunk"))
+    fresh = fresh.select("source_id", "chunk", F.concat(F.col("source_id"), F.lit("#"), (F.col("_n") + 1).cast("string")).alias("section_ref"))
+    return changes, replaced_chunks(chunk_rows, changes.withColumn("source_id", F.col("group_dir")), fresh)
+
+
 def selection_manifest(found: DataFrame, none: DataFrame, contributors: DataFrame) -> DataFrame:
     """One JSON line of what a rule ingest selected: products with the tier used, products without a profile, and how many rules each (product, tier) selects.
 

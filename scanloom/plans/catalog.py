@@ -565,3 +565,4 @@ def report_documents(t):
 
 from . import catalog_rules as _more  # noqa: E402, F401  (registers its queries)
 from . import catalog_varied as _varied  # noqa: E402, F401
+from . import catalog_corpus as _corpus  # noqa: E402, F401
