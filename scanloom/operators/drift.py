@@ -152,25 +152,41 @@ def history(scans: DataFrame, observations: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", verdict).select("target", "finding_key", "scan_id", "started_at", "seen", "cvss", "verdict", "state")
 
 
-def change_intervals(scans: DataFrame, observations: DataFrame) -> DataFrame:
-    """What history() says, as a row for each change: how long a key was seen with one score, absent and still open, or resolved.
-
-    target, finding_key, state, seen, cvss, source, verdict (of the first scan), valid_from, from_scan, valid_to, to_scan: the scan from which on, and the first one of which it is
-    no longer so (null: until now). Absences are not laid out scan by scan: each scan knows the next one that ran for each source, so that a gap between two sights is one or two rows,
-    and rows grow with sights and changes and not with keys x scans. unfolded() gives the history back.
-    """
+def _sights(scans: DataFrame, observations: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Observations with their scan (at: pos, started_at, scan_id), the target's next scan (after), the key's next sight (next), whether scans without it lie between (gap) and the one that resolved it (closed)."""
     later = W.partitionBy("target").orderBy(F.desc("started_at"), F.desc("scan_id"))
     at = F.struct("pos", "started_at", "scan_id")
     line = scans.withColumn("pos", F.row_number().over(W.partitionBy("target").orderBy("started_at", "scan_id")))
     ran = {name: F.last(F.when(ran_ok(F.lit(name), F.col("status")), at), ignorenulls=True).over(later.rowsBetween(W.unboundedPreceding, -1)) for name in SOURCE_OWNERS}
     line = line.select("target", "scan_id", at.alias("at"), F.lag(at).over(later).alias("after"), F.struct(*[c.alias(name) for name, c in ran.items()]).alias("ran"))
-    rows = observations.select("target", "scan_id", "finding_key", "source", "cvss").join(line, ["target", "scan_id"])
+    rows = observations.select("target", "scan_id", "finding_key", "source", "cvss", *keep).join(line, ["target", "scan_id"])
     key = W.partitionBy("target", "finding_key").orderBy("at.pos")
     next_run = F.coalesce(*[F.when(F.col("source") == name, F.col(f"ran.{name}")) for name in SOURCE_OWNERS])
-    rows = rows.select("target", "finding_key", "source", "cvss", "at", "after", F.lead("at").over(key).alias("next"), next_run.alias("run"))
+    rows = rows.select("target", "finding_key", "source", "cvss", *keep, "at", "after", F.lead("at").over(key).alias("next"), next_run.alias("run"))
     gap = F.col("after").isNotNull() & (F.col("next").isNull() | (F.col("next.pos") > F.col("after.pos")))
     closed = F.when(gap & (F.col("next").isNull() | (F.col("run.pos") < F.col("next.pos"))), F.col("run"))
-    rows = rows.withColumns({"gap": gap, "closed": closed}).drop("run")
+    return rows.withColumns({"gap": gap, "closed": closed}).drop("run")
+
+
+def state_of(scans: DataFrame, observations: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What state_from_history(history()) gives, from the sights alone: absences are not laid out. keep: columns of a key's last sight that stand beside (source and cvss always)."""
+    rows = _sights(scans, observations, keep)
+    back = F.lag("closed").over(W.partitionBy("target", "finding_key").orderBy("at.pos")).isNotNull()
+    last = F.max_by(F.struct("source", "cvss", *keep, F.col("closed").isNotNull().alias("gone")), "at.pos")
+    state = rows.withColumn("back", back).groupBy("target", "finding_key").agg(
+        F.min("at.started_at").alias("first_seen"), F.max("at.started_at").alias("last_seen"), F.count(F.lit(1)).alias("occurrences"), F.count_if("back").alias("reappearance_count"), last.alias("x"),
+    )
+    return state.select("target", "finding_key", "first_seen", "last_seen", F.when(F.col("x.gone"), "resolved").otherwise("open").alias("status"), "occurrences", "reappearance_count", *[F.col(f"x.{c}").alias(c) for c in ("source", "cvss", *keep)])
+
+
+def change_intervals(scans: DataFrame, observations: DataFrame) -> DataFrame:
+    """What history() says, as a row for each change: how long a key was seen with one score, absent and still open, or resolved.
+
+    target, finding_key, state, seen, cvss, source, verdict (of the first scan), valid_from, from_scan, valid_to, to_scan: the scan from which on, and the first one of which it is
+    no longer so (null: until now). Absences are not laid out scan by scan: each scan knows the next one that ran for each source, so that a gap between two sights is one or two rows,
+    and rows grow with sights and changes and not with keys x scans. unfolded() gives the history back.
+    """
+    rows, key = _sights(scans, observations), W.partitionBy("target", "finding_key").orderBy("at.pos")
     old = lambda c: F.lag(c).over(key)
     begins = old("at").isNull() | old("gap") | ~old("cvss").eqNullSafe(F.col("cvss")) | ~old("source").eqNullSafe(F.col("source"))
     verdict = F.when(old("at").isNull(), "NEW").when(old("closed").isNotNull(), "REAPPEARED").otherwise("PRESENT")

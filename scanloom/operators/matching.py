@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from scanloom.functions.scalars import address_hex, address_prefix, severity_bucket
 from scanloom.functions.versions import cpe_base, cpe_part, cpe_version, in_parsed_range, parsed_range, parsed_version, version_key
 
-#: Bytes of a side that is joined by broadcast, at most, by Spark's estimate of its plan; above that Spark shuffles both sides.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of a side that is joined by broadcast, at most, by Spark's estimate of its plan; above that Spark shuffles both sides. Of files the estimate is their compressed size, which memory may exceed INFLATION times.
+BROADCAST_BYTES, INFLATION = 64 << 20, 16
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if Spark's estimate of its size is at most `most` bytes, as it is otherwise. Nothing is run for it."""
-    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else df
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * INFLATION <= most else df
 
 
 def match_versions(services: DataFrame, records: DataFrame, allow_non_app: bool = False) -> DataFrame:

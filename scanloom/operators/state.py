@@ -84,12 +84,10 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str, stable
     return last.select(*keys, *[F.coalesce(F.col(f"_s_{c}.v"), F.col(f"_x.{c}")).alias(c) if c in stable else F.col(f"_x.{c}").alias(c) for c in cols])
 
 
-def replaced(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Delete and insert by a null-safe key: the last row of a new key in `order` replaces all old ones. Without an order any of repeated new rows stays."""
-    if order is None:
-        fresh = new.dropDuplicates(keys)
-    else:
-        fresh = new.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in new.columns if c not in keys]), order).alias("_x")).select(*keys, "_x.*").select(*old.columns)
+def replaced(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Delete and insert by a null-safe key: the last row of a new key in `order`, of equal ones the greatest, replaces all old ones."""
+    cols = [c for c in new.columns if c not in keys]
+    fresh = new.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(F.col(order).alias("_at"), F.struct(*cols))).alias("_x")).select(*keys, "_x.*").select(*old.columns)
     same = None
     marks = fresh.select(*[F.col(k).alias(f"_{k}") for k in keys])
     for k in keys:
@@ -150,8 +148,8 @@ def numbered_in_order(rows: DataFrame, order: str, name: str) -> DataFrame:
 
 
 def batch_files(rows: DataFrame, path: str) -> None:
-    """rows with batch_no as JSON lines, a folder for each batch; batches that are there stay."""
-    rows.write.partitionBy("batch_no").mode("append").json(path)
+    """rows with batch_no as JSON lines, a folder for each batch. A batch that is written again, as after a run that broke off, takes the place of its files; other batches stay."""
+    rows.write.partitionBy("batch_no").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
 
 
 class Versioned:

@@ -142,6 +142,14 @@ def drift_unfolded(t):
     return drift.unfolded(drift.change_intervals(A.scans(t), A.seen(t)), A.scans(t))
 
 
+@query(_HISTORY + """, k as (select target, finding_key, min(started_at) filter (seen) as first_seen, max(started_at) filter (seen) as last_seen,
+       arg_max(state, row(started_at, scan_id)) as status, count(*) filter (seen) as occurrences, count(*) filter (verdict = 'REAPPEARED') as reappearance_count, arg_max(cvss, row(started_at, scan_id)) filter (seen) as cvss from hist group by 1, 2)
+select *, case when finding_key % 2 = 0 then 'network' else 'filesystem' end as source from k""")
+def finding_state(t):
+    """The state of every key from its sights, without a row for each scan that it was absent from."""
+    return drift.state_of(A.scans(t), A.seen(t))
+
+
 _NOW = "timestamp '2000-01-01 00:00:00'"
 
 
@@ -151,8 +159,7 @@ def _state_before_last(t, seen: DataFrame | None = None) -> tuple[DataFrame, Dat
     past, last = ranked.where("rn > 1").drop("rn"), ranked.where("rn = 1").drop("rn")
     obs = (written(A.seen(t), "seen") if seen is None else seen).withColumn("severity", scalars.severity_bucket("cvss"))
     old = obs.join(past.select("target", "scan_id"), ["target", "scan_id"], "left_semi")
-    snap = old.groupBy("target", "finding_key").agg(F.max_by(F.struct("source", "cvss", "severity", "cve_ids"), F.struct("started_at", "scan_id")).alias("x")).select("target", "finding_key", "x.*")
-    st = snap.join(drift.state_from_history(drift.history(past, old)), ["target", "finding_key"]).withColumn("solved", F.col("finding_key") == 3)
+    st = drift.state_of(past, old, ("severity", "cve_ids")).withColumn("solved", F.col("finding_key") == 3)
     cur = obs.join(last.select("target", "scan_id"), ["target", "scan_id"], "left_semi")
     return st, cur, last.select("target", "status", "started_at", "scan_id")
 

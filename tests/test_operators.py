@@ -225,7 +225,7 @@ def test_upserts(spark, tmp_path):
     assert {tuple(r) for r in state.upserted(old, ten, ["k"], "at").collect()} == {("a", 6), ("b", 2), (None, 0)}
     assert {tuple(r) for r in state.replaced(old, ten, ["k"], "at").collect()} == {("a", 6), ("b", 2), (None, 0)}
     assert {tuple(r) for r in state.upserted(old, ten.withColumn("v", F.lit(9)), ["k"], "at", stable=["v"]).collect()} == {("a", 1), ("b", 2), (None, 0)}
-    assert {tuple(r) for r in state.replaced(old, spark.createDataFrame([(None, 7)], "k string, v int"), ["k"]).collect()} == {("a", 1), ("b", 2), (None, 7)}
+    assert {tuple(r) for r in state.replaced(old, spark.createDataFrame([(None, 7), (None, 5)], "k string, v int"), ["k"], "v").collect()} == {("a", 1), ("b", 2), (None, 7)}
     store = state.Versioned(spark, str(tmp_path / "m"), "k string, v int")
     assert store.read().count() == 0 and store.write(old) == 1
     assert store.write(store.read().where("k = 'a'"), tag="b-7") == 2 and store.read().count() == 1 and store.tag() == "b-7"
@@ -335,6 +335,7 @@ def test_batch_files_and_json_lines(spark, tmp_path):
     batches = spark.createDataFrame([(1, 3), (2, 3), (3, 4)], "id int, batch_no int")
     state.batch_files(batches.where("batch_no = 3"), str(tmp_path / "b"))
     state.batch_files(batches.where("batch_no = 4"), str(tmp_path / "b"))
+    state.batch_files(batches.where("batch_no = 3"), str(tmp_path / "b"))  # once more
     assert rows(spark.read.json(str(tmp_path / "b")), "batch_no", "id") == [(3, 1), (3, 2), (4, 3)]
     state.write_json_lines(batches, str(tmp_path / "l"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "l")).collect()) == ['{"id":1,"batch_no":3}', '{"id":2,"batch_no":3}', '{"id":3,"batch_no":4}']
