@@ -7,16 +7,18 @@ ANCHORS, of which every known text holds one, are passed over unnormalised, and
 known text's unhashed; neither loses anything.
 
 Whole licences are those of license_texts, besides the MIT and ISC texts of KNOWN: as wrapped there or with a line for each
-paragraph, and without what follows the end of the terms. The query's SQL holds KNOWN only.
+paragraph, and without what follows the end of the terms. The query's SQL holds KNOWN as text and the others by their digests.
 
 Null and empty texts hold no unit. Long texts are scanned whole, line by line and as one unit. Repeated rows of an id add up. Rows without an id are reported under null. Other columns are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from pathlib import Path
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,9 +141,19 @@ def _sql() -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
+    def digest(text: str) -> str:
+        lines = [x for x in text.split("\n") if not re.search(COPYRIGHT, x)]
+        out = f" {regex.sub(MARKS, ' ', chr(10).join(lines)).lower().strip()} "
+        for a, b in SPELLINGS:
+            out = out.replace(a, b)
+        return hashlib.sha256(out.encode()).hexdigest()
+
     values = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in KNOWN)
+    whole = ", ".join(f"({quoted(a)}, '{d}')" for a, d in sorted({(a, digest(b)) for a, b in whole_texts()}))
     return f"""
-with known as (select distinct license_id, sha256({norm(kept("text"))}) as digest from (values {values}) v(license_id, text)),
+with known as (
+  select license_id, sha256({norm(kept("text"))}) as digest from (values {values}) v(license_id, text)
+  union select * from (values {whole}) w(license_id, digest)),
 units as (
   select doc_id, false as whole, unnest(string_split(text, chr(10))) as unit from documents where text is not null
   union all

@@ -505,6 +505,21 @@ def test_licenses(spark, odd, empty):
     assert {(r["doc_id"], r["license_id"], r["n_lines"], r["whole"]) for r in plain.collect()} == {(1, "X", 0, True), (1, "Y", 1, False), (2, "Y", 1, False)}
 
 
+def test_whole_licenses_in_sql(spark, tmp_path):
+    """The query and its SQL on documents that are whole licences, in three forms, and on parts of them."""
+    docs = []
+    for i, (_, text) in enumerate(licenses.whole_texts()):
+        docs += [(10 * i, text), (10 * i + 1, "Copyright 2020 Me\n" + text.upper()), (10 * i + 2, text + " more"), (10 * i + 3, text[: len(text) // 3])]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(licenses.OP8_SQL)
+    got = licenses.op8_licenses(spark, str(tmp_path))
+    at = [want.columns.index(c) for c in got.columns]
+    found = Counter(tuple(r) for r in got.collect())
+    assert found == Counter(tuple(r[i] for i in at) for r in want.fetchall()) and sum(found.values()) > len(docs) / 3
+
+
 def test_whole_licenses(spark):
     """Licences longer than any of KNOWN, as they stand, in upper case with a copyright line, and with a line for each paragraph."""
     docs, want = [], {}
