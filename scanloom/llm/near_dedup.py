@@ -180,7 +180,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     @F.arrow_udf("boolean")
     def alike(a_keys: pa.Array, a_texts: pa.Array, b_keys: pa.Array, b_texts: pa.Array) -> pa.Array:
         seen, out = Weighed(), []
-        for ka, a, kb, b in zip(a_keys.to_pylist(), a_texts.to_pylist(), b_keys.to_pylist(), b_texts.to_pylist()):
+        # a batch's texts leave Arrow one at a time
+        for ka, a, kb, b in ((x.as_py() for x in row) for row in zip(a_keys, a_texts, b_keys, b_texts)):
             # where an id is repeated, a text may not be the one that the key is of
             out.append(text_key(a) == ka and text_key(b) == kb and similarity(seen[a or ""], seen[b or ""]) >= least)
         return pa.array(out, pa.bool_())
