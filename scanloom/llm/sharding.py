@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
+from .repair import CRC, CRC_TABLE
 
 MANIFEST = "run string, name string, rows bigint, bytes bigint"
 #: Rows of an arriving shard at most, bytes of a full one, shards of a tier that are worth a merge, the smallest tier's bytes.
@@ -99,7 +100,11 @@ class Store:
                     raise
 
     def compact(self, schema, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, least_bytes: int = LEAST_BYTES, bins_a_job: int = BINS_A_JOB, group_shards: int = GROUP_SHARDS) -> int | None:
-        """One round: merges every tier with at least fan_in shards below half the target. The new version, or None if no tier has. Another writer's commit meanwhile raises, and the merged files stay unused until vacuum."""
+        """One round: merges every tier with at least fan_in shards below half the target. The new version, or None if no tier has.
+
+        After another writer's commit the merged files take the place of their shards in that version, if all of these are still live in it, as they are after arrivals;
+        if another compaction has merged some of them, the round is planned anew and the files stay unused until vacuum.
+        """
         known = self.versions()
         if not known:
             return None
@@ -123,10 +128,21 @@ class Store:
                 gone += [(s["run"], s["name"]) for s in g["shards"]]
             self._write_each(out, f"{self.root}/runs/{run}")
             made.append(self._listed(run, schema))
-        kept = live.join(self.spark.createDataFrame(gone, "run string, name string"), ["run", "name"], "left_anti").select("run", "name", "rows", "bytes")
-        for x in made:
-            kept = kept.unionByName(x)
-        return self.commit(kept, known[-1])
+        merged = self.spark.createDataFrame(gone, "run string, name string")
+        base = known[-1]
+        for turn in range(ATTEMPTS):
+            kept = live.join(merged, ["run", "name"], "left_anti").select("run", "name", "rows", "bytes")
+            for x in made:
+                kept = kept.unionByName(x)
+            try:
+                return self.commit(kept, base)
+            except Py4JJavaError as lost:
+                if turn == ATTEMPTS - 1 or "FileAlreadyExists" not in str(lost.java_exception):
+                    raise
+            base = self.versions()[-1]
+            live = self.manifest(base)
+            if merged.join(live, ["run", "name"], "left_anti").limit(1).count():
+                return self.compact(schema, target_bytes, fan_in, least_bytes, bins_a_job, group_shards)
 
     def _write_each(self, bins: DataFrame, path: str) -> None:
         """Writes a union of single partitions with a file for each; since 4.1 Spark would put them into one partition unless told otherwise."""
@@ -162,22 +178,51 @@ class Store:
         return gone
 
 
-#: Rows of a shard in the query: so few that even a thousand documents make a merge.
+#: Rows of a shard in the query: so few that even small tables make several.
 QUERY_SHARD_ROWS = 250
 
 
+#: The arrivals' shares of the documents, of 32.
+ARRIVALS = (1, 1, 2, 4, 8, 16)
+
+
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
-    """Documents through a store: appended, compacted until no tier is full, read back. A row for each document of the last version, with whether its shard is in the manifest with as many rows as its file, and whether a merge wrote it."""
+    """Documents through a store: six arrivals of unequal size, with a compaction after the third and as many as are due at the end; then read back.
+
+    version 0: a row for each document of the last version, with whether its shard is in the manifest with as many rows as its file, and whether a merge wrote it. version 1 to 6: a row for
+    each document in the shards that this arrival brought, read from the version that it made, though compactions have merged them since.
+    """
     docs = table(spark, sf_dir, "documents")
     store = Store(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append(docs, QUERY_SHARD_ROWS)
+    turn = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(32))
+    first, came = 0, []
+    for i, share in enumerate(ARRIVALS):
+        before = store.manifest()
+        version = store.append(docs.where(turn.between(first, first + share - 1)), QUERY_SHARD_ROWS)
+        came.append((store.manifest(version).join(before, ["run", "name"], "left_anti"), i + 1))
+        first += share
+        if i == 2:
+            store.compact(docs.schema)
     while store.compact(docs.schema) is not None:
         pass
-    rows = store.read(docs.schema).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("_metadata.file_name").alias("name"))
+    sha = F.sha2("text", 256).alias("text_sha256")
+    rows = store.read(docs.schema).select("doc_id", sha, F.col("_metadata.file_name").alias("name"))
     counted = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     sound = store.manifest().join(counted, "name").select("name", (F.col("rows") == F.col("n")).alias("shard_sound"), F.startswith("run", F.lit("c-")).alias("shard_merged"))
-    return rows.join(sound, "name", "left").select("doc_id", "text_sha256", F.coalesce("shard_sound", F.lit(False)).alias("shard_sound"), F.coalesce("shard_merged", F.lit(False)).alias("shard_merged"))
-
-
-#: Tables of a thousand documents or more make at least FAN_IN shards, so that all are merged.
-OP1_SQL = "select doc_id, sha256(text) as text_sha256, true as shard_sound, (select count(*) from documents) > 750 as shard_merged from documents"
+    out = rows.join(sound, "name", "left").select(F.lit(0).alias("version"), "doc_id", "text_sha256", F.coalesce("shard_sound", F.lit(False)).alias("shard_sound"), F.coalesce("shard_merged", F.lit(False)).alias("shard_merged"))
+    for shards, i in came:
+        files = store._files(shards.where("rows > 0").collect())
+        if files:
+            held = spark.read.schema(docs.schema).parquet(*files)
+            out = out.unionByName(held.select(F.lit(i).alias("version"), "doc_id", sha, F.lit(True).alias("shard_sound"), F.lit(False).alias("shard_merged")))
+    return out
+
+
+#: With a hundred documents or more there are at least FAN_IN arrivals, so that all shards are merged in the end.
+OP1_SQL = f"""
+with {CRC_TABLE},
+t as (select doc_id, sha256(text) as text_sha256, {CRC.format("coalesce(cast(doc_id as varchar), '')")} % 32 as turn from documents, crc)
+select 0 as version, doc_id, text_sha256, true as shard_sound, (select count(*) from documents) > 100 as shard_merged from t
+union all
+select case when turn < 1 then 1 when turn < 2 then 2 when turn < 4 then 3 when turn < 8 then 4 when turn < 16 then 5 else 6 end, doc_id, text_sha256, true, false from t
+"""

@@ -575,6 +575,28 @@ def test_store_loses_nothing_to_vacuum_or_other_writers(spark, odd, tmp_path):
     assert store.read(odd.schema).count() == 3 * len(ODD)
 
 
+def test_a_compaction_that_comes_second_is_planned_again(spark, odd, tmp_path):
+    """While shards are merged another writer appends, then another one compacts: nothing is lost and nothing stands twice."""
+    store, rows = sharding.Store(spark, f"file://{tmp_path}/r"), Counter(ODD)
+    for _ in range(5):
+        store.append(odd)
+    other, write, turns = sharding.Store(spark, store.root), store._write_each, ["append", "compact"]
+
+    def meanwhile(bins, path):
+        write(bins, path)
+        if turns:
+            other.append(odd) if turns.pop(0) == "append" else other.compact(odd.schema)
+
+    store._write_each = meanwhile
+    before = len(store.versions())
+    assert store.compact(odd.schema) == before + 2
+    assert Counter((r["doc_id"], r["text"]) for r in store.read(odd.schema).collect()) == Counter({k: 6 * n for k, n in rows.items()})
+    for _ in range(4):
+        store.append(odd)
+    store.compact(odd.schema)
+    assert not turns and Counter((r["doc_id"], r["text"]) for r in store.read(odd.schema).collect()) == Counter({k: 10 * n for k, n in rows.items()})
+
+
 def test_shards_of_a_tier_are_packed_in_groups(spark, odd, tmp_path):
     store = sharding.Store(spark, f"file://{tmp_path}/g")
     store.append(odd.repartition(12), shard_rows=1)
