@@ -149,6 +149,15 @@ def distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [x[first] for x in keys], inverse
 
 
+def counted(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct keys and how often each stands there."""
+    if len(keys) == 1:
+        found, n = np.unique(keys[0], return_counts=True)
+        return [found], n
+    _, first, n = np.unique(hash_of(keys), return_index=True, return_counts=True)
+    return [x[first] for x in keys], n
+
+
 # arrays in files: a header of (rows, columns, bytes of each column's values), hashes, columns
 
 
@@ -294,8 +303,8 @@ STATS, GRAM, CONTEXT = 0, 1, 2
 
 def _gram_counts(batches: Iterator[pa.RecordBatch], model: Model, bits: int) -> Iterator[pa.RecordBatch]:
     for chunk, _ in chunks(batches, COUNTED):
-        keys, inverse = distinct(packed(model.windows(chunk, model.numbered(chunk)[0]), model.wide))
-        yield _batch({"bucket": hash_of(keys) >> U64(64 - bits), **dict(zip(key_columns(model.order, model.wide), keys)), "a": np.bincount(inverse)})
+        keys, n = counted(packed(model.windows(chunk, model.numbered(chunk)[0]), model.wide))
+        yield _batch({"bucket": hash_of(keys) >> U64(64 - bits), **dict(zip(key_columns(model.order, model.wide), keys)), "a": n})
 
 
 def _write_level(batches: Iterator[pa.RecordBatch], model: Model, k: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -323,8 +332,8 @@ def _write_level(batches: Iterator[pa.RecordBatch], model: Model, k: int, bits:
         yield row(STATS, [about], a=np.array([a.sum()]), size=np.array([len(a)]), **{f"b{i}": np.array([(a == i).sum()]) for i in (1, 2, 3, 4)})
         if kind == GRAM and k > 1:
             words = unpacked(keys, k, model.wide)
-            last, inverse = distinct(packed(words[1:], model.wide))
-            yield row(GRAM, last, a=np.bincount(inverse))
+            last, n = counted(packed(words[1:], model.wide))
+            yield row(GRAM, last, a=n)
             first, inverse = distinct(packed(words[:-1], model.wide))
             sums = lambda w: np.bincount(inverse, w).astype(np.int64)  # noqa: B023, E731
             yield row(CONTEXT, first, a=sums(a), b1=sums(a == 1), b2=sums(a == 2), b3=sums(a > 2))
