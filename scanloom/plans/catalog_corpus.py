@@ -198,3 +198,55 @@ def verdict_headers(t):
     past = A.seen(t).withColumn("severity", scalars.severity_bucket("cvss")).join(last.select("target", "scan_id"), ["target", "scan_id"], "left_anti").withColumn("seen", F.lit(True))
     verdicts = drift.compute_drift(cur, st, last.select("target", "status"), past, F.expr(_NOW))
     return drift.header(verdicts, drift.recent_scans(A.scans(t), 2).where("rn = 2").select("target", F.col("started_at").alias("previous_at")))
+
+
+# targets, sources and vectors
+
+_TARGET = """case c_custkey % 12 when 0 then concat('10.', cast(c_custkey % 256 as string), '.0.1') when 1 then concat('172.', cast(c_custkey % 40 as string), '.1.1') when 2 then concat('192.168.', cast(c_custkey % 9 as string), '.1')
+  when 3 then concat('127.0.0.', cast(c_custkey % 9 as string)) when 4 then '::1' when 5 then 'localhost' when 6 then concat('host ', cast(c_custkey as string)) when 7 then concat('h', cast(c_custkey as string), '.org/x-y_z')
+  when 8 then concat('bad;rm', cast(c_custkey as string)) when 9 then concat('http://h', cast(c_custkey as string), ':80/x') when 10 then concat('172.x', cast(c_custkey as string)) else null end"""
+
+
+@query(rf"""with i as (select c_custkey, {_TARGET} as t from customer)
+select c_custkey, coalesce(t in ('localhost', '127.0.0.1', '::1') or starts_with(t, '127.') or starts_with(t, '192.168.') or starts_with(t, '10.') or starts_with(t, '172.') and coalesce(try_cast(split_part(t, '.', 2) as int), 999) between 16 and 31, false) as is_local,
+  coalesce(regexp_full_match(t, '[\w.\-/]+'), false) as valid_host, coalesce(regexp_full_match(t, '[\w.\-/:]+'), false) as valid_address from i""")
+def target_rules(t):
+    """Addresses of private and public ranges, names, paths and texts that are none."""
+    rows = t("customer").selectExpr("c_custkey", f"{_TARGET} as t")
+    return rows.select("c_custkey", scalars.is_local_target("t").alias("is_local"), scalars.is_valid_target("t").alias("valid_host"), scalars.is_valid_target("t", web=True).alias("valid_address"))
+
+
+@query("""with r as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, list_filter([case when l_partkey % 3 = 0 then 'http://a' || l_partkey end, case when l_suppkey % 2 = 0 then 'ftp://b' end, case when l_suppkey % 5 > 0 then 'https://c' || l_suppkey end, 'http://d'], lambda x: x is not null) as refs,
+  case l_partkey % 5 when 0 then 'CRITICAL' when 1 then 'HIGH' when 2 then 'MEDIUM' when 3 then 'LOW' else 'INFO' end as severity from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_filter(refs, lambda x: starts_with(x, 'http'))[1:2], ' ') as links, severity in ('CRITICAL', 'HIGH', 'MEDIUM') as kept from r where severity <> 'INFO'""")
+def kept_hits(t):
+    """Hits of the severities that are kept, low ones for the web only, with their first two links."""
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    refs = F.array_compact(F.array(F.when(k % 3 == 0, F.concat(F.lit("http://a"), k.cast("string"))), F.when(s % 2 == 0, "ftp://b"), F.when(s % 5 > 0, F.concat(F.lit("https://c"), s.cast("string"))), F.lit("http://d")))
+    severity = F.element_at(F.array(*map(F.lit, ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"))), (k % 5 + 1).cast("int"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", refs.alias("refs"), severity.alias("severity"))
+    both = findings.kept_severities(rows).withColumn("kept", F.lit(True)).unionByName(findings.kept_severities(rows, web=True).where("severity = 'LOW'").withColumn("kept", F.lit(False)))
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(scalars.http_refs("refs"), " ").alias("links"), "kept")
+
+
+@query("""with vuln as (select 'tpch:' || lower(replace(p_brand, '#', '_')) as base, [p_size // 10, p_size % 10] as lo, [(p_size + 15) // 10, (p_size + 15) % 10] as hi, 'CVE-2024-' || p_partkey as cve_id, p_partkey % 2 as o from part),
+svc as (select s_suppkey, 'tpch:brand_' || (s_suppkey % 25 + 1) as base, [(s_suppkey % 60) // 10, (s_suppkey % 60) % 10] as ver, s_suppkey % 2 as o from supplier)
+select s_suppkey, cve_id, svc.o = 1 as system from svc join vuln on svc.base = vuln.base and svc.o = vuln.o and ver >= lo and ver <= hi""")
+def system_match(t):
+    """Applications and operating systems against records of either part; without leave for systems only applications match."""
+    part = lambda c, k: F.regexp_replace(c, ":a:tpch:", F.when(F.col(k) % 2 == 1, ":o:tpch:").otherwise(":a:tpch:"))
+    services = A.suppliers(t).withColumn("cpe", part("cpe", "s_suppkey"))
+    number = F.substring("cve_id", F.lit(10), F.length("cve_id")).cast("bigint")
+    records = A.vulnerabilities(t).withColumn("n", number).withColumn("cpe_base", part("cpe_base", "n")).drop("n")
+    every = matching.match_versions(services, records, allow_non_app=True).select("s_suppkey", "cve_id")
+    plain = matching.match_versions(services, records).select("s_suppkey", "cve_id", F.lit(True).alias("plain"))
+    return every.join(plain, ["s_suppkey", "cve_id"], "left").select("s_suppkey", "cve_id", F.col("plain").isNull().alias("system"))
+
+
+@query("select vec_id, len(embedding) as n, round(list_sum(list_transform(embedding, lambda x: cast(cast(x as float) as double))), 6) as total, 'u' || (vec_id % 7) as url from embeddings where vec_id % 7 > 0")
+def vectors_of_sources(t):
+    """Vectors as binaries and back, beside their source; chunks whose source is gone are left out."""
+    e = t("embeddings").select("vec_id", (F.col("vec_id") % 7).alias("source_id"), retrieval.floats_of_blob(retrieval.blob_of_floats(F.col("embedding"))).alias("v"))
+    sources = e.select("source_id").distinct().where("source_id > 0").withColumn("url", F.concat(F.lit("u"), F.col("source_id").cast("string")))
+    total = F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+    return retrieval.with_sources(e, sources).select("vec_id", F.size("v").cast("bigint").alias("n"), total.alias("total"), "url")
