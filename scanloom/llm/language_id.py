@@ -6,8 +6,9 @@ probabilities are learned by expectation-maximisation: each distinct word of the
 counted over all of them, gives expected piece counts by a forward and a backward pass. A text's
 score is the product over its words; words are runs of letters, in lower case.
 
-Languages are learned and scored in blocks of LANGUAGES_A_BLOCK, so that no task and not the driver holds more than a
-block's piece table at a time, however many values `lang` has; a text's best language and the sum over all languages are put
+Languages are learned and scored in blocks of LANGUAGES_A_BLOCK. Learning holds one block's piece table (languages x vocabulary)
+in a task and on the driver at a time, however many values `lang` has. Scoring reads the texts once, with a scorer for each block in the same stage:
+a task's Python workers hold the tables of all blocks between them, one each. A text's best language and the sum over all languages are put
 together from the blocks. Sums that get near the smallest number are done again in scaled form.
 
 Null texts and texts without a letter are `und` with score 0, and so is every text if nothing can be learned. Of
