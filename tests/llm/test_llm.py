@@ -648,3 +648,14 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     left = [(d, t) for d, t in left if not items.search(hashes.of(t))]
     assert set(got) == {d for d, _ in left}
     assert all(got[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for d, t in left)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    """No documents give no rows; without labels and benchmark items every document stays but near copies."""
+    schemas = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string"}
+    for name, ddl in schemas.items():
+        spark.createDataFrame([], ddl).write.parquet(f"{tmp_path}/none/{name}.parquet")
+        rows = [(i, f"document {i} " + " ".join(words(random.Random(i), 60)), None, "s", 1) for i in range(6)] + [(9, None, None, None, None)] if name == "documents" else []
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/some/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/some").select("doc_id").collect()) == [0, 1, 2, 3, 4, 5, 9]
