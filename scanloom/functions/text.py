@@ -71,31 +71,42 @@ BLOCKS = ("p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "sec
 _TAG = r"(?s)<(/?)([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(/?)>"
 
 
-@F.pandas_udf(StringType())
-def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _page_text(bare_entities: bool):
+    def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import re
+        from html import unescape
+        from html.entities import html5
+        from itertools import accumulate
+
+        raw, tag = re.compile(r"(?is)(<(script|style)\b[^>]*>).*?(?=</\2|\Z)"), re.compile(_TAG)
+        hidden = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*>")
+        entity = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([a-zA-Z][a-zA-Z0-9]*));")
+        closed = lambda x: entity.sub(lambda m: unescape(m[0]) if m[1] is None or f"{m[1]};" in html5 else m[0], x)
+        decoded = unescape if bare_entities else closed
+
+        def text(page: str) -> str:
+            # pieces: text, then slash, name, slash and text for each tag
+            pieces = tag.split(hidden.sub("", raw.sub(r"\1", page)))
+            names = [n.lower() for n in pieces[2::4]]
+            depth = [0, *accumulate((0 if n not in SKIPPED or empty else -1 if end else 1 for end, n, empty in zip(pieces[1::4], names, pieces[3::4])), lambda d, x: max(0, d + x))]
+            breaks = ["", *("\n" * ((n in BLOCKS) + (n in BLOCKS and empty != "")) for n, empty in zip(names, pieces[3::4]))]
+            shown = (decoded(x) if d == 0 else "" for x, d in zip(pieces[::4], depth))
+            return "".join(b + x * bool(x.strip()) for b, x in zip(breaks, shown))
+
+        for part in pages:
+            yield part.map(text, na_action="ignore")
+
+    return F.pandas_udf(page_text, StringType())
+
+
+def page_text(html: Col, bare_entities: bool = True) -> Column:
     """What a page shows: no content of skipped elements, a line end at both ends of blocks, entities decoded, blank runs left out.
 
+    bare_entities: whether the old entities that browsers know without their semicolon are decoded so too (&amp at a cut); else only those that end in one.
     Pages are split at their tags; running sums of begun and ended skipped elements tell the shown pieces. One pass over each page in Python,
     as broken markup and the table of entities are beyond patterns; page_text_native does without.
     """
-    import re
-    from html import unescape
-    from itertools import accumulate
-
-    raw, tag = re.compile(r"(?is)(<(script|style)\b[^>]*>).*?(?=</\2|\Z)"), re.compile(_TAG)
-    hidden = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<[!?][^>]*>")
-
-    def text(page: str) -> str:
-        # pieces: text, then slash, name, slash and text for each tag
-        pieces = tag.split(hidden.sub("", raw.sub(r"\1", page)))
-        names = [n.lower() for n in pieces[2::4]]
-        depth = [0, *accumulate((0 if n not in SKIPPED or empty else -1 if end else 1 for end, n, empty in zip(pieces[1::4], names, pieces[3::4])), lambda d, x: max(0, d + x))]
-        breaks = ["", *("\n" * ((n in BLOCKS) + (n in BLOCKS and empty != "")) for n, empty in zip(names, pieces[3::4]))]
-        shown = (unescape(x) if d == 0 else "" for x, d in zip(pieces[::4], depth))
-        return "".join(b + x * bool(x.strip()) for b, x in zip(breaks, shown))
-
-    for part in pages:
-        yield part.map(text, na_action="ignore")
+    return _page_text(bare_entities)(_c(html))
 
 
 def page_text_native(html: Col) -> Column:

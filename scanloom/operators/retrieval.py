@@ -19,9 +19,9 @@ from .state import replaced_chunks, source_changes
 QUERY_BLOCK, QUERY_BYTES = 512, 32 << 20
 
 
-def page_sources(pages: DataFrame, native: bool = False) -> DataFrame:
+def page_sources(pages: DataFrame, native: bool = False, bare_entities: bool = True) -> DataFrame:
     """pages (url, html) with text and checksum."""
-    return pages.withColumn("text", page_text_native("html") if native else page_text("html")).withColumn("checksum", checksum("text"))
+    return pages.withColumn("text", page_text_native("html") if native else page_text("html", bare_entities)).withColumn("checksum", checksum("text"))
 
 
 def chunks(sources: DataFrame, keep: list[str]) -> DataFrame:

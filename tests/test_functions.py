@@ -124,6 +124,12 @@ def test_page_text(spark):
     assert {r["html"]: r["t"] for r in got} == dict(pages)
 
 
+def test_entities_without_semicolon(spark):
+    rows = [("a&amp</title>",), ("a &amp; &copy &#65; &#65 &ampx; &quot;",)]
+    text = lambda bare: [r["t"] for r in spark.createDataFrame(rows, "html string").select(tx.page_text("html", bare).alias("t")).collect()]
+    assert text(True) == ["a&", 'a & \u00a9 A A &x; "'] and text(False) == ["a&amp", 'a & &copy A &#65 &ampx; "']
+
+
 def test_named_chunks(spark):
     row = spark.range(1).select(tx.numbered_chunks(F.lit("r"), F.array(F.lit("a"), F.lit("b"))).alias("x")).first()["x"]
     assert [tuple(c) for c in row] == [("r", "a"), ("r#2", "Rule: r (continued)\n\nb")]

@@ -461,3 +461,19 @@ def test_hosts_from_raw_rows_to_stored_state_and_reports(spark, tmp_path):
     assert {(str(r["scan_id"]), r["seen"]): r["count"] for r in seen} == {("1", True): 4, ("2", True): 2, ("2", False): 2}
     version = stored.version()
     assert night("2", D[3], [], [], [], [], {"a": ok}) == second and stored.version() == version
+
+
+def test_page_queries_equal_sql_on_cut_entities(spark, tmp_path):
+    """Titles that are cut within an entity, and bare ones in the text."""
+    import duckdb
+
+    from scanloom.plans import catalog
+
+    body = "a paragraph of more than forty characters &amp; one more &copy; sign"
+    rows = [(i, f"http://h/{i}", f"<title>{body} ver&amp</title><p>{body} &copy {body}</p>") for i in range(1, 8)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("page_texts", "page_ingest"):
+        got = catalog.queries()[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"select {', '.join(got.columns)} from ({catalog.oracle_sql()[name]})").fetchall())
