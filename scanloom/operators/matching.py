@@ -18,56 +18,110 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * INFLATION <= most else df
 
 
-def match_versions(services: DataFrame, records: DataFrame, allow_non_app: bool = False) -> DataFrame:
-    """A row for each service (with cpe) and vulnerability record in whose version range it lies.
+#: Columns that say all that a record's range is matched by; rows of each side that meet in one cell of a pair join, about.
+RANGE, CELL = ["cpe_base", "_exact", "_low", "_high"], 2048
 
-    The product base is the join key and the range the residual. Versions are parsed once a row on each side before the
-    join, so that a pair costs comparisons only; hot products are split by adaptive execution. A vulnerability that matches by two ranges stands twice.
-    """
+
+def _versioned(services: DataFrame, allow_non_app: bool) -> DataFrame:
     s = services.where((cpe_part("cpe") == "a") | F.lit(allow_non_app)).withColumn("cpe_base", cpe_base("cpe")).where("cpe_base is not null")
-    s = s.withColumn("_version", parsed_version(cpe_version("cpe")))
-    r = records.withColumn("_range", parsed_range("vulnerable_version", "version_start_including", "version_end_including"))
-    return s.join(r, "cpe_base").where(in_parsed_range("_version", "_range")).drop("_version", "_range")
+    return s.withColumn("_text", parsed_version(cpe_version("cpe"))["text"])
 
 
-def block_candidates(services: DataFrame, records: DataFrame, depth: int = 2, allow_non_app: bool = False) -> DataFrame:
-    """Pairs of services and records of a product whose versions can meet: an interval join by blocks of the first `depth` numbers.
+def _ranged(records: DataFrame) -> DataFrame:
+    bound = {"_exact": "vulnerable_version", "_low": "version_start_including", "_high": "version_end_including"}
+    return records.withColumns({k: F.coalesce(v, F.lit("")) for k, v in bound.items()})
 
-    A record is laid to those blocks of its product in which there is a service at all and that its range touches, and meets services there only. So a product with many services and
-    many records compares about the pairs that match and those in the blocks at a range's ends, where match_versions compares all; and its pairs are dealt out by block.
-    """
+
+def _candidates(s: DataFrame, r: DataFrame, depth: int | None) -> DataFrame:
+    """Pairs of s (cpe_base, _text) and r (RANGE) with _version and _range: all of a product, or with a depth those by block_candidates."""
+    s, r = s.withColumn("_version", parsed_version("_text")), r.withColumn("_range", parsed_range("_exact", "_low", "_high"))
+    if depth is None:
+        return s.join(r, "cpe_base")
     block = lambda key: F.slice(key, 1, depth)
-    s = services.where((cpe_part("cpe") == "a") | F.lit(allow_non_app)).withColumn("cpe_base", cpe_base("cpe")).where("cpe_base is not null")
-    s = s.withColumn("_version", parsed_version(cpe_version("cpe"))).withColumn("_block", block(F.col("_version.key")))
-    r = records.withColumn("_range", parsed_range("vulnerable_version", "version_start_including", "version_end_including")).withColumn("_exact", block(version_key("vulnerable_version")))
+    s, r = s.withColumn("_block", block(F.col("_version.key"))), r.withColumn("_exact_key", block(version_key("_exact")))
     b, x = F.col("_block"), F.col("_range")
     low, high = block(x["low_key"]), block(x["high_key"])
     above = (x["low"] == "") | ((low <= b) & ((x["high"] != "") | (F.get(b, F.lit(0)) <= F.get(low, F.lit(0)) + 1)))
     below = (x["high"] == "") | (b <= high)
     # what an exact version goes on to has at least its numbers
-    touches = F.when((x["exact"] != "") & (x["exact"] != "*"), F.slice(b, F.lit(1), F.size("_exact")) == F.col("_exact")).otherwise(above & below)
+    touches = F.when((x["exact"] != "") & (x["exact"] != "*"), F.slice(b, F.lit(1), F.size("_exact_key")) == F.col("_exact_key")).otherwise(above & below)
     blocks = s.select("cpe_base", "_block").distinct()
-    placed = r.join(blocks, "cpe_base").where(F.coalesce(touches, F.lit(False))).drop("_exact")
+    placed = r.join(blocks, "cpe_base").where(F.coalesce(touches, F.lit(False))).drop("_exact_key")
     return s.join(placed, ["cpe_base", "_block"])
 
 
+def _met(s: DataFrame, r: DataFrame, depth: int | None = None) -> DataFrame:
+    """Distinct versions (cpe_base, _text, _services) with the distinct ranges (RANGE, _records) in which they lie."""
+    texts = s.groupBy("cpe_base", "_text").agg(F.count(F.lit(1)).alias("_services"))
+    ranges = r.groupBy(*RANGE).agg(F.count(F.lit(1)).alias("_records"))
+    return _candidates(texts, ranges, depth).where(in_parsed_range("_version", "_range")).select(*RANGE, "_text", "_services", "_records")
+
+
+def _pairs(services: DataFrame, records: DataFrame, depth: int | None, allow_non_app: bool) -> DataFrame:
+    """Versions are compared once for each distinct version and range; services and records then meet by equal keys, in cells of about CELL rows a side.
+
+    Cells are dealt by hash to as many tasks as there are shuffle partitions, as tasks made by bytes would be few: a pair is far smaller read than written out.
+    """
+    s, r = _versioned(services, allow_non_app), _ranged(records)
+    parts = int(services.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = lambda n: F.ceil(n / CELL).cast("int")
+    met = _met(s, r, depth).select(*RANGE, "_text", cells(F.sum("_services").over(W.partitionBy(*RANGE))).alias("_is"), cells(F.col("_records")).alias("_js"))
+    place = lambda df, n: F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # one text, as constant columns are left out of a join's keys and structs are cast for it, and the rows would then be dealt again
+    cell = F.to_json(F.struct(*RANGE, "_i", "_j")).alias("_cell")
+    own = lambda df: [c for c in df.columns if c not in ("_text", *RANGE)]
+    here = s.join(met, ["cpe_base", "_text"]).select(*s.columns, *RANGE[1:], place(s, "_is").alias("_i"), every("_js").alias("_j")).select(cell, "cpe_base", *own(s))
+    there = r.join(met.select(*RANGE, "_is", "_js").distinct(), RANGE).select(*r.columns, place(r, "_js").alias("_j"), every("_is").alias("_i")).select(cell, *own(r))
+    return here.repartition(parts, "_cell").join(there.repartition(parts, "_cell"), "_cell").drop("_cell")
+
+
+def match_versions(services: DataFrame, records: DataFrame, allow_non_app: bool = False) -> DataFrame:
+    """A row for each service (with cpe) and vulnerability record in whose version range it lies.
+
+    Each distinct version of a product is compared with each distinct range of it; rows then meet by version and range, so that work beyond that grows
+    with the rows found. A vulnerability that matches by two ranges stands twice.
+    """
+    return _pairs(services, records, None, allow_non_app)
+
+
+def block_candidates(services: DataFrame, records: DataFrame, depth: int = 2, allow_non_app: bool = False) -> DataFrame:
+    """Pairs of services and records of a product whose versions can meet: an interval join by blocks of the first `depth` numbers.
+
+    A record is laid to those blocks of its product in which there is a service at all and that its range touches, and meets services there only. So a product with many services and
+    many records compares about the pairs that match and those in the blocks at a range's ends, where match_versions compares all; and its pairs are dealt out by block.
+    """
+    return _candidates(_versioned(services, allow_non_app), _ranged(records), depth).drop("_text", *RANGE[1:])
+
+
 def match_versions_by_block(services: DataFrame, records: DataFrame, depth: int = 2, allow_non_app: bool = False) -> DataFrame:
-    """As match_versions, for products with many services and many records."""
-    return block_candidates(services, records, depth, allow_non_app).where(in_parsed_range("_version", "_range")).drop("_version", "_range", "_block")
+    """As match_versions, for products with many versions and many ranges."""
+    return _pairs(services, records, depth, allow_non_app)
 
 
 def useful(matches: DataFrame) -> DataFrame:
     return matches.where((F.col("cvss_score") > 0) & (F.col("severity") != "UNKNOWN"))
 
 
-def condensed(services: DataFrame, matches: DataFrame, keys: list[str], k: int = 5, links: int = 4, links_a_cve: int = 2, keep_unmatched: bool = True) -> DataFrame:
-    """Per service: highest score, critical and high counts, its k worst records and up to `links` distinct links in the order of the records.
+def _row(links_a_cve: int) -> Column:
+    return F.struct("cve_id", "cvss_score", "severity", F.slice(F.coalesce("patch_links", F.array().cast("array<string>")), 1, links_a_cve).alias("patch_links")).alias("_row")
 
-    Records are ranked first, so that a task keeps k of a service before the shuffle and no more than k are collected.
-    """
-    row = F.struct("cve_id", "cvss_score", "severity", F.slice(F.coalesce("patch_links", F.array().cast("array<string>")), 1, links_a_cve).alias("patch_links"))
-    counts = matches.groupBy(*keys).agg(F.max("cvss_score").alias("highest_cvss"), F.count_if(F.col("severity") == "CRITICAL").alias("critical_count"), F.count_if(F.col("severity") == "HIGH").alias("high_count"))
-    worst = matches.select(*keys, "cvss_score", "cve_id", row.alias("_row")).withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("cvss_score"), "cve_id", F.col("_row.patch_links")))).where(F.col("_n") <= k)
+
+def _counts(matches: DataFrame, keys: list[str]) -> DataFrame:
+    return matches.groupBy(*keys).agg(F.max("cvss_score").alias("highest_cvss"), F.count_if(F.col("severity") == "CRITICAL").alias("critical_count"), F.count_if(F.col("severity") == "HIGH").alias("high_count"))
+
+
+def _added(counts: DataFrame, keys: list[str]) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.max("highest_cvss").alias("highest_cvss"), F.sum("critical_count").alias("critical_count"), F.sum("high_count").alias("high_count"))
+
+
+def _worst(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k worst records (_row) of each key, numbered; a task keeps k of a key before the shuffle."""
+    order = [F.desc("_row.cvss_score"), F.col("_row.cve_id"), F.col("_row.patch_links"), F.col("_row.severity")]
+    return rows.select(*keys, "_row").withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k)
+
+
+def _with_summary(services: DataFrame, counts: DataFrame, worst: DataFrame, keys: list[str], links: int, keep_unmatched: bool) -> DataFrame:
     top = worst.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_row"))), lambda x: x["_row"]).alias("cves"))
     agg = counts.join(top, keys)
     out = services.join(agg, keys, "left" if keep_unmatched else "inner")
@@ -80,9 +134,28 @@ def condensed(services: DataFrame, matches: DataFrame, keys: list[str], k: int =
     })
 
 
+def condensed(services: DataFrame, matches: DataFrame, keys: list[str], k: int = 5, links: int = 4, links_a_cve: int = 2, keep_unmatched: bool = True) -> DataFrame:
+    """Per service: highest score, critical and high counts, its k worst records and up to `links` distinct links in the order of the records.
+
+    Records are ranked first, so that a task keeps k of a service before the shuffle and no more than k are collected.
+    """
+    return _with_summary(services, _counts(matches, keys), _worst(matches.select(*keys, _row(links_a_cve)), keys, k), keys, links, keep_unmatched)
+
+
+def condensed_records(services: DataFrame, records: DataFrame, keys: list[str], k: int = 5, links: int = 4, links_a_cve: int = 2, keep_unmatched: bool = True, allow_non_app: bool = False) -> DataFrame:
+    """condensed over the useful matches of services and records, without a row a match: records are condensed by range, ranges by version, versions by service."""
+    s, r = _versioned(services, allow_non_app), _ranged(useful(records))
+    version = ["cpe_base", "_text"]
+    met = _met(s, r).select(*RANGE, "_text")
+    counts = _added(met.join(_counts(r, RANGE), RANGE), version)
+    worst = _worst(met.join(_worst(r.select(*RANGE, _row(links_a_cve)), RANGE, k).drop("_n"), RANGE), version, k).drop("_n")
+    own = s.select(*keys, *[c for c in version if c not in keys])
+    return _with_summary(services, _added(own.join(counts, version), keys), _worst(own.join(worst, version), keys, k), keys, links, keep_unmatched)
+
+
 def host_os_findings(systems: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
     """Condensed findings of host systems; those without a record are left out."""
-    return condensed(systems, useful(match_versions(systems, records, allow_non_app=True)), keys, keep_unmatched=False).withColumn("severity", severity_bucket("highest_cvss"))
+    return condensed_records(systems, records, keys, keep_unmatched=False, allow_non_app=True).withColumn("severity", severity_bucket("highest_cvss"))
 
 
 def exploit_intel(finding_cves: DataFrame, kev: DataFrame, epss: DataFrame, keys: list[str]) -> DataFrame:

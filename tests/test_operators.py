@@ -477,3 +477,37 @@ def test_page_queries_equal_sql_on_cut_entities(spark, tmp_path):
     for name in ("page_texts", "page_ingest"):
         got = catalog.queries()[name](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"select {', '.join(got.columns)} from ({catalog.oracle_sql()[name]})").fetchall())
+
+
+def _hot_product(spark, n=600):
+    services = spark.createDataFrame([(i, "cpe:2.3:a:v:p:1.5") for i in range(n)] + [(n, None), (n + 1, "cpe:2.3:a:v:p: 1.5")], "id bigint, cpe string")
+    records = spark.createDataFrame([("cpe:2.3:a:v:p", None, "1.0", "2.0", f"CVE-{i}") for i in range(n)] + [("cpe:2.3:a:v:p", "1.5", "9", None, "CVE-x")], "cpe_base string, vulnerable_version string, version_start_including string, version_end_including string, cve_id string")
+    return services, records
+
+
+@pytest.mark.parametrize("match", [matching.match_versions, matching.match_versions_by_block])
+def test_one_hot_range_is_dealt_to_all_tasks(spark, monkeypatch, match):
+    """One version and one range with many rows a side: each pair once, and no task makes most of them."""
+    monkeypatch.setattr(matching, "CELL", 64)
+    services, records = _hot_product(spark)
+    hits = match(services, records)
+    assert hits.columns == ["cpe_base", "id", "cpe", "vulnerable_version", "version_start_including", "version_end_including", "cve_id"]
+    n = {r["at"]: r["count"] for r in hits.groupBy(F.spark_partition_id().alias("at")).count().collect()}
+    assert sum(n.values()) == 600 * 601 == hits.select("id", "cve_id").distinct().count() and max(n.values()) < 0.6 * 600 * 601, n
+
+
+def test_versions_and_ranges_are_compared_once(spark):
+    services, records = (x.unionByName(x) for x in _hot_product(spark, 40))
+    met = matching._met(matching._versioned(services, False), matching._ranged(records)).collect()
+    assert sorted((r["_exact"], r["_low"], r["_text"], r["_services"], r["_records"]) for r in met) == [("", "1.0", "1.5", 80, 80), ("1.5", "9", "1.5", 80, 2)]
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_records_condensed_by_range_equal_matches_condensed(spark, keep):
+    """Repeated services, keys with several products, equal scores and repeated records."""
+    services = spark.createDataFrame([(i % 37, f"cpe:2.3:{'ao'[i % 5 == 0]}:v:p{i % 3}:{i % 4}.{i % 6}") for i in range(120)] + [(900, "cpe:2.3:a:v:none:1"), (901, None)], "id bigint, cpe string")
+    one = [(f"cpe:2.3:{'ao'[i % 7 == 0]}:v:p{i % 3}", "*", f"{i % 3}.{i % 5}", None if i % 6 == 0 else f"{i % 4}.{i % 7}", f"CVE-{i % 50}", float(i % 11), ("CRITICAL", "HIGH", "LOW", "UNKNOWN")[i % 4], None if i % 9 == 0 else [f"u{i % 8}", "w", f"z{i % 5}"]) for i in range(160)]
+    records = spark.createDataFrame(one + one[:40], "cpe_base string, vulnerable_version string, version_start_including string, version_end_including string, cve_id string, cvss_score double, severity string, patch_links array<string>")
+    want = matching.condensed(services, matching.useful(matching.match_versions(services, records, True)), ["id"], keep_unmatched=keep)
+    got = matching.condensed_records(services, records, ["id"], keep_unmatched=keep, allow_non_app=True)
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("highest_cvss > 0").count() > 50
