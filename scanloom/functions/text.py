@@ -149,32 +149,84 @@ PLACEHOLDERS = ["service", "package", "fixed_version", "port", "path"]
 PLACEHOLDER = r"\{([a-zA-Z_][a-zA-Z0-9_]*)\}"
 
 
+#: Pieces of a command: single quotes, double quotes, an escape, blanks, plain characters; and what double quotes hold.
+_PIECES = r"""(?s)('[^']*+(?:'|\z)|"(?:[^"\\]++|\\.)*+(?:"|\\?\z)|\\(?:.|\z)|[ \t\r\n]++|[^'"\\ \t\r\n]++)"""
+_HELD = r'(?s)^"((?:[^"\\]++|\\.)*+)'
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def shell_words(command: Col) -> Column:
     """words, open (what is left open at the end: quote, escape or null), bare (what stands outside of all quotes and escapes) and live (bare, and what stands in double quotes).
 
-    A fold over the characters: single quotes keep all, double quotes let \\ escape " and itself, outside of quotes \\ escapes any character; quoted and plain pieces side by side are one word.
+    A fold over the pieces: single quotes keep all, double quotes let \\ escape " and itself, outside of quotes \\ escapes any character; quoted and plain pieces side by side are one word.
     """
     none = F.array().cast("array<string>")
-
-    def step(a: Column, c: Column) -> Column:
-        m, blank = a["m"], c.isin(" ", "\t", "\r", "\n")
-        plain, single, double, inner = m.isin("n", "w"), m == "s", m == "d", m == "f"
-        to = (
-            F.when(plain, F.when(blank, "n").when(c == "'", "s").when(c == '"', "d").when(c == "\\", "e").otherwise("w"))
-            .when(single, F.when(c == "'", "w").otherwise("s")).when(double, F.when(c == '"', "w").when(c == "\\", "f").otherwise("d")).when(inner, "d").otherwise("w")
-        )
-        mark = (plain & c.isin("'", '"', "\\")) | (single & (c == "'")) | (double & c.isin('"', "\\"))
-        added = F.when(mark | (plain & blank), "").when(inner & ~c.isin('"', "\\"), F.concat(F.lit("\\"), c)).otherwise(c)
-        ends = (m == "w") & blank
+    first = lambda x: F.substring(x, 1, 1)
+    blank = lambda x: first(x).isin(" ", "\t", "\r", "\n")
+    held = lambda x: F.regexp_extract(x, _HELD, 1)
+    said = lambda x: (
+        F.when(first(x) == "'", F.replace(x, F.lit("'"), F.lit(""))).when(first(x) == '"', F.regexp_replace(held(x), r'\\(["\\])', "$1"))
+        .when(first(x) == "\\", F.substring(x, F.lit(2), F.length(x))).otherwise(x)
+    )
+    live = lambda x: F.when(first(x).isin("'", "\\"), "").when(first(x) == '"', F.regexp_replace(held(x), r"(?s)\\.", "")).otherwise(x)
+
+    def step(a: Column, x: Column) -> Column:
+        ends = blank(x) & a["word"].isNotNull()
         return F.struct(
-            to.alias("m"), F.when(ends, "").otherwise(F.concat(a["word"], added)).alias("word"), F.when(ends, F.array_append(a["words"], a["word"])).otherwise(a["words"]).alias("words"),
-            F.concat(a["bare"], F.when(plain & ~mark, c).otherwise("")).alias("bare"), F.concat(a["live"], F.when((plain | double) & ~mark, c).otherwise("")).alias("live"),
+            F.when(~blank(x), F.concat(F.coalesce(a["word"], F.lit("")), said(x))).alias("word"),
+            F.when(ends, F.array_append(a["words"], a["word"])).otherwise(a["words"]).alias("words"),
+        )
+
+    begin = F.struct(F.lit(None).cast("string").alias("word"), none.alias("words"))
+    end = lambda a: F.when(a["word"].isNull(), a["words"]).otherwise(F.array_append(a["words"], a["word"]))
+
+    def parts(pieces: Column) -> Column:
+        last = F.get(pieces, F.size(pieces) - 1)
+        left = (
+            F.when((first(last) == "'") & ((F.length(last) == 1) | ~F.endswith(last, F.lit("'"))), "quote").when((first(last) == "\\") & (F.length(last) == 1), "escape")
+            .when((first(last) == '"') & last.rlike(_HELD + r"\\\z"), "escape").when((first(last) == '"') & ~last.rlike(_HELD + r'"\z'), "quote")
         )
+        bare = F.array_join(F.filter(pieces, lambda x: ~first(x).isin("'", '"', "\\")), "")
+        return F.struct(F.aggregate(pieces, begin, step, end).alias("words"), left.alias("open"), bare.alias("bare"), F.array_join(F.transform(pieces, live), "").alias("live"))
+
+    return _once(F.regexp_extract_all(F.coalesce(_c(command), F.lit("")), F.lit(_PIECES), 1), parts)
+
 
-    begin = F.struct(F.lit("n").alias("m"), F.lit("").alias("word"), none.alias("words"), F.lit("").alias("bare"), F.lit("").alias("live"))
-    left = lambda a: F.when(a["m"].isin("s", "d"), "quote").when(a["m"].isin("e", "f"), "escape")
-    end = lambda a: F.struct(F.when(a["m"] == "n", a["words"]).otherwise(F.array_append(a["words"], a["word"])).alias("words"), left(a).alias("open"), a["bare"].alias("bare"), a["live"].alias("live"))
-    return F.aggregate(F.regexp_extract_all(F.coalesce(_c(command), F.lit("")), F.lit("(?s)(.)"), 1), begin, step, end)
+def command_errors(template: Col, shell: Col, in_quotes: tuple[bool, ...]) -> Column:
+    """The errors of command_error for each of in_quotes; the command is read once for all of them."""
+    t = F.coalesce(_c(template), F.lit(""))
+    unknown = F.array_except(F.regexp_extract_all(t, F.lit(PLACEHOLDER), 1), F.array(*map(F.lit, PLACEHOLDERS)))
+    bash = _c(shell) == "bash"
+    bare = F.regexp_replace(t, PLACEHOLDER, "PLACEHOLDERVAL")
+    odd = lambda text, q: F.length(F.regexp_replace(text, f"[^{q}]", "")) % 2 == 1
+
+    def read(x: Column) -> Column:
+        bare, parts = x["bare"], x["parts"]
+        words = F.when(bash, parts["words"]).otherwise(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
+        first = _once(words, lambda w: F.when(bash & (F.get(w, F.lit(0)) == "sudo"), F.get(w, F.lit(1))).otherwise(F.get(w, F.lit(0))))
+        left = F.when(bash, parts["open"]).when(odd(bare, "'") | odd(bare, '"'), "quote")
+        anywhere = bare.rlike(r"[;|`<>]|&&|\$\(")
+        outside = F.when(bash, parts["bare"].rlike("[;|<>]|&&") | parts["live"].rlike(r"`|\$\(")).otherwise(anywhere)
+        return F.struct(first.alias("first"), left.alias("left"), anywhere.alias("anywhere"), outside.alias("outside"))
+
+    def error(x: Column, quoted: bool) -> Column:
+        allowed = F.when(bash, x["first"].isin(SHELL_COMMANDS)).otherwise(F.lower(x["first"]).isin(POWERSHELL_COMMANDS))
+        return (
+            F.when(~_c(shell).isin("bash", "powershell") | _c(shell).isNull(), "unknown shell")
+            .when(F.size(unknown) > 0, F.concat(F.lit("unknown placeholder "), F.get(unknown, F.lit(0))))
+            .when(x["anywhere"] if quoted else x["outside"], "chaining, redirection or substitution")
+            .when(F.contains(t, F.lit("\n")), "more than one line")
+            .when(x["left"].isNotNull(), F.concat(F.lit("open "), x["left"]))
+            .when(x["first"].isNull(), "empty command")
+            .when(~allowed, F.concat(F.lit("not allowed: "), x["first"]))
+        )
+
+    parsed = _once(bare, lambda b: F.struct(b.alias("bare"), F.when(bash, shell_words(b)).alias("parts")))
+    return _once(_once(parsed, read), lambda x: F.array(*[error(x, q) for q in in_quotes]))
 
 
 def command_error(template: Col, shell: Col, in_quotes: bool = True) -> Column:
@@ -182,27 +234,14 @@ def command_error(template: Col, shell: Col, in_quotes: bool = True) -> Column:
 
     in_quotes: whether chaining counts in quotes too, where a shell would take it as text.
     """
-    t = F.coalesce(_c(template), F.lit(""))
-    bare = F.regexp_replace(t, PLACEHOLDER, "PLACEHOLDERVAL")
-    unknown = F.array_except(F.regexp_extract_all(t, F.lit(PLACEHOLDER), 1), F.array(*map(F.lit, PLACEHOLDERS)))
-    bash, parts = _c(shell) == "bash", shell_words(bare)
-    words = F.when(bash, parts["words"]).otherwise(F.filter(F.split(bare, r"\s+"), lambda w: w != ""))
-    first = F.when(bash & (F.get(words, F.lit(0)) == "sudo"), F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0)))
-    allowed = F.when(bash, first.isin(SHELL_COMMANDS)).otherwise(F.lower(first).isin(POWERSHELL_COMMANDS))
-    chained = bare.rlike(r"[;|`<>]|&&|\$\(")
-    if not in_quotes:
-        chained = F.when(bash, parts["bare"].rlike("[;|<>]|&&") | parts["live"].rlike(r"`|\$\(")).otherwise(chained)
-    odd = lambda q: F.length(F.regexp_replace(bare, f"[^{q}]", "")) % 2 == 1
-    left = F.when(bash, parts["open"]).when(odd("'") | odd('"'), "quote")
-    return (
-        F.when(~_c(shell).isin("bash", "powershell") | _c(shell).isNull(), "unknown shell")
-        .when(F.size(unknown) > 0, F.concat(F.lit("unknown placeholder "), F.get(unknown, F.lit(0))))
-        .when(chained, "chaining, redirection or substitution")
-        .when(F.contains(t, F.lit("\n")), "more than one line")
-        .when(left.isNotNull(), F.concat(F.lit("open "), left))
-        .when(first.isNull(), "empty command")
-        .when(~allowed, F.concat(F.lit("not allowed: "), first))
-    )
+    return F.get(command_errors(template, shell, (in_quotes,)), F.lit(0))
+
+
+def command_checks(template: Col, shell: Col, now: Column) -> Column:
+    """The checks (in_quotes, and c as command_check has it) with chaining counted in quotes and without."""
+    both = (True, False)
+    kept = lambda e: F.struct(e.isNull().alias("ok"), F.concat(_c(shell), F.lit("-words")).alias("validator"), e.alias("error"), now.alias("checked_at"))
+    return F.transform(command_errors(template, shell, both), lambda e, i: F.struct((i == 0).alias("in_quotes"), kept(e).alias("c")))
 
 
 def command_check(template: Col, shell: Col, now: Column, in_quotes: bool = True) -> Column:

@@ -158,6 +158,16 @@ def test_chaining_in_quotes(spark):
     assert col(spark, [("apt x", "zsh"), ("apt x", None)], "t string, s string", tx.command_error("t", "s")) == ["unknown shell"] * 2
 
 
+def test_a_command_is_folded_once(spark):
+    """Both checks of a command, also of one with long quotes, read it once."""
+    rows = [("apt install 'a;b'", "bash"), ('apt "' + "x\\\\y" * 20000 + '"', "bash"), ("rm x", "bash"), ("winget a;b", "powershell")]
+    df = spark.createDataFrame(rows, "t string, s string").select(tx.command_checks("t", "s", F.current_timestamp()).alias("x"))
+    got = [[(c["in_quotes"], c["c"]["error"]) for c in r["x"]] for r in df.collect()]
+    chained = "chaining, redirection or substitution"
+    assert got == [[(True, chained), (False, None)], [(True, None), (False, None)], [(True, "not allowed: rm"), (False, "not allowed: rm")], [(True, chained), (False, chained)]]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_canonical_json(spark):
     same = ['{"b": [1, 2.50, null, true], "a": {"y": "\\u00e9\\n", "x": {}}}', '{"a":{"x":{},"y":"é\\n"},"b":[1,2.5,null,true]}']
     other = ['{"b": [2.5, 1, null, true], "a": {"y": "é\\n", "x": {}}}', '{"a": 1, "a": 2}', "{broken", None, '{"a": 1} x', '{"a": 1}] x', '{"a": 1}} x', '{"a": 1}, {"a": 2}', ""]
