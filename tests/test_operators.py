@@ -511,3 +511,17 @@ def test_records_condensed_by_range_equal_matches_condensed(spark, keep):
     want = matching.condensed(services, matching.useful(matching.match_versions(services, records, True)), ["id"], keep_unmatched=keep)
     got = matching.condensed_records(services, records, ["id"], keep_unmatched=keep, allow_non_app=True)
     assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("highest_cvss > 0").count() > 50
+
+
+def test_lines_are_grouped_before_they_meet_orders(spark, tmp_path):
+    """Orders that stand twice count once, lines without a part or order are kept out; no join is below the lines' grouping."""
+    from scanloom.plans import adapters
+
+    tables = {
+        "orders": spark.createDataFrame([(1, 7, D[0]), (1, 7, D[0]), (2, 8, D[1])], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp"),
+        "lineitem": spark.createDataFrame([(1, 10, 4, 30.0), (1, 9, 8, 50.0), (1, None, 4, 1.0), (2, 5, 1, 1.0), (3, 5, 1, 1.0), (None, 5, 1, 1.0)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double"),
+    }
+    out = adapters.seen(tables.get)
+    assert rows(out, "target", "scan_id", "finding_key", "source", "cvss", "cve_ids") == [(7, 1, 0, "network", 10.0, ["CVE-10", "CVE-9"]), (8, 2, 1, "filesystem", 0.0, ["CVE-5"])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join") < plan.index("collect_set")
