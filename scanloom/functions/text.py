@@ -253,8 +253,8 @@ def command_check(template: Col, shell: Col, now: Column, in_quotes: bool = True
 def filled(template: Col, values: dict[str, Column]) -> Column:
     """The template with its {names} filled; null if it uses one without a value."""
     t = _c(template)
-    known = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))])
-    lacking = F.exists(F.regexp_extract_all(t, F.lit(r"\{(\w+)\}"), 1), lambda n: F.coalesce(F.try_element_at(known, n), F.lit("")) == "")
+    known = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit("")) != "", k) for k, v in values.items()]))
+    lacking = F.size(F.array_except(F.regexp_extract_all(t, F.lit(r"\{(\w+)\}"), 1), known)) > 0
     out = t
     for k, v in values.items():
         out = F.replace(out, F.lit("{" + k + "}"), F.coalesce(v, F.lit("")))

@@ -259,7 +259,9 @@ select p_partkey, out as class, case out when 'filesystem' then 'upgrade' when '
 from t""")
 def fix_facts(t):
     """Findings of six sources, thirteen services, four platforms and all classes of texts against a catalog of five classes, with the commands of each platform."""
-    i = t("part").selectExpr(*[f"{x} as {name}" for name, x in _FIX.items()])
+    # a small file is few tasks, however much is to be done with a row
+    part = t("part").select("p_partkey", "p_size", "p_name")
+    i = part.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p_partkey").selectExpr(*[f"{x} as {name}" for name, x in _FIX.items()])
     scripts = F.when(F.col("creds"), F.array(F.struct(F.lit("http-default-accounts").alias("id"), F.lit("found").alias("output"))))
     rows = i.select("*", F.when(F.col("ref").isNotNull(), F.array("ref")).alias("remediation_refs"), scripts.alias("script_findings"))
     commands = F.create_map(*[F.lit(x) for kv in _COMMANDS.items() for x in kv])

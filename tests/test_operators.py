@@ -525,3 +525,21 @@ def test_lines_are_grouped_before_they_meet_orders(spark, tmp_path):
     assert rows(out, "target", "scan_id", "finding_key", "source", "cvss", "cve_ids") == [(7, 1, 0, "network", 10.0, ["CVE-10", "CVE-9"]), (8, 2, 1, "filesystem", 0.0, ["CVE-5"])]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= plan.index("Join") < plan.index("collect_set")
+
+
+def test_what_fix_facts_are_filled_with_is_worked_out_once(spark, tmp_path):
+    """A row's port is read from its text in few places of the plan, and the query's rows are dealt to all tasks."""
+    from pyspark.sql import functions as F
+
+    from scanloom.operators import remediation
+    from scanloom.plans import catalog
+
+    catalog_rows = spark.createDataFrame([("crash", "Update {service}.", [("Restart {service} on {port}", {"linux_apt": "apt install {package}"})], "authored")], remediation.CATALOG)
+    found = "target bigint, source string, affected string, description string, remediation_refs array<string>, script_findings array<struct<id:string,output:string>>, platform string"
+    out = remediation.with_fix_facts(spark.createDataFrame([(1, "network", "Port 22 — SSH", "a crash", ["8.1"], None, "Linux"), (2, "network", "Port 1 — zzz", "a crash", None, None, "Linux")], found), catalog_rows)
+    assert rows(out.select("target", F.col("fix_facts.fix_summary").alias("s"), F.col("fix_facts.steps").alias("steps")), "target", "s", "steps") == [
+        (1, "Update SSH.", ["Restart SSH on 22\n    $ apt install openssh-server"]), (2, "Update zzz.", ["Restart zzz on 1"])]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Port\\s+") <= 4
+    spark.createDataFrame([(k, "a b", k % 50) for k in range(40)], "p_partkey bigint, p_name string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k,) for k in range(5)], "r_regionkey int").write.parquet(f"{tmp_path}/region.parquet")
+    assert len({x[0] for x in catalog.queries()["fix_facts"](spark, str(tmp_path)).select(F.spark_partition_id()).collect()}) > 1
