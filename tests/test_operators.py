@@ -576,3 +576,16 @@ def test_the_state_before_the_last_scan_is_made_once(spark):
     assert before.join(last, ["target", "scan_id"], "left_semi").count() == 0 and st.count() == before.select("target", "finding_key").distinct().count() > 0
     plan = catalog.drift_verdicts(tables.get)._jdf.queryExecution().optimizedPlan().toString()
     assert "lead(" not in plan and "lag(" not in plan
+
+
+def test_report_findings_are_ranked_once(spark):
+    """Documents read the ranked findings five times, and rank them once."""
+    from scanloom.plans import catalog
+
+    tables = {
+        "orders": spark.createDataFrame([(k, k // 3, D[k % 3]) for k in range(1, 10)], "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp"),
+        "lineitem": spark.createDataFrame([(k % 10, k * 7 % 11, k % 4, float(k % 50)) for k in range(40)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double"),
+        "part": spark.createDataFrame([(k, k % 50) for k in range(11)], "p_partkey bigint, p_size int"),
+    }
+    out = catalog.report_documents(tables.get)
+    assert "row_number()" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 18
