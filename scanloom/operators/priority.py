@@ -116,8 +116,8 @@ def split_by_band(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(fix_now()), rows.where(~fix_now())
 
 
-def overall_risk(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """The worst severity of a set of findings, or critical: malware of high or more, default credentials, a reachable known or likely exploit, or three findings of high or more."""
+def risk_columns(findings: DataFrame) -> DataFrame:
+    """findings with what worst_of reads: _worst, the severity's rank, and _rising, whether the row alone makes a set critical."""
     findings = with_default_creds(findings)
     findings = findings.withColumns({c: F.lit(None).cast(t) for c, t in (("kev", "boolean"), ("epss_percentile", "double")) if c not in findings.columns})
     rank = severity_rank("severity")
@@ -125,8 +125,19 @@ def overall_risk(findings: DataFrame, keys: list[str]) -> DataFrame:
         ((F.col("source") == "malware") & (rank >= 2)) | F.coalesce("default_creds", F.lit(False))
         | (F.col("source").isin(*REACHABLE) & (F.coalesce("kev", F.lit(False)) | (F.coalesce("epss_percentile", F.lit(0.0)) >= 0.9)))
     )
-    agg = findings.groupBy(*keys).agg(F.max(rank).alias("worst"), F.count_if(rank >= 2).alias("high"), F.bool_or(rising).alias("rising"))
-    return agg.select(*keys, F.when(F.col("rising") | (F.col("high") >= 3), "critical").otherwise(severity_of_rank("worst")).alias("overall_risk"))
+    return findings.withColumns({"_worst": rank, "_rising": rising})
+
+
+def worst_of(here: Column | None = None) -> Column:
+    """An aggregate over risk_columns: the overall risk of the group's rows, or of those where here holds; of none it is that of a null rank."""
+    of = lambda c: F.col(c) if here is None else F.when(here, F.col(c))
+    critical = F.bool_or(of("_rising")) | (F.count_if(of("_worst") >= 2) >= 3)
+    return F.when(critical, "critical").otherwise(severity_of_rank(F.max(of("_worst"))))
+
+
+def overall_risk(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """The worst severity of a set of findings, or critical: malware of high or more, default credentials, a reachable known or likely exploit, or three findings of high or more."""
+    return risk_columns(findings).groupBy(*keys).agg(worst_of().alias("overall_risk"))
 
 
 def open_ranked(state: DataFrame, diff: DataFrame, intel: DataFrame) -> DataFrame:
