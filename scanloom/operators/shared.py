@@ -29,6 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """df as a table whose rows are dealt by keys to as many tasks as there are shuffle partitions: joins, groups and windows by these keys do not shuffle it again."""
+    spark, made = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, *keys).write.option("path", f"{shared_dir(spark)}/{made}").bucketBy(parts, *keys).saveAsTable(made)
+    return spark.table(made)
+
+
 def with_running_sum(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """rows with `name`, the sum of `value` over the rows before in their group, and `name`_total, that of the whole group.
 
