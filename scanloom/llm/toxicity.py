@@ -244,6 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if most_relevant:
         sizes = {int(r[0]): r[1] for r in sample.groupBy("label").count().collect()}
         value = value * relevance(*frequencies(sample.select("label", "text")), sizes)
+    known.unpersist()
     model = Model(terms, value, examples, labelled, k)
     sent = sc.broadcast(model)
 
@@ -256,6 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = F.when(F.col("role") == "example", F.col("id"))
     held = sample.select("label", "text", own.alias("own")).repartition(max(1, sc.defaultParallelism))
     model.calibrate([(int(r[0]), r[1]) for r in held.mapInArrow(votes, "label int, raw double").collect()], labelled)
+    sent.unpersist()
     return model
 
 

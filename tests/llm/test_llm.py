@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -650,6 +651,33 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert all(got[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for d, t in left)
 
 
+def test_pipeline_stages_bound_what_workers_hold(spark, tmp_path, monkeypatch):
+    """After any stage has been made, texts reach Python in batches of few rows and bytes, and blocks of pre-tokens are short."""
+    schemas = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string"}
+    for name, ddl in schemas.items():
+        spark.createDataFrame([(i, f"document {i}", None, "s", 1) for i in range(5)] if name == "documents" else [], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    many = spark.range(0, 3000, 1, 1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    def largest(text):
+        return many.withColumn("text", text).mapInArrow(sizes, "rows bigint, bytes bigint").agg(F.max("rows"), F.max("bytes"), F.sum("rows")).first()
+
+    blocks, encode = [], corpus_pipeline.bpe.encode_decode
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode_decode", lambda *a, **b: blocks.append(b.get("block_chars", corpus_pipeline.bpe.BLOCK_CHARS)) or encode(*a, **b))
+    for _, stage in corpus_pipeline.STAGES:
+        for name in corpus_pipeline.BATCH:
+            spark.conf.unset(name)
+        stage(spark, docs, str(tmp_path))
+        short, long = largest(F.lit("x")), largest(F.repeat(F.lit("x"), 20_000))
+        assert short[0] <= 1000 and short[2] == 3000
+        assert long[1] <= 5 << 20 and long[2] == 3000
+    assert blocks == [corpus_pipeline.BLOCK_CHARS] and blocks[0] <= 8_000_000
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     """No documents give no rows; without labels and benchmark items every document stays but near copies."""
     schemas = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string"}
